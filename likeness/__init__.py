@@ -1 +1,8 @@
 """likeness: find-by-example analytics over DataFrames of embeddings, tags and files."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with the plan, so executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
