@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from likeness.llm.common import table
+from likeness.llm.language import identify
 from likeness.llm.marked_words import encode_and_decode
+from likeness.llm.near_duplicates import near_duplicates
 from likeness.llm.packing import pack_documents
 from likeness.llm.token_counts import count_tokens
+from likeness.llm.toxicity import score_documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,5 +29,17 @@ def op7_marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_best_fit_packing, op7_marked_words)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op5_best_fit_packing, op7_marked_words, op8_language_id, op9_toxicity, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}

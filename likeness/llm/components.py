@@ -1,0 +1,32 @@
+"""Connected components of an edge table, by smallest labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from likeness.llm.common import Scratch
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, label for every node of ``edges`` (a, b: long): label is the smallest node it reaches.
+
+    Each round a node takes the smallest label around it and then that label's own label, so long
+    chains shorten geometrically. Minima combine before they are shuffled, so a node with very many
+    neighbours costs one row a task. Rounds are written to the shared folder and end when no label
+    changes. Edges with a null end and loops are ignored.
+    """
+    both = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
+    links = scratch.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.keep(links.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    while True:
+        around = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("step"))
+        jump = labels.select(F.col("node").alias("step"), F.col("label").alias("far"))
+        new = scratch.keep(lower.join(jump, "step", "left").select("node", F.least("step", F.coalesce("far", "step")).alias("label"), "old"))
+        moved = new.filter("label <> old").limit(1).count()
+        scratch.drop(labels)
+        labels = new.drop("old")
+        labels._likeness_path = new._likeness_path
+        if not moved:
+            scratch.drop(links)
+            return labels
