@@ -47,6 +47,16 @@ def test_code_points_that_split_differently_are_all_left_to_the_library(tokenize
             assert unsure.search(chr(code)), hex(code)
 
 
+def test_near_pattern_splits_as_the_full_one():
+    import re
+
+    near, full = re.compile(pretokens.near_pattern()), regex.compile(pretokens.PATTERN)
+    for code in range(pretokens.NEAR + 1):
+        c = chr(code)
+        for text in (f"a{c}1{c} {c}?{c}", f"{c}{c} {c}x  {c}\n{c}", f"don't{c}'s 9{c}"):
+            assert near.findall(text) == full.findall(text), hex(code)
+
+
 def test_counts_equal_the_library(docs, tokenizer):
     got = count_tokens(docs.withColumn("n_tokens", F.lit(1)), BYTE_BPE, 100).toPandas()
     want = docs.select("doc_id", "text").toPandas()
