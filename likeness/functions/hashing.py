@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 SIDE = 64
 KEPT = 16
@@ -49,7 +49,7 @@ def perceptual(pixels: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def perceptual_hash(pixels: pd.Series) -> pd.Series:
     """Hash of 64 * 64 grey values in rows; null for null."""
     out = pd.Series([None] * len(pixels), dtype=object)
@@ -60,7 +60,7 @@ def perceptual_hash(pixels: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def content_hash(content: pd.Series) -> pd.Series:
     """BLAKE2b of 128 bits."""
     return content.map(lambda c: None if c is None else hashlib.blake2b(c, digest_size=16).digest())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,13 +41,13 @@ def centroid(df: DataFrame, by: str, vector: str = "vector") -> DataFrame:
     return positions.groupBy(by).agg(ordered.alias("mean")).select(by, normalize(F.col("mean")).alias("prototype"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """Raw little-endian float32 bytes as an array."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """An array as raw little-endian float32 bytes."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
