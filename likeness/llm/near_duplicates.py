@@ -10,10 +10,12 @@
    posting; very frequent ones (passages that many documents share) come last and are mostly skipped.
 4. Skip merging: within a posting list, classes are first held against the list's most central class
    (the one whose coordinates are the most frequent), the best such pair of each class alone; what
-   that links needs no further comparison. Lists that still span several components are merged
-   against further central classes while their remaining pairs are many, and then all their
-   remaining pairs across components are counted. So a list of n copies costs n, not n * n, and no
-   link between different components is passed over.
+   that links needs no further comparison, and lists within one component are skipped. Of lists that
+   still span several components the short ones are merged pair by pair. The members of long ones
+   that stand outside their group's largest component are counted against the group in blocks, on
+   signatures of ``WIDE`` coordinates with a bound of its own; only pairs above that bound become
+   rows. So a list of n copies makes rows in proportion to n, and no link between components is
+   passed over.
 5. Candidates are confirmed on the full shingle sets; components of the confirmed links follow.
 
 Defined results: texts that are null, empty or blank have an empty set (n_shingles 0) and are linked
@@ -39,9 +41,10 @@ WIDTH = 5
 PERCENT = 80
 COORDINATES = 64
 MISS = 1e-6
-#: Further central classes are tried while a posting has more open pairs than this, on average.
-OPEN_PAIRS = 8
-PIVOT_ROUNDS = 3
+#: Lists up to this long are merged pair by pair, longer ones in blocks.
+SHORT_LIST = 32
+WIDE = 512
+BLOCK = 1024
 #: Ids are broadcast up to this many and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 TABLE_WORDS = 1 << 19
@@ -123,6 +126,24 @@ def _signed(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature array<int>")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents with the given ids."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.selectExpr("cast(doc_id as bigint) id", "text").join(ids, "id", "left_semi")
+
+
+def _wide_signatures(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, wide: the lower 16 bits of ``WIDE`` coordinates."""
+
+    def run(batches):
+        table, sign = WordHashes(), Signer(WIDE, seed=2)
+        for batch in batches:
+            wide = [sign(shingle_set(text, width, table)).astype("<u2").tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(wide, pa.binary())], ["id", "wide"])
+
+    return _texts(docs, ids).mapInArrow(run, "id long, wide binary")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id, shingles (sorted hashes) of the documents with the given ids."""
 
@@ -132,8 +153,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(text, width, table) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.selectExpr("cast(doc_id as bigint) id", "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return _texts(docs, ids).mapInArrow(run, "id long, shingles array<long>")
 
 
 class _Join:
@@ -151,14 +171,15 @@ class _Join:
         self.postings = scratch.keep(prefix.select("id", "central", F.col("one.key").alias("key")))
 
     def _open(self) -> DataFrame:
-        """Postings with their component, of the lists that span several."""
+        """Postings with their component, their list's length and central class, of lists that span several."""
         rows = self.postings
         if self.labels is None:
             rows = rows.withColumn("label", F.col("id"))
         else:
             rows = rows.join(self.labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        lists = rows.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last")
-        return self.scratch.keep(rows.join(lists.select("key"), "key"))
+        central = F.max_by("id", F.struct("central", -F.col("id"))).alias("pivot")
+        lists = rows.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n"), central).filter("first <> last")
+        return self.scratch.keep(rows.join(lists.select("key", "n", "pivot"), "key").select("key", "n", "pivot", "id", "label"))
 
     def _colliding(self, pairs: DataFrame) -> DataFrame:
         """a, b, collisions of the pairs that collide often enough."""
@@ -190,39 +211,62 @@ class _Join:
         for used in (pairs, ids, sets):
             self.scratch.drop(used)
 
-    def _central_pairs(self, open_: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Each class's best-colliding pair with a list's most central class, and those classes."""
-        left = open_ if used is None else open_.join(used, ["key", "id"], "left_anti")
-        pivots = self.scratch.keep(left.groupBy("key").agg(F.max_by(F.struct("id", "label"), F.struct("central", -F.col("id"))).alias("pivot")))
-        pairs = open_.join(pivots, "key").filter("label <> pivot.label").select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).distinct()
+    def _central_pairs(self, open_: DataFrame) -> DataFrame:
+        """Each class's best-colliding pair with the central class of one of its lists."""
+        pairs = open_.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
         best = self._colliding(pairs).groupBy("a").agg(F.max_by("b", F.struct("collisions", -F.col("b"))).alias("b"))
-        pivots = pivots.select("key", F.col("pivot.id").alias("id"))
-        return best, pivots if used is None else used.unionByName(pivots)
+        return best
+
+    def _short_pairs(self, open_: DataFrame) -> DataFrame:
+        """Colliding pairs across components in short lists."""
+        rows = open_.filter(F.col("n") <= SHORT_LIST)
+        one = rows.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
+        two = rows.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
+        return self._colliding(one.join(two, "key").filter("a < b and la <> lb").select("a", "b").distinct()).select("a", "b")
+
+    def _long_pairs(self, open_: DataFrame) -> DataFrame:
+        """Colliding pairs across components in long lists, counted in blocks. Lists with one central
+        class are one group; its members outside its largest component are held against all."""
+        rows = open_.filter(F.col("n") > SHORT_LIST).select("pivot", "id", "label").distinct()
+        sizes = rows.groupBy("pivot", "label").agg(F.count("*").alias("n"))
+        groups = sizes.groupBy("pivot").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
+        groups = groups.select("pivot", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outer_blocks"))
+        rows = self.scratch.keep(rows.join(groups, "pivot"))
+        wide = self.scratch.keep(_wide_signatures(self.docs, rows.select("id").distinct(), self.width))
+        rows = rows.join(wide, "id")
+        at = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
+        each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        inner = rows.filter("outer_blocks > 0").withColumn("block", at("blocks")).withColumn("outer", each("outer_blocks"))
+        outer = rows.filter("label <> main").withColumn("outer", at("outer_blocks")).withColumn("block", each("blocks"))
+        keys, least = ["pivot", "outer", "block"], match_threshold(WIDE, self.percent)
+
+        def count(own: pa.Table, others: pa.Table) -> pa.Table:
+            pairs: list[list] = [[], []]
+            if len(own) and len(others):
+                x, y = (np.frombuffer(b"".join(t["wide"].to_pylist()), "<u2").reshape(len(t), WIDE) for t in (own, others))
+                ids, labels = others["id"].to_numpy(), others["label"].to_numpy()
+                for row, i, label in zip(x, own["id"].to_pylist(), own["label"].to_pylist()):
+                    near = ids[((y == row).sum(axis=1) >= least) & (labels != label)]
+                    pairs[0] += np.minimum(near, i).tolist()
+                    pairs[1] += np.maximum(near, i).tolist()
+            return pa.table([pa.array(c, pa.int64()) for c in pairs], ["a", "b"])
+
+        columns = [*keys, "id", "label", "wide"]
+        own, others = outer.select(columns).toDF(*columns), inner.select(columns)
+        return own.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(count, "a long, b long").distinct()
 
     def run(self) -> DataFrame | None:
         """node, label of the classes that are linked with others."""
-        open_, used = self._open(), None
-        for turn in range(PIVOT_ROUNDS):
-            if open_.isEmpty():
-                return self.labels
-            if turn and self._remaining(open_) <= OPEN_PAIRS * self.postings.count():
-                break
-            pairs, used = self._central_pairs(open_, used)
-            self._confirm(pairs)
-            self.scratch.drop(open_)
-            open_ = self._open()
-        rest = open_.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(open_.select("key", F.col("id").alias("b"), F.col("label").alias("lb")), "key")
-        rest = rest.filter("a < b and la <> lb").select("a", "b").distinct()
-        self._confirm(self._colliding(rest))
+        open_ = self._open()
+        if open_.isEmpty():
+            return None
+        self._confirm(self._central_pairs(open_))
+        self.scratch.drop(open_)
+        open_ = self._open()
+        if not open_.isEmpty():
+            self._confirm(self._short_pairs(open_).unionByName(self._long_pairs(open_)).distinct())
         return self.labels
 
-    @staticmethod
-    def _remaining(open_: DataFrame) -> int:
-        """Pairs of open lists across components."""
-        by_label = open_.groupBy("key", "label").count()
-        by_key = by_label.groupBy("key").agg(F.sum("count").cast("double").alias("n"), F.sum(F.col("count").cast("double") ** 2).alias("same"))
-        return int(by_key.agg(F.coalesce(F.sum((F.col("n") ** 2 - F.col("same")) / 2), F.lit(0.0))).first()[0])
-
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, for every row."""

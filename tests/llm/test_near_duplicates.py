@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from likeness.llm import near_duplicates as D
-from likeness.llm.common import Scratch, table
-from likeness.llm.components import components
+from likeness.llm.common import table
+from likeness.sources.scratch import Scratch
+from likeness.operators.components import components
 from tests.llm.fixtures import odd_docs
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -93,9 +94,10 @@ def _clusters(seed, loose):
     return [(i * 3 - 50, " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "loose", "open_pairs"), [(1, 4, 8), (2, 9, 8), (3, 14, 8), (4, 9, 0)])
-def test_clusters(spark, seed, loose, open_pairs, monkeypatch):
-    monkeypatch.setattr(D, "OPEN_PAIRS", open_pairs)
+@pytest.mark.parametrize(("seed", "loose", "short"), [(1, 4, 32), (2, 9, 2), (3, 14, 8), (4, 9, 1000)])
+def test_clusters(spark, seed, loose, short, monkeypatch):
+    monkeypatch.setattr(D, "SHORT_LIST", short)
+    monkeypatch.setattr(D, "BLOCK", 16)
     monkeypatch.setattr(D, "BROADCAST_IDS", 10)
     _compare(spark.createDataFrame(_clusters(seed, loose), "doc_id long, text string"), 4)
 
