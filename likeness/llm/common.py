@@ -1,52 +1,10 @@
-"""Helpers that the corpus operators share: tables, the shared folder, written intermediate tables."""
+"""Helpers that the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, by a reader that also opens remote stores."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="likeness-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables written to the shared folder: they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, purpose: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/likeness/{purpose}-{uuid.uuid4().hex}"
-        self.made = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back."""
-        self.made += 1
-        path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._likeness_path = path
-        return out
-
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete a table that :meth:`keep` wrote and that nothing reads any more."""
-        path = getattr(df, "_likeness_path", None)
-        if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
