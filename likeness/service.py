@@ -24,8 +24,9 @@ CHANGES_SHOWN = 200
 
 
 class Service:
-    def __init__(self, catalog: Catalog, embedder: Embedder | None = None):
-        self.catalog, self.embedder, self.spark = catalog, embedder, catalog.spark
+    def __init__(self, catalog: Catalog, embedder: Embedder | None = None, verifier=None):
+        """``verifier``: a function from a phrase to a column that scores file ids."""
+        self.catalog, self.embedder, self.verifier, self.spark = catalog, embedder, verifier, catalog.spark
 
     # Indexing.
 

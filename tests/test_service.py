@@ -102,3 +102,65 @@ def test_command_line(service, tmp_path, capsys):
     capsys.readouterr()
     assert main([*base, "concepts"]) == 0
     assert json.loads(capsys.readouterr().out)["name"] == "reds"
+
+
+def test_http(service):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from likeness.server import Api, serve
+
+    api = Api(service)
+    server = serve(api, "secret")
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(method, path, body=None, token="secret"):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", None if body is None else json.dumps(body).encode(), {"Authorization": f"Bearer {token}"}, method=method)
+        try:
+            with urllib.request.urlopen(request) as answer:
+                return answer.status, json.load(answer)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    assert ask("GET", "/api/health", token="other")[0] == 401 and ask("GET", "/api/health") == (200, {"ok": True}) and ask("GET", "/api/none")[0] == 404
+    job = ask("POST", "/api/index", {"folder": service.folder})[1]
+    api.jobs.wait()
+    assert ask("GET", f"/api/jobs/{job['id']}")[1]["result"]["indexed"] == 11
+    assert ask("POST", "/api/tags", {"name": "reds", "paths": ["/etc/passwd"]})[0] == 403
+    assert ask("POST", "/api/tags", {"name": "a/b", "paths": [service.path("red_1.jpg")]})[0] == 400
+    assert ask("POST", "/api/tags", {"name": "reds", "paths": [service.path("red_1.jpg"), service.path("red_2.jpg")]})[0] == 200
+    assert api.call("POST", "/api/score", {})[0] == 200
+    api.jobs.wait()
+    assert {os.path.basename(r["path"]) for r in ask("GET", "/api/search?tags=reds,&mode=all")[1]} >= {"red_3.jpg"}
+    assert ask("POST", "/api/override", {"path": service.path("blue_1.jpg"), "name": "reds", "state": "on"})[0] == 200
+    assert [t["name"] for t in ask("GET", "/api/tags")[1]] == ["reds"] and ask("DELETE", "/api/tags/none")[0] == 404
+    assert ask("POST", "/api/settings", {"organize_mode": "burn"})[0] == 400 and ask("POST", "/api/settings", {"organize_mode": "off"})[0] == 200
+    assert ask("POST", "/api/organize", {})[1]["changed"] == 0 and ask("GET", "/api/duplicates")[1] == {"groups": [], "redundant": 0}
+    assert ask("GET", "/api/people")[1] == [] and ask("GET", "/api/status")[1]["files"] == 11
+    server.shutdown()
+
+
+def test_jobs(spark):
+    import threading
+
+    from likeness.jobs import JobRunner
+
+    jobs, go = JobRunner(spark), threading.Event()
+    first = jobs.submit("wait", lambda job: go.wait(30) and 7)
+    with pytest.raises(RuntimeError):
+        jobs.submit("other", lambda job: 1)
+    go.set()
+    jobs.wait()
+    assert first.as_dict()["state"] == "done" and first.result == 7
+    failed = jobs.submit("fail", lambda job: 1 / 0)
+    jobs.wait()
+    assert failed.state == "failed" and "zero" in failed.error
+    slow = jobs.submit("slow", lambda job: job.cancelled.wait(30))
+    assert jobs.cancel(slow.id) and not jobs.cancel(99)
+    jobs.wait()
+    assert slow.state == "cancelled"
+    for _ in range(25):
+        jobs.submit("x", lambda job: None)
+        jobs.wait()
+    assert len(jobs.history) == 20
