@@ -17,7 +17,6 @@ repeated rows get equal results; further input columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,9 @@ SAMPLE_DOCS = 500
 SAMPLE_WINDOWS = 4
 UNDETERMINED = "und"
 
-_letter = re.compile(r"[^\W\d_]").search
+
+def _letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def remainder(by: int, doc_id: str = "doc_id") -> Column:
