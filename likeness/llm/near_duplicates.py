@@ -44,7 +44,9 @@ MISS = 1e-6
 #: Lists up to this long are merged pair by pair, longer ones in blocks.
 SHORT_LIST = 32
 WIDE = 512
+#: Members and shingles of a block.
 BLOCK = 1024
+BLOCK_SHINGLES = 2_000_000
 #: Ids are broadcast up to this many and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 TABLE_WORDS = 1 << 19
@@ -132,28 +134,29 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) id", "text").join(ids, "id", "left_semi")
 
 
-def _wide_signatures(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, wide: the lower 16 bits of ``WIDE`` coordinates."""
+def _sets(docs: DataFrame, ids: DataFrame, width: int, wide: bool = False) -> DataFrame:
+    """id, shingles (sorted hashes) and, if asked for, wide (the lower 16 bits of ``WIDE``
+    coordinates) of the documents with the given ids."""
 
     def run(batches):
         table, sign = WordHashes(), Signer(WIDE, seed=2)
         for batch in batches:
-            wide = [sign(shingle_set(text, width, table)).astype("<u2").tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(wide, pa.binary())], ["id", "wide"])
-
-    return _texts(docs, ids).mapInArrow(run, "id long, wide binary")
-
+            sets = [shingle_set(text, width, table) for text in batch.column("text").to_pylist()]
+            columns = [batch.column("id"), pa.array(sets, pa.list_(pa.int64()))]
+            if wide:
+                columns.append(pa.array([sign(x).astype("<u2").tobytes() for x in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "shingles", "wide"][: len(columns)])
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, shingles (sorted hashes) of the documents with the given ids."""
+    return _texts(docs, ids).mapInArrow(run, "id long, shingles array<long>" + (", wide binary" if wide else ""))
 
-    def run(batches):
-        table = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(text, width, table) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return _texts(docs, ids).mapInArrow(run, "id long, shingles array<long>")
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 class _Join:
@@ -188,28 +191,31 @@ class _Join:
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         return pairs.join(a, "a").join(b, "b").select("a", "b", same.alias("collisions")).filter(F.col("collisions") >= self.matches)
 
-    def _confirm(self, pairs: DataFrame) -> None:
-        """Confirm candidates on full sets and merge the components that the links join."""
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+        """a, b of the candidates that are links by their full sets."""
         pairs = self.scratch.keep(pairs.select("a", "b"))
         ids = self.scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = self.scratch.keep(_sets(self.docs, ids, self.width))
         a, b = sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), sets.withColumnsRenamed({"id": "b", "shingles": "sb"})
         common = F.size(F.array_intersect("sa", "sb"))
         links = pairs.join(a, "a").join(b, "b").withColumn("common", common).filter(100 * F.col("common") >= self.percent * (F.size("sa") + F.size("sb") - F.col("common")))
-        links = links.select("a", "b")
-        if self.labels is not None:
-            for end in "ab":
-                own = self.labels.select(F.col("node").alias(end), F.col("label").alias("to"))
-                links = links.join(own, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        merged = components(links, self.scratch)
-        if self.labels is None:
-            self.labels = merged
-        else:
-            through = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            old = self.labels.join(through, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            self.labels = self.scratch.keep(old.unionByName(merged).groupBy("node").agg(F.min("label").alias("label")))
+        links = self.scratch.keep(links.select("a", "b"))
         for used in (pairs, ids, sets):
             self.scratch.drop(used)
+        return links
+
+    def _merge(self, links: DataFrame) -> None:
+        """Merge the components that links join."""
+        if self.labels is None:
+            self.labels = components(links, self.scratch)
+            return
+        for end in "ab":
+            own = self.labels.select(F.col("node").alias(end), F.col("label").alias("to"))
+            links = links.join(own, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        merged = components(links, self.scratch)
+        through = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        old = self.labels.join(through, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        self.labels = self.scratch.keep(old.unionByName(merged).groupBy("node").agg(F.min("label").alias("label")))
 
     def _central_pairs(self, open_: DataFrame) -> DataFrame:
         """Each class's best-colliding pair with the central class of one of its lists."""
@@ -224,47 +230,54 @@ class _Join:
         two = rows.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
         return self._colliding(one.join(two, "key").filter("a < b and la <> lb").select("a", "b").distinct()).select("a", "b")
 
-    def _long_pairs(self, open_: DataFrame) -> DataFrame:
-        """Colliding pairs across components in long lists, counted in blocks. Lists with one central
-        class are one group; its members outside its largest component are held against all."""
+    def _long_links(self, open_: DataFrame) -> DataFrame:
+        """Links across components in long lists, found in blocks: for each member outside its group's
+        largest component one with each other component. Lists with one central class are one group."""
         rows = open_.filter(F.col("n") > SHORT_LIST).select("pivot", "id", "label").distinct()
-        sizes = rows.groupBy("pivot", "label").agg(F.count("*").alias("n"))
-        groups = sizes.groupBy("pivot").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
-        groups = groups.select("pivot", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outer_blocks"))
-        rows = self.scratch.keep(rows.join(groups, "pivot"))
-        wide = self.scratch.keep(_wide_signatures(self.docs, rows.select("id").distinct(), self.width))
-        rows = rows.join(wide, "id")
+        sets = self.scratch.keep(_sets(self.docs, rows.select("id").distinct(), self.width, wide=True))
+        rows = self.scratch.keep(rows.join(sets.select("id", F.size("shingles").cast("long").alias("w")), "id"))
+        sizes = rows.groupBy("pivot", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+        groups = sizes.groupBy("pivot").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max_by(F.struct("label", "n", "w"), F.struct("n", -F.col("label"))).alias("main"))
+        parts = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+        groups = groups.select("pivot", F.col("main.label").alias("main"), parts(F.col("n"), F.col("w")).alias("blocks"), parts(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("outer_blocks"))
+        rows = rows.drop("w").join(groups, "pivot").filter("outer_blocks > 0").join(sets, "id")
         at = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
         each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-        inner = rows.filter("outer_blocks > 0").withColumn("block", at("blocks")).withColumn("outer", each("outer_blocks"))
+        inner = rows.withColumn("block", at("blocks")).withColumn("outer", each("outer_blocks"))
         outer = rows.filter("label <> main").withColumn("outer", at("outer_blocks")).withColumn("block", each("blocks"))
-        keys, least = ["pivot", "outer", "block"], match_threshold(WIDE, self.percent)
+        keys, least, percent = ["pivot", "outer", "block"], match_threshold(WIDE, self.percent), self.percent
 
-        def count(own: pa.Table, others: pa.Table) -> pa.Table:
+        def find(own: pa.Table, others: pa.Table) -> pa.Table:
             pairs: list[list] = [[], []]
             if len(own) and len(others):
                 x, y = (np.frombuffer(b"".join(t["wide"].to_pylist()), "<u2").reshape(len(t), WIDE) for t in (own, others))
+                own_sets, other_sets = own["shingles"].combine_chunks(), others["shingles"].combine_chunks()
                 ids, labels = others["id"].to_numpy(), others["label"].to_numpy()
-                for row, i, label in zip(x, own["id"].to_pylist(), own["label"].to_pylist()):
-                    near = ids[((y == row).sum(axis=1) >= least) & (labels != label)]
-                    pairs[0] += np.minimum(near, i).tolist()
-                    pairs[1] += np.maximum(near, i).tolist()
+                for k, (i, label) in enumerate(zip(own["id"].to_pylist(), own["label"].to_pylist())):
+                    collisions = (y == x[k]).sum(axis=1)
+                    near = np.flatnonzero((collisions >= least) & (labels != label))
+                    mine, met = own_sets[k].values.to_numpy(), set()
+                    for j in near[np.argsort(-collisions[near], kind="stable")].tolist():
+                        if labels[j] not in met and linked(mine, other_sets[j].values.to_numpy(), percent):
+                            met.add(labels[j])
+                            pairs[0].append(i)
+                            pairs[1].append(int(ids[j]))
             return pa.table([pa.array(c, pa.int64()) for c in pairs], ["a", "b"])
 
-        columns = [*keys, "id", "label", "wide"]
+        columns = [*keys, "id", "label", "wide", "shingles"]
         own, others = outer.select(columns).toDF(*columns), inner.select(columns)
-        return own.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(count, "a long, b long").distinct()
+        return own.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(find, "a long, b long")
 
     def run(self) -> DataFrame | None:
         """node, label of the classes that are linked with others."""
         open_ = self._open()
         if open_.isEmpty():
             return None
-        self._confirm(self._central_pairs(open_))
+        self._merge(self._confirmed(self._central_pairs(open_)))
         self.scratch.drop(open_)
         open_ = self._open()
         if not open_.isEmpty():
-            self._confirm(self._short_pairs(open_).unionByName(self._long_pairs(open_)).distinct())
+            self._merge(self._confirmed(self._short_pairs(open_)).unionByName(self._long_links(open_)))
         return self.labels
 
 
