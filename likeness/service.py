@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from likeness.functions import naming
+from likeness.functions.boxes import LEAST_FACE
 from likeness.operators import companions, duplicates, faces, learn, score, search, tags
 from likeness.operators.faces import THRESHOLD
 from likeness.operators.search import BOUNDARY_LIMIT, CANDIDATES, LIMIT
 from likeness.plans import renames
 from likeness.sources import discovery
 from likeness.sources.catalog import Catalog
-from likeness.sources.plugins import Embedder, embed_with
+from likeness.sources.plugins import Embedder, FaceAnalyzer, detect, embed_with
 from likeness.sources.schema import TABLES
+from likeness.sources.scratch import Scratch
 from likeness.streaming.ingest import index_batch
 
 MODES = ("rename", "move", "off")
@@ -182,12 +184,39 @@ class Service:
         self.catalog.write("file_faces", faces.rematch(old, self.catalog.read("person_faces"), threshold))
         return self.catalog.read("file_faces").filter("person_id is not null").count() - before
 
+    def find_faces(self, analyzer: FaceAnalyzer, threshold: float = faces.THRESHOLD, least: float = LEAST_FACE) -> int:
+        """Detect the faces of indexed images that have none yet, match them to known people and store
+        them; returns how many. A file that can't be read has no faces."""
+        todo = self.catalog.read("files").filter("kind = 'image'").join(self.catalog.read("file_faces").select(F.col("file_id").alias("id")), "id", "left_anti")
+        found = Scratch(self.spark, "faces").keep(detect(todo.select(F.col("id").alias("file_id"), "path"), analyzer, least))
+        n = found.count()
+        if n:
+            keyed = found.withColumn("id", F.monotonically_increasing_id()).persist()
+            who = faces.match(keyed, self.catalog.read("person_faces"), threshold).select("id", "person_id", "score")
+            self.catalog.add_faces(keyed.join(who, "id", "left").drop("id", "side"))
+            keyed.unpersist()
+        return n
+
+    def register_person(self, name: str, paths: list[str], analyzer: FaceAnalyzer, mode: str = "extend", every: bool = False) -> int:
+        """Make a person's references from photographs: the largest face of each, or every face;
+        returns how many were added. Photographs without a face are skipped."""
+        photos = self.spark.createDataFrame(list(enumerate(dict.fromkeys(paths))), "file_id long, path string")
+        found = detect(photos, analyzer, 0.0)
+        if not every:
+            found = found.groupBy("file_id").agg(F.max_by(F.struct("vector", "bbox"), F.struct("side", -F.col("seq"))).alias("f")).select("file_id", "f.vector", "f.bbox")
+        rows = found.join(photos, "file_id").select("vector", F.col("path").alias("source")).collect()  # of photographs chosen by hand
+        if not rows:
+            raise ValueError("no face in any of the photographs")
+        old = self.catalog.read("person_faces")
+        first = 1 + old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        new = self.spark.createDataFrame([(first + i, r["vector"], r["source"]) for i, r in enumerate(rows)], "id long, vector array<float>, source string")
+        person = self.catalog.upsert_person(name)
+        references = faces.register(old.select("id", "person_id", "vector", "source"), person, new, mode)
+        self.catalog.replace_references(person, references.filter(F.col("person_id") == person))
+        return len(rows)
+
     def name_cluster(self, face_ids: list[int], name: str) -> None:
-        people = self.catalog.read("people")
-        found = people.filter(F.col("name") == name).head(1)
-        person = found[0]["id"] if found else 1 + people.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        if not found:
-            self.catalog.append("people", self.spark.createDataFrame([(person, name, 0)], "id long, name string, n_examples int"))
+        person = self.catalog.upsert_person(name)
         assigned, references = faces.name_cluster(self.catalog.read("file_faces"), self.catalog.read("person_faces"), face_ids, person)
         self.catalog.replace_references(person, references.filter(F.col("person_id") == person))
         self.catalog.write("file_faces", assigned)

@@ -150,6 +150,27 @@ class Catalog:
             self.write("people", self.read("people").filter(~F.col("id").isin(ids)))
         return bool(ids)
 
+    def upsert_person(self, name: str) -> int:
+        """The id of a person, new or known."""
+        people = self.read("people")
+        found = people.filter(F.col("name") == name).head(1)
+        if found:
+            return found[0]["id"]
+        new = 1 + people.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        self.append("people", self.spark.createDataFrame([(new, name, 0)], "id long, name string, n_examples int"))
+        return new
+
+    def add_faces(self, rows: DataFrame) -> None:
+        """Append found faces (file_id, vector, frame_time, bbox and, if matched, person_id and score)."""
+        old = self.read("file_faces")
+        first = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        self.write("file_faces", old.unionByName(migrate(_numbered(rows, first, "file_id", "bbox"), "file_faces")))
+
+    def assign_face(self, face_id: int, person_id: int | None, score: float | None = None) -> None:
+        own = F.col("id") == face_id
+        columns = {"person_id": F.when(own, F.lit(person_id).cast("long")).otherwise(F.col("person_id")), "score": F.when(own, F.lit(score).cast("double")).otherwise(F.col("score"))}
+        self.write("file_faces", self.read("file_faces").withColumns(columns))
+
     def set_setting(self, key: str, value: str) -> None:
         kept = self.read("meta").filter(F.col("key") != key)
         self.write("meta", kept.unionByName(self.spark.createDataFrame([(key, value)], TABLES["meta"])))

@@ -63,3 +63,27 @@ def embed_with(embedder: Embedder):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, names)], schema=names)
 
     return lambda files: files.select("path", "kind").mapInArrow(run, "path string, vectors array<array<float>>, frame_times array<double>, boxes array<string>, error string")
+
+
+def detect(files, analyzer: FaceAnalyzer, least: float):
+    """file_id, seq, frame_time, bbox, side, vector of the faces in files (file_id, path) whose short
+    side has ``least`` pixels; a file that fails gives no rows."""
+    import pyarrow as pa
+
+    names = pa.schema([("file_id", pa.int64()), ("seq", pa.int32()), ("frame_time", pa.float64()), ("bbox", pa.string()), ("side", pa.float64()), ("vector", pa.list_(pa.float32()))])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for file_id, path in zip(b.column("file_id").to_pylist(), b.column("path").to_pylist()):
+                try:
+                    found = analyzer.faces(path)
+                except Exception:  # one unreadable file doesn't stop the others
+                    continue
+                for seq, (box, vector) in enumerate(found):
+                    side = min(box[2] - box[0], box[3] - box[1])
+                    if side >= least:
+                        rows.append((file_id, seq, 0.0, ",".join(str(int(x)) for x in box), float(side), [float(x) for x in vector]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, names)], schema=names)
+
+    return files.select("file_id", "path").mapInArrow(run, "file_id long, seq int, frame_time double, bbox string, side double, vector array<float>")

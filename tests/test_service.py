@@ -104,6 +104,34 @@ def test_command_line(service, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["name"] == "reds"
 
 
+def test_people_from_photographs(service):
+    class Analyzer:  # local, so that it travels with the plan
+        def faces(self, path):
+            name = os.path.basename(path)
+            if name.startswith("blue_2"):
+                raise OSError(path)
+            v = [1.0, 0.1, 0.0] if name.startswith("red") else [0.0, 1.0, 0.1] if name.startswith("green") else [0.0, 0.0, 1.0]
+            return [((0, 0, 100, 80), v), ((0, 0, 30, 30), [-9.0, -9.0, -9.0])] + ([((0, 0, 300, 300), [0.0, 0.0, 1.0])] if "1" in name else [])
+
+    s = service
+    s.index(s.folder)
+    assert s.register_person("ann", [s.path("red_2.jpg"), s.path("red_3.jpg"), s.path("blue_2.jpg")], Analyzer()) == 2
+    assert s.find_faces(Analyzer()) == 10 + 3 and s.find_faces(Analyzer()) == 0
+    assert {os.path.basename(r.path) for r in s.search(person="ann").collect()} == {f"red_{i}.jpg" for i in range(1, 6)}
+    assert s.rematch() == 0
+    assert s.register_person("bo", [s.path("green_2.jpg")], Analyzer(), every=True) == 2 and s.rematch() == 3
+    assert s.register_person("ann", [s.path("red_4.jpg")], Analyzer()) == 1 and s.catalog.read("person_faces").count() == 5
+    assert s.register_person("ann", [s.path("red_4.jpg")], Analyzer(), mode="replace") == 1 and s.catalog.read("person_faces").count() == 3
+    with pytest.raises(ValueError):
+        s.register_person("cy", [s.path("blue_2.jpg")], Analyzer())
+    clusters = s.catalog.read("file_faces").filter("person_id is null").count()
+    assert clusters == 5
+    ids = [r.id for r in s.catalog.read("file_faces").filter("person_id is null").collect()]
+    s.name_cluster(ids, "cy")
+    s.catalog.assign_face(ids[0], None)
+    assert s.catalog.read("file_faces").filter("person_id is null").count() == 1 and s.catalog.delete_person("cy")
+
+
 def test_http(service):
     import threading
     import urllib.error
