@@ -387,22 +387,22 @@ def combined_duplicates(lib):
 
 # Names, companions and plans.
 
-_KNOWN = ["Glaze", "outdoor", "tag 3"]
+_KNOWN = ["Clay", "outdoor", "tag 3"]
 
 
 def _names(lib):
     n = F.col("doc_id")
-    stem = F.concat(F.lit("item "), n.cast("string"), F.when(n % 2 == 0, " [GLAZE]").otherwise(""), F.when(n % 3 == 0, " [2]").otherwise(""), F.when(n % 5 == 0, "[ tag 3 ]").otherwise(""))
-    wanted = F.filter(F.array(F.when(n % 4 == 0, "outdoor"), F.when(n % 2 == 0, "Glaze")), lambda t: t.isNotNull())
+    stem = F.concat(F.lit("item "), n.cast("string"), F.when(n % 2 == 0, " [CLAY]").otherwise(""), F.when(n % 3 == 0, " [2]").otherwise(""), F.when(n % 5 == 0, "[ tag 3 ]").otherwise(""))
+    wanted = F.filter(F.array(F.when(n % 4 == 0, "outdoor"), F.when(n % 2 == 0, "Clay")), lambda t: t.isNotNull())
     return lib.table("documents").select(n.alias("id"), F.concat(F.lit("/lib/"), stem, F.lit(".jpg")).alias("path"), wanted.alias("tags"))
 
 
-_NAMES = r"""names AS (SELECT doc_id AS id, 'item ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' [GLAZE]' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' [2]' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN '[ tag 3 ]' ELSE '' END AS stem,
-    concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN '[Glaze]' END, CASE WHEN doc_id % 4 = 0 THEN '[outdoor]' END) AS suffix FROM documents),
-parsed AS (SELECT *, trim(regexp_replace(stem, '\s*\[\s*(glaze|outdoor|tag 3)\s*\]', '', 'gi')) AS base FROM names)"""
+_NAMES = r"""names AS (SELECT doc_id AS id, 'item ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' [CLAY]' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' [2]' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN '[ tag 3 ]' ELSE '' END AS stem,
+    concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN '[Clay]' END, CASE WHEN doc_id % 4 = 0 THEN '[outdoor]' END) AS suffix FROM documents),
+parsed AS (SELECT *, trim(regexp_replace(stem, '\s*\[\s*(clay|outdoor|tag 3)\s*\]', '', 'gi')) AS base FROM names)"""
 
 
-@query(f"WITH {_NAMES} SELECT id, base, concat_ws(',', CASE WHEN id % 2 = 0 THEN 'Glaze' END, CASE WHEN id % 5 = 0 THEN 'tag 3' END) AS tags FROM parsed")
+@query(f"WITH {_NAMES} SELECT id, base, concat_ws(',', CASE WHEN id % 2 = 0 THEN 'Clay' END, CASE WHEN id % 5 = 0 THEN 'tag 3' END) AS tags FROM parsed")
 def parse_tags(lib):
     stem = paths.stem(F.col("path"))
     return _names(lib).select("id", naming.base_of(stem, _KNOWN).alias("base"), F.array_join(naming.tags_in(stem, _KNOWN), ",").alias("tags"))
@@ -507,10 +507,10 @@ def missing_files(lib):
     return discovery.missing(lib.files, lib.files.filter("id % 4 <> 1")).select("id", "path")
 
 
-@query("""WITH d AS (SELECT event_id AS id, round(value, 2) AS d FROM events WHERE event_id < 500)
+@query("""WITH d AS (SELECT event_id AS id, round(value, 2) AS d FROM events)
 SELECT id, i::INT AS frame, round(CASE WHEN d <= 0 THEN greatest(d, 0.0) / 2 ELSE d * 0.05 + d * 0.9 * i / 7 END, 6) AS frame_time FROM d, unnest(CASE WHEN d <= 0 THEN [0] ELSE range(8) END) AS t(i)""")
 def frame_sample_times(lib):
-    d = lib.table("events").filter("event_id < 500").select(F.col("event_id").alias("path"), F.lit("video").alias("kind"), F.round("value", 2).alias("duration"))
+    d = lib.table("events").select(F.col("event_id").alias("path"), F.lit("video").alias("kind"), F.round("value", 2).alias("duration"))
     return discovery.frames(d).select(F.col("path").alias("id"), "frame", rounded("frame_time"))
 
 

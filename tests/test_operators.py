@@ -133,7 +133,7 @@ def test_teaching_excludes_its_examples_and_respects_negatives(spark):
     assert learn.teach(e, examples, negatives).first().threshold >= got.threshold
 
 
-CONCEPTS = [(0, "glaze"), (1, "outdoor")]
+CONCEPTS = [(0, "clay"), (1, "outdoor")]
 
 
 def _tagged(spark):
@@ -144,9 +144,9 @@ def _tagged(spark):
 def test_any_and_all(spark):
     fc, c = _tagged(spark)
     files = lambda *a: {r.file_id for r in tags.matching(fc, c, *a).collect()}
-    assert files(["glaze", "outdoor"]) == {0, 1, 2} and files(["glaze", "outdoor", "glaze"], "all") == {1} and files([]) == set() and files(["glaze", "none"], "all") == set()
+    assert files(["clay", "outdoor"]) == {0, 1, 2} and files(["clay", "outdoor", "clay"], "all") == {1} and files([]) == set() and files(["clay", "none"], "all") == set()
     with pytest.raises(ValueError):
-        files(["glaze"], "some")
+        files(["clay"], "some")
 
 
 def test_corrections_win(spark):
@@ -160,9 +160,9 @@ def test_corrections_win(spark):
 
 
 def test_client_filter(spark):
-    rows = spark.createDataFrame([(1, "Beach.jpg", ["glaze", "outdoor"]), (2, "cat.jpg", ["glaze"]), (3, "dog.jpg", ["outdoor"]), (4, "egg.jpg", [])], "id long, name string, tags array<string>")
+    rows = spark.createDataFrame([(1, "Beach.jpg", ["clay", "outdoor"]), (2, "cat.jpg", ["clay"]), (3, "dog.jpg", ["outdoor"]), (4, "egg.jpg", [])], "id long, name string, tags array<string>")
     got = lambda **k: [r.id for r in rows.filter(tags.library_filter(F.col("name"), F.col("tags"), **k)).collect()]
-    assert got() == [1, 2, 3, 4] and got(text=" BEA ") == [1] and got(untagged=True) == [4] and got(selected=["glaze", "outdoor"]) == [1, 2, 3] and got(selected=["glaze", "outdoor"], mode="all") == [1]
+    assert got() == [1, 2, 3, 4] and got(text=" BEA ") == [1] and got(untagged=True) == [4] and got(selected=["clay", "outdoor"]) == [1, 2, 3] and got(selected=["clay", "outdoor"], mode="all") == [1]
 
 
 def test_faces(spark):
@@ -223,4 +223,4 @@ def test_companions(spark):
 
 def test_scores_by_file(spark):
     fc, c = _tagged(spark)
-    assert {r.file_id: r.scores for r in score.scores_by_file(fc, c).collect()} == {0: {"glaze": 0.9}, 1: {"glaze": 0.7, "outdoor": 0.8}, 2: {"outdoor": 0.6}}
+    assert {r.file_id: r.scores for r in score.scores_by_file(fc, c).collect()} == {0: {"clay": 0.9}, 1: {"clay": 0.7, "outdoor": 0.8}, 2: {"outdoor": 0.6}}
