@@ -514,9 +514,9 @@ def frame_sample_times(lib):
     return discovery.frames(d).select(F.col("path").alias("id"), "frame", rounded("frame_time"))
 
 
-@query("SELECT page_id FROM pages WHERE url = 'http://example.com' OR starts_with(url, 'http://tionsh.example.net/') OR starts_with(url, 'https://tionsh.example.net/es/')")
+@query("SELECT page_id FROM pages WHERE starts_with(url, 'https://blog.tionsh.example.net/') OR starts_with(url, 'https://m.tionsh.example.net/en/') OR starts_with(url, 'http://blog.tionsh.example.net/en/')")
 def allowlist_permits(lib):
-    roots = F.array(*map(F.lit, ["http://example.com", "http://tionsh.example.net", "https://tionsh.example.net/es"]))
+    roots = F.array(*map(F.lit, ["https://blog.tionsh.example.net", "https://m.tionsh.example.net/en", "http://blog.tionsh.example.net/en"]))
     return lib.table("pages").filter(paths.within(F.col("url"), roots)).select("page_id")
 
 
