@@ -240,7 +240,9 @@ class _Join:
         groups = sizes.groupBy("pivot").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max_by(F.struct("label", "n", "w"), F.struct("n", -F.col("label"))).alias("main"))
         parts = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
         groups = groups.select("pivot", F.col("main.label").alias("main"), parts(F.col("n"), F.col("w")).alias("blocks"), parts(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("outer_blocks"))
-        rows = rows.drop("w").join(groups, "pivot").filter("outer_blocks > 0").join(sets, "id")
+        groups = self.scratch.keep(groups.filter("outer_blocks > 0"))
+        groups = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups  # a group may hold a third of all rows
+        rows = rows.drop("w").join(groups, "pivot").join(sets, "id")
         at = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
         each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
         inner = rows.withColumn("block", at("blocks")).withColumn("outer", each("outer_blocks"))
