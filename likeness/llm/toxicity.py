@@ -12,8 +12,10 @@ described by its length-normalised ratio, whole and in its most toxic windows of
 many words stand out and how far; a logistic curve fitted on training rows that gave no counts turns that into a number from 0 to 1.
 Whole texts are read; a task keeps a bounded table of words.
 
-What is broadcast is bounded by ``MODEL_GRAMS``: beyond it the rarest grams (by powers of two of
-their counts) are left to the shared distribution.
+Nothing that tells the classes apart is left out: only grams that neither class has more often than
+its discount go, as they score what their context does, and contexts that tell nothing. A model of up
+to ``MODEL_GRAMS`` rows of a kind is broadcast; from a larger one each block of documents gets the
+rows of its own grams and contexts by a shuffle join.
 
 Defined results: null and empty texts and texts without letters are scored as such by the curve;
 rows without id are scored, never learned from and not held out; several labels of one document count as toxic if
@@ -23,7 +25,7 @@ one is; labels that are null are ignored; with no labelled rows of both classes
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from collections import Counter
 from dataclasses import dataclass
 
@@ -40,7 +42,10 @@ DISCOUNT = 0.75
 #: A class's own counts lose more: what it has seen once or twice is left to the shared distribution.
 CLASS_DISCOUNT = 2.0
 WINDOWS = (1, 6, 24)
+#: Grams, and contexts, are broadcast up to this many and joined by a shuffle beyond.
 MODEL_GRAMS = 2_000_000
+#: Characters and rows of a block of documents for that join, on average at most.
+BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 20_000
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows and joined by a shuffle beyond.
 BROADCAST_LABELS = 2_000_000
@@ -52,13 +57,24 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 @dataclass
 class Model:
-    """Sorted 64-bit keys of grams and of contexts with their log ratios; the curve's weights."""
+    """Sorted 64-bit keys of grams and of contexts with their log ratios; the curve's weights. A model
+    too large for a broadcast has no keys here but a table: key, of_context, ratio."""
 
     grams: np.ndarray
     gram_ratio: np.ndarray
     contexts: np.ndarray
     context_ratio: np.ndarray
     weights: np.ndarray | None = None
+    table: DataFrame | None = None
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Model:
+        """The model of rows key, of_context, ratio."""
+        rows = rows.sort_values("key")
+        parts = []
+        for own in (rows[~rows["of_context"].astype(bool)], rows[rows["of_context"].astype(bool)]):
+            parts += [own["key"].to_numpy(np.int64), own["ratio"].to_numpy(np.float32)]
+        return cls(*parts)
 
 
 def remainder(by: int, doc_id: str = "doc_id") -> Column:
@@ -112,18 +128,6 @@ def shared_distribution(top: DataFrame, order: int, discount: float) -> DataFram
     return p
 
 
-def _bounded(table: DataFrame, most: int) -> DataFrame:
-    """The rows of the most frequent keys, by powers of two of ``n``, as far as ``most`` rows hold them."""
-    size, least = 0, 0
-    by_power = table.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()  # 64 rows at most
-    for power, rows in sorted(map(tuple, by_power), reverse=True):
-        size += rows
-        if size > most:
-            least = 2 ** (power + 1)
-            break
-    return table.filter(F.col("n") >= least)
-
-
 def count_model(words: DataFrame, scratch: Scratch, order: int = ORDER, discount: float = DISCOUNT, own: float = CLASS_DISCOUNT, most: int = MODEL_GRAMS) -> Model:
     """The model of counted words."""
     padded = F.concat(F.lit(_BEGIN * (order - 1)), F.col("word"), F.lit(_END))
@@ -140,17 +144,20 @@ def count_model(words: DataFrame, scratch: Scratch, order: int = ORDER, discount
     left = {c: F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_free") / F.col(f"{c}_all")).otherwise(1.0) for c in "to"}
     p = {c: F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - own, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0) + left[c] * both for c in "to"}
     level = scratch.keep(level.select(
-        F.xxhash64("gram").alias("key"), F.xxhash64("context").alias("context"), (F.col("t") + F.col("o")).alias("n"), F.col("all").alias("context_n"),
+        F.xxhash64("gram").alias("key"), F.xxhash64("context").alias("context"), (F.greatest("t", "o") <= own).alias("as_context"),
         F.log(p["t"] / p["o"]).cast("float").alias("ratio"), F.log(left["t"] / left["o"]).cast("float").alias("context_ratio"),
     ))
-    contexts = level.groupBy(F.col("context").alias("key")).agg(F.max("context_n").alias("n"), F.max("context_ratio").alias("ratio"))
-    parts = []
-    for found in (level.select("key", "n", "ratio"), contexts):
-        rows = _bounded(found, most).select("key", "ratio").toPandas().sort_values("key")
-        parts += [rows["key"].to_numpy(np.int64), rows["ratio"].to_numpy(np.float32)]
+    contexts = level.groupBy(F.col("context").alias("key")).agg(F.max("context_ratio").alias("ratio")).filter("ratio <> 0")
+    grams = level.filter("not as_context").select("key", F.lit(False).alias("of_context"), "ratio")
+    table = scratch.keep(grams.unionByName(contexts.withColumn("of_context", F.lit(True))))
     scratch.drop(level)
     scratch.drop(top)
-    return Model(*parts)
+    if any(r["count"] > most for r in table.groupBy("of_context").count().collect()):
+        empty = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return Model(*empty, *empty, table=table)
+    model = Model.of(table.toPandas())
+    scratch.drop(table)
+    return model
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +169,19 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[
     return np.where(found, values[at], np.float32(0)), found
 
 
+def _keys(words: Iterable[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words' grams and of their contexts, and where each word's begin and end."""
+    key = xxhash.xxh64_intdigest
+    grams, contexts, ends = [], [], [0]
+    for word in words:
+        padded = _BEGIN * (order - 1) + word + _END
+        for i in range(len(word) + 1):
+            grams.append(key(padded[i : i + order].encode(), 42))
+            contexts.append(key(padded[i : i + order - 1].encode(), 42))
+        ends.append(len(grams))
+    return np.array(grams, np.uint64).view(np.int64), np.array(contexts, np.uint64).view(np.int64), np.array(ends)
+
+
 class WordTable(dict):
     """Word -> log ratio, for one task; filled batch by batch, bounded."""
 
@@ -170,19 +190,11 @@ class WordTable(dict):
         self._model, self._order, self._entries = model, order, entries
 
     def _fill(self, words: list[str]) -> None:
-        order, key = self._order, xxhash.xxh64_intdigest
-        grams, contexts, ends = [], [], []
-        for word in words:
-            padded = _BEGIN * (order - 1) + word + _END
-            for i in range(len(word) + 1):
-                grams.append(key(padded[i : i + order].encode(), 42))
-                contexts.append(key(padded[i : i + order - 1].encode(), 42))
-            ends.append(len(grams))
+        grams, contexts, ends = _keys(words, self._order)
         m = self._model
-        ratio, found = _look_up(m.grams, m.gram_ratio, np.array(grams, np.uint64).view(np.int64))
-        backed, _ = _look_up(m.contexts, m.context_ratio, np.array(contexts, np.uint64).view(np.int64))
+        ratio, found = _look_up(m.grams, m.gram_ratio, grams)
+        backed, _ = _look_up(m.contexts, m.context_ratio, contexts)
         total = np.concatenate([[0.0], np.cumsum(np.where(found, ratio, backed), dtype=np.float64)])
-        ends = np.array([0, *ends])
         self.update(zip(words, (total[ends[1:]] - total[ends[:-1]]).tolist()))
 
     def ratios(self, text: str) -> np.ndarray:
@@ -219,6 +231,27 @@ def _features(texts, table: WordTable) -> np.ndarray:
     return np.array([describe(table.ratios(t or "")) for t in texts], np.float64).reshape(-1, FEATURES)
 
 
+def features_by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """_row, x: the features of rows (_row, each its own, and text) by a model's table."""
+    size = rows.agg(F.sum(F.length("text").cast("long")), F.count("*")).first()
+    blocks = 1 + max((size[0] or 0) // BLOCK_CHARS, size[1] // BLOCK_ROWS)
+    placed = rows.select("_row", "text", F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block"))
+
+    def wanted(of: tuple, table: pa.Table) -> pa.Table:
+        words = {w for t in table.column("text").to_pylist() for w in _words((t or "").lower())}
+        grams, contexts = map(np.unique, _keys(words)[:2])
+        n = len(grams) + len(contexts)
+        return pa.table({"block": pa.array(np.full(n, of[0].as_py(), np.int64)), "key": np.concatenate([grams, contexts]), "of_context": np.arange(n) >= len(grams)})
+
+    def describe_block(table: pa.Table, known: pa.Table) -> pa.Table:
+        x = _features(table.column("text").to_pylist(), WordTable(Model.of(known.select(["key", "of_context", "ratio"]).to_pandas())))
+        return pa.table({"_row": table.column("_row"), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+
+    keys = placed.groupBy("block").applyInArrow(wanted, "block long, key long, of_context boolean")
+    known = keys.join(model, ["key", "of_context"]).select("block", "key", "of_context", "ratio")
+    return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(describe_block, "_row long, x array<double>")
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights (constant first) of a ridge logistic regression, by damped Newton steps."""
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -232,6 +265,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int =
     return np.concatenate([[w[0] - out @ centre], out])
 
 
+def _described(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """x, toxic of rows (text, toxic)."""
+    if model.table is not None:
+        numbered = scratch.keep(rows.select(F.monotonically_increasing_id().alias("_row"), "text", "toxic"))
+        return features_by_join(numbered, model.table).join(numbered, "_row").select("x", "toxic")
+    shared = rows.sparkSession.sparkContext.broadcast(vars(model))
+
+    def run(batches):
+        table = WordTable(Model(**shared.value))
+        for batch in batches:
+            x = _features(batch.column("text").to_pylist(), table)
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """The model, learned only from labelled rows whose id has a remainder of 1 to 4 modulo 5: those
     of 1 to 3 give the counts (all of them), those of 4 the curve (``calibration_rows`` at most, on
@@ -242,19 +291,12 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     n = words.agg(F.sum("toxic_n"), F.sum("plain_n")).first()
     if not n[0] or not n[1]:
         return None
-    model = count_model(words, scratch)
+    model = count_model(words, scratch, most=MODEL_GRAMS)
     scratch.drop(words)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     share = min(1.0, calibration_rows / max(1, labels.count() // 5))
 
-    def run(batches):
-        table = WordTable(Model(**shared.value))
-        for batch in batches:
-            x = _features(batch.column("text").to_pylist(), table)
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
-
     drawn = rows.filter("part = 4").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = drawn.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").toPandas()
+    found = _described(drawn, model, scratch).toPandas()
     if found.toxic.nunique() < 2:
         return None
     model.weights = fit_curve(np.array(found.x.tolist()), found.toxic.to_numpy(float))
@@ -279,13 +321,25 @@ def scorer(spark, model: Model | None):
     return toxicity
 
 
+def with_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents plus _toxicity."""
+    if model is None or model.table is None:
+        return docs.withColumn("_toxicity", scorer(docs.sparkSession, model)(docs["text"]))
+    scratch = Scratch(docs.sparkSession, "toxicity-scores")
+    numbered = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    constant, *weights = map(float, model.weights)
+    z = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(constant), lambda a, b: a + b)
+    scores = features_by_join(numbered.select("_row", "text"), model.table).select("_row", (1 / (1 + F.exp(-z))).alias("_toxicity"))
+    return numbered.join(scores, "_row").select(*docs.columns, "_toxicity")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (remainder 0), score, predicted (1 from 0.5) for every document."""
-    toxicity = scorer(docs.sparkSession, fit(docs, labels))
-    scored = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), toxicity("text").alias("score"))
+    found = with_toxicity(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), fit(docs, labels))
+    scored = found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("_toxicity").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The documents, with all their columns, whose score is under ``limit``."""
-    return docs.filter(scorer(docs.sparkSession, fit(docs, labels))(docs["text"]) < limit)
+    return with_toxicity(docs, fit(docs, labels)).filter(F.col("_toxicity") < limit).drop("_toxicity")

@@ -113,3 +113,26 @@ def test_look_up_of_missing_grams_falls_back(spark):
     model = T.count_model(words, Scratch(spark, "t"))
     ratios = T.WordTable(model).ratios("bad good 日本 bads goods")
     assert ratios[0] > 2 and ratios[1] < -0.5 and abs(ratios[2]) < abs(ratios[0])
+
+
+def test_large_models_are_joined_alike(spark, monkeypatch):
+    docs, labels = _planted(spark, 400)
+    docs = docs.unionByName(odd_docs(spark).select("doc_id", "text"))
+    want = T.score_documents(docs, labels).toPandas()
+    for name, value in (("MODEL_GRAMS", 20), ("BLOCK_CHARS", 20_000)):
+        monkeypatch.setattr(T, name, value)
+    got = T.score_documents(docs, labels).toPandas()
+    order = ["doc_id", "score"]
+    got, want = (x.sort_values(order, ignore_index=True) for x in (got, want))
+    assert len(got) == len(want) and (got.doc_id.fillna(-9) == want.doc_id.fillna(-9)).all()
+    assert np.allclose(got.score, want.score, atol=1e-6) and want.predicted.sum() > 50
+    assert T.keep_ordinary(docs, labels).count() == (want.score < 0.5).sum()
+
+
+def test_rare_class_evidence_outlives_the_broadcast_bound(spark, monkeypatch):
+    words = [("ordinary" + chr(97 + i) + chr(98 + i), 0, 1000) for i in range(20)] + [("grubling", 3, 0)]
+    words = spark.createDataFrame(words, "word string, toxic_n long, plain_n long")
+    full = T.count_model(words, Scratch(spark, "t"))
+    large = T.count_model(words, Scratch(spark, "t"), most=10)
+    assert large.table is not None and T.Model.of(large.table.toPandas()).grams.tolist() == full.grams.tolist()
+    assert T.WordTable(full).ratios("grubling")[0] > 1
