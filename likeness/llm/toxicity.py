@@ -19,7 +19,8 @@ rows of its own grams and contexts by a shuffle join.
 
 Defined results: null and empty texts and texts without letters are scored as such by the curve;
 rows without id are scored, never learned from and not held out; several labels of one document count as toxic if
-one is; labels that are null are ignored; with no labelled rows of both classes every score is 0.
+one is; labels that are null are ignored; with no labelled rows of both classes every score is 0; where the
+rows for the curve lack a class, the sign of a text's length-normalised ratio decides.
 """
 
 from __future__ import annotations
@@ -252,19 +253,29 @@ def features_by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
     return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(describe_block, "_row long, x array<double>")
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights (constant first) of a ridge logistic regression, by damped Newton steps."""
-    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Weights (constant first) of a ridge logistic regression, by damped Newton steps; a row stands for ``n``."""
+    centre = np.average(x, 0, n)
+    scale = np.maximum(np.average((x - centre) ** 2, 0, n) ** 0.5, 1e-9)
     z = np.hstack([np.ones((len(x), 1)), (x - centre) / scale])
-    w, ridge = np.zeros(z.shape[1]), penalty * len(x) ** 0.5 * np.diag([0.0] + [1.0] * x.shape[1])
+    w, ridge = np.zeros(z.shape[1]), penalty * n.sum() ** 0.5 * np.diag([0.0] + [1.0] * x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((z * (n * (p * (1 - p) + 1e-6))[:, None]).T @ z + ridge, z.T @ (n * (y - p)) - ridge @ w)
         w = w + np.clip(step, -2, 2)
     out = w[1:] / scale
     return np.concatenate([[w[0] - out @ centre], out])
 
 
+#: A curve that goes by the sign of the whole text's ratio; no ratio at all is ordinary.
+SIGN = np.array([-1e-6, 1.0] + [0.0] * (FEATURES - 1))
+
+
+def class_rates(sizes: dict[int, int], most: int) -> dict[int, float]:
+    """The rate at which to draw rows of each class for ``most`` in all: the rarer class whole up to a half."""
+    return {c: min(1.0, max(most // 2, most - sizes.get(1 - c, 0)) / n) for c, n in sizes.items()}
+
+
 def _described(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """x, toxic of rows (text, toxic)."""
     if model.table is not None:
@@ -284,7 +295,7 @@ def _described(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """The model, learned only from labelled rows whose id has a remainder of 1 to 4 modulo 5: those
     of 1 to 3 give the counts (all of them), those of 4 the curve (``calibration_rows`` at most, on
-    average, drawn by a hash of the id)."""
+    average, drawn by a hash of the id at each class's own rate, which their weights undo)."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = labelled(docs, labels).withColumn("part", remainder(5)).filter("part > 0")
     words = scratch.keep(count_words(rows.filter("part < 4")))
@@ -293,13 +304,18 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
         return None
     model = count_model(words, scratch, most=MODEL_GRAMS)
     scratch.drop(words)
-    share = min(1.0, calibration_rows / max(1, labels.count() // 5))
-
-    drawn = rows.filter("part = 4").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    fourth = rows.filter("part = 4")
+    rates = class_rates({r["toxic"]: r["count"] for r in fourth.groupBy("toxic").count().collect()}, calibration_rows)
+    if len(rates) < 2:
+        model.weights = SIGN
+        return model
+    bound = F.when(F.col("toxic") == 1, int(rates[1] * (1 << 30))).otherwise(int(rates[0] * (1 << 30)))
+    drawn = fourth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
     found = _described(drawn, model, scratch).toPandas()
     if found.toxic.nunique() < 2:
-        return None
-    model.weights = fit_curve(np.array(found.x.tolist()), found.toxic.to_numpy(float))
+        model.weights = SIGN
+    else:
+        model.weights = fit_curve(np.array(found.x.tolist()), found.toxic.to_numpy(float), 1 / found.toxic.map(rates).to_numpy(float))
     return model
 
 

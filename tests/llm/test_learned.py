@@ -136,3 +136,29 @@ def test_rare_class_evidence_outlives_the_broadcast_bound(spark, monkeypatch):
     large = T.count_model(words, Scratch(spark, "t"), most=10)
     assert large.table is not None and T.Model.of(large.table.toPandas()).grams.tolist() == full.grams.tolist()
     assert T.WordTable(full).ratios("grubling")[0] > 1
+
+
+def test_a_class_missing_from_the_curve_rows_doesnt_switch_off(spark):
+    docs, labels = _planted(spark)
+    some = labels.filter("not (toxic = 1 and crc32(cast(doc_id as string)) % 5 = 4)")
+    got = T.score_documents(docs, some).toPandas().merge(labels.toPandas(), on="doc_id").query("held_out")
+    assert (got.predicted == got.toxic).mean() > 0.9 and got.predicted[got.toxic == 1].mean() > 0.9
+    assert T.score_documents(docs.selectExpr("doc_id", "'12 34' text"), some).toPandas().predicted.sum() == 0
+
+
+def test_curve_rows_are_drawn_by_class(spark):
+    docs, labels = _planted(spark)
+    kept = [i for i in range(0, 1500, 7) if zlib.crc32(str(i).encode()) % 5 == 4][:3]
+    rare = labels.filter(f"not (toxic = 1 and crc32(cast(doc_id as string)) % 5 = 4) or doc_id in {tuple(kept)}")
+    model = T.fit(docs, rare, calibration_rows=20)
+    assert model is not None and not np.array_equal(model.weights, T.SIGN)
+    assert T.class_rates({0: 1_000_000, 1: 100}, 20_000) == {0: 0.0199, 1: 1.0}
+    assert T.class_rates({0: 40_000, 1: 20_000}, 20_000) == {0: 0.25, 1: 0.5}
+
+
+def test_weights_stand_for_rows():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 3))
+    y = (x[:, 0] + r.normal(size=60) > 0).astype(float)
+    n = np.where(y == 1, 1, 3)
+    assert np.allclose(T.fit_curve(x, y, n.astype(float)), T.fit_curve(np.repeat(x, n, 0), np.repeat(y, n), np.ones(n.sum())), atol=1e-5)
