@@ -9,7 +9,8 @@ in a class so falls back on what the classes share and tells them little apart.
 
 Score: a word's log-likelihood ratio (toxic over ordinary) sums over its characters; a text is
 described by its length-normalised ratio, whole and in its most toxic windows of words, and by how
-many words stand out and how far; a logistic curve fitted on training rows that gave no counts turns that into a number from 0 to 1.
+many words stand out and how far; a logistic curve turns that into a number from 0 to 1. It is
+fitted on a quarter of the training rows with a model of the others; the model that scores counts all.
 Whole texts are read; a task keeps a bounded table of words.
 
 Nothing that tells the classes apart is left out: only grams that neither class has more often than
@@ -92,18 +93,21 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """word, toxic_n, plain_n over all rows (text, toxic)."""
+    """word, toxic_n, plain_n over all rows (text, toxic, part); toxic_4, plain_4 over those of part 4."""
+    names = ["toxic_n", "plain_n", "toxic_4", "plain_4"]
 
     def run(batches):
         for batch in batches:
-            counts = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                counts[toxic].update(_words((text or "").lower()))
-            words = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([counts[c][w] for w in words], pa.int64()) for c in (1, 0))], ["word", "toxic_n", "plain_n"])
+            counts = {(toxic, fourth): Counter() for toxic in (1, 0) for fourth in (False, True)}
+            for text, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part"))):
+                counts[toxic, part == 4].update(_words((text or "").lower()))
+            words = list(set().union(*counts.values()))
+            own = [[counts[toxic, True][w] for w in words] for toxic in (1, 0)]
+            both = [[counts[toxic, False][w] + n for w, n in zip(words, held)] for toxic, held in zip((1, 0), own)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(n, pa.int64()) for n in (*both, *own))], ["word", *names])
 
-    parts = rows.select("text", "toxic").mapInArrow(run, "word string, toxic_n long, plain_n long")
-    return parts.groupBy("word").agg(F.sum("toxic_n").alias("toxic_n"), F.sum("plain_n").alias("plain_n"))
+    parts = rows.select("text", "toxic", "part").mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def _sum_over(value, key: str):
@@ -294,29 +298,36 @@ def _described(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """The model, learned only from labelled rows whose id has a remainder of 1 to 4 modulo 5: those
-    of 1 to 3 give the counts (all of them), those of 4 the curve (``calibration_rows`` at most, on
-    average, drawn by a hash of the id at each class's own rate, which their weights undo)."""
+    of 1 to 4 give the counts (all of them), those of 4 also the curve, by the counts of 1 to 3
+    (``calibration_rows`` at most, on average, drawn by a hash of the id at each class's own rate,
+    which their weights undo)."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = labelled(docs, labels).withColumn("part", remainder(5)).filter("part > 0")
-    words = scratch.keep(count_words(rows.filter("part < 4")))
-    n = words.agg(F.sum("toxic_n"), F.sum("plain_n")).first()
+    fourth = rows.filter("part = 4")
+    words = scratch.keep(count_words(rows))
+    n = words.agg(*map(F.sum, ["toxic_n", "plain_n", "toxic_4", "plain_4"])).first()
     if not n[0] or not n[1]:
         return None
     model = count_model(words, scratch, most=MODEL_GRAMS)
+    model.weights = _curve(fourth, words, scratch, calibration_rows) if n[0] > n[2] and n[1] > n[3] else SIGN
     scratch.drop(words)
-    fourth = rows.filter("part = 4")
+    return model
+
+
+def _curve(fourth: DataFrame, words: DataFrame, scratch: Scratch, calibration_rows: int) -> np.ndarray:
+    """The weights fitted on the rows of remainder 4 with a model that hasn't counted them."""
     rates = class_rates({r["toxic"]: r["count"] for r in fourth.groupBy("toxic").count().collect()}, calibration_rows)
     if len(rates) < 2:
-        model.weights = SIGN
-        return model
+        return SIGN
     bound = F.when(F.col("toxic") == 1, int(rates[1] * (1 << 30))).otherwise(int(rates[0] * (1 << 30)))
     drawn = fourth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
+    others = words.select("word", (F.col("toxic_n") - F.col("toxic_4")).alias("toxic_n"), (F.col("plain_n") - F.col("plain_4")).alias("plain_n")).filter("toxic_n + plain_n > 0")
+    model = count_model(others, scratch, most=MODEL_GRAMS)
     found = _described(drawn, model, scratch).toPandas()
+    scratch.drop(model.table)
     if found.toxic.nunique() < 2:
-        model.weights = SIGN
-    else:
-        model.weights = fit_curve(np.array(found.x.tolist()), found.toxic.to_numpy(float), 1 / found.toxic.map(rates).to_numpy(float))
-    return model
+        return SIGN
+    return fit_curve(np.array(found.x.tolist()), found.toxic.to_numpy(float), 1 / found.toxic.map(rates).to_numpy(float))
 
 
 def scorer(spark, model: Model | None):

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from likeness.llm import language as L, toxicity as T
 from likeness.llm.common import table
@@ -162,3 +163,11 @@ def test_weights_stand_for_rows():
     y = (x[:, 0] + r.normal(size=60) > 0).astype(float)
     n = np.where(y == 1, 1, 3)
     assert np.allclose(T.fit_curve(x, y, n.astype(float)), T.fit_curve(np.repeat(x, n, 0), np.repeat(y, n), np.ones(n.sum())), atol=1e-5)
+
+
+def test_rows_of_the_curve_are_counted_too(spark):
+    docs, labels = _planted(spark)
+    fourth = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5 == 4][:30]
+    more = docs.withColumn("text", F.when(F.col("doc_id").isin(fourth), F.concat("text", F.lit(" zxqvzxqv zxqvzxqv"))).otherwise(F.col("text")))
+    own = labels.withColumn("toxic", F.when(F.col("doc_id").isin(fourth), 1).otherwise(F.col("toxic")))
+    assert T.WordTable(T.fit(more, own)).ratios("zxqvzxqv")[0] > T.WordTable(T.fit(docs, labels)).ratios("zxqvzxqv")[0] + 1
