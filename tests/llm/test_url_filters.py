@@ -62,3 +62,33 @@ def test_long_chains_and_hubs(spark):
 
 def test_empty(spark):
     assert U.judge(_pages(spark, URLS).limit(0), URL_RULES).count() == 0
+
+
+def test_targets_are_resolved(spark):
+    page = "http://x.net/a/b/c?k=1#f"
+    targets = {
+        "/es/1": "http://x.net/es/1", "//y.net/es/1": "http://y.net/es/1", "d": "http://x.net/a/b/d", "../d?q#g": "http://x.net/a/d?q#g", "./": "http://x.net/a/b/", "..": "http://x.net/a/",
+        "?z": "http://x.net/a/b/c?z", "#h": "http://x.net/a/b/c?k=1#h", "https://q.org/1": "https://q.org/1", "mailto:a@b": "mailto:a@b", "/../../e": "http://x.net/e", "u?r=http://w": "http://x.net/a/b/u?r=http://w",
+    }
+    rows = spark.createDataFrame([(page, t) for t in targets], "page string, target string")
+    got = {r.target: r.u for r in rows.select("target", U.resolved(F.col("target"), F.col("page")).alias("u")).collect()}
+    assert got == targets
+    assert spark.createDataFrame([("http://x.net", "d")], "page string, target string").select(U.resolved(F.col("target"), F.col("page"))).first()[0] == "http://x.net/d"
+
+
+def test_all_declared_targets_make_edges(spark):
+    html = {
+        0: '<link rel="canonical" href="//y.net/es/1">', 1: '<meta http-equiv="refresh" content="0; url=/es/1">', 2: "<link rel='x canonical' href='http://z.org/?a=1&amp;b=2'>",
+        3: '<link rel=canonical href="http://one.org/"><link href=two rel="canonical"><meta content="5;URL=\'http://three.org/\'" http-equiv=Refresh>',
+        4: '<link rel="stylesheet" href="/canonical"><link rel="canonicals" href="/x"><link rel="icon" data-href="/y" title="rel=canonical">', 5: "<link title='a>b' rel=canonical href=http://w.org/&#47;&#x24;>",
+        6: '<link rel="canonical" data-href="/no" href=" /yes/ "/>', 7: '<link rel=canonical href="/self&amp;lt;">', 8: '<link rel="canonical"href="/c?a&copy=1&eacute;&amp">', 9: "<link rel=canonical href=/it's><meta http-equiv=refresh content=7><meta name=x content='0;url=/no'>",
+    }
+    got = [r.target for r in U.page_edges(_pages(spark, ["http://x.net/a"] * 10, html)).collect()]
+    assert set(got) == {
+        "http://y.net/es/1", "http://x.net/es/1", "http://z.org/?a=1&b=2", "http://one.org/", "http://x.net/two", "http://three.org/", "http://w.org//$", "http://x.net/yes/", "http://x.net/self&lt;", "http://x.net/c?a&copy=1é&", "http://x.net/it's",
+    }
+
+
+def test_relative_targets_decide(spark):
+    pages = _pages(spark, ["http://x.org/a", "http://x.net/a"], {0: '<link rel="canonical" href="//y.net/es/1">', 1: '<meta http-equiv="refresh" content="0; url=/es/1">'})
+    assert {r.verdict for r in U.judge(pages, URL_RULES).collect()} == {"block"}
