@@ -220,6 +220,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, that have a language found with a score of ``least``."""
-    found = identifier(docs.sparkSession, fit(docs))(docs["text"])
+    """The documents, with all their columns, that have a language found with a score of ``least``; all
+    where no language could be learned."""
+    tables = fit(docs)
+    if not tables["classes"]:
+        return docs
+    found = identifier(docs.sparkSession, tables)(docs["text"])
     return docs.filter((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least))

@@ -171,3 +171,8 @@ def test_rows_of_the_curve_are_counted_too(spark):
     more = docs.withColumn("text", F.when(F.col("doc_id").isin(fourth), F.concat("text", F.lit(" zxqvzxqv zxqvzxqv"))).otherwise(F.col("text")))
     own = labels.withColumn("toxic", F.when(F.col("doc_id").isin(fourth), 1).otherwise(F.col("toxic")))
     assert T.WordTable(T.fit(more, own)).ratios("zxqvzxqv")[0] > T.WordTable(T.fit(docs, labels)).ratios("zxqvzxqv")[0] + 1
+
+
+def test_nothing_is_dropped_where_no_language_is_known(spark):
+    docs = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert L.keep_identified(docs).count() == docs.count()
