@@ -20,9 +20,10 @@
 
 Defined results: texts that are null, empty or blank have an empty set (n_shingles 0) and are linked
 with nothing; with fewer words than a shingle the whole sequence is the one shingle; rows without id
-have no component and are kept; rows that share an id count as one document, whatever their texts;
-repeated rows give repeated results; further input columns are ignored; an empty table gives an
-empty result.
+have no component and are kept; rows that share an id count as one document, whatever their texts,
+and so have one component, which reaches all that any of their texts is linked with; repeated rows
+give repeated results, but of a kept document's rows :func:`keep_one_of_each` leaves one (that with
+the smallest text); further input columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -204,7 +205,7 @@ class _Join:
             self.scratch.drop(used)
         return links
 
-    def _merge(self, links: DataFrame) -> None:
+    def merge(self, links: DataFrame) -> None:
         """Merge the components that links join."""
         if self.labels is None:
             self.labels = components(links, self.scratch)
@@ -270,17 +271,16 @@ class _Join:
         own, others = outer.select(columns).toDF(*columns), inner.select(columns)
         return own.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(find, "a long, b long")
 
-    def run(self) -> DataFrame | None:
-        """node, label of the classes that are linked with others."""
+    def run(self) -> None:
+        """Find ``labels``: node, label of the classes that are linked with others; None if there are none."""
         open_ = self._open()
         if open_.isEmpty():
-            return None
-        self._merge(self._confirmed(self._central_pairs(open_)))
+            return
+        self.merge(self._confirmed(self._central_pairs(open_)))
         self.scratch.drop(open_)
         open_ = self._open()
         if not open_.isEmpty():
-            self._merge(self._confirmed(self._short_pairs(open_)).unionByName(self._long_links(open_)))
-        return self.labels
+            self.merge(self._confirmed(self._short_pairs(open_)).unionByName(self._long_links(open_)))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES) -> DataFrame:
@@ -289,18 +289,51 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     signed = scratch.keep(_signed(docs, width, coordinates))
     sets = signed.filter("doc_id is not null and high is not null")
     classes = scratch.keep(sets.groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
-    labels = _Join(docs, classes, width, percent, coordinates, scratch).run()
+    join = _Join(docs, classes, width, percent, coordinates, scratch)
+    join.run()
     of_class = classes.select("high", "low", "id")
+    several = _of_several_sets(signed, scratch)
+    if several is not None:
+        own = signed.join(several, "doc_id", "left_semi").filter("high is not null").select("doc_id", "high", "low").distinct()
+        join.merge(scratch.keep(own.join(of_class, ["high", "low"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
+    labels = join.labels
     if labels is not None:
         of_class = of_class.join(labels.withColumnRenamed("node", "id"), "id", "left").select("high", "low", F.coalesce("label", "id").alias("id"))
     found = signed.select("doc_id", "n_shingles", "high", "low").join(of_class, ["high", "low"], "left")
-    # Rows that share an id count as one document.
+    if several is not None:
+        own = several.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("of_rows"))
+        found = found.join(own, "doc_id", "left").withColumn("id", F.coalesce("of_rows", "id"))
     found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _of_several_sets(signed: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """doc_id of the documents whose rows have different sets, an empty one included; None without any."""
+    digest = F.struct("high", "low")
+    own = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("first"), F.max(digest).alias("last"))
+    several = scratch.keep(own.filter(~F.col("first").eqNullSafe(F.col("last"))).select("doc_id"))
+    if not several.isEmpty():
+        return F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    scratch.drop(several)
+    return None
+
+
+def _repeated_once(docs: DataFrame, signed_ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents with one row of each id that occurs in several; rows without id all stay."""
+    repeated = scratch.keep(signed_ids.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        scratch.drop(repeated)
+        return docs
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+    one = docs.join(repeated, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_doc_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row"))
+    return docs.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
+
+
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, without those that are not the first of their component."""
-    gone = Scratch(docs.sparkSession, "dropped").keep(near_duplicates(docs, width, percent).filter("not kept").select("doc_id").distinct())
+    scratch = Scratch(docs.sparkSession, "dropped")
+    found = scratch.keep(near_duplicates(docs, width, percent).select("doc_id", "kept"))
+    gone = scratch.keep(found.filter("not kept").select("doc_id").distinct())
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return _repeated_once(left, found.filter("kept").select("doc_id"), scratch)

@@ -129,3 +129,40 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200 + i, 300) for i in range(50)] + [(7, 7), (None, 3), (500, 499)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect())
     assert all(got[i] == 0 for i in range(101)) and all(got[200 + i] == 200 for i in range(50)) and got[300] == 200 and got[500] == 499 and 7 in got and len(got) == 101 + 51 + 2
+
+
+def _component_of_rows(rows, width=4, percent=80):
+    """{doc_id: smallest reachable id} where rows that share an id are one document."""
+    ids = {i for i, _ in rows}
+    label, moved = {i: i for i in ids}, True
+    sets = [(i, _set(t, width)) for i, t in rows]
+    links = [(i, j) for i, x in sets for j, y in sets if x and y and 100 * len(x & y) >= percent * len(x | y)]
+    while moved:
+        moved = False
+        for i, j in links:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                moved = True
+    return label
+
+
+A, B, C = ("one two three four five six", "seven eight nine ten eleven", "twelve thirteen fourteen fifteen sixteen")
+
+
+@pytest.mark.parametrize("rows", [
+    [(5, A), (3, A), (5, B), (9, B)],
+    [(5, ""), (5, B), (3, B), (8, None), (8, "")],
+    [(7, A), (7, B), (7, C), (2, C), (9, A), (4, "x")],
+    [(7, A), (7, A), (7, None)],
+    [(1, A), (2, A), (2, B), (3, B), (3, C), (4, C), (4, ""), (5, "")],
+])
+def test_rows_that_share_an_id_are_one_document(spark, rows, monkeypatch):
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(D, "BROADCAST_IDS", bound)
+        docs = spark.createDataFrame([*rows, (None, A)], "doc_id long, text string")
+        want, got = _component_of_rows(rows), D.near_duplicates(docs, 4).collect()
+        assert len(got) == len(rows) + 1
+        for r in got:
+            assert (r.component_id, r.kept) == ((None, True) if r.doc_id is None else (want[r.doc_id], want[r.doc_id] == r.doc_id))
+        kept = D.keep_one_of_each(docs, 4).collect()
+        assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for i, c in want.items() if i == c) and sum(r.doc_id is None for r in kept) == 1
