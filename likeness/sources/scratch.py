@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
+    """``spark.checkpoint.dir``. Where that is unset, a temporary folder if driver and executors are one
+    machine (tests), else an error: executors don't see each other's disks."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="likeness-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -39,6 +43,12 @@ class Scratch:
         """Delete a table that :meth:`keep` wrote and that nothing reads any more."""
         path = getattr(df, "_likeness_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables; nothing may read them any more."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
