@@ -6,19 +6,22 @@ its median, then swaps that keep the balance and cut fewer edges); a small class
 vector, the parts of its neighbours. Indexing: the classifier puts every vector into its most
 probable part. Searching: a query goes to its most probable parts, as many as sample vectors that
 the classifier hasn't learned from need for a recall of ``RECALL``; there its distances are computed
-exactly. Parts and queries are dealt in blocks of bounded size, so a part that holds a third of all
-vectors is many tasks, and a task holds two blocks.
-
-Vectors that are null, zero, hold null or non-finite components, have no id, or differ in length from
-most take no part. Ties go to smaller ids; rows that share a query's id are its own; with no vectors
-or no queries the result is empty; repeated candidates are each found.
+exactly. Each part's vectors and the queries that come to it are dealt in blocks of ``BLOCK_BYTES``,
+so a part that holds a third of all vectors is many tasks, and a task holds two blocks; a vector is
+copied once for each query block of its own part. There are ``MOST_PARTS`` parts at most, as the
+sample is bounded; in a larger table parts grow, and with them the work of a query.
+
+Vectors keep their element type (float, double; other numbers become doubles). Those that are null,
+zero, hold null or non-finite components, have no id, or differ in length from most take no part.
+Ties go to smaller ids; rows that share a query's id are its own; with no vectors or no queries the
+result is empty; repeated candidates are each found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from likeness.sources.scratch import Scratch
 
@@ -27,8 +30,13 @@ SAMPLE_NEIGHBOURS = 10
 ROWS_BY_PART = 1024
 HIDDEN = 64
 RECALL = 0.94
-CANDIDATE_BLOCK = 16384
-QUERY_BLOCK = 2048
+#: Sample vectors that a part has to have, and so the most parts there can be.
+SAMPLE_BY_PART = 64
+MOST_PARTS = SAMPLE // SAMPLE_BY_PART
+#: Vectors of a block, as doubles.
+BLOCK_BYTES = 16 << 20
+#: Distances that a task holds at once.
+DISTANCES = 1 << 21
 
 
 def nearest(queries: np.ndarray, rows: np.ndarray, k: int, skip: np.ndarray | None = None) -> list[np.ndarray]:
@@ -138,7 +146,7 @@ class Router:
 
 def fit(x: np.ndarray, n: int, k: int, recall: float = RECALL) -> tuple[dict, int]:
     """The router's state and the number of parts to search, from a sample ``x`` of ``n`` vectors."""
-    levels = int(max(0, min(round(np.log2(max(1, n / ROWS_BY_PART))) + 1, np.log2(max(1, len(x) / 64)))))
+    levels = int(max(0, min(round(np.log2(max(1, n / ROWS_BY_PART))) + 1, np.log2(max(1, len(x) / SAMPLE_BY_PART)))))
     if not levels:
         return {"m": np.zeros(x.shape[1]), "a": np.zeros((x.shape[1], 1)), "b": np.zeros(1), "v": np.zeros((1, 1)), "c": np.zeros(1)}, 1
     near = neighbour_graph(x, min(SAMPLE_NEIGHBOURS, len(x) - 1))
@@ -164,13 +172,20 @@ def _matrix(column) -> np.ndarray:
 def valid(vectors: DataFrame, id_name: str, vector_name: str) -> DataFrame:
     """id, v of the vectors that take part."""
     v = F.col("v")
-    own = vectors.select(F.col(id_name).cast("long").alias("id"), F.col(vector_name).alias("v")).filter("id is not null and v is not null")
+    kind = vectors.schema[vector_name].dataType.elementType.simpleString()
+    of = F.col(vector_name) if kind in ("float", "double") else F.col(vector_name).cast("array<double>")
+    own = vectors.select(F.col(id_name).cast("long").alias("id"), of.alias("v")).filter("id is not null and v is not null")
     fine = F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     own = own.filter(fine & F.exists(v, lambda x: x != 0))
     sizes = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return own.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
+def _by_part(numbers: dict[int, int]) -> Column:
+    """A number for each part, null for others."""
+    return F.create_map(*[F.lit(x).cast("int") for pair in numbers.items() for x in pair])[F.col("part")]
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, id_name: str = "vec_id", vector_name: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest found for every
     row that the column ``is_query`` (of ``id``) marks, among all other rows."""
@@ -182,7 +197,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_name: str = "vec_id", v
     sample = own.filter(share).orderBy("id", F.xxhash64("v")).toArrow()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    state, probes = fit(_matrix(sample["v"].combine_chunks()), n, k, recall)
+    x = _matrix(sample["v"].combine_chunks())
+    state, probes = fit(x, n, k, recall)
+    block_rows, kind = max(1, BLOCK_BYTES // (8 * x.shape[1])), own.schema["v"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(state)
 
     def assign(batches):
@@ -192,19 +209,17 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_name: str = "vec_id", v
             put = router.probabilities(x).argmax(1) if len(x) else []
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(put, pa.int32())], ["id", "v", "part"])
 
-    indexed = scratch.keep(own.mapInArrow(assign, "id long, v array<float>, part int"))
-    n_queries, counts = 0, {}
+    indexed = scratch.keep(own.mapInArrow(assign, f"id long, v {kind}, part int"))
+    counts, some_query = {}, False
     for r in indexed.groupBy("part").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect():  # a row per part
-        counts[r["part"]], n_queries = r["n"], n_queries + r["q"]
-    if not n_queries:
+        counts[r["part"]], some_query = r["n"], some_query or r["q"] > 0
+    if not some_query:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # Even the smallest parts together have to hold k others.
     for probes in range(probes, len(state["c"]) + 1):
         smallest = sorted(counts.get(p, 0) for p in range(len(state["c"])))[:probes]
         if sum(smallest) > k:
             break
-    blocks = {p: -(-c // CANDIDATE_BLOCK) for p, c in counts.items()}
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
 
     def route(batches):
         router = Router(shared.value)
@@ -213,13 +228,15 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_name: str = "vec_id", v
             best = np.argsort(-router.probabilities(x), axis=1, kind="stable")[:, :probes].tolist() if len(x) else []
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(best, pa.list_(pa.int32()))], ["id", "v", "parts"])
 
-    n_blocks = F.create_map(*[F.lit(x).cast("int") for pair in blocks.items() for x in pair])
+    routed = indexed.filter(is_query).select("id", "v").mapInArrow(route, f"id long, v {kind}, parts array<int>")
+    routed = scratch.keep(routed.select("id", "v", F.explode("parts").alias("part")))
+    asked = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}  # a row per part
+    n_blocks = _by_part({p: -(-c // block_rows) for p, c in counts.items()})
+    n_query_blocks = _by_part({p: -(-c // block_rows) for p, c in asked.items()})
     block = lambda of, most: F.pmod(F.xxhash64("id", F.lit(of)), most).cast("int")
     each = lambda most: F.explode(F.sequence(F.lit(0), most - 1))
-    candidates = indexed.withColumn("block", block("candidate", n_blocks[F.col("part")])).withColumn("query_block", each(F.lit(query_blocks)))
-    routed = indexed.filter(is_query).select("id", "v").mapInArrow(route, "id long, v array<float>, parts array<int>")
-    routed = routed.select("id", "v", F.explode("parts").alias("part")).withColumn("query_block", block("query", F.lit(query_blocks)))
-    routed = routed.filter(n_blocks[F.col("part")].isNotNull()).withColumn("block", each(n_blocks[F.col("part")]))
+    candidates = indexed.filter(n_query_blocks.isNotNull()).withColumn("block", block("candidate", n_blocks)).withColumn("query_block", each(n_query_blocks))
+    routed = routed.filter(n_blocks.isNotNull()).withColumn("query_block", block("query", n_query_blocks)).withColumn("block", each(n_blocks))
     keys = ["part", "block", "query_block"]
 
     def rerank(rows: pa.Table, queries: pa.Table) -> pa.Table:
@@ -227,9 +244,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_name: str = "vec_id", v
         if len(rows) and len(queries):
             x, q = _matrix(rows["v"].combine_chunks()), _matrix(queries["v"].combine_chunks())
             ids, query_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
-            for i in range(0, len(q), 256):
-                some = q[i : i + 256]
-                skip = query_ids[i : i + 256, None] == ids[None]
+            step = max(1, min(256, DISTANCES // len(x)))
+            for i in range(0, len(q), step):
+                some = q[i : i + step]
+                skip = query_ids[i : i + step, None] == ids[None]
                 for j, near in enumerate(nearest(some, x, k, skip)):
                     near = near[~skip[j, near]]
                     d = np.sqrt(((x[near] - some[j]) ** 2).sum(1))

@@ -42,6 +42,15 @@ def test_odd_vectors_take_no_part_and_ties_go_to_smaller_ids(spark):
     assert N.search(frame, F.col("id") == 99).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["double", "int", "decimal(6,2)"])
+def test_other_element_types_are_kept(spark, kind):
+    x = [1e-9, 1.0] if kind == "double" else [3, 1]
+    rows = spark.createDataFrame([(0, [0.0, 1.0]), (1, [float(v) for v in x]), (2, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    rows = rows.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    got = N.search(rows, F.col("id") == 0, k=2).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2] and got[0].score == (1e-9 if kind == "double" else 3.0)
+
+
 def test_parts_are_balanced_and_cut_fewer_edges_than_chance():
     r = np.random.default_rng(0)
     centres = r.standard_normal((8, 16)) * 3
@@ -61,8 +70,7 @@ def test_clustered_vectors_need_few_parts():
 
 
 def test_a_hot_vector_is_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "CANDIDATE_BLOCK", 64)
-    monkeypatch.setattr(N, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 64)
     frame = spark.range(600).selectExpr("id vec_id", "if(id % 3 = 0, array(1f, 2f), array(cast(id as float), cast(id * id % 17 as float))) embedding")
     got = N.search(frame, F.col("id") % 30 == 0, k=5).toPandas()
     same = got[got.query_id % 3 == 0].sort_values(["query_id", "rank"])
