@@ -132,11 +132,15 @@ def resolved(target: Column, page: Column) -> Column:
     )
 
 
+#: What a page holds but doesn't declare: comments, also open ones, and the contents of scripts and styles.
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?</\1\s*+>"
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """source, target (urls): all canonical links and redirects that the pages' html declares."""
-    html = F.col("html")
+    html = F.regexp_replace("html", _UNSEEN, " ")
     tags = F.regexp_extract_all(html, F.lit(r"""(?i)<((?:link|meta)\b(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>"""), F.lit(1))
-    named = pages.filter(html.rlike(r"(?i)canonical|http-equiv")).filter("instr(url, '://') > 0").select(F.col("url").alias("source"), F.explode(tags).alias("tag"))
+    named = pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv")).filter("instr(url, '://') > 0").select(F.col("url").alias("source"), F.explode(tags).alias("tag"))
     inside = F.expr("substring(tag, 5)")
     link = F.lower(F.substring("tag", 1, 4)) == "link"
     canonical = link & F.array_contains(F.split(F.lower(_attribute(inside, "rel")), r"\s+"), "canonical")

@@ -89,6 +89,13 @@ def test_all_declared_targets_make_edges(spark):
     }
 
 
+def test_comments_and_scripts_declare_nothing(spark):
+    link = '<link rel="canonical" href="/es/1">'
+    html = {0: f"<!-- {link} -->", 1: f"<!-- a\n{link}", 2: f"<script type='x'>var a = '{link}';</script >", 3: f"<STYLE>/* {link} */</STYLE>", 4: f"<!-- x --><p>{link}<!-- y -->", 5: f"<scripted>{link}"}
+    got = U.judge(_pages(spark, [f"http://x.net/{i}" for i in range(6)], html), URL_RULES).collect()
+    assert {r.page_id: r.verdict for r in got} == {0: "allow", 1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block"}
+
+
 def test_relative_targets_decide(spark):
     pages = _pages(spark, ["http://x.org/a", "http://x.net/a"], {0: '<link rel="canonical" href="//y.net/es/1">', 1: '<meta http-equiv="refresh" content="0; url=/es/1">'})
     assert {r.verdict for r in U.judge(pages, URL_RULES).collect()} == {"block"}
