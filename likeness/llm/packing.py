@@ -1,12 +1,13 @@
 """Bounded-space online best-fit packing of token sequences.
 
 Every document is encoded, closed with an end id and, only if it is longer than a sequence, cut into
-full pieces of which the first may be shorter. The pieces' figures (not their ids) are then dealt by
-hash to packers. A packer keeps a fixed number of open bins in a bitset keyed by free space: the
+full pieces of which the first may be shorter. The pieces' figures (not their ids) are written to the
+shared folder and dealt by a hash of their place there to packers, so that no repeated document or
+missing id makes one of them larger. A packer keeps a fixed number of open bins in a bitset keyed by free space: the
 lowest set bit at or above a piece's length is the best fit; if nothing fits, a new bin opens, and
 past the bound the fullest bin closes first. A full piece is a sequence by itself.
 
-The number of packers follows the number of documents (``PACKED_BY_TASK``), so what the last open
+The number of packers follows the number of pieces (``PACKED_BY_TASK``), so what the last open
 bins waste is a fixed share; a packer streams and holds ``OPEN_BINS`` numbers.
 
 Defined results: a null or empty text is its end id alone; a null id stays null; repeated rows are
@@ -22,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from likeness.llm.pretokens import PretokenTable, as_bytes, whole_tokens
+from likeness.sources.scratch import Scratch
 
 SIZE = 2048
 END_ID = 0
 OPEN_BINS = 1024
-PACKED_BY_TASK = 100_000
+PACKED_BY_TASK = 200_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -96,7 +98,8 @@ class BestFit:
 
 
 def pack(pieces: DataFrame, n_packers: int, size: int = SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``pieces`` (any columns, with doc_id, piece and length) plus sequence_id and offset."""
+    """``pieces`` (any columns, with length) plus sequence_id and offset. ``pieces`` has to be read from
+    a table: a task that is run again deals its rows alike only if it reads them in the same order."""
     names = pieces.columns
 
     def run(batches):
@@ -104,15 +107,17 @@ def pack(pieces: DataFrame, n_packers: int, size: int = SIZE, open_bins: int = O
         first = TaskContext.get().partitionId() << 36
         for batch in batches:
             placed = [fit.place(length) for length in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*names, "sequence_id", "offset"])
+            columns = batch.columns[: len(names)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([first + n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = pieces.repartition(n_packers, F.xxhash64("doc_id", "piece"))
-    order = F.xxhash64("doc_id", "piece", "start")
-    return dealt.sortWithinPartitions(order, "doc_id", "piece").mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    placed = pieces.withColumn("_at", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = placed.repartition(n_packers, "_at").sortWithinPartitions("_at")
+    return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
     """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    n_packers = max(1, -(-docs.count() // PACKED_BY_TASK))
-    return pack(encode_pieces(docs, vocabulary, size, end_id), n_packers, size, open_bins)
+    pieces = Scratch(docs.sparkSession, "pieces").keep(encode_pieces(docs, vocabulary, size, end_id))
+    n_packers = max(1, -(-pieces.count() // PACKED_BY_TASK))
+    return pack(pieces, n_packers, size, open_bins)

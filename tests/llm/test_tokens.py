@@ -8,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from likeness.llm import pretokens
+from likeness.llm import packing, pretokens
 from likeness.llm.common import table
 from likeness.llm.marked_words import crossing_pieces, encode_and_decode
 from likeness.llm.packing import BestFit, encode_pieces, pack_documents
@@ -122,6 +122,40 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     assert all(v >= 0 for v in free.values()) and fit.n_open == 2
 
 
+def _plain_best_fit(lengths, size, open_bins):
+    """The same by looking at every open bin: tightest fit (the newest of equals), fullest closes first."""
+    free, made, out = {}, 0, []  # sequence -> (free space, when it was last filled)
+    for at, length in enumerate(lengths):
+        fitting = [(room, -when, n) for n, (room, when) in free.items() if room >= length]
+        if fitting:
+            room, _, n = min(fitting)
+            del free[n]
+        else:
+            room, n, made = size, made, made + 1
+        out.append((n, size - room))
+        if room > length:
+            if len(free) >= open_bins:
+                del free[min((r, -when, k) for k, (r, when) in free.items())[2]]
+            free[n] = (room - length, at)
+    return out
+
+
+@pytest.mark.parametrize(("size", "open_bins"), [(20, 1), (50, 4), (50, 1000), (2048, 30)])
+def test_best_fit_equals_a_linear_scan(size, open_bins):
+    r = np.random.default_rng(size + open_bins)
+    lengths = r.integers(1, size + 1, 1500).tolist()
+    fit = BestFit(size, open_bins)
+    assert [fit.place(n) for n in lengths] == _plain_best_fit(lengths, size, open_bins)
+
+
+def test_copies_and_missing_ids_spread_over_packers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PACKED_BY_TASK", 50)
+    docs = spark.range(400).selectExpr("if(id % 2 = 0, null, 7) doc_id", "'the same text' text")
+    got = pack_documents(docs, BYTE_BPE, 8).toPandas()
+    by_packer = (got.sequence_id // (1 << 36)).value_counts()
+    assert len(got) == 400 and len(by_packer) == 8 and by_packer.max() < 100
+
+
 def test_marked_words_equal_the_library(docs):
     import sentencepiece
 
