@@ -158,7 +158,7 @@ def places(stored: DataFrame) -> DataFrame:
 
 
 def _read(located: DataFrame, root: str, of_entry, schema: str) -> DataFrame:
-    """digest and what ``of_entry(read, offset, length)`` gives, shard after shard, in order."""
+    """digest and what ``of_entry(read, shard, offset, length)`` gives, shard after shard, in order."""
 
     def run(batches):
         files, base = fs.FileSystem.from_uri(root)
@@ -170,7 +170,7 @@ def _read(located: DataFrame, root: str, of_entry, schema: str) -> DataFrame:
                     if source:
                         source.close()
                     name, source = shard, files.open_input_file(f"{base}/{shard}")
-                rows.append((digest, *of_entry(source.read_at, offset, length)))
+                rows.append((digest, *of_entry(source.read_at, shard, offset, length)))
             out = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64()}[f.split()[1]]) for f in schema.split(", ")])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(out), out)], schema=out)
         if source:
@@ -182,26 +182,28 @@ def _read(located: DataFrame, root: str, of_entry, schema: str) -> DataFrame:
 
 def metadata(located: DataFrame, root: str) -> DataFrame:
     """digest, width, height, depth from header-only range reads."""
-    return _read(located, root, lambda read, offset, length: read_header(read(HEADER_BYTES, offset)), "digest string, width long, height long, depth long")
+    return _read(located, root, lambda read, shard, offset, length: read_header(read(HEADER_BYTES, offset)), "digest string, width long, height long, depth long")
 
 
 def features(located: DataFrame, root: str) -> DataFrame:
-    """Per digest: header metadata, then figures of the payload and of the stored form, read back."""
+    """Per digest: header metadata, then figures of the payload and of the stored form, read back, and its place."""
 
-    def entry(read, offset, length):
+    def entry(read, shard, offset, length):
         width, height, depth = read_header(read(HEADER_BYTES, offset))
         media = read(length, offset)
         payload = decode_png(media)
-        return width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)
+        return width, height, depth, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload), shard, offset, length
 
-    return _read(located, root, entry, "digest string, width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _read(located, root, entry, "digest string, width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store every text and return its media columns, read back from the shards."""
+    """Store every text and return its media columns, read back from the shards, with digest, shard,
+    offset and length of the stored form."""
     scratch = Scratch(docs.sparkSession, "media")
     root = f"{scratch.root}/shards"
     root = root if "://" in root else "file://" + root.removeprefix("file:")
     stored = scratch.keep(store(docs, root))
     found = scratch.keep(features(places(stored), root))
-    return stored.select("doc_id", "n_bytes", "digest").join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
+    wanted = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "digest", "shard", "offset", "length"]
+    return stored.select("doc_id", "n_bytes", "digest").join(found, "digest").select("doc_id", *wanted)
