@@ -11,7 +11,7 @@ averaged by their bytes.
 No shuffle; a task handles ``BATCH`` windows at a time.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; with no labelled
-rows at all everything is ``und``; rows with null language or null id are never learned from;
+rows at all everything is ``und``; of more languages than ``LANGUAGES`` the rarest aren't learned; rows with null language or null id are never learned from;
 repeated rows get equal results; further input columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+
 LENGTH = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -30,6 +31,8 @@ EMBEDDING = 8
 BATCH = 4096
 SAMPLE_DOCS = 500
 SAMPLE_WINDOWS = 4
+#: The most languages that a network tells apart: those with the most rows, ties by name.
+LANGUAGES = 1000
 UNDETERMINED = "und"
 
 
@@ -179,7 +182,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """Tables of a network that has learned from rows with a language whose id doesn't have the
     remainder 1 modulo 3."""
     known = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "lang").filter("lang is not null and doc_id is not null").filter(remainder(3) != 1)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return {"classes": []}
     rates = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, sample_docs / n) * (1 << 30)))])
