@@ -109,6 +109,76 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert (seen < 1).all() and (seen > 0.3).all() and letters >= 4
 
 
+class _PlainKneserNey:
+    """The class-conditional models by dictionaries, straight from their definition."""
+
+    def __init__(self, counts, order=5, d=0.75, own=2.0):
+        self.order, self.d, self.own, self.top = order, d, own, {}
+        for word, toxic, plain in counts:
+            for gram in self.grams(word):
+                t, o = self.top.get(gram, (0, 0))
+                self.top[gram] = t + toxic, o + plain
+        self.follow, kept = {}, set(self.top)
+        for k in range(order - 1, 0, -1):  # distinct left neighbours of each shorter gram
+            shorter = [g[1:] for g in kept]
+            self.follow[k] = {g: shorter.count(g) for g in set(shorter)}
+            kept = set(shorter)
+
+    def grams(self, word):
+        padded = "\x02" * (self.order - 1) + word + "\x03"
+        return [padded[i : i + self.order] for i in range(len(word) + 1)]
+
+    def shared(self, gram):
+        """Interpolated Kneser-Ney over continuation counts."""
+        same = {g: n for g, n in self.follow[len(gram)].items() if g[:-1] == gram[:-1]}
+        total, kinds = sum(same.values()), len(same)
+        below = self.shared(gram[1:]) if len(gram) > 1 else 1 / (kinds + 1)
+        return (same[gram] - self.d + self.d * kinds * below) / total
+
+    def ratio(self, gram):
+        same = {g: n for g, n in self.top.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return 0.0
+        sums = [sum(n[c] for n in same.values()) for c in (0, 1)]
+        left = [sum(min(n[c], self.own) for n in same.values()) / sums[c] if sums[c] else 1.0 for c in (0, 1)]
+        if gram not in same:
+            return np.log(left[0] / left[1])
+        both = (sum(same[gram]) - self.d + self.d * len(same) * self.shared(gram[1:])) / sum(sums)
+        p = [(max(same[gram][c] - self.own, 0) / sums[c] if sums[c] else 0.0) + left[c] * both for c in (0, 1)]
+        return np.log(p[0] / p[1])
+
+    def word(self, word):
+        return sum(map(self.ratio, self.grams(word)))
+
+
+def test_word_ratios_equal_plain_kneser_ney(spark):
+    r = np.random.default_rng(3)
+    words = sorted({"".join(r.choice(list("abcd"), int(r.integers(1, 8)))) for _ in range(120)})
+    counts = [(w, int(r.integers(0, 9)), int(r.integers(0, 9)) + 1) for w in words]
+    plain = _PlainKneserNey(counts)
+    table_ = T.WordTable(T.count_model(spark.createDataFrame(counts, "word string, toxic_n long, plain_n long"), Scratch(spark, "t")))
+    asked = [*words, *("".join(r.choice(list("abcde"), int(r.integers(1, 10)))) for _ in range(200)), "日本"]
+    assert np.allclose(table_.ratios(" ".join(asked)), [plain.word(w) for w in asked], atol=1e-4)
+
+
+def test_scores_follow_from_plain_kneser_ney(spark):
+    docs, labels = _planted(spark, 400)
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts, counts = dict(docs.collect()), {}
+    for i, toxic in known.items():
+        for w in texts[i].split():
+            counts.setdefault(w, [0, 0])[1 - toxic] += 1
+    plain, weights = _PlainKneserNey([(w, *n) for w, n in counts.items()]), T.fit(docs, labels).weights
+    ratio = {w: plain.word(w) for w in {w for t in texts.values() for w in t.split()}}
+    got = {r.doc_id: r.score for r in T.score_documents(docs, labels).collect()}
+    for i, text in texts.items():
+        x = [ratio[w] for w in text.split()]
+        windows = [max(sum(x[j : j + n]) / n for j in range(len(x) - n + 1)) for n in (min(w, len(x)) for w in T.WINDOWS)]
+        excess = sum(max(v - T.EXCESS, 0) for v in x)
+        features = [1, sum(x) / len(x), *windows, excess / len(x), np.log1p(excess), np.log1p(sum(v > T.SUSPECT for v in x)), np.log1p(len(x))]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.dot(weights, features))), abs=1e-3)
+
+
 def test_look_up_of_missing_grams_falls_back(spark):
     words = spark.createDataFrame([("good", 1, 90), ("bad", 80, 1)], "word string, toxic_n long, plain_n long")
     model = T.count_model(words, Scratch(spark, "t"))
