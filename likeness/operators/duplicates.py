@@ -48,7 +48,7 @@ def exact_groups(files: DataFrame) -> DataFrame:
 
 def hamming_pairs(files: DataFrame, most: int, words: list[Column]) -> DataFrame:
     """a, b, value: pairs of file ids whose hashes (as 64-bit words) differ in ``most`` bits or fewer."""
-    return block_pairs(files.select("id", F.array(*words).alias("data")), hamming_kernel(most), "int")
+    return block_pairs(files.select("id", F.array(*words).alias("data")), hamming_kernel(most), "int", 8 * len(words))
 
 
 def near_groups(files: DataFrame, most: int | None = None, words: list[Column] | None = None) -> DataFrame:

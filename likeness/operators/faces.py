@@ -34,7 +34,8 @@ def cluster_unnamed(file_faces: DataFrame, threshold: float = CLUSTER_THRESHOLD,
     """cluster, size, files, face_ids, sample_file_id of groups of unassigned faces that chains of
     similar pairs join; ``cluster`` is the smallest face id."""
     faces = file_faces.filter("person_id is null")
-    pairs = block_pairs(faces.select("id", F.col("vector").alias("data")), cosine_kernel(threshold), "double")
+    first = faces.filter("vector is not null").select(F.size("vector")).head(1)
+    pairs = block_pairs(faces.select("id", F.col("vector").alias("data")), cosine_kernel(threshold), "double", 8 * max(1, first[0][0] if first else 1))
     labels = components(pairs, Scratch(faces.sparkSession, "clusters")).withColumnRenamed("node", "id")
     own = faces.select("id", "file_id").join(labels, "id", "left").withColumn("cluster", F.coalesce("label", "id"))
     groups = own.groupBy("cluster").agg(

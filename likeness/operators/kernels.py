@@ -1,7 +1,12 @@
 """Arrow kernels for what column expressions do slowly: rows against many targets, all pairs in blocks.
 
 Targets (concept prototypes, reference faces) are user-made and few; they are collected in blocks of
-``TARGET_BLOCK`` rows, each a pass with its own bounded broadcast, so any number of them works.
+``TARGET_BLOCK`` rows, each a pass with its own bounded broadcast, so any number of them works. A task
+holds ``CELLS`` scores at a time, whatever the batch.
+
+Defined results: null vectors take no part (:func:`best_target` gives them no row); vectors of another
+dimension than the targets', or of several within them, raise; vectors with NaN never match; repeated
+or null ids of targets each count.
 """
 
 from __future__ import annotations
@@ -10,16 +15,28 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from likeness.sources.scratch import Scratch
+
 TARGET_BLOCK = 8192
+#: Scores or distances that a task computes at once.
+CELLS = 1 << 21
+#: Data of a block in all-pairs comparisons, and its rows where that keeps more tasks busy.
+BLOCK_BYTES = 4 << 20
 PAIR_BLOCK = 2048
 
 
-def matrix(column) -> np.ndarray:
-    """A list column as a matrix of doubles."""
+def matrix(column, dimension: int | None = None) -> np.ndarray:
+    """A list column without nulls as a matrix of doubles; lists of different lengths raise."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+    if not len(column):
+        return np.empty((0, dimension or 0))
+    sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(sizes) > 1 or sizes[0] is None or sizes[0] != (dimension or sizes[0]):
+        raise ValueError(f"vectors of {sorted(n or 0 for n in sizes)} dimensions" + f" against targets of {dimension}" * bool(dimension))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -28,16 +45,28 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(targets: DataFrame, block: int):
-    """Blocks of target rows in order of their id, one at a time on the driver."""
-    last = None
-    while True:
-        rest = targets if last is None else targets.filter(F.col("target_id") > last)
-        rows = rest.orderBy("target_id").limit(block).toArrow()
+    """Blocks of target rows, one at a time on the driver. They are dealt by the row's place in a written
+    table, so equal and null ids can't fall between two blocks."""
+    kept = Scratch(targets.sparkSession, "targets").keep(targets.filter("prototype is not null"))
+    n = max(1, -(-kept.count() // block))
+    placed = kept.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+    for i in range(n):
+        rows = (kept if n == 1 else placed.filter(F.col("_block") == i).drop("_block")).orderBy("target_id").toArrow()
         if len(rows):
             yield rows
-        if len(rows) < block:
-            return
-        last = rows["target_id"][-1].as_py()
+
+
+def _slices(x: np.ndarray, width: int):
+    """Where slices of rows begin, and their matrices, so that ``CELLS`` scores fit one."""
+    step = max(1, CELLS // max(1, width))
+    return ((i, x[i : i + step]) for i in range(0, len(x), step))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def score_targets(rows: DataFrame, targets: DataFrame, group: str = "file_id", vector: str = "vector", block: int = TARGET_BLOCK) -> DataFrame:
@@ -45,47 +74,46 @@ def score_targets(rows: DataFrame, targets: DataFrame, group: str = "file_id", v
     above the target's ``cutoff``. ``targets``: target_id long, prototype, cutoff double.
 
     One pass over the vectors for all targets of a block; maxima combine within a batch, before the
-    shuffle. Vectors of another dimension raise; vectors with NaN never match.
+    shuffle.
     """
     spark, parts = rows.sparkSession, []
+    rows = rows.filter(F.col(vector).isNotNull())
     for own in _blocks(targets.select("target_id", "prototype", "cutoff"), block):
-        shared = spark.sparkContext.broadcast((own["target_id"].to_numpy(), unit(matrix(own["prototype"])), own["cutoff"].to_numpy()))
+        shared = spark.sparkContext.broadcast((own["target_id"].combine_chunks(), unit(matrix(own["prototype"])), own["cutoff"].to_numpy()))
 
         def run(batches, shared=shared):
             ids, prototypes, cutoffs = shared.value
             for b in batches:
-                x = matrix(b.column(1))
-                if len(x) and x.shape[1] != prototypes.shape[1]:
-                    raise ValueError(f"vectors of {x.shape[1]} dimensions against targets of {prototypes.shape[1]}")
-                scores = unit(x) @ prototypes.T if len(x) else np.empty((0, len(ids)))
-                at, target = np.nonzero(scores >= cutoffs[None])
-                groups = b.column(0).take(pa.array(at))
-                found = pa.table([groups, pa.array(ids[target]), pa.array(scores[at, target])], ["g", "t", "s"]).group_by(["g", "t"]).aggregate([("s", "max")])
-                found = found.select(["g", "t", "s_max"]).rename_columns([group, "target_id", "score"])
-                yield from found.to_batches() or [pa.RecordBatch.from_arrays([pa.array([], f.type) for f in found.schema], schema=found.schema)]
+                found = []
+                for begin, x in _slices(matrix(b.column(1), prototypes.shape[1]), len(ids)):
+                    scores = unit(x) @ prototypes.T
+                    at, target = np.nonzero(scores >= cutoffs[None])
+                    found.append(pa.table([b.column(0).take(pa.array(begin + at)), ids.take(pa.array(target)), pa.array(scores[at, target])], ["g", "t", "s"]))
+                if found:
+                    best = pa.concat_tables(found).group_by(["g", "t"]).aggregate([("s", "max")]).select(["g", "t", "s_max"])
+                    yield from best.rename_columns([group, "target_id", "score"]).to_batches()
 
         kind = rows.schema[group].dataType.simpleString()
         parts.append(rows.select(group, vector).mapInArrow(run, f"{group} {kind}, target_id long, score double"))
     if not parts:
         return rows.select(group, F.lit(0).cast("long").alias("target_id"), F.lit(0.0).alias("score")).limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy(group, "target_id").agg(F.max("score").alias("score"))
+    return _union(parts).groupBy(group, "target_id").agg(F.max("score").alias("score"))
 
 
 def best_target(rows: DataFrame, targets: DataFrame, key: str, vector: str = "vector", block: int = TARGET_BLOCK) -> DataFrame:
     """``key``, target_id, score: for each row the target with the largest cosine, ties to smaller ids."""
     spark, parts = rows.sparkSession, []
-    for own in _blocks(targets.select("target_id", "prototype"), block):
+    rows = rows.filter(F.col(vector).isNotNull())
+    for own in _blocks(targets.select("target_id", "prototype").filter("target_id is not null"), block):
         shared = spark.sparkContext.broadcast((own["target_id"].to_numpy(), unit(matrix(own["prototype"]))))
 
         def run(batches, shared=shared):
             ids, prototypes = shared.value
             for b in batches:
-                scores = unit(matrix(b.column(1))) @ prototypes.T if len(b) else np.empty((0, 1))
-                best = scores.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[best], pa.int64()), pa.array(scores[np.arange(len(best)), best])], [key, "target_id", "score"])
+                for begin, x in _slices(matrix(b.column(1), prototypes.shape[1]), len(ids)):
+                    scores = unit(x) @ prototypes.T
+                    best = scores.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(x)), pa.array(ids[best], pa.int64()), pa.array(scores[np.arange(len(best)), best])], [key, "target_id", "score"])
 
         kind = rows.schema[key].dataType.simpleString()
         parts.append(rows.select(key, vector).mapInArrow(run, f"{key} {kind}, target_id long, score double"))
@@ -93,22 +121,64 @@ def best_target(rows: DataFrame, targets: DataFrame, key: str, vector: str = "ve
         return rows.select(key, F.lit(0).cast("long").alias("target_id"), F.lit(0.0).alias("score")).limit(0)
     if len(parts) == 1:
         return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
     best = F.max_by(F.struct("target_id", "score"), F.struct("score", -F.col("target_id")))
-    return out.groupBy(key).agg(best.alias("best")).select(key, "best.*")
+    return _union(parts).groupBy(key).agg(best.alias("best")).select(key, "best.*")
+
+
+def score_buckets(rows: DataFrame, targets: DataFrame, buckets: int, vector: str = "vector", skip: str = "skip", block: int = TARGET_BLOCK) -> DataFrame:
+    """target_id, bucket, n, top, bottom: the cosines of rows (``vector``; ``skip``: an array of target ids
+    that the row doesn't count for, or null) to each target (target_id, prototype, cutoff), by equal
+    buckets from -1 to 1: how many and the ends of those up to the target's cutoff; bucket null has the
+    number of all. Counts and ends combine in each batch, so a task passes on ``buckets`` rows a target.
+    """
+    spark, parts = rows.sparkSession, []
+    rows = rows.filter(F.col(vector).isNotNull())
+    for own in _blocks(targets.select("target_id", "prototype", "cutoff"), block):
+        shared = spark.sparkContext.broadcast((own["target_id"].to_numpy(), unit(matrix(own["prototype"])), own["cutoff"].to_numpy()))
 
+        def run(batches, shared=shared):
+            ids, prototypes, cutoffs = shared.value
+            place = {t: k for k, t in enumerate(ids.tolist())}
+            every = np.zeros(len(ids), np.int64)
+            for b in batches:
+                skipped = b.column(1).to_pylist()
+                for begin, x in _slices(matrix(b.column(0), prototypes.shape[1]), len(ids)):
+                    scores = unit(x) @ prototypes.T
+                    for i, out in enumerate(skipped[begin : begin + len(x)]):
+                        if out:
+                            scores[i, [place[t] for t in out if t in place]] = np.nan
+                    every += (~np.isnan(scores)).sum(axis=0)
+                    at, target = np.nonzero(scores <= cutoffs[None])
+                    value = scores[at, target]
+                    bucket = np.clip(np.floor((value + 1) * (buckets / 2)), 0, buckets - 1).astype(np.int32)
+                    found = pa.table([pa.array(ids[target]), pa.array(bucket), pa.array(value)], ["t", "b", "s"])
+                    found = found.group_by(["t", "b"]).aggregate([("s", "count"), ("s", "max"), ("s", "min")]).select(["t", "b", "s_count", "s_max", "s_min"])
+                    yield from found.rename_columns(["target_id", "bucket", "n", "top", "bottom"]).to_batches()
+            empty = [None] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(empty, pa.int32()), pa.array(every), pa.array(empty, pa.float64()), pa.array(empty, pa.float64())], ["target_id", "bucket", "n", "top", "bottom"])
+
+        parts.append(rows.select(vector, skip).mapInArrow(run, "target_id long, bucket int, n long, top double, bottom double"))
+    if not parts:
+        return spark.createDataFrame([], "target_id long, bucket int, n long, top double, bottom double")
+    return _union(parts).groupBy("target_id", "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.min("bottom").alias("bottom"))
 
-def block_pairs(rows: DataFrame, kernel: Callable, value_type: str, block: int = PAIR_BLOCK) -> DataFrame:
-    """a, b, value of the pairs a < b of ``rows`` (id long and ``data``) that ``kernel`` reports.
 
-    Rows are dealt into blocks of about ``block`` by a hash of the id; each pair of blocks meets in
-    one task, which holds two blocks. ``kernel(x, y)`` takes two columns of data and returns the
-    positions in x, in y and the values of the pairs to keep. Every pair is compared: exact, with work
-    that grows with the square of the rows, and only the kept pairs become rows.
+def block_pairs(rows: DataFrame, kernel: Callable, value_type: str, width: int, block: int | None = None) -> DataFrame:
+    """a, b, value of the pairs a < b of ``rows`` (id long and ``data``, ``width`` bytes each) that
+    ``kernel`` reports. Rows whose data is null take no part.
+
+    Rows are dealt by a hash of the id into blocks of ``BLOCK_BYTES`` at most (smaller ones, but of
+    ``PAIR_BLOCK`` rows, where there would be too few tasks); each pair of blocks meets in one task,
+    which holds two blocks. ``kernel(x, y)`` takes two columns of data and returns the positions in x,
+    in y and the values of the pairs to keep. Every pair is compared: exact, with work that grows with
+    the square of the rows and copies that grow with the number of blocks; only the kept pairs become rows.
     """
-    n = max(1, -(-rows.count() // block))
+    rows = rows.filter("id is not null and data is not null")
+    count = rows.count()
+    if block is None:
+        busy = int((4 * rows.sparkSession.sparkContext.defaultParallelism) ** 0.5) + 1
+        block = max(1, min(BLOCK_BYTES // width, max(PAIR_BLOCK, -(-count // busy))))
+    n = max(1, -(-count // block))
     own = rows.select("id", "data", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
     left = own.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(n - 1))))
     right = own.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("block")))).select(F.col("id").alias("id_"), F.col("data").alias("data_"), "first", F.col("block").alias("last"))
@@ -128,13 +198,22 @@ def block_pairs(rows: DataFrame, kernel: Callable, value_type: str, block: int =
     return left.groupBy("block", "other").cogroup(right.groupBy("first", "last")).applyInArrow(compare, f"a long, b long, value {value_type}")
 
 
+def _in_slices(x, y, pairs: Callable):
+    """Positions and values of ``pairs`` (a matrix of x's slice against y, and which of its cells to keep)."""
+    found = []
+    for begin, some in _slices(x, len(y)):
+        values, keep = pairs(some, y)
+        i, j = np.nonzero(keep)
+        found.append((i + begin, j, values[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def cosine_kernel(threshold: float) -> Callable:
-    def kernel(x, y):
-        scores = unit(matrix(x)) @ unit(matrix(y)).T
-        i, j = np.nonzero(scores >= threshold)
-        return i, j, scores[i, j]
+    def pairs(x, y):
+        scores = x @ y.T
+        return scores, scores >= threshold
 
-    return kernel
+    return lambda x, y: _in_slices(unit(matrix(x)), unit(matrix(y)), pairs)
 
 
 def hamming_kernel(most: int) -> Callable:
@@ -144,12 +223,10 @@ def hamming_kernel(most: int) -> Callable:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
 
-    def kernel(x, y):
-        a, b = words(x), words(y)
-        distance = np.zeros((len(a), len(b)), np.int32)
-        for k in range(a.shape[1]):
-            distance += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-        i, j = np.nonzero(distance <= most)
-        return i, j, distance[i, j]
+    def pairs(x, y):
+        distance = np.zeros((len(x), len(y)), np.int32)
+        for k in range(x.shape[1]):
+            distance += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+        return distance, distance <= most
 
-    return kernel
+    return lambda x, y: _in_slices(words(x), words(y), pairs)

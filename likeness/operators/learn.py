@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from likeness.functions.vectors import centroid, cosine
+from likeness.operators.kernels import score_buckets
 
 FLOOR = 0.60
 PERCENTILE = 0.10
@@ -44,54 +44,48 @@ def retighten(threshold, most_negative, margin: float = MARGIN):
     return F.greatest(threshold, most_negative + margin, F.lit(FLOOR))
 
 
-def widest_gaps(scores: DataFrame, by: str = "concept_id") -> DataFrame:
-    """``by``, n, upper, lower: the widest gap between neighbouring scores of each concept; among
-    equals the highest.
+#: Buckets of scores from -1 to 1. Gaps narrower than one aren't told apart; ``LEAST_GAP`` is 41 times as wide.
+BUCKETS = 4096
 
-    Scores are dealt by range, so no concept's scores have to fit a task: each task reports its ends
-    and its widest gap per concept, and gaps between tasks follow from the ends.
+
+def bucketed(scores: DataFrame, least: DataFrame, by: str = "concept_id") -> DataFrame:
+    """``by``, bucket, n, top, bottom of plain rows (``by``, score), as :func:`library_buckets`."""
+    own = scores.select(by, F.col("score").cast("double").alias("score")).filter("score is not null and not isnan(score)").join(least.select(by, "least"), by)
+    place = F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((F.col("score") + 1) * (BUCKETS / 2)))).cast("int")
+    bands = own.filter("score <= least").groupBy(by, place.alias("bucket")).agg(F.count("*").alias("n"), F.max("score").alias("top"), F.min("score").alias("bottom"))
+    every = own.groupBy(by).agg(F.count("*").alias("n")).select(by, F.lit(None).cast("int").alias("bucket"), "n", F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"))
+    return bands.unionByName(every)
+
+
+def widest_gaps(buckets: DataFrame, by: str = "concept_id") -> DataFrame:
+    """``by``, n, upper, lower: the widest gap between neighbouring scores of each concept; among equals
+    the highest.
+
+    A gap of a bucket's width or more lies between two buckets, so the buckets' ends tell it exactly: at
+    most ``BUCKETS`` rows a concept are ordered, however many scores there are. Where no gap is as wide
+    as that, upper and lower are null.
     """
-    kind = scores.schema[by].dataType.simpleString()
-
-    def run(batches):
-        open_: dict = {}
-        for b in batches:
-            for key, score in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = open_.get(key)
-                if own is None:
-                    open_[key] = [score, score, 1, None, None]
-                    continue
-                own[2] += 1
-                if own[3] is None or own[1] - score > own[3] - own[4]:
-                    own[3], own[4] = own[1], score
-                own[1] = score
-        rows = [(k, *v) for k, v in open_.items()]
-        names = [by, "top", "bottom", "n", "upper", "lower"]
-        key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-        types = [key_type, pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names)
-
-    ranged = scores.select(by, F.col("score").cast("double").alias("score")).repartitionByRange(F.col(by), F.desc("score")).sortWithinPartitions(F.col(by), F.desc("score"))
-    parts = ranged.mapInArrow(run, f"{by} {kind}, top double, bottom double, n long, upper double, lower double")
-    following = F.lead("top").over(Window.partitionBy(by).orderBy(F.desc("top"), F.desc("bottom")))  # a row per task
-    ends = parts.withColumn("next", following)
-    gaps = ends.select(by, "n", F.explode(F.array(F.struct(F.col("upper"), F.col("lower")), F.struct(F.col("bottom").alias("upper"), F.col("next").alias("lower")))).alias("gap"))
-    best = F.max_by("gap", F.when(F.col("gap.lower").isNotNull(), F.struct((F.col("gap.upper") - F.col("gap.lower")), F.col("gap.upper"))))
-    found = gaps.groupBy(by).agg((F.sum("n") / 2).cast("long").alias("n"), best.alias("gap"))
-    return found.select(by, "n", "gap.upper", "gap.lower")
-
-
-def calibrate(positives: DataFrame, library: DataFrame, by: str = "concept_id", floor: float = FLOOR) -> DataFrame:
-    """``by``, least, upper, lower, threshold from example scores and library scores (``by``, score).
+    ends = buckets.filter("bucket is not null").withColumn("next", F.lead("top").over(Window.partitionBy(by).orderBy(F.desc("bucket"))))
+    wide = F.when(F.col("bottom") - F.col("next") >= 2 / BUCKETS, F.struct(F.col("bottom").alias("upper"), F.col("next").alias("lower")))
+    best = F.max_by(wide, F.when(wide.isNotNull(), F.struct(F.col("bottom") - F.col("next"), F.col("bottom"))))
+    return ends.groupBy(by).agg(F.sum("n").alias("n"), best.alias("gap")).select(by, "n", "gap.upper", "gap.lower")
+
+
+def least_scores(positives: DataFrame, by: str = "concept_id") -> DataFrame:
+    """``by``, least: the percentile of the examples' scores."""
+    return positives.groupBy(by).agg(F.expr(f"percentile(score, {PERCENTILE}D)").alias("least"))
+
+
+def calibrate(least: DataFrame, library: DataFrame, by: str = "concept_id", floor: float = FLOOR) -> DataFrame:
+    """``by``, least, upper, lower, threshold from the examples' percentile (:func:`least_scores`) and the
+    library's scores in buckets (:func:`library_buckets`, :func:`bucketed`).
 
     The threshold is the middle of the widest gap between library scores at or below the examples'
     percentile, kept between the floor and the fallback; without enough scores or a wide enough gap
     it is the fallback, the percentile but at least the floor.
     """
-    least = positives.groupBy(by).agg(F.expr(f"percentile(score, {PERCENTILE}D)").alias("least"))
-    sizes = library.groupBy(by).agg(F.count("*").alias("size"))
-    band = library.join(F.broadcast(least), by).filter(F.col("score") <= F.col("least")).select(by, "score")
-    out = least.join(sizes, by, "left").join(widest_gaps(band, by), by, "left")
+    sizes = library.filter("bucket is null").select(by, F.col("n").alias("size"))
+    out = least.join(sizes, by, "left").join(widest_gaps(library, by), by, "left")
     fallback = F.greatest(F.col("least"), F.lit(floor))
     gap = F.col("upper") - F.col("lower")
     wide = (F.coalesce("size", F.lit(0)) >= LEAST_LIBRARY) & (gap >= LEAST_GAP)
@@ -99,13 +93,18 @@ def calibrate(positives: DataFrame, library: DataFrame, by: str = "concept_id",
     return out.select(by, "least", "upper", "lower", F.when(wide, middle).otherwise(fallback).alias("threshold"))
 
 
-def library_scores(embeddings: DataFrame, protos: DataFrame, by: str = "concept_id", exclude: DataFrame | None = None) -> DataFrame:
-    """``by``, score of every embedding (not only the best per file) against each prototype, without
-    the embeddings of excluded files (``by``, file_id). Prototypes are few and broadcast by size."""
-    pool = embeddings.select("file_id", "vector").join(protos.select(by, "prototype"))
-    if exclude is not None:
-        pool = pool.join(exclude.select(by, "file_id").distinct(), [by, "file_id"], "left_anti")
-    return pool.select(by, cosine(F.col("vector"), F.col("prototype")).alias("score"))
+def library_buckets(embeddings: DataFrame, protos: DataFrame, least: DataFrame, by: str = "concept_id", exclude: DataFrame | None = None) -> DataFrame:
+    """``by``, bucket, n, top, bottom: how the scores of all embeddings (not only the best per file) to each
+    prototype spread, without the embeddings of excluded files (``by``, file_id). One pass with the
+    prototypes broadcast in blocks; what is shuffled follows concepts and tasks, not embeddings."""
+    targets = protos.join(least, by).select(F.col(by).cast("long").alias("target_id"), "prototype", F.col("least").alias("cutoff"))
+    pool = embeddings.select("file_id", "vector")
+    if exclude is None:
+        pool = pool.withColumn("skip", F.lit(None).cast("array<long>"))
+    else:
+        skip = exclude.filter("file_id is not null").groupBy("file_id").agg(F.collect_set(F.col(by).cast("long")).alias("skip"))
+        pool = pool.join(skip, "file_id", "left")
+    return score_buckets(pool, targets, BUCKETS).withColumnRenamed("target_id", by)
 
 
 def teach(embeddings: DataFrame, examples: DataFrame, negatives: DataFrame | None = None, by: str = "concept_id") -> DataFrame:
@@ -113,7 +112,8 @@ def teach(embeddings: DataFrame, examples: DataFrame, negatives: DataFrame | Non
     threshold; negatives (``by``, vector) hold the threshold below them as :func:`negative_threshold`."""
     protos = prototypes(examples, by)
     quality = cohesion(examples, protos, by)
-    calibrated = calibrate(example_scores(examples, protos, by), library_scores(embeddings, protos, by, examples), by)
+    least = least_scores(example_scores(examples, protos, by), by)
+    calibrated = calibrate(least, library_buckets(embeddings, protos, least, by, examples), by)
     out = protos.join(quality.drop("least"), by).join(calibrated.select(by, "least", "threshold"), by)
     if negatives is not None:
         most = example_scores(negatives, protos, by).groupBy(by).agg(F.max("score").alias("most_negative"))

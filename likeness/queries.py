@@ -171,8 +171,8 @@ SELECT concept_id, round(least.least, 6) AS least, round(g.u, 6) AS upper, round
 FROM least JOIN gap USING (concept_id)""")
 def calibrated_threshold(lib):
     protos = learn.prototypes(lib.examples)
-    library = learn.library_scores(lib.embeddings, protos, exclude=lib.examples)
-    found = learn.calibrate(learn.example_scores(lib.examples, protos), library, floor=0.1)
+    least = learn.least_scores(learn.example_scores(lib.examples, protos))
+    found = learn.calibrate(least, learn.library_buckets(lib.embeddings, protos, least, exclude=lib.examples), floor=0.1)
     return found.select("concept_id", *map(rounded, ("least", "upper", "lower", "threshold")))
 
 

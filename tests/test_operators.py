@@ -55,17 +55,36 @@ def test_one_pass_scores_equal_single_searches_in_any_blocks(spark):
         kernels.score_targets(e, spark.createDataFrame([(1, [1.0], 0.0)], targets.schema)).collect()
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_block_pairs_compare_everything_once(spark, block):
+def test_odd_vectors_and_targets(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "CELLS", 5)
+    nan = float("nan")
+    e = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, None), (3, 2, [0.0, 1.0]), (4, None, [1.0, 0.0]), (5, 3, [nan, 1.0]), (6, 4, [0.0, 0.0])], EMB)
+    rows = [(7, [1.0, 0.0], 0.5), (7, [0.0, 1.0], 0.5), (None, [1.0, 1.0], 0.7), (None, [-1.0, 0.0], 0.9), (8, None, 0.0)] + [(7, [-1.0, -1.0], 0.5)] * 5
+    targets = spark.createDataFrame(rows, "target_id long, prototype array<float>, cutoff double")
+    for block in (1, 3, 100):
+        got = {(r.file_id, r.target_id): round(r.score, 6) for r in kernels.score_targets(e, targets, block=block).collect()}
+        assert got == {(1, 7): 1.0, (2, 7): 1.0, (None, 7): 1.0, (1, None): 0.707107, (2, None): 0.707107, (None, None): 0.707107}
+        best = {r.id: r.target_id for r in kernels.best_target(e.filter("id <> 5"), targets.filter("target_id is not null"), "id", block=block).collect()}
+        assert best == {1: 7, 3: 7, 4: 7, 6: 7}
+    ragged = spark.createDataFrame([(1, 1, [1.0]), (2, 1, [1.0, 2.0, 3.0])], EMB)
+    for run in (lambda: kernels.score_targets(ragged, targets), lambda: kernels.best_target(ragged, targets.limit(2), "id"), lambda: kernels.score_targets(e, spark.createDataFrame([(1, [1.0], 0.0), (2, [1.0, 2.0, 3.0], 0.0)], targets.schema))):
+        with pytest.raises(Exception, match="dimensions"):
+            run().collect()
+
+
+@pytest.mark.parametrize("block", [7, 1000, None])
+def test_block_pairs_compare_everything_once(spark, block, monkeypatch):
+    monkeypatch.setattr(kernels, "CELLS", 100)
+    monkeypatch.setattr(kernels, "PAIR_BLOCK", 10)
     r = np.random.default_rng(1)
     x = _unit(r, 60, 6)
-    rows = spark.createDataFrame([(i * 2, x[i].tolist()) for i in range(60)], "id long, data array<float>")
-    got = sorted((r.a, r.b) for r in kernels.block_pairs(rows, kernels.cosine_kernel(0.5), "double", block).collect())
+    rows = spark.createDataFrame([(i * 2, x[i].tolist()) for i in range(60)] + [(1, None), (None, [1.0] * 6)], "id long, data array<float>")
+    got = sorted((r.a, r.b) for r in kernels.block_pairs(rows, kernels.cosine_kernel(0.5), "double", 48, block).collect())
     s = x.astype(float) @ x.astype(float).T
     assert got == [(i * 2, j * 2) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.5]
     h = r.integers(0, 2**16, (60, 2))
     rows = spark.createDataFrame([(i, h[i].tolist()) for i in range(60)], "id long, data array<long>")
-    got = sorted((r.a, r.b, r.value) for r in kernels.block_pairs(rows, kernels.hamming_kernel(12), "int", block).collect())
+    got = sorted((r.a, r.b, r.value) for r in kernels.block_pairs(rows, kernels.hamming_kernel(12), "int", 16, block).collect())
     bits = lambda i, j: sum(bin(int(a ^ b)).count("1") for a, b in zip(h[i], h[j]))
     assert got == [(i, j, bits(i, j)) for i in range(60) for j in range(i + 1, 60) if bits(i, j) <= 12]
 
@@ -78,7 +97,8 @@ def test_components(spark):
 
 def _calibrated(spark, positives, library, floor=0.6):
     frame = lambda xs: spark.createDataFrame([(1, float(x)) for x in xs], "concept_id long, score double")
-    return learn.calibrate(frame(positives), frame(library), floor=floor).first()
+    least = learn.least_scores(frame(positives))
+    return learn.calibrate(least, learn.bucketed(frame(library), least), floor=floor).first()
 
 
 def _reference_threshold(positives, library, floor=0.6):
@@ -103,19 +123,31 @@ def test_calibration(spark, positives, library):
     assert _calibrated(spark, positives, library).threshold == pytest.approx(_reference_threshold(positives, library))
 
 
-def test_gaps_do_not_depend_on_partitions(spark):
+def test_widest_gaps_equal_plain_sorting(spark):
     r = np.random.default_rng(2)
-    rows = [(int(k), float(x)) for k, x in zip(r.integers(0, 3, 400), r.random(400))]
-    want = {}
-    for k in range(3):
-        s = sorted((x for c, x in rows if c == k), reverse=True)
+    rows = [(int(k), float(x)) for k, x in zip(r.integers(0, 3, 400), r.random(400))] + [(3, 0.5), (4, 0.25), (4, 0.25), (5, 0.5), (5, 0.50001)]
+    least = spark.createDataFrame([(0, 0.9), (1, 2.0), (2, 0.3), (3, 1.0), (4, 1.0), (5, 1.0)], "concept_id long, least double")
+    want = {k: (None, None) for k in (3, 4, 5)}
+    for k, most in ((0, 0.9), (1, 2.0), (2, 0.3)):
+        s = sorted((x for c, x in rows if c == k and x <= most), reverse=True)
         want[k] = max((a - b, a, b) for a, b in zip(s, s[1:]))[1:]
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    for n in ("1", "3", "17"):
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        got = {r.concept_id: (r.upper, r.lower) for r in learn.widest_gaps(spark.createDataFrame(rows, "concept_id long, score double")).collect()}
-        assert got == want
-    spark.conf.set("spark.sql.shuffle.partitions", old)
+    found = learn.bucketed(spark.createDataFrame(rows, "concept_id long, score double"), least)
+    got = {r.concept_id: (r.n, r.upper, r.lower) for r in learn.widest_gaps(found).collect()}
+    assert {k: v[1:] for k, v in got.items()} == want and got[4][0] == 2
+
+
+def test_library_buckets_equal_buckets_of_all_scores(spark):
+    r = np.random.default_rng(8)
+    x, p = _unit(r, 300), _unit(r, 3)
+    e = spark.createDataFrame([(i, i // 3, x[i].tolist()) for i in range(300)] + [(999, 5, None)], EMB)
+    protos = spark.createDataFrame([(k, p[k].tolist()) for k in range(3)], "concept_id long, prototype array<float>")
+    least = spark.createDataFrame([(0, 0.3), (1, 0.0), (2, 1.0)], "concept_id long, least double")
+    without = spark.createDataFrame([(0, 4), (0, 4), (0, 7), (2, 4), (1, None)], "concept_id long, file_id long")
+    rows = [(k, float(s)) for i in range(300) for k, s in enumerate(x[i].astype(float) @ p.astype(float).T) if (k, i // 3) not in {(0, 4), (0, 7), (2, 4)}]
+    want = learn.bucketed(spark.createDataFrame(rows, "concept_id long, score double"), least)
+    key = lambda r: (r.concept_id, -1 if r.bucket is None else r.bucket)
+    for got, other in zip(sorted(learn.library_buckets(e, protos, least, exclude=without).collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert key(got) == key(other) and got.n == other.n and (got.top is None or (got.top, got.bottom) == pytest.approx((other.top, other.bottom), abs=1e-6))
 
 
 def test_teaching_excludes_its_examples_and_respects_negatives(spark):
