@@ -12,10 +12,13 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="likeness", description="Find, tag and clean up files by example.")
     p.add_argument("--library", required=True, help="folder of the library's tables")
     p.add_argument("--embedder", default="likeness.sources.plugins:HashEmbedder", help="module:class of the model that makes vectors")
+    p.add_argument("--analyzer", help="module:class of the model that finds faces")
+    p.add_argument("--verifier", help="module:function from a phrase to a column that scores file ids")
     c = p.add_subparsers(dest="command", required=True)
     for name, arguments in {
         "index": ["folder"], "forget": ["folder"], "teach": ["name", "paths*"], "search": ["name"], "text": ["prompt"], "score": [], "apply": [], "concepts": [], "people": [], "status": [], "rematch": [],
         "boundary": ["name"], "review": ["name", "path", "answer"], "override": ["path", "name", "state"], "tags": ["names*"], "duplicates": [], "destination": ["name", "folder"], "organize": ["folder"], "undo": ["folder"],
+        "add-person": ["name", "paths*"], "faces": [], "clusters": [], "name-cluster": ["name", "face_ids*"], "verify": ["name"], "collect": ["folder"], "vacuum": [],
     }.items():
         s = c.add_parser(name)
         for a in arguments:
@@ -26,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--all", action="store_true")
         s.add_argument("--mode", default=None)
         s.add_argument("--dry-run", action="store_true")
+        s.add_argument("--phrase")
+        s.add_argument("--replace", action="store_true", help="a person's references, instead of adding to them")
     return p
 
 
@@ -33,13 +38,13 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession, functions as F
 
-    from likeness.operators import tags
+    from likeness.operators import faces, tags
     from likeness.service import Service
     from likeness.sources.catalog import Catalog
 
     spark = SparkSession.builder.appName("likeness").getOrCreate()
-    module, _, name = a.embedder.partition(":")
-    s = Service(Catalog(spark, a.library), getattr(importlib.import_module(module), name)())
+    plugged = lambda given: given and getattr(importlib.import_module(given.partition(":")[0]), given.partition(":")[2])
+    s = Service(Catalog(spark, a.library), plugged(a.embedder)(), plugged(a.verifier), a.analyzer and plugged(a.analyzer)())
     read = s.catalog.read
     actions = {
         "index": lambda: s.index(a.folder), "forget": lambda: s.forget_missing(a.folder), "teach": lambda: s.teach(a.name, a.paths, a.negatives),
@@ -51,6 +56,12 @@ def main(argv: list[str] | None = None) -> int:
         "tags": lambda: s.with_tags(a.names, "all" if a.all else "any", a.limit), "duplicates": lambda: s.duplicates().select("kind", "keeper", "n", "redundant"),
         "destination": lambda: s.catalog.update_concept(a.name, destination=a.folder), "organize": lambda: s.organize(a.mode, a.folder, a.dry_run), "undo": lambda: s.undo(a.folder),
     }
+    actions |= {
+        "add-person": lambda: {"added": s.register_person(a.name, a.paths, mode="replace" if a.replace else "extend", every=a.all)}, "faces": s.find_faces,
+        "clusters": lambda: faces.cluster_unnamed(read("file_faces"), a.threshold or faces.CLUSTER_THRESHOLD).orderBy(F.desc("size"), "cluster"),
+        "name-cluster": lambda: s.name_cluster([int(i) for i in a.face_ids], a.name), "collect": lambda: s.collect_duplicates(a.folder, a.mode or "symlink", a.dry_run),
+        "verify": lambda: s.verify_phrase(a.name, a.phrase, a.limit), "vacuum": s.catalog.vacuum,
+    }
     try:
         out = actions[a.command]()
     except (KeyError, ValueError) as e:

@@ -15,6 +15,16 @@ def clean_tag(tag: Column) -> Column:
     return F.when((own != "") & ~own.rlike(r"[\[\]/\\]") & ~own.startswith("."), own)
 
 
+def split_list(text: Column) -> Column:
+    """The items of a comma-separated list, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def ordered_union(first: Column, second: Column) -> Column:
+    """Both lists' items, each at its first place."""
+    return F.array_distinct(F.concat(first, second))
+
+
 def _group(known: list[str]) -> str:
     return r"(?iu)\s*\[\s*(" + "|".join(r"\Q" + re.sub(r"\\E", "", t) + r"\E" for t in sorted(known, key=len, reverse=True)) + r")\s*\]"
 

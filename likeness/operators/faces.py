@@ -47,17 +47,12 @@ def name_cluster(file_faces: DataFrame, references: DataFrame, face_ids: list[in
     """The faces, assigned with score 1, and the references with the cluster's faces added."""
     own = F.col("id").isin(list(face_ids))
     first = references.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
-    added = file_faces.filter(own).select((F.row_number().over(_by("id")) + F.lit(first - 1)).cast("long").alias("id"), F.lit(person_id).cast("long").alias("person_id"), "vector", F.lit("cluster").alias("source"))
+    numbers = file_faces.sparkSession.createDataFrame([(i, first + n) for n, i in enumerate(sorted(set(face_ids)))], "id long, reference long")  # ids that a user has chosen
+    added = file_faces.join(F.broadcast(numbers), "id").select(F.col("reference").alias("id"), F.lit(person_id).cast("long").alias("person_id"), "vector", F.lit("cluster").alias("source"))
     faces = file_faces.withColumns({"person_id": F.when(own, F.lit(person_id)).otherwise(F.col("person_id")), "score": F.when(own, F.lit(1.0)).otherwise(F.col("score"))})
     return faces, references.unionByName(added)
 
 
-def _by(name: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(name)
-
-
 def largest_face(faces: DataFrame, by: str = "file_id", size: Column | None = None, least: float = 40.0) -> DataFrame:
     """The largest face (by its short side) of each image, of those large enough; the first of equals."""
     size = F.least(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")) if size is None else size

@@ -25,6 +25,16 @@ def by_vector(embeddings: DataFrame, query, limit: int | None = LIMIT, threshold
     return hits if limit is None else hits.orderBy(F.desc("score"), "file_id").limit(limit)
 
 
+def path_of(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, path of the files with the given ids."""
+    return files.join(ids.select("id").distinct(), "id", "left_semi").select("id", "path")
+
+
+def id_of(files: DataFrame, names: DataFrame) -> DataFrame:
+    """path, id of the files with the given paths."""
+    return files.join(names.select("path").distinct(), "path", "left_semi").select("path", "id")
+
+
 def prototype_of(concepts: DataFrame, name: str):
     """Prototype and threshold of a concept; an unknown name raises."""
     found = concepts.filter(F.col("name") == name).select("prototype", "threshold").head(1)

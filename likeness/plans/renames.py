@@ -5,6 +5,7 @@ Planning is relational and has no side effect. Files are renamed on the driver,
 
 from __future__ import annotations
 
+import filecmp
 import json
 import os
 import shutil
@@ -43,8 +44,10 @@ def plan_moves(tagged: DataFrame, destinations: DataFrame, scores: DataFrame | N
     decided = claims.groupBy("primary").agg(first, F.count("*").alias("claims")).withColumn("matched", F.lit(True))
     if inverse is not None:
         rest = primaries.join(decided.select("primary"), "primary", "left_anti")
-        missing = rest.join(inverse.select("tag", "folder")).filter(~F.array_contains("tags", F.col("tag")))
-        other = missing.groupBy("primary").agg(F.min(F.struct("tag", "folder")).alias("best"), F.count("*").alias("claims")).withColumn("matched", F.lit(False))
+        # Destinations are user-made and few: as one array they reach every primary without a product of rows.
+        folders = inverse.filter("folder <> ''").agg(F.array_sort(F.collect_set(F.struct("tag", "folder"))).alias("folders"))
+        missing = rest.join(F.broadcast(folders)).withColumn("missing", F.filter("folders", lambda f: ~F.array_contains("tags", f["tag"])))
+        other = missing.filter(F.size("missing") > 0).select("primary", F.col("missing")[0].alias("best"), F.size("missing").cast("long").alias("claims"), F.lit(False).alias("matched"))
         decided = decided.unionByName(other)
     out = own.join(decided, "primary").select(F.col("path").alias("source"), F.concat("best.folder", F.lit("/"), paths.name(F.col("path"))).alias("target"), F.col("best.tag").alias("tag"), "matched", "claims")
     return out.filter("source <> target")
@@ -57,19 +60,47 @@ def numbered(names: Column, order: list[Column]) -> Column:
 
 
 def resolve_collisions(plans: DataFrame, listing: DataFrame) -> DataFrame:
-    """source, target, filed: plans (source, target, content_hash) whose target a file of ``listing``
-    (path, content_hash) holds: filed with equal content, else named after the source's folder where
-    that helps, else numbered; of several plans for one name the first in order keeps it."""
-    taken = listing.select(F.col("path").alias("target"), F.col("content_hash").alias("held"), F.lit(True).alias("taken"))
-    own = plans.join(taken, "target", "left").withColumn("filed", F.coalesce(F.col("held") == F.col("content_hash"), F.lit(False)))
-    target, hint = F.col("target"), paths.disambiguator(F.col("source"))
-    folder = F.concat(paths.parent(target), F.lit("/"))
-    hinted = F.concat(folder, paths.stem(target), F.lit(" ("), hint, F.lit(")"), paths.suffix(target))
-    blocked = F.coalesce("taken", F.lit(False)) & ~F.col("filed")
-    own = own.withColumn("place", F.when(F.col("filed"), 0).otherwise(F.row_number().over(Window.partitionBy("target", "filed").orderBy("source")) + blocked.cast("int")))
-    counted = F.concat(folder, paths.stem(target), F.lit("-"), F.col("place").cast("string"), paths.suffix(target))
-    named = F.when(F.col("place") <= 1, target).otherwise(F.coalesce(hinted, counted))
-    return own.select("source", named.alias("target"), "filed")
+    """source, target, filed: where plans (source, target, content_hash) go if files of ``listing`` (path,
+    content_hash) or other plans hold their names. A target held by equal content is already filed. Of
+    the other plans for a free name the first in order of source gets it; the rest, and those whose name
+    is held, are named after their folder where that helps and the name is free and no earlier plan's,
+    else numbered with the lowest free numbers from 2 on. No two plans get one name, none a held one.
+    """
+    held = listing.select(F.col("path").alias("target"), F.col("content_hash").alias("held")).dropDuplicates(["target"])
+    own = plans.select("source", "target", "content_hash").join(held.withColumn("taken", F.lit(True)), "target", "left")
+    own = own.withColumns({"taken": F.coalesce("taken", F.lit(False)), "filed": F.coalesce(F.col("held") == F.col("content_hash"), F.lit(False))})
+    first = F.row_number().over(Window.partitionBy("target").orderBy("source")) == 1
+    own = own.withColumn("as_wanted", F.col("filed") | (~F.col("taken") & first))
+    target = F.col("target")
+    folder = F.when(target.contains("/"), F.concat(paths.parent(target), F.when(paths.parent(target) == "/", "").otherwise("/"))).otherwise("")
+    hinted = F.concat(folder, paths.stem(target), F.lit(" ("), paths.disambiguator(F.col("source")), F.lit(")"), paths.suffix(target))
+    done = own.filter("as_wanted").select("source", "target", "filed")
+    rest = own.filter("not as_wanted").select("source", "target", hinted.alias("hinted"))
+    names = done.filter("not filed").select("target").unionByName(held.select("target"))
+    free = rest.filter("hinted is not null").join(names.select(F.col("target").alias("hinted")), "hinted", "left_anti")
+    by_folder = free.groupBy("hinted").agg(F.min("source").alias("source"))
+    names = names.unionByName(by_folder.select(F.col("hinted").alias("target")))
+    rest = rest.drop("hinted").join(by_folder, "source", "left")
+    done = done.unionByName(rest.filter("hinted is not null").select("source", F.col("hinted").alias("target"), F.lit(False).alias("filed")))
+    rest = rest.filter("hinted is null").withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("source")))
+    # Names that look numbered: target and number.
+    number = F.regexp_extract(paths.stem(target), r"-([1-9][0-9]{0,8})$", 1)
+    used = names.filter(number != "").select(F.concat(folder, F.regexp_replace(paths.stem(target), r"-[0-9]+$", ""), paths.suffix(target)).alias("target"), number.cast("long").alias("number")).distinct()
+    wanted = rest.groupBy("target").agg(F.count("*").alias("most"))
+    used = used.join(wanted, "target", "left_semi")
+    room = wanted.join(used.groupBy("target").agg(F.count("*").alias("more")), "target", "left")
+    numbers = room.select("target", F.explode(F.sequence(F.lit(2).cast("long"), F.col("most") + 1 + F.coalesce("more", F.lit(0)))).alias("number")).join(used, ["target", "number"], "left_anti")
+    numbers = numbers.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("number")))
+    counted = F.concat(folder, paths.stem(target), F.lit("-"), F.col("number").cast("string"), paths.suffix(target))
+    return done.unionByName(rest.join(numbers, ["target", "n"]).select("source", counted.alias("target"), F.lit(False).alias("filed")))
+
+
+def same_content(a: str, b: str) -> bool:
+    """Whether two files hold the same bytes; sizes are compared first, an unreadable one is no match."""
+    try:
+        return os.path.getsize(a) == os.path.getsize(b) and filecmp.cmp(a, b, shallow=False)
+    except OSError:
+        return False
 
 
 def blocked(plans: DataFrame) -> DataFrame:
@@ -91,7 +122,7 @@ def apply_renames(plans: list[tuple[str, str]], root: str, dry_run: bool = False
             same = source.lower() == target.lower()
             if not os.path.exists(source):
                 errors.append(f"{source}: missing")
-            elif os.path.exists(target) and not same:
+            elif os.path.lexists(target) and not same:
                 errors.append(f"{source}: {target} is taken")
             else:
                 if not dry_run:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from likeness.functions import hashing
 from likeness.jobs import JobRunner
-from likeness.operators import faces, tags
+from likeness.operators import faces, search, tags
 from likeness.service import MODES, Service
+from likeness.sources.scratch import Scratch
 
-LIMIT = 500
 SETTINGS = {"organize_mode": MODES}
 
 
@@ -33,7 +33,7 @@ class Api:
             (method, re.compile("^" + re.sub(r"<(\w+)>", r"(?P<\1>[^/]+)", path) + "$"), function)
             for method, path, function in [
                 ("GET", "/api/health", lambda b: {"ok": True}),
-                ("GET", "/api/library", lambda b: self.rows(self.s.library().orderBy("path"))),
+                ("GET", "/api/library", lambda b: self.rows(self.s.library().orderBy("path"), b)),
                 ("GET", "/api/tags", lambda b: self.rows(tags.concept_counts(self.read("concepts"), self.read("file_concepts")).select("name", "threshold", F.col("n_examples").alias("examples"), "matches", "destination", "inverse_destination").orderBy("name"))),
                 ("POST", "/api/tags", lambda b: self.s.teach(b["name"], self.allowed(b.get("paths", [])), self.allowed(b.get("negatives", [])))),
                 ("GET", "/api/tags/<name>/boundary", lambda b, name: self.rows(self.s.boundary(name, int(b.get("limit", 12))).orderBy("distance"))),
@@ -46,9 +46,10 @@ class Api:
                 ("POST", "/api/index", lambda b: self.job("index", lambda: self.s.index(b["folder"]))),
                 ("POST", "/api/score", lambda b: self.job("score", self.s.score)),
                 ("GET", "/api/people", lambda b: self.rows(tags.people_counts(self.read("people"), self.read("file_faces")).select("name", F.col("n_examples").alias("references"), "files").orderBy("name"))),
-                ("GET", "/api/people/<name>/files", lambda b, name: self.rows(self.s.search(person=name, limit=LIMIT))),
+                ("GET", "/api/people/<name>/files", lambda b, name: self.rows(self.s.search(person=name, limit=None), b)),
+                ("POST", "/api/people", lambda b: {"added": self.s.register_person(b["name"], self.allowed(b["paths"]), mode=b.get("mode", "extend"), every=bool(b.get("every")))}),
                 ("DELETE", "/api/people/<name>", lambda b, name: self.found(self.s.catalog.delete_person(name), name)),
-                ("GET", "/api/clusters", lambda b: self.rows(faces.cluster_unnamed(self.read("file_faces"), float(b.get("threshold", faces.CLUSTER_THRESHOLD))).orderBy(F.desc("size")))),
+                ("GET", "/api/clusters", lambda b: self.rows(faces.cluster_unnamed(self.read("file_faces"), float(b.get("threshold", faces.CLUSTER_THRESHOLD))).orderBy(F.desc("size"), "cluster"), b)),
                 ("POST", "/api/clusters/name", lambda b: self.s.name_cluster([int(i) for i in b["face_ids"]], b["name"])),
                 ("POST", "/api/rematch", lambda b: {"matched": self.s.rematch()}),
                 ("GET", "/api/settings", lambda b: {k: self.s.catalog.setting(k, v[0]) for k, v in SETTINGS.items()}),
@@ -65,8 +66,11 @@ class Api:
         ]
 
     @staticmethod
-    def rows(df: DataFrame) -> list[dict]:
-        return [r.asDict(recursive=True) for r in df.limit(LIMIT).collect()]
+    def rows(df: DataFrame, b: dict | None = None) -> list[dict]:
+        """All rows; ``offset`` and ``limit`` of a request give one page of an ordered answer."""
+        df = df.offset(int(b["offset"])) if b and "offset" in b else df
+        df = df.limit(int(b["limit"])) if b and "limit" in b else df
+        return [r.asDict(recursive=True) for r in df.toLocalIterator()]
 
     @staticmethod
     def found(value, name):
@@ -100,19 +104,19 @@ class Api:
             self.s.catalog.set_setting(key, value)
 
     def search(self, b: dict) -> list[dict]:
-        limit = int(b.get("limit", LIMIT))
+        """Ranked files: all with the tags, or the ``limit`` best by a concept, a text, examples or a person."""
         if "tags" in b:
-            return self.rows(self.s.with_tags(_split(b["tags"]), b.get("mode", "any"), limit, b.get("effective") == "true"))
-        return self.rows(self.s.search(b.get("concept"), b.get("text"), self.allowed(_split(b.get("examples", ""))), b.get("person"), limit))
+            found = self.s.with_tags(_split(b["tags"]), b.get("mode", "any"), effective=b.get("effective") == "true")
+            return self.rows(found.orderBy(F.desc("score"), "file_id"), b)
+        return self.rows(self.s.search(b.get("concept"), b.get("text"), self.allowed(_split(b.get("examples", ""))), b.get("person"), int(b.get("limit", search.LIMIT))))
 
     def verify(self, b: dict, name: str) -> list[dict]:
-        if self.s.verifier is None:
-            raise ValueError("no verifier is plugged in")
-        return self.rows(self.s.verify(name, self.s.verifier(b.get("phrase")), int(b.get("candidates", 200))))
+        return self.rows(self.s.verify_phrase(name, b.get("phrase"), int(b.get("candidates", search.CANDIDATES))))
 
     def duplicates(self, b: dict) -> dict:
-        groups = self.rows(self.s.duplicates(hashing.cutoff(float(b.get("distance", hashing.DISTANCE)))))
-        return {"groups": groups, "redundant": sum(g["n"] - 1 for g in groups)}
+        found = Scratch(self.s.spark, "duplicates").keep(self.s.duplicates(hashing.cutoff(float(b.get("distance", hashing.DISTANCE)))))
+        redundant = found.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+        return {"groups": self.rows(found.orderBy("kind", F.desc("n"), "keeper"), b), "redundant": redundant}
 
     def call(self, method: str, url: str, body: dict) -> tuple[int, object]:
         """Status and answer."""

@@ -6,9 +6,11 @@ carried out on the driver. One library, one writer at a time.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, functions as F
 
-from likeness.functions import naming
+from likeness.functions import naming, paths
 from likeness.functions.boxes import LEAST_FACE
 from likeness.operators import companions, duplicates, faces, learn, score, search, tags
 from likeness.operators.faces import THRESHOLD
@@ -22,27 +24,32 @@ from likeness.sources.scratch import Scratch
 from likeness.streaming.ingest import index_batch
 
 MODES = ("rename", "move", "off")
-CHANGES_SHOWN = 200
 
 
 class Service:
-    def __init__(self, catalog: Catalog, embedder: Embedder | None = None, verifier=None):
+    def __init__(self, catalog: Catalog, embedder: Embedder | None = None, verifier=None, analyzer: FaceAnalyzer | None = None):
         """``verifier``: a function from a phrase to a column that scores file ids."""
-        self.catalog, self.embedder, self.verifier, self.spark = catalog, embedder, verifier, catalog.spark
+        self.catalog, self.embedder, self.verifier, self.analyzer, self.spark = catalog, embedder, verifier, analyzer, catalog.spark
 
     # Indexing.
 
     def index(self, root: str, samples: int = discovery.SAMPLES) -> dict:
-        """Index the media files under a folder that are new or changed."""
+        """Index the media files under a folder that are new or changed; with a face analyzer also their
+        faces. Returns counts: scanned, indexed, unchanged, failed, frames, regions, faces, named."""
         self.catalog.append("roots", self.spark.createDataFrame([(root,)], "path string").join(self.catalog.read("roots"), "path", "left_anti").withColumn("added_at", F.current_timestamp()))
         found = discovery.media(discovery.listing(self.spark, root), root)
-        return index_batch(self.catalog, found, embed_with(self.embedder), samples)
+        done = index_batch(self.catalog, found, embed_with(self.embedder), samples)
+        if self.analyzer is None:
+            return done
+        named = lambda: self.catalog.read("file_faces").filter("person_id is not null").count()
+        before = named()
+        return done | {"faces": self.find_faces(), "named": named() - before}
 
     def forget_missing(self, root: str) -> int:
         """Drop indexed files that are gone from a folder."""
         here = self.catalog.read("files").filter(F.startswith("path", F.lit(root.rstrip("/") + "/")))
         gone = discovery.missing(here, discovery.listing(self.spark, root))
-        return self.catalog.forget(gone.select("id").persist())
+        return self.catalog.forget(gone.select("id"))
 
     # Concepts.
 
@@ -58,9 +65,9 @@ class Service:
             raise ValueError(f"{name!r} can't be a tag's name")
         return found
 
-    def _vectors(self, paths: list[str]) -> DataFrame:
+    def _vectors(self, names: list[str]) -> DataFrame:
         """path, file_id (null if not indexed), vector of example files; from the index where they are in it."""
-        wanted = self.spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+        wanted = self.spark.createDataFrame([(p,) for p in dict.fromkeys(names)], "path string")
         files = self.catalog.read("files").select("path", F.col("id").alias("file_id"))
         own = wanted.join(files, "path").join(self.catalog.read("embeddings").select("file_id", "vector"), "file_id").select("path", "file_id", "vector")
         rest = [r["path"] for r in wanted.join(own, "path", "left_anti").collect()] if self.embedder else []
@@ -175,6 +182,13 @@ class Service:
         """The best candidates of a concept, ranked again by an external scorer of file ids."""
         return self._with_files(search.verify(self.catalog.read("embeddings"), self._concept(name)["prototype"], scorer, candidates))
 
+    def verify_phrase(self, name: str, phrase: str | None = None, candidates: int = CANDIDATES) -> DataFrame:
+        """:meth:`verify` with the verifier that is plugged in, asked the given phrase, the stored one or the name."""
+        if self.verifier is None:
+            raise ValueError("no verifier is plugged in")
+        stored = self._concept(name)["verify_phrase"]
+        return self.verify(name, self.verifier(phrase or stored or name.replace("-", " ")), candidates).orderBy(F.desc("verified"), "file_id")
+
     # People.
 
     def rematch(self, threshold: float = THRESHOLD) -> int:
@@ -184,24 +198,28 @@ class Service:
         self.catalog.write("file_faces", faces.rematch(old, self.catalog.read("person_faces"), threshold))
         return self.catalog.read("file_faces").filter("person_id is not null").count() - before
 
-    def find_faces(self, analyzer: FaceAnalyzer, threshold: float = faces.THRESHOLD, least: float = LEAST_FACE) -> int:
+    def _analyzer(self, given: FaceAnalyzer | None) -> FaceAnalyzer:
+        if (given or self.analyzer) is None:
+            raise ValueError("no face analyzer is plugged in")
+        return given or self.analyzer
+
+    def find_faces(self, analyzer: FaceAnalyzer | None = None, threshold: float = faces.THRESHOLD, least: float = LEAST_FACE) -> int:
         """Detect the faces of indexed images that have none yet, match them to known people and store
         them; returns how many. A file that can't be read has no faces."""
         todo = self.catalog.read("files").filter("kind = 'image'").join(self.catalog.read("file_faces").select(F.col("file_id").alias("id")), "id", "left_anti")
-        found = Scratch(self.spark, "faces").keep(detect(todo.select(F.col("id").alias("file_id"), "path"), analyzer, least))
+        found = Scratch(self.spark, "faces").keep(detect(todo.select(F.col("id").alias("file_id"), "path"), self._analyzer(analyzer), least))
         n = found.count()
         if n:
-            keyed = found.withColumn("id", F.monotonically_increasing_id()).persist()
+            keyed = found.withColumn("id", F.monotonically_increasing_id())
             who = faces.match(keyed, self.catalog.read("person_faces"), threshold).select("id", "person_id", "score")
             self.catalog.add_faces(keyed.join(who, "id", "left").drop("id", "side"))
-            keyed.unpersist()
         return n
 
-    def register_person(self, name: str, paths: list[str], analyzer: FaceAnalyzer, mode: str = "extend", every: bool = False) -> int:
+    def register_person(self, name: str, paths: list[str], analyzer: FaceAnalyzer | None = None, mode: str = "extend", every: bool = False) -> int:
         """Make a person's references from photographs: the largest face of each, or every face;
         returns how many were added. Photographs without a face are skipped."""
         photos = self.spark.createDataFrame(list(enumerate(dict.fromkeys(paths))), "file_id long, path string")
-        found = detect(photos, analyzer, 0.0)
+        found = detect(photos, self._analyzer(analyzer), 0.0)
         if not every:
             found = found.groupBy("file_id").agg(F.max_by(F.struct("vector", "bbox"), F.struct("side", -F.col("seq"))).alias("f")).select("file_id", "f.vector", "f.bbox")
         rows = found.join(photos, "file_id").select("vector", F.col("path").alias("source")).collect()  # of photographs chosen by hand
@@ -235,36 +253,76 @@ class Service:
             self.catalog.rename_files(self.spark.createDataFrame(done["placed"], "source string, target string"))
         return done
 
+    def listing(self) -> DataFrame | None:
+        """The files on disk under the library's folders; None without any."""
+        out = None
+        for r in self.catalog.read("roots").select("path").distinct().collect():  # folders that a user has added
+            if os.path.exists(r["path"]):
+                found = discovery.listing(self.spark, r["path"])
+                out = found if out is None else out.unionByName(found)
+        return out if out is None else out.dropDuplicates(["path"])
+
     def _tagged(self, listing: DataFrame | None) -> DataFrame:
-        """path, primary, tags of all indexed files and their companions."""
+        """path, primary, tags of all indexed files and their companions on disk."""
         own = self.effective_tags()
+        listing = self.listing() if listing is None else listing
         everything = own.select("path") if listing is None else companions.find(own, listing)
         return companions.primary_tags(companions.groups(everything), own)
 
     def plan(self, mode: str, listing: DataFrame | None = None) -> DataFrame:
-        """source, target of what organizing would change."""
+        """source, target (and tag, matched, claims of moves) of what organizing would change; ``listing``:
+        the files on disk (path), else those under the library's folders."""
         tagged, concepts = self._tagged(listing), self.catalog.read("concepts")
         if mode == "rename":
             return renames.plan_renames(tagged, [r["name"] for r in concepts.select("name").collect()])
         named = tags.with_names(self.catalog.read("file_concepts"), concepts).join(self.catalog.read("files").withColumnRenamed("id", "file_id"), "file_id")
         scores = named.select("path", F.col("name").alias("tag"), "score")
-        to = concepts.filter("destination is not null").select(F.col("name").alias("tag"), F.col("destination").alias("folder"))
-        inverse = concepts.filter("inverse_destination is not null").select(F.col("name").alias("tag"), F.col("inverse_destination").alias("folder"))
+        to, inverse = (concepts.filter(f"{c} is not null").select(F.col("name").alias("tag"), F.col(c).alias("folder")) for c in ("destination", "inverse_destination"))
         return renames.plan_moves(tagged, to, scores, inverse)
 
+    def resolve(self, plans: DataFrame) -> DataFrame:
+        """source, target, filed of plans after their collisions with files on disk and with each other."""
+        scratch = Scratch(self.spark, "plans")
+        plans = scratch.keep(plans.select("source", "target"))
+        case_only = F.lower("source") == F.lower("target")
+        sources = plans.select(F.col("source").alias("path"))
+        folders = [r[0] for r in plans.select(paths.parent(F.col("target"))).distinct().collect() if os.path.isdir(r[0])]  # folders on the driver's disk
+        found = None
+        for folder in folders:
+            own = discovery.listing(self.spark, folder, recursive=False).select("path")
+            found = own if found is None else found.unionByName(own)
+        if found is None:
+            found = sources.limit(0)
+        # A name whose holder is about to leave it is free by the time it's needed.
+        found = scratch.keep(found.join(plans.filter(~case_only).select(F.col("source").alias("path")), "path", "left_anti"))
+        met = plans.filter(~case_only).join(found.withColumnRenamed("path", "target"), "target").collect()  # names that are taken: their bytes are compared on this disk
+        alike = [r for r in met if renames.same_content(r["source"], r["target"])]
+        kind = "source string, target string, content_hash binary"
+        marked = self.spark.createDataFrame([(r["source"], r["target"], b"same") for r in alike], kind)
+        held = found.join(marked.select(F.col("target").alias("path"), "content_hash").distinct(), "path", "left")
+        own = plans.filter(~case_only).join(marked, ["source", "target"], "left")
+        return renames.resolve_collisions(own, held).unionByName(plans.filter(case_only).withColumn("filed", F.lit(False)))
+
     def organize(self, mode: str | None = None, root: str | None = None, dry_run: bool = False, listing: DataFrame | None = None) -> dict:
-        """Write tags into names or file by destination; both are journalled and undone alike."""
+        """Write tags into names or file by destination; both are journalled and undone alike. Companions
+        on disk travel along; files whose destination already holds their bytes stay and are counted."""
         mode = mode or self.catalog.setting("organize_mode", "rename")
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
+        nothing = {"mode": mode, "changed": 0, "already_filed": 0, "errors": [], "changes": []}
         if mode == "off":
-            return {"mode": mode, "changed": 0, "errors": [], "changes": []}
+            return nothing
+        if mode == "move" and self.catalog.read("concepts").filter("destination is not null or inverse_destination is not null").isEmpty():
+            return nothing | {"errors": ["no tag has a destination folder"]}
         root = root or self.catalog.read("roots").orderBy("added_at").first()["path"]
-        plans = [(r["source"], r["target"]) for r in self.plan(mode, listing).orderBy("source").collect()]  # files on the driver's disk
-        done = renames.apply_renames(plans, root, dry_run)
+        planned = Scratch(self.spark, "organize").keep(self.plan(mode, listing))
+        resolved = self.resolve(planned).orderBy("source").collect()  # files on the driver's disk
+        contested = planned.filter("matched and claims > 1").orderBy("source").collect() if mode == "move" else []
+        done = renames.apply_renames([(r["source"], r["target"]) for r in resolved if not r["filed"]], root, dry_run)
         if done["renamed"] and not dry_run:
             self.catalog.rename_files(self.spark.createDataFrame(done["renamed"], "source string, target string"))
-        return {"mode": mode, "changed": len(done["renamed"]), "errors": done["errors"], "changes": done["renamed"][:CHANGES_SHOWN]}
+        notes = [f"{r['source']}: {r['claims']} tags have a destination, filed by {r['tag']}" for r in contested]
+        return {"mode": mode, "changed": len(done["renamed"]), "already_filed": sum(r["filed"] for r in resolved), "errors": [*done["errors"], *notes], "changes": done["renamed"]}
 
     def undo(self, root: str) -> int:
         """Take the last organizing back; returns how many files."""

@@ -1,139 +1,309 @@
 """The library's tables on storage, changed by copy-on-write.
 
-Every change writes a new version of the tables it touches and then moves a pointer; a version that
-is being read is never overwritten. Matches are partitioned by concept, so replacing one concept's
-matches rewrites that partition alone within the new version's files.
+A table is a list of parts (folders of parquet files), and matches have parts by concept. The manifest,
+a numbered file, names the parts of all tables; a change writes new parts first and the next manifest
+last, in one step, so a change that touches several tables is seen whole or not at all, and parts that
+are being read are never overwritten. Rows are appended as a further part; only what deletes or changes
+rows writes their table anew, and replacing a concept's matches writes those alone. :meth:`vacuum`
+deletes parts that no recent manifest names.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from contextlib import contextmanager
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from likeness.sources.schema import TABLES, migrate
+from likeness.sources.scratch import Scratch
+
+#: The table with parts by concept.
+MATCHES = "file_concepts"
+#: A table of more parts is written anew when it is next appended to.
+MOST_PARTS = 64
+
+
+def _change(method):
+    """What a method of the catalogue writes is committed at its end, or at that of the change around it."""
+
+    @wraps(method)
+    def run(self, *args, **named):
+        with self.change():
+            return method(self, *args, **named)
+
+    return run
 
 
 class Catalog:
-    """Tables under a folder, each a series of versions named by their number."""
+    """Tables under a folder. One writer at a time; a second one's commit raises."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._pending: dict | None = None
+        self._scratch: Scratch | None = None
 
     def _path(self, *parts: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
-    def _version(self, table: str) -> int:
-        path = self._path(table)
-        files = path.getFileSystem(self._conf)
-        if not files.exists(path):
-            return 0
-        done = [int(s.getPath().getName()) for s in files.listStatus(path) if files.exists(self._path(table, s.getPath().getName(), "_SUCCESS"))]
-        return max(done, default=0)
+    def _files(self):
+        return self._path().getFileSystem(self._conf)
+
+    # Manifests: {table: [[part, columns], ...]} and for matches {concept: [part, columns]}.
+
+    def _manifests(self) -> list[int]:
+        folder, files = self._path("manifests"), self._files()
+        if not files.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def _load(self, number: int) -> dict:
+        stream = self._files().open(self._path("manifests", f"{number}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _state(self) -> dict:
+        if self._pending is not None:
+            return self._pending
+        numbers = self._manifests()
+        return self._load(numbers[-1]) if numbers else {}
+
+    @contextmanager
+    def change(self):
+        """What is written inside becomes visible to others at the end, all at once; nothing of it after an error."""
+        if self._pending is not None:
+            yield self
+            return
+        numbers = self._manifests()
+        before = self._load(numbers[-1]) if numbers else {}
+        self._pending, self._scratch = json.loads(json.dumps(before)), Scratch(self.spark, "change")
+        try:
+            yield self
+            if self._pending != before:
+                self._commit((numbers[-1] if numbers else 0) + 1, self._pending)
+        finally:
+            self._scratch.clear()
+            self._pending = self._scratch = None
+
+    def _commit(self, number: int, state: dict) -> None:
+        files, target = self._files(), self._path("manifests", f"{number}.json")
+        if files.exists(target):
+            raise RuntimeError(f"{self.root} was changed by another writer")
+        written = self._path("manifests", f".{uuid.uuid4().hex}")
+        out = files.create(written, False)
+        out.write(json.dumps(state).encode())
+        out.close()
+        if not files.rename(written, target):
+            raise RuntimeError(f"{self.root} was changed by another writer")
+
+    def vacuum(self, manifests: int = 2) -> int:
+        """Delete the parts that the latest manifests don't name, and older manifests; returns how many parts."""
+        numbers, files = self._manifests(), self._files()
+        named = set()
+        for n in numbers[-manifests:]:
+            for parts in self._load(n).values():
+                named |= {p[0] for p in (parts.values() if isinstance(parts, dict) else parts)}
+        gone = 0
+        for table in TABLES:
+            folder = self._path(table)
+            for status in files.listStatus(folder) if files.exists(folder) else []:
+                if f"{table}/{status.getPath().getName()}" not in named:
+                    gone += files.delete(status.getPath(), True)
+        for n in numbers[:-manifests]:
+            files.delete(self._path("manifests", f"{n}.json"), False)
+        return gone
+
+    def _held(self, table: str) -> bool:
+        return bool(self._state().get(table))
+
+    def _part(self, table: str, df: DataFrame) -> list:
+        """Write a part; its name and columns."""
+        name = f"{table}/{uuid.uuid4().hex}"
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy("concept_id") if table == MATCHES else writer).parquet(f"{self.root}/{name}")
+        return [name, df.columns]
 
     def read(self, name: str) -> DataFrame:
-        version = self._version(name)
-        if not version:
+        """A table as of now."""
+        held = self._state().get(name)
+        if not held:
             return self.spark.createDataFrame([], TABLES[name])
-        return migrate(self.spark.read.parquet(f"{self.root}/{name}/{version}"), name)
-
+        alike: dict[tuple, list[str]] = {}
+        if name == MATCHES:
+            for concept, (part, columns) in held.items():
+                alike.setdefault((part, *columns), []).append(f"{self.root}/{part}/concept_id={concept}")
+            frames = [self.spark.read.option("basePath", f"{self.root}/{part}").schema(TABLES[name]).parquet(*paths) for (part, *_), paths in alike.items()]
+        else:
+            for part, columns in held:
+                alike.setdefault(tuple(columns), []).append(f"{self.root}/{part}")
+            frames = [self.spark.read.parquet(*paths) for paths in alike.values()]
+        out = migrate(frames[0], name)
+        for frame in frames[1:]:
+            out = out.unionByName(migrate(frame, name))
+        return out
+
+    @_change
     def write(self, name: str, df: DataFrame) -> None:
-        migrate(df, name).write.mode("errorifexists").parquet(f"{self.root}/{name}/{self._version(name) + 1}")
+        """Replace a table."""
+        part = self._part(name, migrate(df, name))
+        self._pending[name] = self._concepts_of(part) if name == MATCHES else [part]
+
+    def _concepts_of(self, part: list) -> dict:
+        """The concepts that a part of matches has rows of."""
+        names = [s.getPath().getName() for s in self._files().listStatus(self._path(part[0]))]
+        return {n.removeprefix("concept_id="): part for n in names if n.startswith("concept_id=")}
+
+    @_change
+    def append(self, table: str, rows: DataFrame) -> None:
+        held = self._state().get(table, [])
+        if table == MATCHES or len(held) >= MOST_PARTS:
+            self.write(table, self.read(table).unionByName(migrate(rows, table)))
+        else:
+            self._pending[table] = [*held, self._part(table, migrate(rows, table))]
+
+    def _without(self, table: str, gone: DataFrame, *by: str) -> None:
+        """Delete the rows of a table that agree with ``gone``; a table without such rows is left alone."""
+        if self._held(table) and not self.read(table).join(gone, list(by), "left_semi").isEmpty():
+            self.write(table, self.read(table).join(gone, list(by), "left_anti"))
+
+    def _last_id(self, table: str) -> int:
+        return self.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+    def _numbered(self, rows: DataFrame, table: str, *order: str) -> DataFrame:
+        """``rows`` with ids from the table's last + 1 on, dense, in order; numbered within ranges, which are
+        then shifted by the ranges before them, so no task sees all rows."""
+        from pyspark.sql import Window
+
+        after = self._last_id(table)
+        parts = self._scratch.keep(rows.drop("id").repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
+        sizes = parts.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_before")  # a row per task
+        own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+        return parts.join(F.broadcast(sizes), "_part").withColumn("id", (own + F.col("_before") + after).cast("long")).drop("_part", "_before")
 
     # Files and what hangs on them.
 
+    @_change
     def upsert_files(self, rows: DataFrame) -> DataFrame:
         """Insert or replace files by path; ids stay. What was derived from a replaced file's content
         (embeddings, faces, matches) goes, corrections stay. Returns the rows with their ids."""
         files = self.read("files")
         known = files.select("path", F.col("id").alias("old"))
-        first = files.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        joined = rows.drop("id").join(known, "path", "left")
+        joined = self._scratch.keep(rows.drop("id").dropDuplicates(["path"]).join(known, "path", "left"))
         old = joined.filter("old is not null").withColumnRenamed("old", "id")
-        fresh = joined.filter("old is null").drop("old")
-        fresh = _numbered(fresh, first, "path")
-        new = migrate(old.unionByName(fresh), "files")
-        replaced = old.select(F.col("id").alias("file_id"))
-        for table in ("embeddings", "file_faces", "file_concepts"):
-            if self._version(table):
-                self.write(table, self.read(table).join(replaced, "file_id", "left_anti"))
-        self.write("files", files.join(rows.select("path"), "path", "left_anti").unionByName(new))
+        fresh = self._numbered(joined.filter("old is null").drop("old"), "files", "path")
+        if not old.isEmpty():
+            replaced = old.select(F.col("id").alias("file_id"))
+            for table in ("embeddings", "file_faces", MATCHES):
+                self._without(table, replaced, "file_id")
+            self.write("files", files.join(old.select("path"), "path", "left_anti").unionByName(migrate(old, "files")))
+        self.append("files", fresh)
         return self.read("files").join(rows.select("path"), "path", "left_semi")
 
+    @_change
     def forget(self, gone: DataFrame) -> int:
         """Delete files (id) with everything that hangs on them; returns how many."""
         files = self.read("files")
-        n = files.join(gone.select("id"), "id", "left_semi").count()
-        for table in ("embeddings", "file_faces", "file_concepts", "concept_overrides"):
-            if self._version(table):
-                self.write(table, self.read(table).join(gone.select(F.col("id").alias("file_id")), "file_id", "left_anti"))
-        self.write("files", files.join(gone.select("id"), "id", "left_anti"))
-        return n
+        gone = self._scratch.keep(files.join(gone.select("id"), "id", "left_semi").select("id"))
+        for table in ("embeddings", "file_faces", MATCHES, "concept_overrides"):
+            self._without(table, gone.select(F.col("id").alias("file_id")), "file_id")
+        self._without("files", gone, "id")
+        return gone.count()
 
+    @_change
     def rename_files(self, renames: DataFrame) -> None:
         """Change paths (source, target) in the index; a file already at the target gives way."""
         files = self.read("files").join(renames.select(F.col("target").alias("path")), "path", "left_anti")
         moved = files.join(renames.withColumnsRenamed({"source": "path", "target": "new"}).select("path", "new"), "path", "left")
         self.write("files", moved.withColumn("path", F.coalesce("new", "path")))
 
+    @_change
     def add_embeddings(self, rows: DataFrame) -> None:
         """Append vectors from rows of parallel lists (file_id, vectors, frame_times, boxes); lists of
         different lengths raise."""
         uneven = rows.filter((F.size("vectors") != F.size("frame_times")) | (F.size("vectors") != F.size("boxes"))).head(1)
         if uneven:
             raise ValueError(f"file {uneven[0]['file_id']}: vectors, times and boxes differ in number")
-        old = self.read("embeddings")
         each = rows.select("file_id", F.explode(F.arrays_zip("vectors", "frame_times", "boxes")).alias("e"))
         each = each.select("file_id", F.col("e.vectors").alias("vector"), F.col("e.frame_times").alias("frame_time"), F.col("e.boxes").alias("box"))
-        first = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        self.write("embeddings", old.unionByName(migrate(_numbered(each, first, "file_id", "frame_time"), "embeddings")))
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(migrate(rows, table)))
+        self.append("embeddings", self._numbered(each, "embeddings", "file_id", "frame_time"))
 
     # Concepts, corrections, people.
 
+    @_change
     def save_concepts(self, rows: DataFrame) -> None:
         """Insert or replace concepts by name: prototype, threshold and count are replaced; id,
         destinations and phrase stay."""
-        old, first = self.read("concepts"), self.read("concepts").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        old = self.read("concepts")
         new = rows.select("name", F.col("prototype").alias("p"), F.col("threshold").alias("t"), F.col("n_examples").alias("n"))
         kept = old.join(new, "name", "left").withColumns({"prototype": F.coalesce("p", "prototype"), "threshold": F.coalesce("t", "threshold"), "n_examples": F.coalesce("n", "n_examples")})
-        added = _numbered(rows.join(old.select("name"), "name", "left_anti"), first, "name")
+        added = self._numbered(rows.join(old.select("name"), "name", "left_anti"), "concepts", "name")
         self.write("concepts", migrate(kept, "concepts").unionByName(migrate(added, "concepts")))
 
+    @_change
     def update_concept(self, name: str, **values: str | None) -> None:
         """Set destination, inverse_destination or verify_phrase; empty clears."""
         columns = {k: F.when(F.col("name") == name, F.lit(v or None).cast("string")).otherwise(F.col(k)) for k, v in values.items()}
         self.write("concepts", self.read("concepts").withColumns(columns))
 
+    @_change
     def delete_concept(self, name: str) -> bool:
         """Delete a concept with its matches, corrections and rejections; whether there was one."""
         gone = self.read("concepts").filter(F.col("name") == name).select("id")
         ids = [r["id"] for r in gone.limit(2).collect()]
-        for table in ("file_concepts", "concept_overrides", "concept_rejections"):
-            if ids and self._version(table):
+        for table in ("concept_overrides", "concept_rejections"):
+            if ids and self._held(table):
                 self.write(table, self.read(table).filter(~F.col("concept_id").isin(ids)))
         if ids:
+            self._pending[MATCHES] = {c: part for c, part in self._state().get(MATCHES, {}).items() if int(c) not in ids}
             self.write("concepts", self.read("concepts").filter(~F.col("id").isin(ids)))
         return bool(ids)
 
+    @_change
     def replace_matches(self, concept_ids: list[int], matches: DataFrame) -> None:
-        """Replace all matches of some concepts; an empty set clears them. The last score wins."""
-        kept = self.read("file_concepts").filter(~F.col("concept_id").isin(list(concept_ids)))
-        one = matches.groupBy("file_id", "concept_id").agg(F.last("score").alias("score"))
-        self.write("file_concepts", kept.unionByName(migrate(one, "file_concepts")))
-
+        """Replace all matches of some concepts; an empty set clears them. Of several scores of a pair
+        the largest counts. Matches of other concepts are neither read nor written."""
+        own = [int(c) for c in concept_ids]
+        one = matches.filter(F.col("concept_id").isin(own)).groupBy("file_id", "concept_id").agg(F.max("score").alias("score"))
+        new = self._concepts_of(self._part(MATCHES, migrate(one, MATCHES)))
+        kept = {c: part for c, part in self._state().get(MATCHES, {}).items() if int(c) not in own}
+        self._pending[MATCHES] = kept | new
+
+    @_change
     def add_rejections(self, rows: DataFrame) -> None:
         self.write("concept_rejections", self.read("concept_rejections").unionByName(migrate(rows, "concept_rejections")).dropDuplicates(["concept_id", "path"]))
 
+    @_change
     def clear_rejections(self, rows: DataFrame) -> None:
         self.write("concept_rejections", self.read("concept_rejections").join(rows, ["concept_id", "path"], "left_anti"))
 
+    @_change
     def set_overrides(self, rows: DataFrame) -> None:
         """The given states replace earlier ones; a null state clears."""
         kept = self.read("concept_overrides").join(rows, ["file_id", "concept_id"], "left_anti")
+        bad = rows.filter(F.col("state").isNotNull() & ~F.col("state").isin("on", "off")).head(1)
+        if bad:
+            raise ValueError(f"state must be on, off or null, got {bad[0]['state']!r}")
         self.write("concept_overrides", kept.unionByName(migrate(rows.filter("state is not null"), "concept_overrides")))
 
+    @_change
+    def log_overrides(self, entries: DataFrame) -> None:
+        """Apply entries of a log of corrections (file_id, concept_id, state, ts, event_id): for each pair
+        the latest entry of these and earlier calls holds; a null state clears."""
+        pair, order = ["file_id", "concept_id"], F.struct("ts", "event_id")
+        last = lambda rows: rows.groupBy(*pair).agg(F.max_by(F.struct("state", "ts", "event_id"), order).alias("last")).select(*pair, "last.*")
+        known = self.read("override_times")
+        entries = self._scratch.keep(migrate(entries, "override_times"))
+        latest = self._scratch.keep(last(known.join(entries, pair, "left_semi").unionByName(entries)))
+        self.set_overrides(latest.select(*pair, "state"))
+        self.write("override_times", known.join(latest, pair, "left_anti").unionByName(latest))
+
+    @_change
     def replace_references(self, person_id: int, faces: DataFrame) -> None:
         """A person's reference faces, replaced; their number follows."""
         kept = self.read("person_faces").filter(F.col("person_id") != person_id)
@@ -141,6 +311,7 @@ class Catalog:
         n = self.read("person_faces").filter(F.col("person_id") == person_id).count()
         self.write("people", self.read("people").withColumn("n_examples", F.when(F.col("id") == person_id, F.lit(n)).otherwise(F.col("n_examples"))))
 
+    @_change
     def delete_person(self, name: str) -> bool:
         """Delete a person and their references; faces found stay, unassigned, with their score."""
         ids = [r["id"] for r in self.read("people").filter(F.col("name") == name).select("id").limit(2).collect()]
@@ -150,27 +321,29 @@ class Catalog:
             self.write("people", self.read("people").filter(~F.col("id").isin(ids)))
         return bool(ids)
 
+    @_change
     def upsert_person(self, name: str) -> int:
         """The id of a person, new or known."""
         people = self.read("people")
         found = people.filter(F.col("name") == name).head(1)
         if found:
             return found[0]["id"]
-        new = 1 + people.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        new = 1 + self._last_id("people")
         self.append("people", self.spark.createDataFrame([(new, name, 0)], "id long, name string, n_examples int"))
         return new
 
+    @_change
     def add_faces(self, rows: DataFrame) -> None:
         """Append found faces (file_id, vector, frame_time, bbox and, if matched, person_id and score)."""
-        old = self.read("file_faces")
-        first = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        self.write("file_faces", old.unionByName(migrate(_numbered(rows, first, "file_id", "bbox"), "file_faces")))
+        self.append("file_faces", self._numbered(rows, "file_faces", "file_id", "bbox"))
 
+    @_change
     def assign_face(self, face_id: int, person_id: int | None, score: float | None = None) -> None:
         own = F.col("id") == face_id
         columns = {"person_id": F.when(own, F.lit(person_id).cast("long")).otherwise(F.col("person_id")), "score": F.when(own, F.lit(score).cast("double")).otherwise(F.col("score"))}
         self.write("file_faces", self.read("file_faces").withColumns(columns))
 
+    @_change
     def set_setting(self, key: str, value: str) -> None:
         kept = self.read("meta").filter(F.col("key") != key)
         self.write("meta", kept.unionByName(self.spark.createDataFrame([(key, value)], TABLES["meta"])))
@@ -178,14 +351,3 @@ class Catalog:
     def setting(self, key: str, default: str | None = None) -> str | None:
         found = self.read("meta").filter(F.col("key") == key).head(1)
         return found[0]["value"] if found else default
-
-
-def _numbered(rows: DataFrame, after: int, *order: str) -> DataFrame:
-    """``rows`` with ids from ``after`` + 1 on, dense, in order; numbered within ranges, which are then
-    shifted by the ranges before them, so no task sees all rows."""
-    from pyspark.sql import Window
-
-    parts = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = parts.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_before")  # a row per task
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(F.broadcast(sizes), "_part").withColumn("id", (own + F.col("_before") + after).cast("long")).drop("_part", "_before")

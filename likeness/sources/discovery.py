@@ -2,17 +2,58 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from likeness.functions import paths
+from likeness.sources.scratch import Scratch
 
 SAMPLES = 8
 
 
+_ENTRY = "path string, size long, mtime_ns long, folder boolean"
+
+
+def _inside(found, prefix: str):
+    """Arrow columns of :data:`_ENTRY` for what a file system reports; symbolic links that lead nowhere are left out."""
+    rows = [(prefix + i.path, i.size or 0, i.mtime_ns, i.type == fs.FileType.Directory) for i in found if i.type in (fs.FileType.File, fs.FileType.Directory)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], [f.split()[0] for f in _ENTRY.split(", ")])
+
+
+def _opened(uri: str):
+    """File system, path and what stands before paths in it (nothing for local ones)."""
+    files, base = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + quote(uri.removeprefix("file:")))
+    return files, base, "" if isinstance(files, fs.LocalFileSystem) else uri[: uri.index("://") + 3]
+
+
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, size, mtime_ns of all files under a folder (or of one file), without reading contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    """path, size, mtime_ns of all files under a folder (or of one file), without reading contents and
+    whatever their names begin with. Folders are listed level by level, each level's by many tasks."""
+    files, base, prefix = _opened(root.rstrip("/") or "/")
+    first = files.get_file_info(base)
+    if first.type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    scratch = Scratch(spark, "listing")
+    level = spark.createDataFrame(pa.Table.from_batches([_inside([first], prefix)]).to_pylist(), _ENTRY)
+    levels = [level]
+
+    def children(batches):
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                files, base, prefix = _opened(folder)
+                yield _inside(files.get_file_info(fs.FileSelector(base, allow_not_found=True)), prefix)
+
+    while not level.filter("folder").isEmpty() and (recursive or len(levels) == 1):
+        level = scratch.keep(level.filter("folder").select("path").repartition("path").mapInArrow(children, _ENTRY))
+        levels.append(level)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.filter("not folder").drop("folder")
 
 
 def media(files: DataFrame, root: str) -> DataFrame:

@@ -12,6 +12,7 @@ TABLES = {
     "concepts": "id long, name string, threshold double, n_examples int, prototype array<float>, destination string, verify_phrase string, inverse_destination string, created_at timestamp",
     "file_concepts": "file_id long, concept_id long, score double",
     "concept_overrides": "file_id long, concept_id long, state string",
+    "override_times": "file_id long, concept_id long, state string, ts timestamp, event_id long",
     "concept_rejections": "concept_id long, path string",
     "people": "id long, name string, n_examples int, created_at timestamp",
     "person_faces": "id long, person_id long, vector array<float>, source string",

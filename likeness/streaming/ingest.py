@@ -24,10 +24,17 @@ def index_batch(catalog: Catalog, found: DataFrame, embed: Callable[[DataFrame],
     done = scratch.keep(embed(todo.select("path", "kind")))
     fine = done.filter("error is null")
     rows = todo.join(fine.select("path"), "path", "left_semi").withColumn("samples", wanted_samples(F.col("kind"), samples)).withColumn("indexed_at", F.current_timestamp())
-    ids = catalog.upsert_files(rows).select("path", F.col("id").alias("file_id"))
-    catalog.add_embeddings(fine.join(ids, "path").select("file_id", "vectors", "frame_times", "boxes"))
-    n = done.agg(F.count("*").alias("n"), F.count("error").alias("failed"), F.coalesce(F.sum(F.when(F.col("error").isNull(), F.size("vectors"))), F.lit(0)).alias("frames")).first()
-    return {"scanned": found.count(), "indexed": n["n"] - n["failed"], "failed": n["failed"], "frames": n["frames"], "unchanged": found.count() - todo.count()}
+    with catalog.change():
+        ids = catalog.upsert_files(rows).select("path", F.col("id").alias("file_id"))
+        catalog.add_embeddings(fine.join(ids, "path").select("file_id", "vectors", "frame_times", "boxes"))
+    whole = F.size(F.filter("boxes", lambda b: b.isNull() | (b == "")))  # vectors of whole frames have no box
+    n = done.agg(
+        F.count("*").alias("n"), F.count("error").alias("failed"), F.coalesce(F.sum(F.when(F.col("error").isNull(), whole)), F.lit(0)).alias("frames"),
+        F.coalesce(F.sum(F.when(F.col("error").isNull(), F.size("vectors") - whole)), F.lit(0)).alias("regions")).first()
+    scanned = found.count()
+    counts = {"scanned": scanned, "indexed": n["n"] - n["failed"], "failed": n["failed"], "frames": n["frames"], "regions": n["regions"], "faces": 0, "named": 0, "unchanged": scanned - todo.count()}
+    scratch.clear()
+    return counts
 
 
 def index_stream(stream: DataFrame, catalog: Catalog, embed: Callable[[DataFrame], DataFrame], checkpoint: str, samples: int = 8):
@@ -36,11 +43,16 @@ def index_stream(stream: DataFrame, catalog: Catalog, embed: Callable[[DataFrame
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: index_batch(catalog, batch, embed, samples) and None).start()
 
 
-def latest_states(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """file_id, concept_id, state: the latest of a stream of corrections (file_id, concept_id, state,
-    ts, event_id); use with output mode update. Events later than the delay are left out."""
-    last = F.max_by(F.struct("state"), F.struct("ts", "event_id")).alias("last")
-    return stream.withWatermark("ts", delay).groupBy("file_id", "concept_id").agg(last).select("file_id", "concept_id", "last.state")
+def correct_stream(stream: DataFrame, catalog: Catalog, checkpoint: str):
+    """A query that applies a stream of corrections (file_id, concept_id, state, ts, event_id) to the
+    catalogue, batch by batch: of each pair the latest entry counts. What is known of a pair lies in the
+    catalogue's log of corrections and not in the query's state, so that doesn't grow, however late an
+    event is; an entry older than the one that holds changes nothing, so batches can be applied again."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        catalog.log_overrides(batch.select("file_id", "concept_id", "state", "ts", "event_id"))
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).start()
 
 
 def activity(stream: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from likeness.__main__ import main
 from likeness.plans import renames
 from likeness.service import Service
+from likeness.sources import discovery
 from likeness.sources.catalog import Catalog
 from likeness.sources.plugins import HashEmbedder
 
@@ -53,20 +54,49 @@ def test_teach_score_correct_and_organize(service):
     assert {os.path.basename(r.path): list(r.tags) for r in s.effective_tags().collect()} == got
     assert {os.path.basename(r.path) for r in s.with_tags(["reds"], effective=True).collect()} >= {"blue_1.jpg", "red_4.jpg"}
 
-    listing = s.spark.createDataFrame([(s.path(n),) for n in os.listdir(s.folder)], "path string")
-    assert s.organize("rename", s.folder, dry_run=True, listing=listing)["changed"] == 6 and "red_1.jpg" in os.listdir(s.folder)
-    out = s.organize("rename", s.folder, listing=listing)
+    assert s.organize("rename", s.folder, dry_run=True)["changed"] == 6 and "red_1.jpg" in os.listdir(s.folder)
+    out = s.organize("rename", s.folder)
     assert out["changed"] == 6 and {"red_3 [reds].jpg", "red_3 [reds].aae", "blue_1 [reds].jpg", "red_5.jpg"} <= set(os.listdir(s.folder))
     assert s.pending() == 0
     assert s.undo(s.folder) == 6 and {"red_3.jpg", "red_3.aae"} <= set(os.listdir(s.folder)) and renames.read_journal(s.folder) == []
     s.catalog.update_concept("reds", destination=s.folder + "/filed")
-    moved = s.organize("move", s.folder, listing=listing)
-    assert {"red_3.jpg", "red_3.aae", "blue_1.jpg"} <= set(os.listdir(s.folder + "/filed")) and not moved["errors"]
-    assert s.organize("move", s.folder)["changed"] == 0
+    os.mkdir(s.folder + "/filed")
+    for name, data in (("red_3.jpg", b"red_3.jpg"), ("red_4.jpg", b"another")):
+        with open(f"{s.folder}/filed/{name}", "wb") as f:
+            f.write(data)
+    moved = s.organize("move", s.folder)
+    assert {"red_3.aae", "blue_1.jpg", "red_4.jpg", "red_4 (lib).jpg"} <= set(os.listdir(s.folder + "/filed")) and not moved["errors"] and moved["already_filed"] == 1
+    assert "red_3.jpg" in os.listdir(s.folder) and s.organize("move", s.folder)["changed"] == 0
     with pytest.raises(ValueError):
         s.organize("burn")
 
 
+def test_names_that_begin_with_an_underscore_are_listed(service):
+    s = service
+    for name in ("_DSC1.jpg", "_DSC1.xmp", ".hidden.jpg"):
+        with open(s.path(name), "wb") as f:
+            f.write(b"x")
+    os.mkdir(s.path("_sub"))
+    with open(s.path("_sub/a b%20.png"), "wb") as f:
+        f.write(b"x")
+    found = {r.path for r in discovery.listing(s.spark, s.folder).collect()}
+    assert {s.path("_DSC1.jpg"), s.path("_DSC1.xmp"), s.path("_sub/a b%20.png"), s.path("red_3.aae")} <= found
+    assert s.index(s.folder)["indexed"] == 13
+
+
+def test_long_lists_are_answered_in_full(service):
+    from likeness.server import Api
+
+    s, n = service, 1200
+    rows = [(i, f"/lib/{i:04d}.jpg", "image", 1, 1) for i in range(n)]
+    s.catalog.append("files", s.spark.createDataFrame(rows, "id long, path string, kind string, size long, mtime_ns long"))
+    api = Api(s)
+    assert len(api.call("GET", "/api/library", {})[1]) == n
+    page = api.call("GET", "/api/library?offset=1100&limit=50", {})[1]
+    assert [r["path"] for r in page] == [f"/lib/{i:04d}.jpg" for i in range(1100, 1150)]
+    assert api.call("POST", "/api/people", {"name": "ann", "paths": []})[0] == 400
+
+
 def test_review_and_negatives(service):
     s = service
     s.index(s.folder)

@@ -43,6 +43,45 @@ def test_upserts_keep_ids_and_corrections_and_clear_what_was_derived(spark, cata
         catalog.add_embeddings(spark.createDataFrame([(1, [[1.0]], [], [])], "file_id long, vectors array<array<float>>, frame_times array<double>, boxes array<string>"))
 
 
+def _matches(spark, *rows):
+    return spark.createDataFrame(list(rows), schema.TABLES["file_concepts"])
+
+
+def test_changes_are_seen_whole_or_not_at_all(spark, catalog):
+    catalog.upsert_files(_files(spark, ("/a.jpg", 1, 1)))
+    with pytest.raises(RuntimeError, match="half way"), catalog.change():
+        catalog.upsert_files(_files(spark, ("/b.jpg", 1, 1)))
+        assert catalog.read("files").count() == 2 and Catalog(spark, catalog.root).read("files").count() == 1
+        raise RuntimeError("half way")
+    assert catalog.read("files").count() == 1
+    before = catalog.read("files")
+    catalog.upsert_files(_files(spark, ("/a.jpg", 5, 5), ("/c.jpg", 1, 1)))
+    assert before.count() == 1 and before.first()["size"] == 1  # what is being read stays
+    other, number = Catalog(spark, catalog.root), catalog._manifests()[-1]
+    with pytest.raises(RuntimeError, match="another writer"), catalog.change():
+        catalog.set_setting("k", "v")
+        other.set_setting("k", "w")
+    assert catalog.setting("k") == "w" and catalog._manifests()[-1] == number + 1
+
+
+def test_appends_and_replaced_matches_leave_other_parts_alone(spark, catalog):
+    for n in range(3):
+        catalog.add_embeddings(spark.createDataFrame([(n, [[1.0]], [0.0], [None])], "file_id long, vectors array<array<float>>, frame_times array<double>, boxes array<string>"))
+    parts = catalog._state()["embeddings"]
+    assert len(parts) == 3 and sorted(r.id for r in catalog.read("embeddings").collect()) == [1, 2, 3]
+    catalog.replace_matches([1, 2], _matches(spark, (1, 1, 0.5), (1, 2, 0.6), (9, 3, 1.0)))
+    held = catalog._state()["file_concepts"]
+    catalog.replace_matches([2, 4], _matches(spark, (5, 2, 0.7), (5, 2, 0.8)))
+    now = catalog._state()["file_concepts"]
+    assert now["1"] == held["1"] and now["2"] != held["2"] and set(now) == {"1", "2"}
+    assert {(r.file_id, r.concept_id, r.score) for r in catalog.read("file_concepts").collect()} == {(1, 1, 0.5), (5, 2, 0.8)}
+    catalog.forget(spark.createDataFrame([(77,)], "id long"))
+    assert catalog._state()["embeddings"] == parts
+    assert catalog.vacuum(1) == 0
+    catalog.replace_matches([1, 2], _matches(spark, (1, 1, 0.5)))
+    assert catalog.vacuum(1) == 2 and catalog.read("file_concepts").count() == 1 and len(catalog._manifests()) == 1
+
+
 def test_concepts(spark, catalog):
     kind = "name string, prototype array<float>, threshold double, n_examples int"
     catalog.save_concepts(spark.createDataFrame([("b", [1.0], 0.7, 3), ("a", [2.0], 0.8, 4)], kind))
@@ -101,9 +140,9 @@ def test_index_passes_skip_what_is_unchanged(spark, catalog):
 
     first = _files(spark, ("/a.jpg", 1, 1), ("/bad.jpg", 1, 1), ("/c.mov", 1, 1))
     embed = _embed(Picky(4))
-    assert ingest.index_batch(catalog, first, embed) == {"scanned": 3, "indexed": 2, "failed": 1, "frames": 2, "unchanged": 0}
+    assert ingest.index_batch(catalog, first, embed) == {"scanned": 3, "indexed": 2, "failed": 1, "frames": 2, "regions": 0, "faces": 0, "named": 0, "unchanged": 0}
     second = _files(spark, ("/a.jpg", 1, 1), ("/c.mov", 2, 1), ("/d.jpg", 1, 1))
-    assert ingest.index_batch(catalog, second, embed) == {"scanned": 3, "indexed": 2, "failed": 0, "frames": 2, "unchanged": 1}
+    assert ingest.index_batch(catalog, second, embed) == {"scanned": 3, "indexed": 2, "failed": 0, "frames": 2, "regions": 0, "faces": 0, "named": 0, "unchanged": 1}
     assert catalog.read("embeddings").count() == 3
     assert discovery.changed(second, catalog.read("files"), catalog.read("embeddings"), samples=9).count() == 1
     assert discovery.changed(second, catalog.read("files"), catalog.read("embeddings"), force=True).count() == 3
@@ -125,13 +164,18 @@ def test_stream_of_corrections(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id file_id", "event_id % 10 concept_id", "case event_type when 'click' then 'on' when 'error' then 'off' end state", "cast(ts as timestamp) ts", "event_id")
     events.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
-    q = ingest.latest_states(stream, "60 days").writeStream.outputMode("complete").format("memory").queryName("states").start()
-    q.processAllAvailable()
-    q.stop()
+    catalog = Catalog(spark, f"file://{tmp_path}/library")
+    for _ in range(2):  # a second query over the same files applies each batch again
+        q = ingest.correct_stream(stream, catalog, f"{tmp_path}/cp{_}")
+        q.processAllAvailable()
+        q.stop()
     from likeness.operators.tags import latest_overrides
 
-    want = latest_overrides(events, ["ts", "event_id"])
-    assert sorted(map(str, spark.table("states").collect())) == sorted(map(str, want.collect()))
+    want = latest_overrides(events, ["ts", "event_id"]).filter("state is not null")
+    assert sorted(map(str, catalog.read("concept_overrides").collect())) == sorted(map(str, want.collect()))
+    late = events.limit(1).selectExpr("file_id", "concept_id", "'off' state", "timestamp '1999-01-01' ts", "event_id")
+    catalog.log_overrides(late)
+    assert catalog.read("concept_overrides").count() == want.count()
     q = ingest.activity(stream, "1 day", "1 hour").writeStream.outputMode("complete").format("memory").queryName("days").start()
     q.processAllAvailable()
     q.stop()
@@ -153,6 +197,13 @@ def test_moves(spark):
 def test_collisions(spark):
     plans = spark.createDataFrame([("/trip/1.jpg", "/o/1.jpg", b"a"), ("/photos/1.jpg", "/o/1.jpg", b"b"), ("/x/2.jpg", "/o/2.jpg", b"c"), ("/dcim/3.jpg", "/o/3.jpg", b"d")], "source string, target string, content_hash binary")
     held = spark.createDataFrame([("/o/2.jpg", b"c"), ("/o/3.jpg", b"z"), ("/o/1.jpg", b"q")], "path string, content_hash binary")
+    rows = [(f"/{folder}/x.jpg", "/o/x.jpg", None) for folder in ("dcim", "temp", "trip", "photos", "trip2")] + [("/a/trip/x.jpg", "/o/x.jpg", None), ("/q/x (trip2).jpg", "/o/x (trip2).jpg", None), ("/q/x-3.jpg", "/o/x-3.jpg", None)]
+    more = spark.createDataFrame(rows, plans.schema)
+    names = [(r.source, r.target) for r in renames.resolve_collisions(more, spark.createDataFrame([("/o/x-2.jpg", None), ("/o/x-5.jpg", None)], held.schema)).collect()]
+    assert len({t for _, t in names}) == len(names) == 8 and dict(names) == {
+        "/a/trip/x.jpg": "/o/x.jpg", "/dcim/x.jpg": "/o/x-4.jpg", "/photos/x.jpg": "/o/x-6.jpg", "/temp/x.jpg": "/o/x-7.jpg", "/trip/x.jpg": "/o/x (trip).jpg", "/trip2/x.jpg": "/o/x-8.jpg",
+        "/q/x (trip2).jpg": "/o/x (trip2).jpg", "/q/x-3.jpg": "/o/x-3.jpg",
+    }
     got = {r.source: (r.target, r.filed) for r in renames.resolve_collisions(plans, held).collect()}
     assert got == {"/trip/1.jpg": ("/o/1 (trip).jpg", False), "/photos/1.jpg": ("/o/1-2.jpg", False), "/x/2.jpg": ("/o/2.jpg", True), "/dcim/3.jpg": ("/o/3-2.jpg", False)}
     assert {r.source for r in renames.blocked(spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")).collect()} == {"a"}
