@@ -321,7 +321,7 @@ def largest_face(lib):
 def _texts(lib):
     d = lib.table("documents")
     name = F.format_string("/docs/%s/doc%d%s.txt", F.col("source"), F.expr("doc_id div 3"), F.when(F.col("doc_id") % 3 == 1, " copy").when(F.col("doc_id") % 3 == 2, "_edit").otherwise(""))
-    return d.select(F.col("doc_id").alias("id"), name.alias("path"), F.unhex(F.md5("text")).alias("content_hash"), (F.col("n_chars") % 5).alias("pixels"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime_ns"))
+    return d.select(F.col("doc_id").alias("id"), name.alias("path"), hashing.content_hash(F.encode("text", "utf-8")).alias("content_hash"), (F.col("n_chars") % 5).alias("pixels"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime_ns"))
 
 
 _TEXTS = """files AS (SELECT doc_id AS id, format('/docs/{}/doc{}{}.txt', source, doc_id // 3, CASE doc_id % 3 WHEN 1 THEN ' copy' WHEN 2 THEN '_edit' ELSE '' END) AS path,
@@ -332,10 +332,10 @@ members AS (SELECT named.*, {'a': -pixels, 'b': regexp_matches(stem, '(?i)\\bcop
     'c': len(list_filter(stems, lambda s: s <> stem AND starts_with(stem, s))) > 0, 'd': length(name), 'e': -size, 'f': mtime_ns, 'g': path} AS k FROM named JOIN groups USING (h))"""
 
 
-@query(f"WITH {_TEXTS} SELECT h AS content_hash, arg_min(path, k) AS keeper, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM members GROUP BY h")
+@query(f"WITH {_TEXTS} SELECT arg_min(path, k) AS keeper, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM members GROUP BY h")
 def exact_duplicates(lib):
     found = duplicates.exact_groups(_texts(lib))
-    return found.select(F.lower(F.hex("content_hash")).alias("content_hash"), "keeper", "n", F.array_join("paths", "|").alias("paths"))
+    return found.select("keeper", "n", F.array_join("paths", "|").alias("paths"))
 
 
 @query(f"WITH {_TEXTS}, kept AS (SELECT h, arg_min(path, k) AS keeper FROM members GROUP BY h) SELECT keeper, path FROM members JOIN kept USING (h) WHERE path <> keeper")
@@ -378,13 +378,6 @@ def near_duplicates(lib):
     return found.select("group", rounded("distance"), "keeper", "n", F.array_join("paths", "|").alias("paths"))
 
 
-@query()
-def combined_duplicates(lib):
-    hashed = _hashed(lib).withColumn("content_hash", F.when(F.col("id") % 50 == 0, F.lit(b"same")))
-    both = duplicates.combine(duplicates.exact_groups(hashed), duplicates.near_groups(hashed, BITS_APART, [F.col("h")]))
-    return both.select("kind", rounded("distance"), "keeper", "n", F.array_join("paths", "|").alias("paths"))
-
-
 # Names, companions and plans.
 
 _KNOWN = ["Clay", "outdoor", "tag 3"]
@@ -418,11 +411,12 @@ def pending_renames(lib):
     return renames.plan_renames(_names(lib), _KNOWN)
 
 
-@query(r"""SELECT doc_id AS id, CASE WHEN c <> '' AND NOT regexp_matches(c, '[\[\]/\\]') AND NOT starts_with(c, '.') THEN c END AS tag
-FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1 + doc_id % 40, 12), '\s+', ' ', 'g')) AS c FROM documents)""")
+@query(r"""SELECT doc_id AS id, place::INT AS place, CASE WHEN c <> '' AND NOT regexp_matches(c, '[\[\]/\\]') AND NOT starts_with(c, '.') THEN c END AS tag
+FROM (SELECT doc_id, place, trim(regexp_replace(piece, '\s+', ' ', 'g')) AS c FROM (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS place FROM (SELECT doc_id, string_split(text, '.') AS pieces FROM documents)))""")
 def validate_tags(lib):
-    raw = F.substring(F.col("text"), (1 + F.col("doc_id") % 40).cast("int"), F.lit(12))
-    return lib.table("documents").select(F.col("doc_id").alias("id"), naming.clean_tag(raw).alias("tag"))
+    """Every sentence of the texts as a candidate."""
+    pieces = lib.table("documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", r"\.")).alias("at", "piece"))
+    return pieces.select("id", (F.col("at") + 1).alias("place"), naming.clean_tag(F.col("piece")).alias("tag"))
 
 
 def _pairs(lib):
@@ -538,9 +532,3 @@ def classify_paths(lib):
 def cosine_scan(lib):
     first = lib.embeddings.filter("id = 0").select("vector").first()[0]
     return lib.embeddings.select("id", F.round(cosine(F.col("vector"), F.array(*map(F.lit, first))), 6).alias("score"))
-
-
-@query()
-def perceptual_hashes(lib):
-    pixels = F.flatten(F.array_repeat(F.col("vector"), 64))
-    return lib.embeddings.select("id", F.hex(hashing.perceptual_hash(pixels)).alias("phash"))
