@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The filtering
 stages return the columns of ``documents``; the last returns where each piece of each kept document
 goes. Stages fit what they need on their own input.
+
+Null, empty and very long texts, rows without id, repeated rows, empty tables and further columns are
+as the operators' modules define them: null, empty and letterless texts go in the language stage; rows
+without id go through all stages like others (each for itself in the near-duplicate stage); of rows
+that share an id one stays there; further columns, also of clashing names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -48,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; what each keeps is written to the shared folder for the next."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

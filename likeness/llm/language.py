@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from likeness.llm.common import in_small_batches
 
 LENGTH = 128
 WIDTHS = (2, 3, 4)
@@ -217,7 +218,7 @@ def identifier(spark, tables: dict):
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out (remainder 1), lang_pred, score for every document."""
-    language = identifier(docs.sparkSession, fit(docs))
+    language = identifier(docs.sparkSession, fit(in_small_batches(docs)))
     found = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").select("doc_id", (remainder(3) == 1).alias("held_out"), language("text").alias("found"))
     return found.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")
 
@@ -225,7 +226,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents, with all their columns, that have a language found with a score of ``least``; all
     where no language could be learned."""
-    tables = fit(docs)
+    tables = fit(in_small_batches(docs))
     if not tables["classes"]:
         return docs
     found = identifier(docs.sparkSession, tables)(docs["text"])

@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from likeness.llm.common import in_small_batches
 from likeness.llm.pretokens import as_bytes
 
 MARK = "▁"
-TABLE_ENTRIES = 1 << 19
-KEPT_LENGTH = 256
+TABLE_ENTRIES = 1 << 17
+KEPT_LENGTH = 64
 
 
 def load(model: str):
@@ -95,4 +96,4 @@ def encode_and_decode(docs: DataFrame, model: str, with_ids: bool = False) -> Da
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *extra])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)

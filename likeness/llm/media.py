@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
+from likeness.llm.common import in_small_batches
 from likeness.sources.scratch import Scratch
 
 WIDTH = 576
@@ -148,7 +149,7 @@ def store(docs: DataFrame, root: str) -> DataFrame:
         finally:
             writer.close()
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, _PLACE)
+    return in_small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, _PLACE)
 
 
 def places(stored: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from likeness.llm.common import TaskTable, in_small_batches
 from likeness.sources.scratch import Scratch
 from likeness.operators.components import components
 
@@ -50,24 +51,21 @@ BLOCK = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Ids are broadcast up to this many and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-TABLE_WORDS = 1 << 19
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, for one task; bounded."""
+class WordHashes(TaskTable):
+    """Word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+        return self.put(word, xxhash.xxh64_intdigest(word))
 
 
 def shingle_set(text: str | None, width: int, table: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text; A-Z lower-cased."""
     words = text.encode("utf-8").lower().split() if text else []
-    if len(table) > TABLE_WORDS:
-        table.clear()
+    table.trim()
     codes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     if not width:
@@ -126,7 +124,7 @@ def _signed(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "signature"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature array<int>")
+    return in_small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature array<int>")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -281,16 +279,19 @@ class _Join:
         open_ = self._open()
         if not open_.isEmpty():
             self.merge(self._confirmed(self._short_pairs(open_)).unionByName(self._long_links(open_)))
+        self.scratch.drop(open_)
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, for every row."""
-    scratch = Scratch(docs.sparkSession, "near-duplicates")
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, for every row. The result
+    reads tables of ``scratch``."""
+    scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
     signed = scratch.keep(_signed(docs, width, coordinates))
     sets = signed.filter("doc_id is not null and high is not null")
     classes = scratch.keep(sets.groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
     join = _Join(docs, classes, width, percent, coordinates, scratch)
     join.run()
+    scratch.drop(join.postings)
     of_class = classes.select("high", "low", "id")
     several = _of_several_sets(signed, scratch)
     if several is not None:
@@ -331,8 +332,9 @@ def _repeated_once(docs: DataFrame, signed_ids: DataFrame, scratch: Scratch) ->
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, without those that are not the first of their component."""
-    scratch = Scratch(docs.sparkSession, "dropped")
-    found = scratch.keep(near_duplicates(docs, width, percent).select("doc_id", "kept"))
+    scratch, inner = Scratch(docs.sparkSession, "dropped"), Scratch(docs.sparkSession, "near-duplicates")
+    found = scratch.keep(near_duplicates(docs, width, percent, scratch=inner).select("doc_id", "kept"))
+    inner.clear()
     gone = scratch.keep(found.filter("not kept").select("doc_id").distinct())
     few = gone.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from likeness.llm.common import in_small_batches
 from likeness.llm.pretokens import PretokenTable, as_bytes, whole_tokens
 from likeness.sources.scratch import Scratch
 
@@ -58,7 +59,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: in
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names[: len(rows)])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, _PIECE + (", ids array<long>" if with_ids else ""))
+    return in_small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, _PIECE + (", ids array<long>" if with_ids else ""))
 
 
 class BestFit:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from likeness.llm.common import in_small_batches
 from likeness.llm.pretokens import PretokenTable, whole_tokens
 
 LIMIT = 1024
@@ -33,4 +34,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, n_tokens, pc.greater(n_tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

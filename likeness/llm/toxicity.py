@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from likeness.llm.common import TaskTable, in_small_batches
 from likeness.sources.scratch import Scratch
 
 ORDER = 5
@@ -51,7 +52,8 @@ BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 20_000
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows and joined by a shuffle beyond.
 BROADCAST_LABELS = 2_000_000
-TABLE_WORDS = 1 << 18
+#: Words that a counting task holds before it passes their counts on.
+COUNTED_WORDS = 1 << 17
 
 _BEGIN, _END = "\x02", "\x03"
 _words = re.compile(r"[^\W\d_]+").findall
@@ -97,16 +99,24 @@ def count_words(rows: DataFrame) -> DataFrame:
     names = ["toxic_n", "plain_n", "toxic_4", "plain_4"]
 
     def run(batches):
-        for batch in batches:
-            counts = {(toxic, fourth): Counter() for toxic in (1, 0) for fourth in (False, True)}
-            for text, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part"))):
-                counts[toxic, part == 4].update(_words((text or "").lower()))
+        counts = {(toxic, fourth): Counter() for toxic in (1, 0) for fourth in (False, True)}
+
+        def counted():
             words = list(set().union(*counts.values()))
             own = [[counts[toxic, True][w] for w in words] for toxic in (1, 0)]
             both = [[counts[toxic, False][w] + n for w, n in zip(words, held)] for toxic, held in zip((1, 0), own)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(n, pa.int64()) for n in (*both, *own))], ["word", *names])
+            for c in counts.values():
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(n, pa.int64()) for n in (*both, *own))], ["word", *names])
+
+        for batch in batches:
+            for text, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part"))):
+                counts[toxic, part == 4].update(_words((text or "").lower()))
+            if sum(map(len, counts.values())) > COUNTED_WORDS:
+                yield counted()
+        yield counted()
 
-    parts = rows.select("text", "toxic", "part").mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names))
+    parts = in_small_batches(rows).select("text", "toxic", "part").mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names))
     return parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
 
 
@@ -187,12 +197,12 @@ def _keys(words: Iterable[str], order: int = ORDER) -> tuple[np.ndarray, np.ndar
     return np.array(grams, np.uint64).view(np.int64), np.array(contexts, np.uint64).view(np.int64), np.array(ends)
 
 
-class WordTable(dict):
-    """Word -> log ratio, for one task; filled batch by batch, bounded."""
+class WordTable(TaskTable):
+    """Word -> log ratio; filled text by text."""
 
-    def __init__(self, model: Model, order: int = ORDER, entries: int = TABLE_WORDS):
+    def __init__(self, model: Model, order: int = ORDER):
         super().__init__()
-        self._model, self._order, self._entries = model, order, entries
+        self._model, self._order = model, order
 
     def _fill(self, words: list[str]) -> None:
         grams, contexts, ends = _keys(words, self._order)
@@ -200,12 +210,12 @@ class WordTable(dict):
         ratio, found = _look_up(m.grams, m.gram_ratio, grams)
         backed, _ = _look_up(m.contexts, m.context_ratio, contexts)
         total = np.concatenate([[0.0], np.cumsum(np.where(found, ratio, backed), dtype=np.float64)])
-        self.update(zip(words, (total[ends[1:]] - total[ends[:-1]]).tolist()))
+        for word, ratio in zip(words, (total[ends[1:]] - total[ends[:-1]]).tolist()):
+            self.put(word, ratio)
 
     def ratios(self, text: str) -> np.ndarray:
         words = _words(text.lower())
-        if len(self) > self._entries:
-            self.clear()
+        self.trim()
         new = [w for w in dict.fromkeys(words) if w not in self]
         if new:
             self._fill(new)
