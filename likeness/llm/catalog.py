@@ -46,6 +46,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over the tables' urls with planted redirects (each page whose id has a remainder of
+    1 or 2 modulo 4 to the next), since the pages' own html declares none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("target"))
+    edges = pages.filter("page_id % 4 in (1, 2)").join(following, "page_id").select(F.col("url").alias("source"), "target")
+    return judge(pages, URL_RULES, edges)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -72,12 +81,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_token_counts, op3_chat_format, op4_url_filter, op5_best_fit_packing, op6_media_columns, op7_marked_words, op8_language_id, op9_toxicity, op10_near_duplicates)
+    for f in (op1_nearest_neighbours, op2_token_counts, op3_chat_format, op4_url_filter, op5_best_fit_packing, op6_media_columns, op7_marked_words, op8_language_id, op9_toxicity, op10_near_duplicates, url_aliases)
 }
 
 _ESCAPED_LENGTH = r"""length({0}) + (length({0}) - length(replace({0}, chr(92), '')))
             + len(regexp_extract_all({0}, '<\|turn\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]'))"""
 
+_RULED = """
+        parts AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        named AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\?[^#]*)?', 1) AS query FROM parts),
+        ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM named)"""
+_BLOCKED = "('example.com/en/', 'net/es/', 'net/fr/')"
+
 #: Queries that learn, tokenize, search approximately or store media have none: tests hold them
 #: against brute force, round trips and held-out rows.
 ORACLE_SQL: dict[str, str] = {
@@ -106,18 +130,13 @@ ORACLE_SQL: dict[str, str] = {
         labels AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN labels USING (doc_id)""",
     # No page of the tables declares a redirect or a canonical url, so a page without a rule is allowed.
-    "op4_url_filter": """
-        WITH parts AS (
-            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        named AS (
-            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
-        ruled AS (
-            SELECT *, CASE
-                WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
-                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
-                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
-                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM named)
-        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    "op4_url_filter": f"WITH {_RULED} SELECT page_id, host, path, rule, CASE WHEN rule IN {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict FROM ruled",
+    "url_aliases": f"""
+        WITH RECURSIVE {_RULED},
+        own AS MATERIALIZED (SELECT *, host || chr(10) || path || chr(10) || query AS node, CASE WHEN rule IN {_BLOCKED} THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM ruled),
+        edges AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM own a JOIN own b ON b.page_id = a.page_id + 1 WHERE a.page_id % 4 IN (1, 2)),
+        links AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a),
+        decided AS (SELECT reach.node, min(ruled) AS verdict FROM reach JOIN own ON own.node = reach.seen GROUP BY reach.node)
+        SELECT page_id, host, path, rule, coalesce(ruled, decided.verdict, 'allow') AS verdict FROM own LEFT JOIN decided USING (node)""",
 }

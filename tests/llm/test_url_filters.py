@@ -99,3 +99,18 @@ def test_comments_and_scripts_declare_nothing(spark):
 def test_relative_targets_decide(spark):
     pages = _pages(spark, ["http://x.org/a", "http://x.net/a"], {0: '<link rel="canonical" href="//y.net/es/1">', 1: '<meta http-equiv="refresh" content="0; url=/es/1">'})
     assert {r.verdict for r in U.judge(pages, URL_RULES).collect()} == {"block"}
+
+
+def test_planted_redirects_equal_recursive_sql(spark, sf_dir):
+    import duckdb
+
+    from likeness.llm import catalog
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS FROM '{sf_dir}/pages.parquet'")
+    want = duck.execute(catalog.ORACLE_SQL["url_aliases"])
+    columns = [d[0] for d in want.description]
+    want = sorted(map(repr, want.fetchall()))
+    found = catalog.url_aliases(spark, sf_dir).select(columns)
+    assert sorted(repr(tuple(r)) for r in found.collect()) == want
+    assert found.filter("rule is null and verdict = 'block'").count() > 0
