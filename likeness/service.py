@@ -16,7 +16,7 @@ from likeness.operators import companions, duplicates, faces, learn, score, sear
 from likeness.operators.faces import THRESHOLD
 from likeness.operators.search import BOUNDARY_LIMIT, CANDIDATES, LIMIT
 from likeness.plans import renames
-from likeness.sources import discovery
+from likeness.sources import discovery, images
 from likeness.sources.catalog import Catalog
 from likeness.sources.plugins import Embedder, FaceAnalyzer, detect, embed_with
 from likeness.sources.schema import TABLES
@@ -34,11 +34,11 @@ class Service:
     # Indexing.
 
     def index(self, root: str, samples: int = discovery.SAMPLES) -> dict:
-        """Index the media files under a folder that are new or changed; with a face analyzer also their
+        """Index the media files under a folder that are new or changed, with their fingerprints; with a face analyzer also their
         faces. Returns counts: scanned, indexed, unchanged, failed, frames, regions, faces, named."""
         self.catalog.append("roots", self.spark.createDataFrame([(root,)], "path string").join(self.catalog.read("roots"), "path", "left_anti").withColumn("added_at", F.current_timestamp()))
         found = discovery.media(discovery.listing(self.spark, root), root)
-        done = index_batch(self.catalog, found, embed_with(self.embedder), samples)
+        done = index_batch(self.catalog, found, embed_with(self.embedder), samples, lambda files: images.fingerprints(files, root))
         if self.analyzer is None:
             return done
         named = lambda: self.catalog.read("file_faces").filter("person_id is not null").count()

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from likeness.sources.catalog import Catalog
 
 
-def index_batch(catalog: Catalog, found: DataFrame, embed: Callable[[DataFrame], DataFrame], samples: int = 8) -> dict:
-    """Index the changed files of a batch (path, kind, size, mtime_ns).
+def index_batch(catalog: Catalog, found: DataFrame, embed: Callable[[DataFrame], DataFrame], samples: int = 8, fingerprint: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """Index the changed files of a batch (path, kind, size, mtime_ns); ``fingerprint`` turns files (path)
+    into path, content_hash, phash, pixels.
 
     ``embed`` turns files (path, kind) into path, vectors, frame_times, boxes and error; a file with
     an error is counted as failed and not indexed. Returns counts.
@@ -24,6 +25,8 @@ def index_batch(catalog: Catalog, found: DataFrame, embed: Callable[[DataFrame],
     done = scratch.keep(embed(todo.select("path", "kind")))
     fine = done.filter("error is null")
     rows = todo.join(fine.select("path"), "path", "left_semi").withColumn("samples", wanted_samples(F.col("kind"), samples)).withColumn("indexed_at", F.current_timestamp())
+    if fingerprint is not None:
+        rows = rows.join(scratch.keep(fingerprint(rows.select("path"))), "path", "left")
     with catalog.change():
         ids = catalog.upsert_files(rows).select("path", F.col("id").alias("file_id"))
         catalog.add_embeddings(fine.join(ids, "path").select("file_id", "vectors", "frame_times", "boxes"))
