@@ -285,7 +285,7 @@ def tagged_groups(lib):
     concepts, own = lib.concepts(MATCH), _pairs(lib)
     pairs = tags.effective(score.score_library(lib.embeddings, concepts), _overrides(lib))
     by_path = own.select(F.col("id").alias("file_id"), "path").join(tags.with_names(pairs, concepts), "file_id").groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("tags"))
-    return companions.primary_tags(companions.groups(own), by_path).select("path", "primary", F.array_join("tags", ",").alias("tags"))
+    return companions.primary_tags(companions.members(own), by_path).select("path", "primary", F.array_join("tags", ",").alias("tags"))
 
 
 _COLLISIONS = """plans AS (SELECT vec_id AS id, '/lib/' || ['trip', 'dcim', 'Photos', 'corfu', 'temp'][label % 5 + 1] || '/' || vec_id || '/f.jpg' AS unused,

@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from likeness.functions import paths
 
 
-def groups(files: DataFrame) -> DataFrame:
-    """dir, stem, primary, members (in order of rank, then path); groups of sidecars alone are left out."""
+def members(files: DataFrame) -> DataFrame:
+    """path, dir, stem, rank, primary: a row per member, with its group's primary (the first in order of rank,
+    then path, that isn't a sidecar); groups of sidecars alone are left out."""
     path = F.col("path")
     own = files.select(path, paths.parent(path).alias("dir"), F.lower(paths.stem(path)).alias("stem"), paths.primary_rank(path).alias("rank"), paths.is_sidecar(path).alias("sidecar")).distinct()
-    first = F.min(F.when(~F.col("sidecar"), F.struct("rank", "path")))["path"].alias("primary")
+    first = own.filter("not sidecar").groupBy("dir", "stem").agg(F.min(F.struct("rank", "path"))["path"].alias("primary"))
+    return own.drop("sidecar").join(first, ["dir", "stem"])
+
+
+def groups(files: DataFrame) -> DataFrame:
+    """dir, stem, primary, members (in order of rank, then path): each group of :func:`members` in one row."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda m: m["path"]).alias("members")
-    return own.groupBy("dir", "stem").agg(first, ordered).filter("primary is not null")
+    return members(files).groupBy("dir", "stem", "primary").agg(ordered)
 
 
 def find(chosen: DataFrame, listing: DataFrame) -> DataFrame:
@@ -24,7 +30,8 @@ def find(chosen: DataFrame, listing: DataFrame) -> DataFrame:
     return found.union(chosen.select("path")).distinct()
 
 
-def primary_tags(grouped: DataFrame, tags: DataFrame) -> DataFrame:
-    """path, primary, tags: every member gets its primary's tags (``tags``: path, tags), and only those."""
-    own = grouped.join(tags.select(F.col("path").alias("primary"), "tags"), "primary", "left")
-    return own.select(F.explode("members").alias("path"), "primary", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+def primary_tags(members: DataFrame, tags: DataFrame) -> DataFrame:
+    """path, primary, tags: every member (path, primary) gets its primary's tags (``tags``: path, tags), and
+    only those."""
+    own = members.select("path", "primary").join(tags.select(F.col("path").alias("primary"), "tags"), "primary", "left")
+    return own.select("path", "primary", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))

@@ -22,7 +22,8 @@ def keeper_order(path: Column, pixels: Column, size: Column, mtime_ns: Column, g
 
 
 def with_keeper(members: DataFrame, group: str = "group") -> DataFrame:
-    """``group``, keeper, n, paths, redundant for members (``group``, path, pixels, size, mtime_ns).
+    """Members (``group``, path, pixels, size, mtime_ns) plus keeper: a row per member, so that a group may
+    hold any share of the files.
 
     Whether a stem extends another of its group is found by joining each stem's proper prefixes with
     the group's stems, so no member sees the whole group's list.
@@ -34,16 +35,28 @@ def with_keeper(members: DataFrame, group: str = "group") -> DataFrame:
     own = own.join(derived, [group, "stem"], "left")
     order = keeper_order(F.col("path"), F.col("pixels"), F.col("size"), F.col("mtime_ns"))
     order = order.withField("derived", F.coalesce("derived", F.lit(False)))
-    groups = own.groupBy(group).agg(F.min_by("path", order).alias("keeper"), F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
-    return groups.withColumn("redundant", F.array_remove("paths", F.col("keeper")))
+    keepers = own.groupBy(group).agg(F.min_by("path", order).alias("keeper"))
+    return members.join(keepers, group)
 
 
-def exact_groups(files: DataFrame) -> DataFrame:
-    """kind, content_hash, keeper, n, paths, redundant of files with equal content, two or more."""
+def as_groups(members: DataFrame, group: str = "group") -> DataFrame:
+    """``group``, keeper, n, paths, redundant: the members of each group in one row, for groups that a
+    person looks at."""
+    own = members.groupBy(group, "keeper").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    return own.withColumn("redundant", F.array_remove("paths", F.col("keeper")))
+
+
+def exact_members(files: DataFrame) -> DataFrame:
+    """group (the content hash), path, keeper of the files whose content another file has, too."""
     some = files.filter("content_hash is not null and length(content_hash) > 0")
     repeated = some.groupBy("content_hash").count().filter("count > 1").select("content_hash")
     members = some.join(repeated, "content_hash").withColumn("group", F.col("content_hash"))
-    return with_keeper(members).select(F.lit("exact").alias("kind"), F.col("group").alias("content_hash"), "keeper", "n", "paths", "redundant")
+    return with_keeper(members).select("group", "path", "keeper")
+
+
+def exact_groups(files: DataFrame) -> DataFrame:
+    """kind, content_hash, keeper, n, paths, redundant of files with equal content, two or more."""
+    return as_groups(exact_members(files)).select(F.lit("exact").alias("kind"), F.col("group").alias("content_hash"), "keeper", "n", "paths", "redundant")
 
 
 def hamming_pairs(files: DataFrame, most: int, words: list[Column]) -> DataFrame:
@@ -51,9 +64,9 @@ def hamming_pairs(files: DataFrame, most: int, words: list[Column]) -> DataFrame
     return block_pairs(files.select("id", F.array(*words).alias("data")), hamming_kernel(most), "int", 8 * len(words))
 
 
-def near_groups(files: DataFrame, most: int | None = None, words: list[Column] | None = None) -> DataFrame:
-    """group, kind, distance (share of bits, of the worst pair within the cutoff), keeper, n, paths,
-    redundant. Files without a hash take no part."""
+def near_members(files: DataFrame, most: int | None = None, words: list[Column] | None = None) -> DataFrame:
+    """group, path, keeper, distance (share of bits, of the group's worst pair within the cutoff) of the
+    files that chains of similar hashes join. Files without a hash take no part."""
     most = hashing.cutoff() if most is None else most
     words = hashing.words(F.col("phash")) if words is None else words
     some = files.filter(F.coalesce(*[w.isNotNull() for w in words[:1]], F.lit(False)))
@@ -61,8 +74,14 @@ def near_groups(files: DataFrame, most: int | None = None, words: list[Column] |
     pairs = scratch.keep(hamming_pairs(some, most, words))
     labels = components(pairs, scratch).withColumnsRenamed({"node": "id", "label": "group"})
     worst = pairs.join(labels, pairs["a"] == labels["id"]).groupBy("group").agg((F.max("value") / hashing.BITS).alias("distance"))
-    groups = with_keeper(some.join(labels, "id"))
-    return groups.join(worst, "group").select("group", F.lit("near").alias("kind"), "distance", "keeper", "n", "paths", "redundant")
+    return with_keeper(some.join(labels, "id")).join(worst, "group").select("group", "path", "keeper", "distance")
+
+
+def near_groups(files: DataFrame, most: int | None = None, words: list[Column] | None = None) -> DataFrame:
+    """group, kind, distance, keeper, n, paths, redundant of :func:`near_members`."""
+    members = near_members(files, most, words)
+    distances = members.groupBy("group").agg(F.max("distance").alias("distance"))
+    return as_groups(members).join(distances, "group").select("group", F.lit("near").alias("kind"), "distance", "keeper", "n", "paths", "redundant")
 
 
 def combine(exact: DataFrame, near: DataFrame) -> DataFrame:
@@ -73,5 +92,12 @@ def combine(exact: DataFrame, near: DataFrame) -> DataFrame:
     return exact.withColumn("distance", F.lit(0.0)).select(columns).unionByName(near.join(new, "group", "left_semi").select(columns))
 
 
-def redundant_files(groups: DataFrame) -> DataFrame:
-    return groups.select("keeper", F.explode("redundant").alias("path"))
+def combined_members(exact: DataFrame, near: DataFrame) -> DataFrame:
+    """path, keeper of the exact groups' members and of those near groups that have a member in none."""
+    new = near.join(exact.select("path").distinct(), "path", "left_anti").select("group").distinct()
+    return exact.select("path", "keeper").unionByName(near.join(new, "group", "left_semi").select("path", "keeper"))
+
+
+def redundant_files(members: DataFrame) -> DataFrame:
+    """keeper, path of the members that aren't their group's keeper."""
+    return members.filter("path <> keeper").select("keeper", "path")

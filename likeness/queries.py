@@ -340,7 +340,7 @@ def exact_duplicates(lib):
 
 @query(f"WITH {_TEXTS}, kept AS (SELECT h, arg_min(path, k) AS keeper FROM members GROUP BY h) SELECT keeper, path FROM members JOIN kept USING (h) WHERE path <> keeper")
 def duplicate_redundant(lib):
-    return duplicates.redundant_files(duplicates.exact_groups(_texts(lib)))
+    return duplicates.redundant_files(duplicates.exact_members(_texts(lib)))
 
 
 def _hashed(lib):
@@ -449,11 +449,11 @@ shared AS (SELECT members.path, "primary", own.tags, own.id FROM members JOIN ow
 
 @query(f"WITH {_PAIRS}, {_TAG_LIST} SELECT path, \"primary\", array_to_string(tags, ',') AS tags FROM shared")
 def primary_tags(lib):
-    return companions.primary_tags(companions.groups(_pairs(lib)), _tag_list(lib)).select("path", "primary", F.array_join("tags", ",").alias("tags"))
+    return companions.primary_tags(companions.members(_pairs(lib)), _tag_list(lib)).select("path", "primary", F.array_join("tags", ",").alias("tags"))
 
 
 def _moves(lib, inverse):
-    tagged = companions.primary_tags(companions.groups(_pairs(lib)), _tag_list(lib))
+    tagged = companions.primary_tags(companions.members(_pairs(lib)), _tag_list(lib))
     folders = lib.spark.createDataFrame([("alpha", "/out/a"), ("beta", "/out/b")], "tag string, folder string")
     scores = _pairs(lib).select("path", F.explode(F.array(F.struct(F.lit("alpha").alias("tag"), (F.col("id") % 11 / 11).alias("score")), F.struct(F.lit("beta").alias("tag"), (F.col("id") % 13 / 13).alias("score")))).alias("s")).select("path", "s.*")
     other = lib.spark.createDataFrame([("gamma", "/out/not-g"), ("alpha", "/out/not-a")], "tag string, folder string") if inverse else None

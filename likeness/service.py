@@ -247,7 +247,9 @@ class Service:
 
     def collect_duplicates(self, destination: str, mode: str = "symlink", dry_run: bool = False) -> dict:
         """Put redundant copies into a folder; moved files are followed in the index."""
-        paths = [r["path"] for r in duplicates.redundant_files(self.duplicates()).select("path").distinct().orderBy("path").collect()]
+        files = self.catalog.read("files")
+        members = duplicates.combined_members(duplicates.exact_members(files), duplicates.near_members(files))
+        paths = [r["path"] for r in duplicates.redundant_files(members).select("path").distinct().orderBy("path").toLocalIterator()]  # files on the driver's disk
         done = renames.place(paths, destination, mode, dry_run)
         if mode == "move" and not dry_run and done["placed"]:
             self.catalog.rename_files(self.spark.createDataFrame(done["placed"], "source string, target string"))
@@ -267,7 +269,7 @@ class Service:
         own = self.effective_tags()
         listing = self.listing() if listing is None else listing
         everything = own.select("path") if listing is None else companions.find(own, listing)
-        return companions.primary_tags(companions.groups(everything), own)
+        return companions.primary_tags(companions.members(everything), own)
 
     def plan(self, mode: str, listing: DataFrame | None = None) -> DataFrame:
         """source, target (and tag, matched, claims of moves) of what organizing would change; ``listing``:

@@ -239,7 +239,7 @@ def test_duplicates(spark):
     assert sorted(r.kind for r in both) == ["exact", "near", "near"]
     only = duplicates.combine(duplicates.exact_groups(f), duplicates.near_groups(f.filter("id < 3"))).collect()
     assert [r.kind for r in only] == ["exact"]
-    assert {(r.keeper, r.path) for r in duplicates.redundant_files(duplicates.exact_groups(f)).collect()} == {("/a/sunset.png", "/a/sunset copy.png")}
+    assert {(r.keeper, r.path) for r in duplicates.redundant_files(duplicates.exact_members(f)).collect()} == {("/a/sunset.png", "/a/sunset copy.png")}
     assert hashing.cutoff() == 31
 
 
@@ -250,7 +250,7 @@ def test_companions(spark):
     found = {r.path for r in companions.find(listing.filter("path = '/d/img_1.mov'"), listing).collect()}
     assert found == {"/d/IMG_1.HEIC", "/d/img_1.mov", "/d/IMG_1.aae"}
     own = spark.createDataFrame([("/d/IMG_1.HEIC", ["a"]), ("/d/img_1.mov", ["b"])], "path string, tags array<string>")
-    assert {r.path: list(r.tags) for r in companions.primary_tags(companions.groups(listing), own).collect()} == {"/d/IMG_1.HEIC": ["a"], "/d/img_1.mov": ["a"], "/d/IMG_1.aae": ["a"], "/e/IMG_1.mov": [], "/d/x.jpg": []}
+    assert {r.path: list(r.tags) for r in companions.primary_tags(companions.members(listing), own).collect()} == {"/d/IMG_1.HEIC": ["a"], "/d/img_1.mov": ["a"], "/d/IMG_1.aae": ["a"], "/e/IMG_1.mov": [], "/d/x.jpg": []}
 
 
 def test_scores_by_file(spark):
