@@ -123,10 +123,20 @@ _STATISTICS = ["scanned", "indexed", "failed", "frames", "regions", "faces", "na
 @query("""WITH p AS (SELECT doc_id AS id, '/root/' || ['a/', '.hid/', 'b.photoslibrary/x/', 'c.App/', 'x.b/', '_u/'][doc_id % 6 + 1] || CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || 'f' || doc_id || ['.jpg', '.MOV', '.txt', '', '.heic'][doc_id % 5 + 1] AS path FROM documents)
 SELECT path, CASE WHEN id % 5 = 1 THEN 'video' ELSE 'image' END AS kind FROM p WHERE id % 6 IN (0, 4, 5) AND id % 7 <> 0 AND id % 5 IN (0, 1, 4)""")
 def media_found(lib):
+    return discovery.media(_listed(lib), "/root").select("path", "kind")
+
+
+@query("""WITH p AS (SELECT doc_id AS id, '/root/' || ['a/', '.hid/', 'b.photoslibrary/x/', 'c.App/', 'x.b/', '_u/'][doc_id % 6 + 1] || CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || 'f' || doc_id || ['.jpg', '.MOV', '.txt', '', '.heic'][doc_id % 5 + 1] AS path FROM documents)
+SELECT path FROM p WHERE id % 6 = 5 AND id % 7 <> 0 AND id % 5 IN (0, 4)""")
+def example_images(lib):
+    return discovery.example_images(_listed(lib).filter("path like '/root/\\_u/%'"), "/root/_u").select("path")
+
+
+def _listed(lib):
     n = F.col("doc_id")
     pick = lambda options: F.element_at(F.array(*map(F.lit, options)), (n % len(options) + 1).cast("int"))
     path = F.concat(F.lit("/root/"), pick(["a/", ".hid/", "b.photoslibrary/x/", "c.App/", "x.b/", "_u/"]), F.when(n % 7 == 0, ".").otherwise(""), F.lit("f"), n.cast("string"), pick([".jpg", ".MOV", ".txt", "", ".heic"]))
-    return discovery.media(lib.table("documents").select(path.alias("path"), F.lit(1).alias("size"), F.lit(1).alias("mtime_ns")), "/root").select("path", "kind")
+    return lib.table("documents").select(path.alias("path"), F.lit(1).alias("size"), F.lit(1).alias("mtime_ns"))
 
 
 # Concepts, corrections and people.

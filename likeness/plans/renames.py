@@ -44,10 +44,14 @@ def plan_moves(tagged: DataFrame, destinations: DataFrame, scores: DataFrame | N
     decided = claims.groupBy("primary").agg(first, F.count("*").alias("claims")).withColumn("matched", F.lit(True))
     if inverse is not None:
         rest = primaries.join(decided.select("primary"), "primary", "left_anti")
-        # Destinations are user-made and few: as one array they reach every primary without a product of rows.
-        folders = inverse.filter("folder <> ''").agg(F.array_sort(F.collect_set(F.struct("tag", "folder"))).alias("folders"))
-        missing = rest.join(F.broadcast(folders)).withColumn("missing", F.filter("folders", lambda f: ~F.array_contains("tags", f["tag"])))
-        other = missing.filter(F.size("missing") > 0).select("primary", F.col("missing")[0].alias("best"), F.size("missing").cast("long").alias("claims"), F.lit(False).alias("matched"))
+        # The first in order that a file lacks: the smallest number missing among those of the tags it carries.
+        folders = [(r["tag"], r["folder"]) for r in inverse.filter("folder <> ''").groupBy("tag").agg(F.min("folder").alias("folder")).orderBy("tag").collect()]  # a user's settings
+        numbers = primaries.sparkSession.createDataFrame([(n, *f) for n, f in enumerate(folders)], "number int, tag string, folder string")
+        carried = rest.select("primary", F.explode("tags").alias("tag")).join(numbers, "tag").groupBy("primary").agg(F.collect_set("number").alias("held"))
+        lacking = rest.select("primary").join(carried, "primary", "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
+        lacking = lacking.withColumn("number", F.array_min(F.array_except(F.sequence(F.lit(0), F.size("held")), "held")))
+        best = F.struct("tag", "folder").alias("best")
+        other = lacking.join(numbers, "number").select("primary", best, (F.lit(len(folders)) - F.size("held")).cast("long").alias("claims"), F.lit(False).alias("matched"))
         decided = decided.unionByName(other)
     out = own.join(decided, "primary").select(F.col("path").alias("source"), F.concat("best.folder", F.lit("/"), paths.name(F.col("path"))).alias("target"), F.col("best.tag").alias("tag"), "matched", "claims")
     return out.filter("source <> target")

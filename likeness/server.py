@@ -14,6 +14,7 @@ from likeness.functions import hashing
 from likeness.jobs import JobRunner
 from likeness.operators import faces, search, tags
 from likeness.service import MODES, Service
+from likeness.sources import images
 from likeness.sources.scratch import Scratch
 
 SETTINGS = {"organize_mode": MODES}
@@ -41,6 +42,7 @@ class Api:
                 ("DELETE", "/api/tags/<name>", lambda b, name: self.found(self.s.catalog.delete_concept(name), name)),
                 ("POST", "/api/tags/<name>/destination", lambda b, name: self.destination(name, b)),
                 ("POST", "/api/tags/<name>/verify", self.verify),
+                ("GET", "/api/thumb", lambda b: images.thumbnail(self.s.spark, self.allowed([b["path"]])[0], int(b.get("side", 256)), self.s.frames)),
                 ("POST", "/api/override", lambda b: self.s.override(self.allowed([b["path"]])[0], b["name"], b.get("state"))),
                 ("GET", "/api/search", self.search),
                 ("POST", "/api/index", lambda b: self.job("index", lambda: self.s.index(b["folder"]))),
@@ -152,9 +154,10 @@ def serve(api: Api, token: str, host: str = "127.0.0.1", port: int = 0) -> Threa
                     status, out = api.call(self.command, self.path, body)
                 except ValueError:
                     status, out = 400, {"error": "not JSON"}
-            data = json.dumps(out, default=str).encode()
+            image = isinstance(out, bytes)
+            data = out if image else json.dumps(out, default=str).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", "image/png" if image else "application/json")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

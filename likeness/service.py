@@ -27,8 +27,9 @@ MODES = ("rename", "move", "off")
 
 
 class Service:
-    def __init__(self, catalog: Catalog, embedder: Embedder | None = None, verifier=None, analyzer: FaceAnalyzer | None = None):
+    def __init__(self, catalog: Catalog, embedder: Embedder | None = None, verifier=None, analyzer: FaceAnalyzer | None = None, frames: images.FrameSource | None = None):
         """``verifier``: a function from a phrase to a column that scores file ids."""
+        self.frames = frames
         self.catalog, self.embedder, self.verifier, self.analyzer, self.spark = catalog, embedder, verifier, analyzer, catalog.spark
 
     # Indexing.

@@ -15,6 +15,7 @@ import json
 import shutil
 import struct
 import subprocess
+import zlib
 from typing import Protocol
 
 import numpy as np
@@ -152,6 +153,34 @@ def fingerprints(files: DataFrame, root: str) -> DataFrame:
     return content_hashes(files).join(hashed, "path", "left")
 
 
+def png(rgb: np.ndarray) -> bytes:
+    """Pixels (rows x columns x 3 bytes) as a PNG file."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    height, width = rgb.shape[:2]
+    lines = np.zeros((height, 1 + 3 * width), np.uint8)  # each row begins with filter 0
+    lines[:, 1:] = rgb.reshape(height, -1)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def thumbnail(spark: SparkSession, path: str, side: int = 256, source: FrameSource | None = None) -> bytes:
+    """A PNG file of an image, or of the middle of a video where a frame source is given, ``side`` pixels
+    wide or high at most. What can't be decoded raises ValueError."""
+    one = spark.createDataFrame([(path,)], "path string").withColumn("kind", paths.kind(F.col("path")))
+    video = one.first()["kind"] == "video"
+    if video and source is None:
+        raise ValueError("no frame source is plugged in")
+    found = (poster_frames(one, source) if video else load_images(spark, path)).select("height", "width", "rgb").head(1)
+    if not found:
+        raise ValueError(f"{path} can't be decoded")
+    height, width = found[0]["height"], found[0]["width"]
+    pixels = np.frombuffer(found[0]["rgb"], np.uint8).reshape(height, width, 3).astype(np.float64)
+    scale = min(1.0, side / max(height, width))
+    rows, columns = _shares(height, max(1, round(height * scale))), _shares(width, max(1, round(width * scale)))
+    small = np.einsum("ah,hwc,bw->abc", rows, pixels, columns, optimize=True)
+    return png(np.clip(np.rint(small), 0, 255).astype(np.uint8))
+
+
 class FrameSource(Protocol):
     """How long a video is, and a frame of it as rows x columns x 3 bytes."""
 

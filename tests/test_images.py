@@ -76,6 +76,19 @@ def test_indexed_photographs_are_found_as_duplicates(spark, tmp_path):
     assert groups == [("exact", "a.png", 2), ("near", "a.png", 3), ("near", "b.jpg", 2)]
 
 
+def test_thumbnails(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(_png(_scene(3)))
+    (tmp_path / "no.png").write_bytes(b"x")
+    for side, size in ((60, (45, 60)), (500, (90, 120))):
+        (tmp_path / "small.png").write_bytes(images.thumbnail(spark, str(tmp_path / "a.png"), side))
+        found = images.load_images(spark, str(tmp_path / "small.png")).first()
+        assert (found.height, found.width) == size
+    assert found.rgb == _scene(3).tobytes()
+    for name in ("no.png", "a.mov"):
+        with pytest.raises(ValueError):
+            images.thumbnail(spark, str(tmp_path / name))
+
+
 def test_video_frames(spark):
     class Source:  # local, so that it travels with the plan
         def duration(self, path):
