@@ -1,7 +1,10 @@
 import __spark_entry__ as entry
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from likeness.llm.common import table
 from likeness.sources.scratch import Scratch
+from tests.llm.fixtures import odd_docs
 
 
 def test_stages_keep_columns_and_shrink(spark, sf_dir):
@@ -18,6 +21,29 @@ def test_stages_keep_columns_and_shrink(spark, sf_dir):
     assert sorted(corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect()) == sorted(packed.select("doc_id", "piece", "ids_crc32").collect())
 
 
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    odd = odd_docs(spark)
+    for n, name in enumerate(("score", "kept", "toxic", "part", "shingles", "length", "_row")):
+        odd = odd.withColumn(name, F.lit(n))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    from likeness.llm import language, near_duplicates, packing, toxicity
+    from likeness.llm.catalog import BYTE_BPE
+
+    ordinary = toxicity.keep_ordinary(odd, labels.limit(0))
+    assert ordinary.columns == odd.columns and ordinary.count() == odd.count()  # nothing is learned, nothing goes
+    assert toxicity.keep_ordinary(odd, labels).columns == odd.columns
+    named = Scratch(spark, "t").keep(language.keep_identified(odd))
+    assert named.columns == odd.columns and all(any(c.isalpha() for c in r.text) for r in named.collect())
+    single = near_duplicates.keep_one_of_each(odd)
+    assert single.columns == odd.columns
+    ids = [r.doc_id for r in single.collect()]
+    assert ids.count(5) == 1 and ids.count(None) == 1 and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    packed = packing.pack_documents(odd, BYTE_BPE)
+    assert packed.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    for stage in (language.keep_identified, near_duplicates.keep_one_of_each, lambda d: toxicity.keep_ordinary(d, labels), lambda d: packing.pack_documents(d, BYTE_BPE)):
+        assert stage(odd.limit(0)).count() == 0
+
+
 def test_queries_are_registered():
     names = list(entry.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
