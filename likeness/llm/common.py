@@ -24,7 +24,7 @@ class TaskTable(dict):
     """A table that one task fills as it goes; :meth:`trim` empties it beyond its bounds, so only the
     entries of one text can come on top of them."""
 
-    def __init__(self, entries: int = 1 << 17, characters: int = 1 << 23):
+    def __init__(self, entries: int = 1 << 18, characters: int = 1 << 23):
         super().__init__()
         self._bounds, self._characters = (entries, characters), 0
 

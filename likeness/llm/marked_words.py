@@ -26,7 +26,7 @@ from likeness.llm.common import in_small_batches
 from likeness.llm.pretokens import as_bytes
 
 MARK = "▁"
-TABLE_ENTRIES = 1 << 17
+TABLE_ENTRIES = 1 << 18
 KEPT_LENGTH = 64
 
 

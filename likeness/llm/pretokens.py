@@ -22,7 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NEAR = 0x4FF
 
 #: Pre-tokens that a task's table holds beside the whole tokens before it is emptied.
-TABLE_ENTRIES = 1 << 17
+TABLE_ENTRIES = 1 << 18
 #: Longer pre-tokens aren't kept in the table.
 KEPT_LENGTH = 64
 
