@@ -37,7 +37,8 @@ class Service:
     def index(self, root: str, samples: int = discovery.SAMPLES) -> dict:
         """Index the media files under a folder that are new or changed, with their fingerprints; with a face analyzer also their
         faces. Returns counts: scanned, indexed, unchanged, failed, frames, regions, faces, named."""
-        self.catalog.append("roots", self.spark.createDataFrame([(root,)], "path string").join(self.catalog.read("roots"), "path", "left_anti").withColumn("added_at", F.current_timestamp()))
+        if self.catalog.read("roots").filter(F.col("path") == root).isEmpty():
+            self.catalog.append("roots", self.spark.createDataFrame([(root,)], "path string").withColumn("added_at", F.current_timestamp()))
         found = discovery.media(discovery.listing(self.spark, root), root)
         done = index_batch(self.catalog, found, embed_with(self.embedder), samples, lambda files: images.fingerprints(files, root))
         if self.analyzer is None:

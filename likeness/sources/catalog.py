@@ -78,7 +78,12 @@ class Catalog:
     def change(self):
         """What is written inside becomes visible to others at the end, all at once; nothing of it after an error."""
         if self._pending is not None:
-            yield self
+            kept = json.dumps(self._pending)
+            try:
+                yield self
+            except BaseException:
+                self._pending = json.loads(kept)
+                raise
             return
         numbers = self._manifests()
         before = self._load(numbers[-1]) if numbers else {}
@@ -202,7 +207,8 @@ class Catalog:
             for table in ("embeddings", "file_faces", MATCHES):
                 self._without(table, replaced, "file_id")
             self.write("files", files.join(old.select("path"), "path", "left_anti").unionByName(migrate(old, "files")))
-        self.append("files", fresh)
+        if not fresh.isEmpty():
+            self.append("files", fresh)
         return self.read("files").join(rows.select("path"), "path", "left_semi")
 
     @_change

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ def _inside(found, prefix: str):
 
 def _opened(uri: str):
     """File system, path and what stands before paths in it (nothing for local ones)."""
-    files, base = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + quote(uri.removeprefix("file:")))
+    files, base = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + quote(os.path.abspath(uri.removeprefix("file:"))))
     return files, base, "" if isinstance(files, fs.LocalFileSystem) else uri[: uri.index("://") + 3]
 
 

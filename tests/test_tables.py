@@ -54,6 +54,9 @@ def test_changes_are_seen_whole_or_not_at_all(spark, catalog):
         assert catalog.read("files").count() == 2 and Catalog(spark, catalog.root).read("files").count() == 1
         raise RuntimeError("half way")
     assert catalog.read("files").count() == 1
+    with catalog.change(), pytest.raises(ValueError):
+        catalog.set_overrides(spark.createDataFrame([(1, 1, "maybe")], schema.TABLES["concept_overrides"]))
+    assert catalog.read("concept_overrides").count() == 0
     before = catalog.read("files")
     catalog.upsert_files(_files(spark, ("/a.jpg", 5, 5), ("/c.jpg", 1, 1)))
     assert before.count() == 1 and before.first()["size"] == 1  # what is being read stays
