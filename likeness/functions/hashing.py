@@ -49,18 +49,24 @@ def perceptual(pixels: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-@F.pandas_udf(T.BinaryType())
-def perceptual_hash(pixels: pd.Series) -> pd.Series:
+def perceptual_hash(pixels: Column) -> Column:
     """Hash of 64 * 64 grey values in rows; null for null."""
-    out = pd.Series([None] * len(pixels), dtype=object)
-    held = pixels.notna().to_numpy()
-    if held.any():
-        images = np.stack([np.asarray(p, float).reshape(SIDE, SIDE) for p in pixels[held]])
-        out[held] = [h.tobytes() for h in perceptual(images)]
-    return out
-
-
-@F.pandas_udf(T.BinaryType())
-def content_hash(content: pd.Series) -> pd.Series:
-    """BLAKE2b of 128 bits."""
-    return content.map(lambda c: None if c is None else hashlib.blake2b(c, digest_size=16).digest())
+
+    def run(pixels: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(pixels), dtype=object)
+        held = pixels.notna().to_numpy()
+        if held.any():
+            images = np.stack([np.asarray(p, float).reshape(SIDE, SIDE) for p in pixels[held]])
+            out[held] = [h.tobytes() for h in perceptual(images)]
+        return out
+
+    return F.pandas_udf(run, T.BinaryType())(pixels)
+
+
+def content_hash(content: Column) -> Column:
+    """BLAKE2b of 128 bits; null for null."""
+
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else hashlib.blake2b(c, digest_size=16).digest())
+
+    return F.pandas_udf(run, T.BinaryType())(content)

@@ -41,13 +41,19 @@ def centroid(df: DataFrame, by: str, vector: str = "vector") -> DataFrame:
     return positions.groupBy(by).agg(ordered.alias("mean")).select(by, normalize(F.col("mean")).alias("prototype"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def from_blob(blobs: pd.Series) -> pd.Series:
-    """Raw little-endian float32 bytes as an array."""
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
+def from_blob(blobs: Column) -> Column:
+    """Raw little-endian float32 bytes as an array; null for null."""
 
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
 
-@F.pandas_udf(T.BinaryType())
-def to_blob(vectors: pd.Series) -> pd.Series:
-    """An array as raw little-endian float32 bytes."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    return F.pandas_udf(run, T.ArrayType(T.FloatType()))(blobs)
+
+
+def to_blob(vectors: Column) -> Column:
+    """An array as raw little-endian float32 bytes; null for null."""
+
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return F.pandas_udf(run, T.BinaryType())(vectors)

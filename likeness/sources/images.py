@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from likeness.functions import hashing, paths
+from likeness.functions import paths
+from likeness.functions.hashing import SIDE, perceptual
 from likeness.sources.discovery import SAMPLES, _opened
 
 HEAD = 1 << 17
@@ -75,7 +76,7 @@ def _shares(n: int, side: int) -> np.ndarray:
     return np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None) * (side / n)
 
 
-def grey_square(rgb: np.ndarray, side: int = hashing.SIDE) -> np.ndarray:
+def grey_square(rgb: np.ndarray, side: int = SIDE) -> np.ndarray:
     """The mean brightness of ``side`` x ``side`` equal parts of an image."""
     grey = rgb[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114]) if rgb.ndim == 3 else rgb.astype(np.float64)
     return _shares(grey.shape[0], side) @ grey @ _shares(grey.shape[1], side).T
@@ -119,7 +120,7 @@ def with_hashes(images: DataFrame) -> DataFrame:
         for b in batches:
             shapes = zip(b.column("height").to_pylist(), b.column("width").to_pylist(), b.column("rgb").to_pylist())
             squares = [grey_square(np.frombuffer(rgb, np.uint8).reshape(h, w, 3)) for h, w, rgb in shapes]
-            hashes = [h.tobytes() for h in hashing.perceptual(np.stack(squares))] if squares else []
+            hashes = [h.tobytes() for h in perceptual(np.stack(squares))] if squares else []
             size = [h * w for h, w in zip(b.column("height").to_pylist(), b.column("width").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(hashes, pa.binary()), pa.array(size, pa.int64())], ["path", "phash", "pixels"])
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from likeness.functions import hashing
+from likeness.functions import hashing, vectors
 from likeness.service import Service
 from likeness.sources import images
 from likeness.sources.catalog import Catalog
@@ -76,6 +76,14 @@ def test_indexed_photographs_are_found_as_duplicates(spark, tmp_path):
     assert groups == [("exact", "a.png", 2), ("near", "a.png", 3), ("near", "b.jpg", 2)]
 
 
+def test_indexing_after_hashes_were_used_in_the_session(spark, tmp_path):
+    one = spark.createDataFrame([(b"x", [0.0] * 4096, [1.0])], "c binary, p array<double>, v array<float>")
+    one.select(hashing.content_hash("c"), hashing.perceptual_hash("p"), vectors.from_blob(vectors.to_blob("v"))).collect()
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "a.png").write_bytes(_png(_scene(1)))
+    assert Service(Catalog(spark, f"file://{tmp_path}/tables"), HashEmbedder()).index(str(tmp_path / "lib"))["indexed"] == 1
+
+
 def test_thumbnails(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(_png(_scene(3)))
     (tmp_path / "no.png").write_bytes(b"x")
