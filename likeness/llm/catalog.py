@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from likeness.llm.chat import format_conversations
+from likeness.llm.collocations import collocations
 from likeness.llm.common import table
 from likeness.llm.divergence import divergence
 from likeness.llm.language import identify
@@ -84,9 +85,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_token_counts, op3_chat_format, op4_url_filter, op5_best_fit_packing, op6_media_columns, op7_marked_words, op8_language_id, op9_toxicity, op10_near_duplicates, op12_source_divergence, url_aliases)
+    for f in (op1_nearest_neighbours, op2_token_counts, op3_chat_format, op4_url_filter, op5_best_fit_packing, op6_media_columns, op7_marked_words, op8_language_id, op9_toxicity, op10_near_duplicates, op12_source_divergence, op13_collocations, url_aliases)
 }
 
 _ESCAPED_LENGTH = r"""length({0}) + (length({0}) - length(replace({0}, chr(92), '')))
@@ -169,4 +174,28 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT lang, source, 'term', term, p - q FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op13_collocations": r"""
+        WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+        words AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+        grams AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+            FROM words, (VALUES (1), (2), (3), (4), (5)) AS sizes(m) WHERE len(w) >= m),
+        f AS MATERIALIZED (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        candidates AS MATERIALIZED (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+        cut AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+        parts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM cut),
+        scored AS (
+            SELECT p.lang, p.phrase, p.a, p.k, x.a AS l, y.a AS r, n, (1000::HUGEINT * p.a * n) // (x.a * y.a) AS score
+            FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = head JOIN f y ON y.lang = p.lang AND y.phrase = tail JOIN totals ON totals.lang = p.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS size FROM candidates)) GROUP BY ALL),
+        ranked AS (
+            SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 2000""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of an Arrow batch on its way to Python, about. A batch ends with the row that passes it.
 BATCH_BYTES = 4 << 20
@@ -40,3 +40,25 @@ class TaskTable(dict):
             self.clear()
             self._characters = 0
         return over
+
+
+#: Rows of a key that a shuffle join takes into one task, and keys above that at most.
+HOT_ROWS = 10_000
+HOT_KEYS = 100_000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` (a written table, any number of rows a key) with ``unique`` (one row a key).
+
+    Keys of more than ``HOT_ROWS`` rows, or a share of 1 / ``HOT_KEYS`` of all, are broadcast with their row
+    of ``unique``: that many keys have so many rows at most. All others are joined by a shuffle.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    bound = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = [r[0] for r in counts.filter(F.col("_n") > bound).select(key).collect()]
+    if not hot:
+        return rows.join(unique, key)
+    kind = rows.schema[key].dataType.simpleString()
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], f"`{key}` {kind}"))
+    cold = rows.join(keys, key, "left_anti").join(unique, key)
+    return rows.join(F.broadcast(unique.join(keys, key, "left_semi")), key).select(cold.columns).unionByName(cold)
