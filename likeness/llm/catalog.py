@@ -15,6 +15,7 @@ from likeness.llm.media import media_columns
 from likeness.llm.near_duplicates import near_duplicates
 from likeness.llm.neighbours import search
 from likeness.llm.packing import pack_documents
+from likeness.llm.repeated_passages import without_repeats
 from likeness.llm.token_counts import count_tokens
 from likeness.llm.toxicity import score_documents
 from likeness.llm.url_filters import judge
@@ -81,6 +82,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -91,7 +97,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_token_counts, op3_chat_format, op4_url_filter, op5_best_fit_packing, op6_media_columns, op7_marked_words, op8_language_id, op9_toxicity, op10_near_duplicates, op12_source_divergence, op13_collocations, url_aliases)
+    for f in (op1_nearest_neighbours, op2_token_counts, op3_chat_format, op4_url_filter, op5_best_fit_packing, op6_media_columns, op7_marked_words, op8_language_id, op9_toxicity, op10_near_duplicates, op11_repeated_passages, op12_source_divergence, op13_collocations, url_aliases)
 }
 
 _ESCAPED_LENGTH = r"""length({0}) + (length({0}) - length(replace({0}, chr(92), '')))
@@ -149,6 +155,18 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a),
         decided AS (SELECT reach.node, min(ruled) AS verdict FROM reach JOIN own ON own.node = reach.seen GROUP BY reach.node)
         SELECT page_id, host, path, rule, coalesce(ruled, decided.verdict, 'allow') AS verdict FROM own LEFT JOIN decided USING (node)""",
+    "op11_repeated_passages": r"""
+        WITH words AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        windows AS MATERIALIZED (
+            SELECT row, doc_id, unnest(range(1, len(w) - 11)) AS p, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS passage FROM words WHERE len(w) >= 13),
+        firsts AS (SELECT passage, min(doc_id) AS first FROM windows GROUP BY passage),
+        gone AS (SELECT row, list_sort(list_distinct(flatten(list(range(p, p + 13))))) AS gone FROM windows JOIN firsts USING (passage) WHERE first < doc_id GROUP BY row),
+        places AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+        left_over AS (
+            SELECT row, string_agg(word, ' ' ORDER BY p) AS kept FROM places ANTI JOIN (SELECT row, unnest(gone) AS p FROM gone) USING (row, p) GROUP BY row)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM words LEFT JOIN gone USING (row) LEFT JOIN left_over USING (row)""",
     "op12_source_divergence": r"""
         WITH named AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),

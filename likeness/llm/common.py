@@ -47,13 +47,14 @@ HOT_ROWS = 10_000
 HOT_KEYS = 100_000
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` (a written table, any number of rows a key) with ``unique`` (one row a key).
 
     Keys of more than ``HOT_ROWS`` rows, or a share of 1 / ``HOT_KEYS`` of all, are broadcast with their row
     of ``unique``: that many keys have so many rows at most. All others are joined by a shuffle.
+    ``counts``: ``key`` and its rows as _n, where they are known.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts
     bound = max(HOT_ROWS, rows.count() // HOT_KEYS)
     hot = [r[0] for r in counts.filter(F.col("_n") > bound).select(key).collect()]
     if not hot:
