@@ -39,10 +39,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), documents (that hold it)."""
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     terms = named.select("lang", "source", F.split(F.translate("text", _UPPER, _LOWER), _BETWEEN).alias("terms"))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("documents")))
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("documents")))
-    rows = terms.select("lang", "source", F.inline(F.concat(each, once))).filter("term <> ''")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    both = terms.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
+    rows = both.select("lang", "source", "once", F.explode("terms").alias("term")).filter("term <> ''")
+    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("documents"))
 
 
 def _share(count: Column, total: Column, kept: Column, unit: int, smoothing: int) -> Column:
