@@ -49,6 +49,20 @@ def perceptual(pixels: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def shares(n: int, side: int) -> np.ndarray:
+    """What each of n pixels in a row contributes to each of ``side`` equal parts."""
+    edges = np.linspace(0, n, side + 1)
+    low, high = edges[:-1, None], edges[1:, None]
+    at = np.arange(n)[None]
+    return np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None) * (side / n)
+
+
+def grey_square(rgb: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """The mean brightness of ``side`` x ``side`` equal parts of an image."""
+    grey = rgb[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114]) if rgb.ndim == 3 else rgb.astype(np.float64)
+    return shares(grey.shape[0], side) @ grey @ shares(grey.shape[1], side).T
+
+
 def perceptual_hash(pixels: Column) -> Column:
     """Hash of 64 * 64 grey values in rows; null for null."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from likeness.functions import hashing, paths
 from likeness.operators.components import components
-from likeness.operators.kernels import block_pairs, hamming_kernel
+from likeness.operators.kernels import INDEX_FROM, block_pairs, hamming_kernel, indexed_hamming_pairs
 from likeness.sources.scratch import Scratch
 
 
@@ -59,19 +59,29 @@ def exact_groups(files: DataFrame) -> DataFrame:
     return as_groups(exact_members(files)).select(F.lit("exact").alias("kind"), F.col("group").alias("content_hash"), "keeper", "n", "paths", "redundant")
 
 
-def hamming_pairs(files: DataFrame, most: int, words: list[Column]) -> DataFrame:
-    """a, b, value: pairs of file ids whose hashes (as 64-bit words) differ in ``most`` bits or fewer."""
-    return block_pairs(files.select("id", F.array(*words).alias("data")), hamming_kernel(most), "int", 8 * len(words))
+def hamming_pairs(files: DataFrame, most: int, words: list[Column], index_from: int = INDEX_FROM) -> DataFrame:
+    """a, b, value: pairs of file ids whose hashes (as 64-bit words) differ in ``most`` bits or fewer. From
+    ``index_from`` files an index of the hashes' segments saves nearly all comparisons, where ``most`` allows
+    one (it does for the usual cutoff); the pairs are the same."""
+    rows = files.select("id", F.array(*words).alias("data"))
+    if most < 8 * len(words) and rows.limit(index_from).count() == index_from:
+        return indexed_hamming_pairs(rows, most, len(words))
+    return block_pairs(rows, hamming_kernel(most), "int", 8 * len(words))
 
 
-def near_members(files: DataFrame, most: int | None = None, words: list[Column] | None = None) -> DataFrame:
+def near_members(files: DataFrame, most: int | None = None, words: list[Column] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """group, path, keeper, distance (share of bits, of the group's worst pair within the cutoff) of the
-    files that chains of similar hashes join. Files without a hash take no part."""
+    files that chains of similar hashes join. Files without a hash take no part. Files of one hash are
+    compared as one, so that copies don't become pairs of each with each. The result reads tables of ``scratch``."""
     most = hashing.cutoff() if most is None else most
     words = hashing.words(F.col("phash")) if words is None else words
     some = files.filter(F.coalesce(*[w.isNotNull() for w in words[:1]], F.lit(False)))
-    scratch = Scratch(files.sparkSession, "near-groups")
-    pairs = scratch.keep(hamming_pairs(some, most, words))
+    scratch = scratch or Scratch(files.sparkSession, "near-groups")
+    hashes = scratch.keep(some.select("id", F.array(*words).alias("data")))
+    distinct = scratch.keep(hashes.groupBy("data").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    pairs = hamming_pairs(distinct, most, [F.col("data")[k] for k in range(len(words))])
+    copies = hashes.join(distinct.filter("n > 1").select("data", F.col("id").alias("first")), "data").filter("id <> first")
+    pairs = scratch.keep(pairs.unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("value"))))
     labels = components(pairs, scratch).withColumnsRenamed({"node": "id", "label": "group"})
     worst = pairs.join(labels, pairs["a"] == labels["id"]).groupBy("group").agg((F.max("value") / hashing.BITS).alias("distance"))
     return with_keeper(some.join(labels, "id")).join(worst, "group").select("group", "path", "keeper", "distance")

@@ -230,3 +230,91 @@ def hamming_kernel(most: int) -> Callable:
         return distance, distance <= most
 
     return lambda x, y: _in_slices(words(x), words(y), pairs)
+
+
+#: Files from which the index is worth its groups; below, all pairs are compared in blocks.
+INDEX_FROM = 20_000
+#: Rows of a group of the index that one task holds of either side.
+INDEX_BLOCK = 1 << 16
+
+
+def close_values(values: np.ndarray, others: np.ndarray | None = None, equal: bool = True):
+    """Chunks of positions (i, j) of values (0 to 255) that differ in one bit, or in none if ``equal``:
+    each pair within ``values`` once, or all pairs of ``values`` and ``others``."""
+    same = others is None
+    others = values if same else others
+    order = np.argsort(others, kind="stable")
+    ends = np.cumsum(np.bincount(others, minlength=256))
+    sizes = np.diff(np.concatenate([[0], ends]))
+    for flip in ([0] if equal else []) + [1 << k for k in range(8)]:
+        wanted = values ^ flip
+        own = np.flatnonzero(wanted >= values) if same else np.arange(len(values))  # each pair of values once
+        n = sizes[wanted[own]]
+        at = 0
+        while at < len(own):
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), CELLS, side="right")) + at)
+            some, count = own[at:upto], n[at:upto]
+            i = np.repeat(some, count)
+            ramp = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            j = order[np.repeat(ends[wanted[some]] - count, count) + ramp]
+            if same and flip == 0:
+                i, j = i[i < j], j[i < j]
+            yield i, j
+            at = upto
+
+
+def indexed_hamming_pairs(rows: DataFrame, most: int, words: int, block: int = INDEX_BLOCK) -> DataFrame:
+    """a, b, value: the pairs a < b of ``rows`` (id long, ``data``: an array of ``words`` longs) that differ in
+    ``most`` bits or fewer, by an index of segments; exact for ``most`` below twice the segments.
+
+    Data of 64 bits is four segments of 16. Where fewer bits differ than twice the segments, one segment
+    differs in one bit or none, and so one of its two bytes is equal. Rows are posted under each byte (a
+    group: segment, which byte, value) and compared with those of their group whose other byte differs in
+    one bit or none: about one in 256 * 256 / 17 of random pairs for each segment. A pair is reported
+    by the first segment that is close, so once. A group of more than ``block`` rows, as of a value that
+    many files share, is cut into blocks whose pairs meet in tasks of their own.
+    """
+    segments = 4 * words
+    if most >= 2 * segments:
+        raise ValueError(f"{most} bits may leave no segment of {segments} close")
+    rows = rows.filter("id is not null and data is not null").select("id", "data")
+
+    def post(batches):
+        for b in batches:
+            data = b.column("data").flatten().to_numpy().view(np.uint8).reshape(len(b), 8 * words)
+            place = np.arange(8 * words)
+            group = (place[None] * 256 + data).astype(np.int32)  # a byte's place names its segment and which byte it is
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("data"), pa.array(list(group), pa.list_(pa.int32()))], ["id", "data", "groups"])
+
+    posted = rows.mapInArrow(post, "id long, data array<long>, groups array<int>")
+    # As many groups at most as there are values of all bytes.
+    sizes = posted.select(F.explode("groups").alias("group")).groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = posted.select("id", "data", F.explode("groups").alias("group")).join(F.broadcast(sizes), "group")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("id", "data", "group", "block", other)
+    dealt = dealt.select("id", "data", "group", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+
+    def compare(own: pa.Table) -> pa.Table:
+        place, first, second = own["group"][0].as_py() // 256, own["first"][0].as_py(), own["second"][0].as_py()
+        segment, varied = place // 2, place ^ 1  # bytes of a word are little-endian, so a segment's are neighbours
+        data = own["data"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(own), words)
+        ids, block, value = own["id"].to_numpy(), own["block"].to_numpy(), data.view(np.uint8)[:, varied]
+        x = np.flatnonzero(block == first)
+        y = x if first == second else np.flatnonzero(block == second)
+        found = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.int64),)]
+        # Equal segments are left to the group of the lower byte.
+        for i, j in close_values(value[x], None if first == second else value[y], equal=place % 2 == 0):
+            i, j = x[i], y[j]
+            distance = np.zeros(len(i), np.int64)
+            for k in range(words):
+                distance += np.bitwise_count(data[i, k] ^ data[j, k])
+            near = np.flatnonzero((distance <= most) & (ids[i] != ids[j]))
+            i, j, distance = i[near], j[near], distance[near]
+            apart = np.bitwise_count(data[i].view(np.uint16) ^ data[j].view(np.uint16)) <= 1
+            fine = apart.argmax(axis=1) == segment if len(i) else np.empty(0, bool)
+            found.append((np.minimum(ids[i], ids[j])[fine], np.maximum(ids[i], ids[j])[fine], distance[fine]))
+        a, b, distance = (np.concatenate(c) for c in zip(*found))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(distance, pa.int32())], ["a", "b", "value"])
+
+    return dealt.groupBy("group", "first", "second").applyInArrow(compare, "a long, b long, value int")

@@ -19,6 +19,7 @@ from likeness.plans import renames
 from likeness.sources import discovery, images
 from likeness.sources.catalog import Catalog
 from likeness.sources.plugins import Embedder, FaceAnalyzer, detect, embed_with
+from likeness.sources.reading import read_media
 from likeness.sources.schema import TABLES
 from likeness.sources.scratch import Scratch
 from likeness.streaming.ingest import index_batch
@@ -34,19 +35,35 @@ class Service:
 
     # Indexing.
 
-    def index(self, root: str, samples: int = discovery.SAMPLES) -> dict:
-        """Index the media files under a folder that are new or changed, with their fingerprints; with a face analyzer also their
-        faces. Returns counts: scanned, indexed, unchanged, failed, frames, regions, faces, named."""
+    def index(self, root: str, samples: int = discovery.SAMPLES, crops: bool = False) -> dict:
+        """Index the media files under a folder that are new or changed, and open no others. Returns counts:
+        scanned, indexed, unchanged, failed, frames, regions, faces, named and, where pixels are read in
+        tasks, failed_frames and failed_faces.
+
+        An embedder with ``embed_pixels`` gets the pixels of images, of video frames and, with ``crops``, of
+        the bodies of faces; an analyzer with ``faces_in`` finds the faces in the same stage. Others are
+        given paths."""
         if self.catalog.read("roots").filter(F.col("path") == root).isEmpty():
             self.catalog.append("roots", self.spark.createDataFrame([(root,)], "path string").withColumn("added_at", F.current_timestamp()))
         found = discovery.media(discovery.listing(self.spark, root), root)
-        done = index_batch(self.catalog, found, embed_with(self.embedder), samples, lambda files: images.fingerprints(files, root))
-        if self.analyzer is None:
+        embed, in_stage = self._reader(samples, crops)
+        done = index_batch(self.catalog, found, embed, samples, images.fingerprints, self._named)
+        if self.analyzer is None or in_stage:
             return done
         named = lambda: self.catalog.read("file_faces").filter("person_id is not null").count()
         before = named()
         return done | {"faces": self.find_faces(), "named": named() - before}
 
+    def _reader(self, samples: int, crops: bool):
+        """The embedding step of an index pass, and whether it finds the faces, too."""
+        if not hasattr(self.embedder, "embed_pixels"):
+            return embed_with(self.embedder), False
+        in_stage = hasattr(self.analyzer, "faces_in")
+        return lambda files: read_media(files, self.embedder, self.frames, self.analyzer if in_stage else None, samples, crops), in_stage
+
+    def _named(self, found: DataFrame) -> DataFrame:
+        return faces.match(found, self.catalog.read("person_faces"))
+
     def forget_missing(self, root: str) -> int:
         """Drop indexed files that are gone from a folder."""
         here = self.catalog.read("files").filter(F.startswith("path", F.lit(root.rstrip("/") + "/")))

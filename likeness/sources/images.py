@@ -1,8 +1,9 @@
 """Images and video frames as pixels, and the fingerprints of files that duplicates are found by.
 
-The JVM decodes images (Spark's image source); tasks turn them upright by their EXIF orientation and
-reduce them to grey squares. Video frames come from a backend that plugs in; :class:`Ffmpeg` is one.
-Contents are hashed in chunks, so a file of any length costs a chunk of memory.
+Tasks open the files they are given by path and decode what :mod:`likeness.sources.reading` has decoders
+for. Other images are decoded by the JVM (Spark's image source), which is given their paths alone; tasks
+turn those upright by their EXIF orientation. Video frames come from a backend that plugs in;
+:class:`Ffmpeg` is one. Contents are hashed in chunks, so a file of any length costs a chunk of memory.
 
 Defined results: a file that can't be decoded has no pixels and no perceptual hash, a file that can't be
 read no content hash; either is null and stops nothing. An orientation that isn't 1 to 8 counts as 1.
@@ -10,8 +11,8 @@ read no content hash; either is null and stops nothing. An orientation that isn'
 
 from __future__ import annotations
 
-import hashlib
 import json
+import re
 import shutil
 import struct
 import subprocess
@@ -23,26 +24,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from likeness.functions import paths
-from likeness.functions.hashing import SIDE, perceptual
+from likeness.functions.hashing import grey_square, perceptual, shares
 from likeness.sources.discovery import SAMPLES, _opened
+from likeness.sources.reading import DECODERS, content_digest, read_whole
+from likeness.sources.scratch import Scratch
 
-HEAD = 1 << 17
-CHUNK = 1 << 20
+#: Paths that the JVM's decoder is given at a time.
+LISTED = 4096
 
 # Fixed values of the EXIF format: the tag of the orientation.
 _ORIENTATION = 0x0112
 
 
-def orientation_of(head: bytes) -> int:
-    """The EXIF orientation (1 to 8) in the first bytes of a JPEG file; 1 without one."""
-    at = 2
-    if head[:2] != b"\xff\xd8":
+def orientation(read) -> int:
+    """The EXIF orientation (1 to 8) of a JPEG file, wherever its segment lies; 1 without one. ``read(at, n)``
+    gives n bytes from a place."""
+    if read(0, 2) != b"\xff\xd8":
         return 1
+    at = 2
     try:
-        while head[at] == 0xFF and head[at + 1] not in (0xD9, 0xDA):
-            (size,) = struct.unpack_from(">H", head, at + 2)
-            if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
-                tiff = head[at + 10 : at + 2 + size]
+        while True:
+            mark, kind, size = struct.unpack(">BBH", read(at, 4))
+            if mark != 0xFF or kind in (0xD9, 0xDA):
+                return 1
+            if kind == 0xE1 and read(at + 4, 6) == b"Exif\0\0":
+                tiff = read(at + 10, size - 8)
                 order = "<" if tiff[:2] == b"II" else ">"
                 (first,) = struct.unpack_from(order + "I", tiff, 4)
                 (entries,) = struct.unpack_from(order + "H", tiff, first)
@@ -52,9 +58,13 @@ def orientation_of(head: bytes) -> int:
                         return value if 1 <= value <= 8 else 1
                 return 1
             at += 2 + size
-    except (IndexError, struct.error):
-        pass
-    return 1
+    except struct.error:  # the file ends before
+        return 1
+
+
+def orientation_of(data: bytes) -> int:
+    """The EXIF orientation in the bytes of a JPEG file."""
+    return orientation(lambda at, n: data[at : at + n])
 
 
 def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
@@ -68,31 +78,22 @@ def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
     return pixels
 
 
-def _shares(n: int, side: int) -> np.ndarray:
-    """What each of n pixels in a row contributes to each of ``side`` equal parts."""
-    edges = np.linspace(0, n, side + 1)
-    low, high = edges[:-1, None], edges[1:, None]
-    at = np.arange(n)[None]
-    return np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None) * (side / n)
-
-
-def grey_square(rgb: np.ndarray, side: int = SIDE) -> np.ndarray:
-    """The mean brightness of ``side`` x ``side`` equal parts of an image."""
-    grey = rgb[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114]) if rgb.ndim == 3 else rgb.astype(np.float64)
-    return _shares(grey.shape[0], side) @ grey @ _shares(grey.shape[1], side).T
+def _orientation_at(path: str) -> int:
+    files, base, _ = _opened(path)
+    with files.open_input_file(base) as f:
 
+        def read(at: int, n: int) -> bytes:
+            f.seek(at)
+            return f.read(n)
 
-def _read_head(path: str) -> bytes:
-    files, base, _ = _opened(path)
-    with files.open_input_stream(base) as f:
-        return f.read(HEAD)
+        return orientation(read)
 
 
 _PIXELS = "path string, height int, width int, rgb binary"
 
 
-def load_images(spark: SparkSession, root: str) -> DataFrame:
-    """path, height, width, rgb (rows of bytes) of the images under a folder, upright."""
+def load_images(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """path, height, width, rgb (rows of bytes) of the images under a folder, or of listed files, upright."""
 
     def run(batches):
         for b in batches:
@@ -101,14 +102,14 @@ def load_images(spark: SparkSession, root: str) -> DataFrame:
                 own = np.frombuffer(data, np.uint8).reshape(height, width, channels)
                 own = np.repeat(own, 3, axis=2) if channels == 1 else own[..., 2::-1]  # the source's order is blue, green, red
                 try:
-                    own = upright(own, orientation_of(_read_head(path)))
+                    own = upright(own, _orientation_at(path))
                 except OSError:
                     pass
                 rows.append((path, own.shape[0], own.shape[1], np.ascontiguousarray(own).tobytes()))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["path", "height", "width", "rgb"])
 
-    found = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root).select("image.*")
+    found = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root if isinstance(root, str) else [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in root]).select("image.*")
     path = F.regexp_replace(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")  # the source gives urls
     return found.filter("height > 0").select(path.alias("path"), "height", "width", "nChannels", "data").mapInArrow(run, _PIXELS)
 
@@ -130,28 +131,64 @@ def with_hashes(images: DataFrame) -> DataFrame:
 def content_hashes(files: DataFrame) -> DataFrame:
     """path, content_hash (BLAKE2b of 128 bits) of files, read in chunks."""
 
-    def one(path):
-        digest = hashlib.blake2b(digest_size=16)
-        try:
-            system, base, _ = _opened(path)
-            with system.open_input_stream(base) as f:
-                while chunk := f.read(CHUNK):
-                    digest.update(chunk)
-        except OSError:
-            return None
-        return digest.digest()
-
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([one(p) for p in b.column("path").to_pylist()], pa.binary())], ["path", "content_hash"])
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([content_digest(p) for p in b.column("path").to_pylist()], pa.binary())], ["path", "content_hash"])
 
     return files.select("path").mapInArrow(run, "path string, content_hash binary")
 
 
-def fingerprints(files: DataFrame, root: str) -> DataFrame:
-    """path, content_hash, phash, pixels of files (path) under a folder."""
-    hashed = with_hashes(load_images(files.sparkSession, root))
-    return content_hashes(files).join(hashed, "path", "left")
+def hashed_in_tasks(files: DataFrame, decoders=DECODERS, kind: str | None = None) -> DataFrame:
+    """path, content_hash, phash, pixels, undecoded (whether no decoder knows an image's format) of files
+    (path): each is opened by its path and decoded, turned and hashed in one stage. ``kind``: of all files,
+    else it follows from their names."""
+
+    def one(path: str, kind: str | None) -> tuple:
+        digest = content_digest(path)
+        if digest is None or kind != "image":
+            return path, digest, None, None, False
+        data = read_whole(path)
+        for decode in decoders:
+            try:
+                pixels = decode(data)
+            except Exception:  # a damaged file has no pixels
+                return path, digest, None, None, False
+            if pixels is not None:
+                return path, digest, perceptual(grey_square(pixels)[None])[0].tobytes(), pixels.shape[0] * pixels.shape[1], False
+        return path, digest, None, None, True
+
+    def run(batches):
+        for b in batches:
+            rows = [one(*r) for r in zip(b.column("path").to_pylist(), b.column("kind").to_pylist())]
+            kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["path", "content_hash", "phash", "pixels", "undecoded"])
+
+    own = files.select("path", (F.lit(kind) if kind else paths.kind(F.col("path"))).alias("kind"))
+    return own.mapInArrow(run, "path string, content_hash binary, phash binary, pixels long, undecoded boolean")
+
+
+def fingerprints(files: DataFrame, scratch: Scratch, decoders=DECODERS) -> DataFrame:
+    """path, content_hash, phash, pixels of files (path); these alone are opened. What no decoder in the tasks
+    knows goes to the JVM's by ``LISTED`` paths at a time. Reads tables of ``scratch``."""
+    found = scratch.keep(hashed_in_tasks(files, decoders))
+    parts, some = [], []
+    rest = found.filter("undecoded").select("path")
+    for row in rest.toLocalIterator():
+        some.append(row["path"])
+        if len(some) == LISTED:
+            parts.append(scratch.keep(with_hashes(load_images(files.sparkSession, some))))
+            some = []
+    if some:
+        parts.append(scratch.keep(with_hashes(load_images(files.sparkSession, some))))
+    found = found.drop("undecoded")
+    if not parts:
+        return found
+    more = parts[0]
+    for part in parts[1:]:
+        more = more.unionByName(part)
+    more = more.toDF("path", "more_phash", "more_pixels")
+    both = found.join(more, "path", "left")
+    return both.select("path", "content_hash", F.coalesce("phash", "more_phash").alias("phash"), F.coalesce("pixels", "more_pixels").alias("pixels"))
 
 
 def png(rgb: np.ndarray) -> bytes:
@@ -177,7 +214,7 @@ def thumbnail(spark: SparkSession, path: str, side: int = 256, source: FrameSour
     height, width = found[0]["height"], found[0]["width"]
     pixels = np.frombuffer(found[0]["rgb"], np.uint8).reshape(height, width, 3).astype(np.float64)
     scale = min(1.0, side / max(height, width))
-    rows, columns = _shares(height, max(1, round(height * scale))), _shares(width, max(1, round(width * scale)))
+    rows, columns = shares(height, max(1, round(height * scale))), shares(width, max(1, round(width * scale)))
     small = np.einsum("ah,hwc,bw->abc", rows, pixels, columns, optimize=True)
     return png(np.clip(np.rint(small), 0, 255).astype(np.uint8))
 

@@ -9,7 +9,10 @@ import numpy as np
 
 
 class Embedder(Protocol):
-    """Vectors of images and texts. Unreadable images are left out and the rest stays aligned."""
+    """Vectors of images and texts. Unreadable images are left out and the rest stays aligned. One that has
+    ``embed_pixels`` (:class:`likeness.sources.reading.PixelEmbedder`), too, is given pixels: of images, of
+    the frames of videos and of bodies. One without it is given paths, of videos only if it says
+    ``reads_videos``."""
 
     dimension: int
 
@@ -33,6 +36,8 @@ class Verifier(Protocol):
 class HashEmbedder:
     """A stand-in whose vectors follow from the path or prompt alone."""
 
+    reads_videos = True
+
     def __init__(self, dimension: int = 16):
         self.dimension = dimension
 
@@ -52,14 +57,16 @@ def embed_with(embedder: Embedder):
     """An ``embed`` function for index passes: Arrow batches, one model per task, errors as rows."""
     import pyarrow as pa
 
+    videos = getattr(embedder, "reads_videos", False)
     names = pa.schema([("path", pa.string()), ("vectors", pa.list_(pa.list_(pa.float32()))), ("frame_times", pa.list_(pa.float64())), ("boxes", pa.list_(pa.string())), ("error", pa.string())])
 
     def run(batches):
         for b in batches:
             paths = b.column("path").to_pylist()
-            kept, vectors = embedder.embed_paths(paths)
-            by_path = dict(zip(kept, vectors))
-            rows = [(p, [by_path[p].tolist()], [0.0], [None], None) if p in by_path else (p, [], [], [], "unreadable") for p in paths]
+            given = [p for p, kind in zip(paths, b.column("kind").to_pylist()) if kind != "video" or videos]
+            kept, vectors = embedder.embed_paths(given)
+            by_path, known = dict(zip(kept, vectors)), set(given)
+            rows = [(p, [by_path[p].tolist()], [0.0], [None], None) if p in by_path else (p, [], [], [], "unreadable" if p in known else "the embedder reads no videos") for p in paths]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, names)], schema=names)
 
     return lambda files: files.select("path", "kind").mapInArrow(run, "path string, vectors array<array<float>>, frame_times array<double>, boxes array<string>, error string")
