@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one that begins with further underscores where a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``; from here on its session sends Python batches of ``BATCH_BYTES``, so that a task's
     memory follows bytes and not 10,000 rows of any length."""

@@ -11,7 +11,7 @@ averaged by their bytes.
 No shuffle; a task handles ``BATCH`` windows at a time.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; with no labelled
-rows at all everything is ``und``; of more languages than ``LANGUAGES`` the rarest aren't learned; rows with null language or null id are never learned from;
+rows at all everything is ``und``; every language that has rows to learn from is a class; rows with null language or null id are never learned from;
 repeated rows get equal results; further input columns are ignored.
 """
 
@@ -32,8 +32,8 @@ EMBEDDING = 8
 BATCH = 4096
 SAMPLE_DOCS = 500
 SAMPLE_WINDOWS = 4
-#: The most languages that a network tells apart: those with the most rows, ties by name.
-LANGUAGES = 1000
+#: A text is kept whose best probability is that share of the way from chance (1 / languages) to certainty.
+CERTAINTY = 0.2
 UNDETERMINED = "und"
 
 
@@ -183,11 +183,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """Tables of a network that has learned from rows with a language whose id doesn't have the
     remainder 1 modulo 3."""
     known = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "lang").filter("lang is not null and doc_id is not null").filter(remainder(3) != 1)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # the classes, which the network has to hold
     if not sizes:
         return {"classes": []}
-    rates = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, sample_docs / n) * (1 << 30)))])
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < rates[F.col("lang")]).filter("text is not null")
+    rates = docs.sparkSession.createDataFrame([(lang, int(min(1.0, sample_docs / n) * (1 << 30))) for lang, n in sorted(sizes.items())], "lang string, rate long")
+    drawn = known.filter("text is not null").join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < F.col("rate"))
     starts = [F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - LENGTH // 2))).cast("int"), F.lit(LENGTH)) for k in range(SAMPLE_WINDOWS)]
     found = drawn.select("doc_id", "lang", F.array(*starts).alias("parts")).toPandas().sort_values(["doc_id", "lang"])
     classes = sorted(sizes)
@@ -223,11 +223,16 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, that have a language found with a score of ``least``; all
-    where no language could be learned."""
+def least_score(classes: int, certainty: float = CERTAINTY) -> float:
+    """The score that a kept text has at least: the best of so many probabilities is never below chance."""
+    return (1 + certainty * (classes - 1)) / classes
+
+
+def keep_identified(docs: DataFrame, certainty: float = CERTAINTY) -> DataFrame:
+    """The documents, with all their columns, that have a language found with enough ``certainty`` (0: any
+    score, 1: none but 1); all where no language could be learned."""
     tables = fit(in_small_batches(docs))
     if not tables["classes"]:
         return docs
     found = identifier(docs.sparkSession, tables)(docs["text"])
-    return docs.filter((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least))
+    return docs.filter((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least_score(len(tables["classes"]), certainty)))

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from likeness.llm.common import TaskTable, in_small_batches
+from likeness.llm.common import TaskTable, in_small_batches, unused
 from likeness.sources.scratch import Scratch
 
 ORDER = 5
@@ -358,25 +358,26 @@ def scorer(spark, model: Model | None):
     return toxicity
 
 
-def with_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents plus _toxicity."""
+def with_toxicity(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
+    """The documents plus their score in a column of the given name, which none of theirs has."""
     if model is None or model.table is None:
-        return docs.withColumn("_toxicity", scorer(docs.sparkSession, model)(docs["text"]))
-    scratch = Scratch(docs.sparkSession, "toxicity-scores")
-    numbered = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+        return docs.withColumn(name, scorer(docs.sparkSession, model)(docs["text"]))
+    scratch, row = Scratch(docs.sparkSession, "toxicity-scores"), unused(docs, "_row")
+    numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()))
     constant, *weights = map(float, model.weights)
     z = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(constant), lambda a, b: a + b)
-    scores = features_by_join(numbered.select("_row", "text"), model.table).select("_row", (1 / (1 + F.exp(-z))).alias("_toxicity"))
-    return numbered.join(scores, "_row").select(*docs.columns, "_toxicity")
+    scores = features_by_join(numbered.select(F.col(row).alias("_row"), "text"), model.table).select(F.col("_row").alias(row), (1 / (1 + F.exp(-z))).alias(name))
+    return numbered.join(scores, row).select(*docs.columns, name)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (remainder 0), score, predicted (1 from 0.5) for every document."""
-    found = with_toxicity(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), fit(docs, labels))
+    found = with_toxicity(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), fit(docs, labels), "_toxicity")
     scored = found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("_toxicity").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The documents, with all their columns, whose score is under ``limit``."""
-    return with_toxicity(docs, fit(docs, labels)).filter(F.col("_toxicity") < limit).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return with_toxicity(docs, fit(docs, labels), name).filter(F.col(name) < limit).drop(name)

@@ -45,6 +45,39 @@ def test_look_ups_equal_the_network():
     assert np.allclose(L.probabilities(network.tables(), windows), direct, atol=1e-5)
 
 
+def _plain_probabilities(p, text):
+    """A whole text through the network, byte by byte in plain Python: convolution, maximum, softmax; windows by their bytes."""
+    data, sums, classes = text.encode(), 0, len(p["c"])
+    for begin in range(0, len(data), L.LENGTH):
+        window = data[begin : begin + L.LENGTH]
+        codes, pooled = list(window) + [0] * (L.LENGTH - len(window)), []
+        for w in L.WIDTHS:
+            for f in range(L.FILTERS):
+                at = [sum(float(p["e"][codes[i + k]][d]) * float(p[f"w{w}"][k * L.EMBEDDING + d][f]) for k in range(w) for d in range(L.EMBEDDING)) for i in range(L.LENGTH - w + 1)]
+                pooled.append(max(0.0, max(at) + float(p[f"b{w}"][f])))
+        z = [sum(h * float(p["v"][j][c]) for j, h in enumerate(pooled)) + float(p["c"][c]) for c in range(classes)]
+        q = np.exp(np.array(z) - max(z))
+        sums = sums + q / q.sum() * len(window)
+    return sums / len(data)
+
+
+def test_predictions_equal_a_plain_forward_pass():
+    network = L.Network(["a", "b", "c"], seed=3)
+    network.p["c"] += np.array([0.1, -0.2, 0.3], np.float32)
+    texts = ["Ein Satz, der länger als ein Fenster ist: " + "wörter und noch mehr " * 8, "kurz", "naïve 日本"]
+    names, scores = L.predict(network.tables(), texts)
+    for text, name, score in zip(texts, names, scores):
+        want = _plain_probabilities(network.p, text)
+        assert name == "abc"[int(want.argmax())] and score == pytest.approx(want.max(), abs=1e-4)
+
+
+def test_every_language_is_a_class_and_the_least_score_follows_their_number(spark):
+    rows = [(i, f"text number {i}", f"l{i % 1100:04d}") for i in range(2200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(docs, 1)["classes"] == sorted({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert [round(L.least_score(k), 3) for k in (1, 2, 4, 1000)] == [1.0, 0.6, 0.4, 0.201] and L.least_score(5, 0) == 0.2
+
+
 def test_gradients():
     network = L.Network(["a", "b"])
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
@@ -198,6 +231,10 @@ def test_large_models_are_joined_alike(spark, monkeypatch):
     assert len(got) == len(want) and (got.doc_id.fillna(-9) == want.doc_id.fillna(-9)).all()
     assert np.allclose(got.score, want.score, atol=1e-6) and want.predicted.sum() > 50
     assert T.keep_ordinary(docs, labels).count() == (want.score < 0.5).sum()
+    clashing = docs.select("*", *[F.lit(name).alias(name) for name in ("_row", "_toxicity", "__row", "x")])
+    kept = T.keep_ordinary(clashing, labels)
+    assert kept.columns == clashing.columns and kept.count() == (want.score < 0.5).sum()
+    assert {(r["_row"], r["_toxicity"], r["__row"], r.x) for r in kept.collect()} == {("_row", "_toxicity", "__row", "x")}
 
 
 def test_rare_class_evidence_outlives_the_broadcast_bound(spark, monkeypatch):
