@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from likeness.llm import collocations, common, repeated_passages
+from likeness.llm import collocations, repeated_passages
 from likeness.llm.collocations import radix_order
 from likeness.llm.divergence import divergence
 from likeness.llm.repeated_passages import SuffixAutomaton, without_repeats
+from likeness.operators import joins
 from tests.llm.fixtures import DOC_SCHEMA, odd_docs
 
 # Repeated passages.
@@ -58,7 +59,7 @@ def test_repeated_passages_equal_plain_search(spark, monkeypatch, small):
     if small:  # many shards, salts, grams that go window by window or are set apart, joins without broadcasts
         for name, value in (("SHARD_ROWS", 20), ("STREAM_ROWS", 30), ("HOT_KEYS", 50), ("BROADCAST_IDS", 10)):
             monkeypatch.setattr(repeated_passages, name, value)
-        monkeypatch.setattr(common, "HOT_ROWS", 20)
+        monkeypatch.setattr(joins, "HOT_ROWS", 20)
     rows = _passage_rows()
     got = without_repeats(_docs(spark, rows)).collect()
     assert sorted(map(tuple, got), key=repr) == _without_repeats(rows)
@@ -163,7 +164,7 @@ def _texts():
 @pytest.mark.parametrize("broadcast_words, buffer", [(500_000, 1 << 20), (0, 1 << 20), (500_000, 50), (0, 50)])
 def test_collocations_equal_plain_counting(spark, monkeypatch, broadcast_words, buffer):
     monkeypatch.setattr(collocations, "BUFFER", buffer)
-    monkeypatch.setattr(common, "HOT_ROWS", 10_000 if buffer > 50 else 5)
+    monkeypatch.setattr(joins, "HOT_ROWS", 10_000 if buffer > 50 else 5)
     rows = _texts()
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "lang string, text string, key int, n int").repartition(3)
     cases = [(20, 5, 100, 2000), (3, 3, 60, 7)] if broadcast_words else [(5, 5, 100, 2000)]
