@@ -59,14 +59,18 @@ def exact_groups(files: DataFrame) -> DataFrame:
     return as_groups(exact_members(files)).select(F.lit("exact").alias("kind"), F.col("group").alias("content_hash"), "keeper", "n", "paths", "redundant")
 
 
-def hamming_pairs(files: DataFrame, most: int, words: list[Column], index_from: int = INDEX_FROM) -> DataFrame:
+def hamming_pairs(files: DataFrame, most: int, words: list[Column], index_from: int = INDEX_FROM, connect: bool = False) -> DataFrame:
     """a, b, value: pairs of file ids whose hashes (as 64-bit words) differ in ``most`` bits or fewer. From
     ``index_from`` files an index of the hashes' segments saves nearly all comparisons, where ``most`` allows
-    one (it does for the usual cutoff); the pairs are the same."""
-    rows = files.select("id", F.array(*words).alias("data"))
+    one (it does for the usual cutoff); the pairs are the same. ``connect``: where only what is connected
+    matters, a task's pairs become the forest of what they connect, with each component's largest value."""
+    whole = words[0].isNotNull()
+    for w in words[1:]:
+        whole = whole & w.isNotNull()
+    rows = files.select("id", F.when(whole, F.array(*words)).alias("data"))  # a file without a hash takes no part
     if most < 8 * len(words) and rows.limit(index_from).count() == index_from:
-        return indexed_hamming_pairs(rows, most, len(words))
-    return block_pairs(rows, hamming_kernel(most), "int", 8 * len(words))
+        return indexed_hamming_pairs(rows, most, len(words), connect=connect)
+    return block_pairs(rows, hamming_kernel(most), "int", 8 * len(words), connect=connect)
 
 
 def near_members(files: DataFrame, most: int | None = None, words: list[Column] | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -79,7 +83,7 @@ def near_members(files: DataFrame, most: int | None = None, words: list[Column]
     scratch = scratch or Scratch(files.sparkSession, "near-groups")
     hashes = scratch.keep(some.select("id", F.array(*words).alias("data")))
     distinct = scratch.keep(hashes.groupBy("data").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    pairs = hamming_pairs(distinct, most, [F.col("data")[k] for k in range(len(words))])
+    pairs = hamming_pairs(distinct, most, [F.col("data")[k] for k in range(len(words))], connect=True)
     copies = hashes.join(distinct.filter("n > 1").select("data", F.col("id").alias("first")), "data").filter("id <> first")
     pairs = scratch.keep(pairs.unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("value"))))
     labels = components(pairs, scratch).withColumnsRenamed({"node": "id", "label": "group"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from likeness.operators.components import components
-from likeness.operators.kernels import best_target, block_pairs, cosine_kernel
+from likeness.operators.kernels import PRUNE_FROM, best_target, block_pairs, cosine_kernel, pruned_cosine_pairs
 from likeness.sources.scratch import Scratch
 
 THRESHOLD = 0.38
@@ -30,15 +30,29 @@ def rematch(file_faces: DataFrame, references: DataFrame, threshold: float = THR
     return out.select(file_faces.columns)
 
 
-def cluster_unnamed(file_faces: DataFrame, threshold: float = CLUSTER_THRESHOLD, least: int = CLUSTER_SIZE) -> DataFrame:
-    """cluster, size, files, face_ids, sample_file_id of groups of unassigned faces that chains of
-    similar pairs join; ``cluster`` is the smallest face id."""
+def cluster_members(file_faces: DataFrame, threshold: float = CLUSTER_THRESHOLD, scratch: Scratch | None = None, prune_from: int = PRUNE_FROM) -> DataFrame:
+    """id, file_id, cluster of unassigned faces: chains of similar pairs join a cluster, whose name is its
+    smallest face id. A row per face, so a cluster may hold any share of them; equal vectors are compared as
+    one, and tasks pass on what their pairs connect, not the pairs. From ``prune_from`` vectors blocks that
+    can't hold similar ones don't meet. The result reads tables of ``scratch``."""
+    scratch = scratch or Scratch(file_faces.sparkSession, "clusters")
     faces = file_faces.filter("person_id is null")
-    first = faces.filter("vector is not null").select(F.size("vector")).head(1)
-    pairs = block_pairs(faces.select("id", F.col("vector").alias("data")), cosine_kernel(threshold), "double", 8 * max(1, first[0][0] if first else 1))
-    labels = components(pairs, Scratch(faces.sparkSession, "clusters")).withColumnRenamed("node", "id")
-    own = faces.select("id", "file_id").join(labels, "id", "left").withColumn("cluster", F.coalesce("label", "id"))
-    groups = own.groupBy("cluster").agg(
+    vectors = scratch.keep(faces.filter("vector is not null and id is not null").select("id", F.col("vector").alias("data")))
+    distinct = scratch.keep(vectors.groupBy("data").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    if threshold > 0 and distinct.limit(prune_from).count() == prune_from:
+        pairs, _ = pruned_cosine_pairs(distinct, threshold, scratch, connect=True)
+    else:
+        first = distinct.select(F.size("data")).head(1)
+        pairs = block_pairs(distinct, cosine_kernel(threshold), "double", 8 * max(1, first[0][0] if first else 1), connect=True)
+    zero = F.aggregate("data", F.lit(True), lambda s, x: s & (x == 0))  # these match none, so not each other either
+    copies = vectors.join(distinct.filter("n > 1").filter(~zero).select("data", F.col("id").alias("first")), "data").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    labels = components(pairs.select("a", "b").unionByName(copies), scratch).withColumnRenamed("node", "id")
+    return faces.select("id", "file_id").join(labels, "id", "left").select("id", "file_id", F.coalesce("label", "id").alias("cluster"))
+
+
+def cluster_unnamed(file_faces: DataFrame, threshold: float = CLUSTER_THRESHOLD, least: int = CLUSTER_SIZE) -> DataFrame:
+    """cluster, size, files, face_ids, sample_file_id of groups of unassigned faces, for people to look at."""
+    groups = cluster_members(file_faces, threshold).groupBy("cluster").agg(
         F.count("*").alias("size"), F.countDistinct("file_id").alias("files"), F.array_sort(F.collect_list("id")).alias("face_ids"), F.min_by("file_id", "id").alias("sample_file_id"))
     return groups.filter(F.col("size") >= least)
 

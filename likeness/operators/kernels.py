@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from likeness.operators.components import smallest_reached
 from likeness.sources.scratch import Scratch
 
 TARGET_BLOCK = 8192
@@ -163,15 +164,53 @@ def score_buckets(rows: DataFrame, targets: DataFrame, buckets: int, vector: str
     return _union(parts).groupBy("target_id", "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.min("bottom").alias("bottom"))
 
 
-def block_pairs(rows: DataFrame, kernel: Callable, value_type: str, width: int, block: int | None = None) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs those that keep what they connect: for each component its smallest node with every other one,
+    and the largest value of the component's pairs. As many as nodes at most."""
+    nodes, labels = smallest_reached(a, b)
+    roots, own = np.unique(labels[np.searchsorted(nodes, a)], return_inverse=True)
+    most = np.full(len(roots), -np.inf)
+    np.maximum.at(most, own, value)
+    rest = nodes != labels
+    return labels[rest], nodes[rest], most[np.searchsorted(roots, labels[rest])]
+
+
+def _reported(chunks, value_type: str, connect: bool) -> pa.Table:
+    """Pairs (a, b, value) as a table; with ``connect`` their forest, of which a task holds little more than
+    ``CELLS`` pairs at a time."""
+    held, size = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+    gathered = lambda: tuple(np.concatenate(c) for c in zip(*held))
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk[0])
+        if connect and size > CELLS:
+            held = [forest(*gathered())]
+            size = len(held[0][0])
+    a, b, value = gathered()
+    if connect and len(a):
+        a, b, value = forest(a, b, value)
+    kind = {"double": pa.float64(), "int": pa.int32()}[value_type]
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.asarray(value, float)).cast(kind)], ["a", "b", "value"])
+
+
+def _compared(x, y, x_ids: np.ndarray, y_ids: np.ndarray, kernel: Callable, same: bool):
+    """Chunks of the pairs of ids that ``kernel`` keeps; of one block with itself each pair once."""
+    for i, j, value in kernel(x, y) if len(x_ids) and len(y_ids) else ():
+        a, b = x_ids[i], y_ids[j]
+        fine = a < b if same else a != b
+        yield np.minimum(a, b)[fine], np.maximum(a, b)[fine], np.asarray(value)[fine]
+
+
+def block_pairs(rows: DataFrame, kernel: Callable, value_type: str, width: int, block: int | None = None, connect: bool = False) -> DataFrame:
     """a, b, value of the pairs a < b of ``rows`` (id long and ``data``, ``width`` bytes each) that
     ``kernel`` reports. Rows whose data is null take no part.
 
     Rows are dealt by a hash of the id into blocks of ``BLOCK_BYTES`` at most (smaller ones, but of
     ``PAIR_BLOCK`` rows, where there would be too few tasks); each pair of blocks meets in one task,
-    which holds two blocks. ``kernel(x, y)`` takes two columns of data and returns the positions in x,
+    which holds two blocks. ``kernel(x, y)`` takes two columns of data and yields the positions in x,
     in y and the values of the pairs to keep. Every pair is compared: exact, with work that grows with
-    the square of the rows and copies that grow with the number of blocks; only the kept pairs become rows.
+    the square of the rows and copies that grow with the number of blocks; only the kept pairs become
+    rows, or with ``connect`` the :func:`forest` of each task's, where only what is connected matters.
     """
     rows = rows.filter("id is not null and data is not null")
     count = rows.count()
@@ -184,28 +223,18 @@ def block_pairs(rows: DataFrame, kernel: Callable, value_type: str, width: int,
     right = own.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("block")))).select(F.col("id").alias("id_"), F.col("data").alias("data_"), "first", F.col("block").alias("last"))
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        out = (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-        if len(x) and len(y):
-            i, j, value = kernel(x["data"], y["data_"])
-            a, b = x["id"].to_numpy()[i], y["id_"].to_numpy()[j]
-            fine = a != b
-            if x["block"][0].as_py() == x["other"][0].as_py():
-                fine = a < b
-            out = np.minimum(a, b)[fine], np.maximum(a, b)[fine], np.asarray(value)[fine]
-        kind = {"double": pa.float64(), "int": pa.int32()}[value_type]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]).cast(kind)], ["a", "b", "value"])
+        same = len(x) and x["block"][0].as_py() == x["other"][0].as_py()
+        return _reported(_compared(x["data"], y["data_"], x["id"].to_numpy(), y["id_"].to_numpy(), kernel, same), value_type, connect)
 
     return left.groupBy("block", "other").cogroup(right.groupBy("first", "last")).applyInArrow(compare, f"a long, b long, value {value_type}")
 
 
 def _in_slices(x, y, pairs: Callable):
     """Positions and values of ``pairs`` (a matrix of x's slice against y, and which of its cells to keep)."""
-    found = []
     for begin, some in _slices(x, len(y)):
         values, keep = pairs(some, y)
         i, j = np.nonzero(keep)
-        found.append((i + begin, j, values[i, j]))
-    return tuple(np.concatenate(c) for c in zip(*found))
+        yield i + begin, j, values[i, j]
 
 
 def cosine_kernel(threshold: float) -> Callable:
@@ -263,7 +292,7 @@ def close_values(values: np.ndarray, others: np.ndarray | None = None, equal: bo
             at = upto
 
 
-def indexed_hamming_pairs(rows: DataFrame, most: int, words: int, block: int = INDEX_BLOCK) -> DataFrame:
+def indexed_hamming_pairs(rows: DataFrame, most: int, words: int, block: int = INDEX_BLOCK, connect: bool = False) -> DataFrame:
     """a, b, value: the pairs a < b of ``rows`` (id long, ``data``: an array of ``words`` longs) that differ in
     ``most`` bits or fewer, by an index of segments; exact for ``most`` below twice the segments.
 
@@ -272,7 +301,8 @@ def indexed_hamming_pairs(rows: DataFrame, most: int, words: int, block: int = I
     group: segment, which byte, value) and compared with those of their group whose other byte differs in
     one bit or none: about one in 256 * 256 / 17 of random pairs for each segment. A pair is reported
     by the first segment that is close, so once. A group of more than ``block`` rows, as of a value that
-    many files share, is cut into blocks whose pairs meet in tasks of their own.
+    many files share, is cut into blocks whose pairs meet in tasks of their own. ``connect``: as in
+    :func:`block_pairs`.
     """
     segments = 4 * words
     if most >= 2 * segments:
@@ -302,19 +332,137 @@ def indexed_hamming_pairs(rows: DataFrame, most: int, words: int, block: int = I
         ids, block, value = own["id"].to_numpy(), own["block"].to_numpy(), data.view(np.uint8)[:, varied]
         x = np.flatnonzero(block == first)
         y = x if first == second else np.flatnonzero(block == second)
-        found = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.int64),)]
-        # Equal segments are left to the group of the lower byte.
-        for i, j in close_values(value[x], None if first == second else value[y], equal=place % 2 == 0):
-            i, j = x[i], y[j]
-            distance = np.zeros(len(i), np.int64)
-            for k in range(words):
-                distance += np.bitwise_count(data[i, k] ^ data[j, k])
-            near = np.flatnonzero((distance <= most) & (ids[i] != ids[j]))
-            i, j, distance = i[near], j[near], distance[near]
-            apart = np.bitwise_count(data[i].view(np.uint16) ^ data[j].view(np.uint16)) <= 1
-            fine = apart.argmax(axis=1) == segment if len(i) else np.empty(0, bool)
-            found.append((np.minimum(ids[i], ids[j])[fine], np.maximum(ids[i], ids[j])[fine], distance[fine]))
-        a, b, distance = (np.concatenate(c) for c in zip(*found))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(distance, pa.int32())], ["a", "b", "value"])
+
+        def chunks():
+            # Equal segments are left to the group of the lower byte.
+            for i, j in close_values(value[x], None if first == second else value[y], equal=place % 2 == 0):
+                i, j = x[i], y[j]
+                distance = np.zeros(len(i), np.int64)
+                for k in range(words):
+                    distance += np.bitwise_count(data[i, k] ^ data[j, k])
+                near = np.flatnonzero((distance <= most) & (ids[i] != ids[j]))
+                i, j, distance = i[near], j[near], distance[near]
+                apart = np.bitwise_count(data[i].view(np.uint16) ^ data[j].view(np.uint16)) <= 1
+                fine = apart.argmax(axis=1) == segment if len(i) else np.empty(0, bool)
+                yield np.minimum(ids[i], ids[j])[fine], np.maximum(ids[i], ids[j])[fine], distance[fine]
+
+        return _reported(chunks(), "int", connect)
 
     return dealt.groupBy("group", "first", "second").applyInArrow(compare, "a long, b long, value int")
+
+
+#: Vectors that all others' angles are taken to; blocks at most, which have an interval of angles to each.
+PIVOTS = 64
+MOST_BLOCKS = 16_384
+#: Vectors from which pruning is worth its passes; below, all blocks meet.
+PRUNE_FROM = 50_000
+
+
+def meeting(low: np.ndarray, high: np.ndarray, of: np.ndarray, angle: float):
+    """For blocks ``of`` those from themselves on that may hold a vector within ``angle``: by the triangle
+    inequality none does if its angles to some pivot are further away."""
+    for k in of.tolist():
+        apart = np.maximum(low[k:] - high[k], low[k] - high[k:]).max(axis=1)
+        yield k, k + np.flatnonzero(apart <= angle)
+
+
+def _cells(rows: DataFrame, block: int, pivots: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The vectors (id, data) with their block, and each block's least and largest angle to every pivot. A
+    vector belongs to its nearest pivot, and there to a ring of angles; rings of more than twice ``block``
+    vectors, as of many equal ones, are cut by a hash."""
+    spark = rows.sparkSession
+    drawn = rows.select("id", "data").orderBy(F.xxhash64("id")).limit(pivots).toArrow()
+    if not len(drawn):
+        return rows.select("id", "data", F.lit(0).alias("block")), np.empty((0, 1)), np.empty((0, 1))
+    centres = unit(matrix(drawn["data"]))
+    angles = lambda data: np.arccos(np.clip(unit(matrix(data, centres.shape[1])) @ centres.T, -1, 1))
+
+    def deal(batches):
+        for b in batches:
+            own = angles(b.column("data"))
+            cell = own.argmin(axis=1) if len(own) else np.empty(0, int)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("data"), pa.array(cell, pa.int32()), pa.array(own[np.arange(len(own)), cell])], ["id", "data", "cell", "angle"])
+
+    kind = rows.schema["data"].dataType.simpleString()
+    dealt = scratch.keep(rows.select("id", "data").mapInArrow(deal, f"id long, data {kind}, cell int, angle double"))
+    sizes = dict(dealt.groupBy("cell").count().collect())  # a number for each pivot
+    rings = {c: max(1, -(-n // block)) for c, n in sizes.items()}
+    most = max(rings.values())
+    cuts = dict(dealt.groupBy("cell").agg(F.percentile_approx("angle", [k / most for k in range(1, most)] or [0.5]).alias("cuts")).collect())
+    edges = {c: [cuts[c][k * most // n - 1] for k in range(1, n)] for c, n in rings.items()}
+    firsts = dict(zip(rings, np.cumsum([0, *rings.values()]).tolist()))
+
+    def ring(b) -> np.ndarray:
+        cell, angle = b.column("cell").to_numpy(), b.column("angle").to_numpy()
+        out = np.empty(len(cell), np.int32)
+        for c in np.unique(cell).tolist():
+            own = cell == c
+            out[own] = firsts[c] + np.searchsorted(edges[c], angle[own], side="right")
+        return out
+
+    def placed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("data"), pa.array(ring(b))], ["id", "data", "ring"])
+
+    def measured(batches):
+        """ring, n, low, high of what a task has."""
+        found: dict[int, list] = {}
+        for b in batches:
+            own, at = angles(b.column("data")), ring(b)
+            for k in np.unique(at).tolist():
+                some = own[at == k]
+                n, low, high = found.get(k, (0, some[0], some[0]))
+                found[k] = n + len(some), np.minimum(low, some.min(axis=0)), np.maximum(high, some.max(axis=0))
+        rows = [(k, *v) for k, v in found.items()]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["ring", "n", "low", "high"])
+
+    each = F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "x")
+    spans = dealt.mapInArrow(measured, "ring int, n long, low array<double>, high array<double>").select("ring", "n", each)
+    spans = spans.groupBy("ring", "pivot").agg(F.sum("n").alias("n"), F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    spans = spans.orderBy("ring", "pivot").toArrow()  # MOST_BLOCKS * PIVOTS rows at most, about
+    of = spans["ring"].to_numpy().reshape(-1, len(centres))[:, 0]
+    n, low, high = (spans[c].to_numpy().reshape(-1, len(centres)) for c in ("n", "low", "high"))
+    parts = np.maximum(1, -(-n[:, 0] // (2 * block)))
+    begins = np.cumsum(parts) - parts
+    table = spark.createDataFrame(list(zip(of.tolist(), begins.tolist(), parts.tolist())), "ring int, begin int, parts int")
+    with_ring = dealt.mapInArrow(placed, f"id long, data {kind}, ring int").join(F.broadcast(table), "ring")
+    block_ = (F.col("begin") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block")
+    return scratch.keep(with_ring.select("id", "data", block_)), np.repeat(low, parts, axis=0), np.repeat(high, parts, axis=0)
+
+
+def pruned_cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch, block: int | None = None, pivots: int = PIVOTS, connect: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The pairs that ``block_pairs(rows, cosine_kernel(threshold), "double")`` gives, for a threshold above 0, and the
+    pairs of blocks (first, second) that met for them.
+
+    Vectors are dealt to blocks by their nearest pivot and their angle to it. Each block knows its interval of
+    angles to every pivot, and angles between vectors obey the triangle inequality, so two blocks whose
+    intervals to some pivot are further apart than the threshold's angle never meet. Exact; how much is
+    saved depends on how the vectors cluster. A task holds two blocks.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold that vectors at a right angle reach excludes nothing")
+    rows = rows.filter("id is not null and data is not null")
+    size = F.aggregate("data", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    rows = rows.filter((size > 0) & (size < float("inf")))  # zero and endless vectors match none
+    if block is None:
+        first = rows.select(F.size("data")).head(1)
+        block = max(PAIR_BLOCK, min(BLOCK_BYTES // (8 * max(1, first[0][0] if first else 1)), 8192), -(-rows.count() // (MOST_BLOCKS // 2)))
+    placed, low, high = _cells(rows, block, pivots, scratch)
+    shared, angle = rows.sparkSession.sparkContext.broadcast((low, high)), float(np.arccos(min(1.0, threshold))) + 1e-6
+
+    def meet(batches):
+        for b in batches:
+            for k, others in meeting(*shared.value, b.column("id").to_numpy(), angle):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), k), pa.int32()), pa.array(others, pa.int32())], ["first", "second"])
+
+    met = scratch.keep(rows.sparkSession.range(len(low)).mapInArrow(meet, "first int, second int"))
+    left = placed.join(met, placed["block"] == met["first"]).select("id", "data", "first", "second")
+    right = placed.join(met, placed["block"] == met["second"]).select(F.col("id").alias("id_"), F.col("data").alias("data_"), F.col("first").alias("a"), F.col("second").alias("b"))
+    kernel = cosine_kernel(threshold)
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        same = len(x) and x["first"][0].as_py() == x["second"][0].as_py()
+        return _reported(_compared(x["data"], y["data_"], x["id"].to_numpy(), y["id_"].to_numpy(), kernel, same), "double", connect)
+
+    return left.groupBy("first", "second").cogroup(right.groupBy("a", "b")).applyInArrow(compare, "a long, b long, value double"), met
