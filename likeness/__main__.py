@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import secrets
 import sys
 
 
@@ -18,12 +19,17 @@ def parser() -> argparse.ArgumentParser:
     for name, arguments in {
         "index": ["folder"], "forget": ["folder"], "teach": ["name", "paths*"], "search": ["name"], "text": ["prompt"], "score": [], "apply": [], "concepts": [], "people": [], "status": [], "rematch": [],
         "boundary": ["name"], "review": ["name", "path", "answer"], "override": ["path", "name", "state"], "tags": ["names*"], "duplicates": [], "destination": ["name", "folder"], "organize": ["folder"], "undo": ["folder"],
-        "add-person": ["name", "paths*"], "faces": [], "clusters": [], "name-cluster": ["name", "face_ids*"], "verify": ["name"], "collect": ["folder"], "vacuum": [],
+        "add-person": ["name", "paths*"], "faces": [], "clusters": [], "name-cluster": ["name", "face_ids*"], "verify": ["name"], "collect": ["folder"], "vacuum": [], "serve": [],
     }.items():
         s = c.add_parser(name)
         for a in arguments:
             s.add_argument(a.rstrip("*"), nargs="*" if a.endswith("*") else None)
-        s.add_argument("-n", "--limit", type=int, default=25)
+        if name in ("search", "text"):
+            s.add_argument("-n", "--limit", type=int, default=25)
+        if name == "serve":
+            s.add_argument("--host", default="127.0.0.1")
+            s.add_argument("--port", type=int, default=8765)
+            s.add_argument("--token", help="what requests carry; a new one is printed if it isn't given")
         s.add_argument("--threshold", type=float)
         s.add_argument("--not", dest="negatives", nargs="*", default=[])
         s.add_argument("--all", action="store_true")
@@ -34,6 +40,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _serve(service, host: str, port: int, token: str) -> None:
+    """Answer requests until it is interrupted."""
+    from likeness.server import Api, serve
+
+    server = serve(Api(service), token, host, port)
+    print(json.dumps({"url": f"http://{host}:{server.server_port}", "token": token}), flush=True)
+    try:
+        server.serve_forever()
+    except KeyboardInterrupt:
+        pass
+    finally:
+        server.server_close()
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession, functions as F
@@ -49,18 +69,19 @@ def main(argv: list[str] | None = None) -> int:
     actions = {
         "index": lambda: s.index(a.folder), "forget": lambda: s.forget_missing(a.folder), "teach": lambda: s.teach(a.name, a.paths, a.negatives),
         "search": lambda: s.search(concept=a.name, limit=a.limit, threshold=a.threshold), "text": lambda: s.search(text=a.prompt, limit=a.limit, threshold=a.threshold),
-        "score": s.score, "apply": s.score, "status": s.status, "rematch": s.rematch, "boundary": lambda: s.boundary(a.name, a.limit),
+        "score": s.score, "apply": s.score, "status": s.status, "rematch": s.rematch, "boundary": lambda: s.boundary(a.name),
         "concepts": lambda: tags.concept_counts(read("concepts"), read("file_concepts")).select("name", "threshold", "n_examples", "matches", "destination").orderBy("name"),
         "people": lambda: tags.people_counts(read("people"), read("file_faces")).select("name", "n_examples", "files").orderBy("name"),
         "review": lambda: s.review(a.name, a.path, a.answer == "yes"), "override": lambda: s.override(a.path, a.name, None if a.state == "clear" else a.state),
-        "tags": lambda: s.with_tags(a.names, "all" if a.all else "any", a.limit), "duplicates": lambda: s.duplicates().select("kind", "keeper", "n", "redundant"),
+        "tags": lambda: s.with_tags(a.names, "all" if a.all else "any"), "duplicates": lambda: s.duplicates().select("kind", "keeper", "n", "redundant"),
         "destination": lambda: s.catalog.update_concept(a.name, destination=a.folder), "organize": lambda: s.organize(a.mode, a.folder, a.dry_run), "undo": lambda: s.undo(a.folder),
     }
     actions |= {
         "add-person": lambda: {"added": s.register_person(a.name, a.paths, mode="replace" if a.replace else "extend", every=a.all)}, "faces": s.find_faces,
         "clusters": lambda: faces.cluster_unnamed(read("file_faces"), a.threshold or faces.CLUSTER_THRESHOLD).orderBy(F.desc("size"), "cluster"),
         "name-cluster": lambda: s.name_cluster([int(i) for i in a.face_ids], a.name), "collect": lambda: s.collect_duplicates(a.folder, a.mode or "symlink", a.dry_run),
-        "verify": lambda: s.verify_phrase(a.name, a.phrase, a.limit), "vacuum": s.catalog.vacuum,
+        "verify": lambda: s.verify_phrase(a.name, a.phrase), "vacuum": s.catalog.vacuum,
+        "serve": lambda: _serve(s, a.host, a.port, a.token or secrets.token_urlsafe(24)),
     }
     try:
         out = actions[a.command]()
@@ -68,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"likeness: {e}", file=sys.stderr)
         return 1
     if hasattr(out, "toLocalIterator"):
-        for row in out.limit(max(a.limit, 1)).toLocalIterator():
+        for row in out.toLocalIterator():  # in full; searches have their own limit
             print(json.dumps(row.asDict(), default=str, ensure_ascii=False))
     elif out is not None:
         print(json.dumps(out, default=str, ensure_ascii=False))

@@ -246,7 +246,7 @@ def registered_people(lib):
 SELECT 'face' AS kind, id, CASE WHEN id % 40 = 11 THEN 77 END AS person_id, CASE WHEN id % 40 = 11 THEN 1.0::DOUBLE END AS score FROM f
 UNION ALL SELECT 'reference', vec_id, label::BIGINT, NULL FROM embeddings WHERE vec_id < 50 UNION ALL SELECT 'reference', 49 + row_number() OVER (ORDER BY id), 77, NULL FROM f WHERE id % 40 = 11""")
 def named_cluster(lib):
-    ids = [r["id"] for r in lib.faces.filter("id % 40 = 11").select("id").collect()]
+    ids = lib.faces.filter("id % 40 = 11").select("id")
     found, references = faces.name_cluster(lib.faces, lib.references, ids, 77)
     more = references.select(F.lit("reference").alias("kind"), "id", "person_id", F.lit(None).cast("double").alias("score"))
     return found.select(F.lit("face").alias("kind"), "id", "person_id", "score").unionByName(more)
@@ -333,9 +333,9 @@ def waiting_renames(lib):
     return renames.blocked(plans).select("source", "target")
 
 
-@query("""SELECT doc_id AS id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda t: trim(t, ' ')), lambda t: t <> ''), '|') AS tags FROM documents""")
+@query("""SELECT doc_id AS id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda t: trim(t, ' ')), lambda t: t <> ''), '|') AS tags FROM documents""")
 def split_lists(lib):
-    return lib.table("documents").select(F.col("doc_id").alias("id"), F.array_join(naming.split_list(F.substring("text", 1, 200)), "|").alias("tags"))
+    return lib.table("documents").select(F.col("doc_id").alias("id"), F.array_join(naming.split_list(F.col("text")), "|").alias("tags"))
 
 
 @query("""SELECT doc_id AS id, array_to_string(list_transform(list_sort(list_distinct(list_transform(l, lambda x: {'at': list_position(l, x), 'x': x}))), lambda p: p.x), '|') AS paths

@@ -20,10 +20,17 @@ class Job:
     state: str = RUNNING
     result: Any = None
     error: str | None = None
+    message: str = ""
+    current: int = 0
+    total: int = 0
     cancelled: threading.Event = field(default_factory=threading.Event, repr=False)
 
+    def report(self, current: int, total: int, message: str = "") -> None:
+        """Told by the work itself, where it knows its steps; else tasks are counted."""
+        self.current, self.total, self.message = current, total, message or self.message or "steps"
+
     def as_dict(self) -> dict:
-        return {"id": self.id, "kind": self.kind, "state": self.state, "result": self.result, "error": self.error}
+        return {"id": self.id, "kind": self.kind, "state": self.state, "message": self.message, "current": self.current, "total": self.total, "result": self.result, "error": self.error}
 
 
 class JobRunner:
@@ -50,10 +57,26 @@ class JobRunner:
         self.spark.sparkContext.setJobGroup(self._group(job), job.kind, interruptOnCancel=True)
         try:
             result = work(job)
+            self.poll(job)
+            job.current = job.total if not job.cancelled.is_set() else job.current
             job.state, job.result = (CANCELLED, None) if job.cancelled.is_set() else (DONE, result)
         except Exception as e:  # a job reports its failure and never ends the program
             job.state, job.error = (CANCELLED, None) if job.cancelled.is_set() else (FAILED, str(e))
 
+    def poll(self, job: Job) -> Job:
+        """The job with its tasks that are done and in all, so far as Spark has planned them, unless the work
+        reports its own steps. Neither number ever falls."""
+        if job.state == RUNNING and job.message in ("", "tasks"):
+            tracker, done, of = self.spark.sparkContext.statusTracker(), 0, 0
+            for number in tracker.getJobIdsForGroup(self._group(job)):
+                found = tracker.getJobInfo(number)
+                for stage in map(tracker.getStageInfo, found.stageIds if found else ()):
+                    if stage is not None:
+                        done, of = done + stage.numCompletedTasks, of + stage.numTasks
+            if of:
+                job.current, job.total, job.message = max(job.current, done), max(job.total, of), "tasks"
+        return job
+
     @staticmethod
     def _group(job: Job) -> str:
         return f"likeness-job-{job.id}"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from likeness.operators.components import components
 from likeness.operators.kernels import PRUNE_FROM, best_target, block_pairs, cosine_kernel, pruned_cosine_pairs
-from likeness.sources.scratch import Scratch
+from likeness.sources.scratch import Scratch, numbered
 
 THRESHOLD = 0.38
 CLUSTER_THRESHOLD = 0.5
@@ -57,13 +57,17 @@ def cluster_unnamed(file_faces: DataFrame, threshold: float = CLUSTER_THRESHOLD,
     return groups.filter(F.col("size") >= least)
 
 
-def name_cluster(file_faces: DataFrame, references: DataFrame, face_ids: list[int], person_id: int) -> tuple[DataFrame, DataFrame]:
-    """The faces, assigned with score 1, and the references with the cluster's faces added."""
-    own = F.col("id").isin(list(face_ids))
+def name_cluster(file_faces: DataFrame, references: DataFrame, face_ids: DataFrame | list[int], person_id: int, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """The faces (those of the cluster, a list or a table of ids, assigned with score 1) and the references with
+    the cluster's faces added, numbered on by their ids. Reads tables of ``scratch``."""
+    spark = file_faces.sparkSession
+    ids = face_ids if isinstance(face_ids, DataFrame) else spark.createDataFrame([(i,) for i in face_ids], "id long")
     first = references.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
-    numbers = file_faces.sparkSession.createDataFrame([(i, first + n) for n, i in enumerate(sorted(set(face_ids)))], "id long, reference long")  # ids that a user has chosen
-    added = file_faces.join(F.broadcast(numbers), "id").select(F.col("reference").alias("id"), F.lit(person_id).cast("long").alias("person_id"), "vector", F.lit("cluster").alias("source"))
-    faces = file_faces.withColumns({"person_id": F.when(own, F.lit(person_id)).otherwise(F.col("person_id")), "score": F.when(own, F.lit(1.0)).otherwise(F.col("score"))})
+    chosen = numbered((scratch or Scratch(spark, "named")), ids.select("id").distinct(), ["id"], first)
+    own = file_faces.join(chosen, "id", "left")
+    added = own.filter("number is not null").select(F.col("number").alias("id"), F.lit(person_id).cast("long").alias("person_id"), "vector", F.lit("cluster").alias("source"))
+    is_own = F.col("number").isNotNull()
+    faces = own.withColumns({"person_id": F.when(is_own, F.lit(person_id)).otherwise(F.col("person_id")), "score": F.when(is_own, F.lit(1.0)).otherwise(F.col("score"))}).select(file_faces.columns)
     return faces, references.unionByName(added)
 
 

@@ -46,15 +46,24 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(targets: DataFrame, block: int):
-    """Blocks of target rows, one at a time on the driver. They are dealt by the row's place in a written
-    table, so equal and null ids can't fall between two blocks."""
-    kept = Scratch(targets.sparkSession, "targets").keep(targets.filter("prototype is not null"))
-    n = max(1, -(-kept.count() // block))
+    """Blocks of target rows, one at a time on the driver. What fits one block is read at once. More is dealt by
+    the row's place in a written table, so equal and null ids can't fall between two blocks; that table goes
+    once the last block has been read."""
+    some = targets.filter("prototype is not null")
+    rows = some.limit(block + 1).toArrow()
+    if len(rows) <= block:
+        if len(rows):
+            yield rows.sort_by("target_id")
+        return
+    scratch = Scratch(targets.sparkSession, "targets")
+    kept = scratch.keep(some)
+    n = -(-kept.count() // block)
     placed = kept.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
     for i in range(n):
-        rows = (kept if n == 1 else placed.filter(F.col("_block") == i).drop("_block")).orderBy("target_id").toArrow()
+        rows = placed.filter(F.col("_block") == i).drop("_block").orderBy("target_id").toArrow()
         if len(rows):
             yield rows
+    scratch.clear()
 
 
 def _slices(x: np.ndarray, width: int):

@@ -105,11 +105,12 @@ def stored_matches_topk(lib):
     return search.stored_matches(score.score_library(lib.embeddings, concepts), concepts, "tag4", 20).select("file_id", rounded())
 
 
-@query("""SELECT given, stored, name, coalesce(nullif(given, ''), nullif(stored, ''), replace(name, '-', ' ')) AS phrase
-FROM (VALUES ('a b', 'c', 'd-e'), ('', 'c', 'd-e'), (NULL, '', 'd-e'), (NULL, NULL, 'x')) AS t(given, stored, name)""")
+@query("""SELECT doc_id AS id, coalesce(nullif(given, ''), nullif(stored, ''), replace(name, '-', ' ')) AS phrase
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '' END AS given, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '' END AS stored, lang || '-' || source AS name FROM documents)""")
 def verify_phrase(lib):
-    rows = lib.spark.createDataFrame([("a b", "c", "d-e"), ("", "c", "d-e"), (None, "", "d-e"), (None, None, "x")], "given string, stored string, name string")
-    return rows.withColumn("phrase", search.phrase(F.col("given"), F.col("stored"), F.col("name")))
+    n = F.col("doc_id")
+    given, stored = F.when(n % 4 == 0, F.col("text")).when(n % 4 == 1, ""), F.when(n % 3 == 0, F.col("source")).when(n % 3 == 1, "")
+    return lib.table("documents").select(n.alias("id"), search.phrase(given, stored, F.concat_ws("-", "lang", "source")).alias("phrase"))
 
 
 # Learning and scoring.

@@ -45,8 +45,8 @@ class Api:
                 ("GET", "/api/thumb", lambda b: images.thumbnail(self.s.spark, self.allowed([b["path"]])[0], int(b.get("side", 256)), self.s.frames)),
                 ("POST", "/api/override", lambda b: self.s.override(self.allowed([b["path"]])[0], b["name"], b.get("state"))),
                 ("GET", "/api/search", self.search),
-                ("POST", "/api/index", lambda b: self.job("index", lambda: self.s.index(b["folder"]))),
-                ("POST", "/api/score", lambda b: self.job("score", self.s.score)),
+                ("POST", "/api/index", lambda b: self.job("index", lambda job: self.s.index(b["folder"], stop=job.cancelled.is_set, report=job.report))),
+                ("POST", "/api/score", lambda b: self.job("score", lambda job: self.s.score())),
                 ("GET", "/api/people", lambda b: self.rows(tags.people_counts(self.read("people"), self.read("file_faces")).select("name", F.col("n_examples").alias("references"), "files").orderBy("name"))),
                 ("GET", "/api/people/<name>/files", lambda b, name: self.rows(self.s.search(person=name, limit=None), b)),
                 ("POST", "/api/people", lambda b: {"added": self.s.register_person(b["name"], self.allowed(b["paths"]), mode=b.get("mode", "extend"), every=bool(b.get("every")))}),
@@ -61,7 +61,7 @@ class Api:
                 ("GET", "/api/pending", lambda b: {"pending": self.s.pending()}),
                 ("GET", "/api/duplicates", self.duplicates),
                 ("POST", "/api/duplicates/collect", lambda b: self.s.collect_duplicates(b["destination"], b.get("mode", "symlink"), bool(b.get("dry_run")))),
-                ("GET", "/api/jobs/<number>", lambda b, number: self.found(self.jobs.get(int(number)), number).as_dict()),
+                ("GET", "/api/jobs/<number>", lambda b, number: self.jobs.poll(self.found(self.jobs.get(int(number)), number)).as_dict()),
                 ("POST", "/api/jobs/<number>/cancel", lambda b, number: {"cancelled": self.jobs.cancel(int(number))}),
                 ("GET", "/api/status", lambda b: self.s.status()),
             ]
@@ -93,7 +93,7 @@ class Api:
         return list(paths)
 
     def job(self, kind: str, work) -> dict:
-        return self.jobs.submit(kind, lambda job: work()).as_dict()
+        return self.jobs.submit(kind, work).as_dict()
 
     def destination(self, name: str, b: dict) -> None:
         self.s._concept(name)

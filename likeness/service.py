@@ -22,7 +22,7 @@ from likeness.sources.plugins import Embedder, FaceAnalyzer, detect, embed_with
 from likeness.sources.reading import read_media
 from likeness.sources.schema import TABLES
 from likeness.sources.scratch import Scratch
-from likeness.streaming.ingest import index_batch
+from likeness.streaming.ingest import BATCH_FILES, index_pass
 
 MODES = ("rename", "move", "off")
 
@@ -35,20 +35,21 @@ class Service:
 
     # Indexing.
 
-    def index(self, root: str, samples: int = discovery.SAMPLES, crops: bool = False) -> dict:
+    def index(self, root: str, samples: int = discovery.SAMPLES, crops: bool = False, batch: int = BATCH_FILES, stop=lambda: False, report=lambda done, of: None) -> dict:
         """Index the media files under a folder that are new or changed, and open no others. Returns counts:
         scanned, indexed, unchanged, failed, frames, regions, faces, named and, where pixels are read in
         tasks, failed_frames and failed_faces.
 
         An embedder with ``embed_pixels`` gets the pixels of images, of video frames and, with ``crops``, of
         the bodies of faces; an analyzer with ``faces_in`` finds the faces in the same stage. Others are
-        given paths."""
+        given paths. Each ``batch`` of files is committed by itself; ``stop`` is asked between them and
+        ``report`` told how many are done."""
         if self.catalog.read("roots").filter(F.col("path") == root).isEmpty():
             self.catalog.append("roots", self.spark.createDataFrame([(root,)], "path string").withColumn("added_at", F.current_timestamp()))
         found = discovery.media(discovery.listing(self.spark, root), root)
         embed, in_stage = self._reader(samples, crops)
-        done = index_batch(self.catalog, found, embed, samples, images.fingerprints, self._named)
-        if self.analyzer is None or in_stage:
+        done = index_pass(self.catalog, found, embed, samples, images.fingerprints, self._named, batch, stop, report)
+        if self.analyzer is None or in_stage or stop():
             return done
         named = lambda: self.catalog.read("file_faces").filter("person_id is not null").count()
         before = named()

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +52,16 @@ class Scratch:
     def _delete(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def numbered(scratch: Scratch, rows: DataFrame, order: list[str], first: int = 1, name: str = "number") -> DataFrame:
+    """The rows plus their place in the given order, from ``first`` without gaps: sorted by ranges, each of which
+    one task numbers, after those before it."""
+    ranged = scratch.keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = dict(ranged.groupBy("_part").count().collect())  # a number for each range
+    begins, pairs = first, []
+    for part in sorted(sizes):
+        pairs += [F.lit(part), F.lit(begins).cast("long")]
+        begins += sizes[part]
+    number = F.element_at(F.create_map(*pairs), F.col("_part")) + F.col("_at") if pairs else F.lit(0).cast("long")
+    return ranged.withColumn(name, number).drop("_part", "_at")

@@ -11,6 +11,10 @@ from likeness.sources.discovery import changed, wanted_samples
 from likeness.sources.scratch import Scratch
 
 
+#: Files that a pass indexes between two commits.
+BATCH_FILES = 5000
+
+
 def index_batch(
     catalog: Catalog, found: DataFrame, embed: Callable[[DataFrame], DataFrame], samples: int = 8, fingerprint: Callable[[DataFrame, Scratch], DataFrame] | None = None, name: Callable[[DataFrame], DataFrame] | None = None
 ) -> dict:
@@ -62,6 +66,44 @@ def index_batch(
     return counts
 
 
+def index_pass(
+    catalog: Catalog, found: DataFrame, embed: Callable[[DataFrame], DataFrame], samples: int = 8, fingerprint=None, name=None, batch: int = BATCH_FILES,
+    stop: Callable[[], bool] = lambda: False, report: Callable[[int, int], None] = lambda done, of: None,
+) -> dict:
+    """Index the changed files of a listing, ``batch`` files at a time, each batch committed by itself: a pass that
+    ends half-way keeps its batches, and the next one reads the rest alone. The batches are a stream over the
+    written listing. ``stop`` is asked before each of them, ``report`` told how many are done. Returns the
+    counts of :func:`index_batch` for what was done, with scanned and unchanged of the whole listing."""
+    spark, scratch = found.sparkSession, Scratch(found.sparkSession, "pass")
+    found = scratch.keep(found.dropDuplicates(["path"]))
+    scanned, todo = found.count(), scratch.keep(changed(found, catalog.read("files"), catalog.read("embeddings"), samples))
+    n = todo.count()
+    n_batches = max(1, -(-n // batch))
+    if n_batches == 1:
+        done = index_batch(catalog, found, embed, samples, fingerprint, name)
+        report(1, 1)
+        scratch.clear()
+        return done
+    totals: dict[str, int] = {}
+    listing = f"{scratch.root}/batches"
+    todo.repartition(n_batches).write.option("maxRecordsPerFile", batch).parquet(listing)
+    told = [0]
+
+    def apply(rows: DataFrame, _: int) -> None:
+        if stop():
+            return  # what is left is found again by the next pass
+        for k, v in index_batch(catalog, rows, embed, samples, fingerprint, name).items():
+            totals[k] = totals.get(k, 0) + v
+        told[0] += 1
+        report(told[0], max(n_batches, told[0]))
+
+    stream = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(listing)
+    query = stream.writeStream.option("checkpointLocation", f"{scratch.root}/progress").foreachBatch(apply).trigger(availableNow=True).start()
+    query.awaitTermination()
+    scratch.clear()
+    return totals | {"scanned": scanned, "unchanged": scanned - n} | ({} if "failed" in totals else dict.fromkeys(("indexed", "failed", "frames", "regions", "faces", "named"), 0))
+
+
 def index_stream(stream: DataFrame, catalog: Catalog, embed: Callable[[DataFrame], DataFrame], checkpoint: str, samples: int = 8, fingerprint=None, name=None, available_now: bool = False):
     """A query that indexes a stream of listings; its checkpoint is what an index pass resumes from. Each
     batch is committed by itself. Applying a batch again changes nothing: files that are known and

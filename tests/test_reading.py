@@ -133,6 +133,67 @@ def test_only_changed_files_are_opened(spark, tmp_path):
     assert service.catalog.read("embeddings").filter("box is null or box = ''").count() == 4 + 1 + 1
 
 
+def test_a_pass_that_ends_half_way_keeps_its_batches(spark, tmp_path):
+    from likeness.sources.plugins import HashEmbedder, embed_with
+    from likeness.streaming.ingest import index_pass
+
+    catalog = Catalog(spark, f"file://{tmp_path}/tables")
+    found = spark.createDataFrame([(f"/lib/{k}.jpg", "image", 10, k) for k in range(9)], "path string, kind string, size long, mtime_ns long")
+    embed, calls, told = embed_with(HashEmbedder()), [], []
+
+    def failing(files):
+        calls.append(sorted(r.path for r in files.collect()))
+        if len(calls) == 3:
+            raise OSError("the machine stops")
+        return embed(files)
+
+    with pytest.raises(Exception, match="the machine stops"):
+        index_pass(catalog, found, failing, batch=3, report=lambda done, of: told.append((done, of)))
+    kept = {r.path for r in catalog.read("files").collect()}
+    assert len(calls) == 3 and kept == {p for c in calls[:2] for p in c} and 0 < len(kept) < 9 and [d for d, _ in told] == [1, 2]
+    calls.append(None)
+    again = index_pass(catalog, found, failing, batch=2)
+    assert {p for c in calls[4:] for p in c} == {r.path for r in found.collect()} - kept
+    assert (again["scanned"], again["indexed"], again["unchanged"]) == (9, 9 - len(kept), len(kept)) and catalog.read("embeddings").count() == 9
+    more = found.unionByName(spark.createDataFrame([(f"/lib/more{k}.jpg", "image", 10, k) for k in range(6)], found.schema))
+    stopped = index_pass(catalog, more, embed, batch=2, stop=lambda: catalog.read("files").count() > 9)
+    assert stopped["indexed"] < 6 and catalog.read("files").count() == 9 + stopped["indexed"]
+
+
+def test_jobs_tell_how_far_they_are(spark):
+    import time
+
+    from likeness.jobs import JobRunner
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(0.3)
+            yield b
+
+    runner, seen = JobRunner(spark), []
+    job = runner.submit("count", lambda job: spark.range(0, 40, 1, 20).mapInArrow(slow, "id long").count())
+    while runner.poll(job).state == "running":
+        seen.append((job.current, job.total))
+        time.sleep(0.1)
+    assert job.result == 40 and seen == sorted(seen) and any(0 < c < t for c, t in seen) and job.as_dict()["message"] == "tasks"
+    assert job.current == job.total >= 20
+    steps = runner.submit("steps", lambda job: job.report(2, 5, "files"))
+    runner.wait()
+    assert (runner.poll(steps).total, steps.message, steps.state) == (5, "files", "done")
+
+
+def test_command_line_prints_whole_tables(spark, tmp_path, capsys):
+    from likeness.__main__ import main
+
+    catalog = Catalog(spark, f"file://{tmp_path}/tables")
+    for k in range(3):
+        catalog.upsert_person(f"p{k}")
+    people = catalog.read("people")
+    catalog.write("people", people.limit(1).crossJoin(spark.range(60).withColumnRenamed("id", "k")).select((F.col("k") + 1).alias("id"), F.format_string("p%02d", "k").alias("name"), *[c for c in people.columns if c not in ("id", "name")]))
+    assert main(["--library", f"file://{tmp_path}/tables", "people"]) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == 60
+
+
 def test_embedders_of_paths_read_no_videos_unless_they_say_so(spark, tmp_path):
     class Paths:
         dimension = 2
