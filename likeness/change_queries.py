@@ -67,7 +67,7 @@ def forgotten_files(lib):
 
 @query(f"""WITH {_FILES}, held AS (SELECT row_number() OVER (ORDER BY path) AS id, path FROM files), moves AS (SELECT path AS source, '/new' || path AS target FROM held WHERE id % 4 = 0
     UNION ALL SELECT a.path, b.path FROM held a JOIN held b ON b.id = a.id + 1 WHERE a.id % 10 = 1)
-SELECT id, coalesce(target, path) AS path FROM held LEFT JOIN moves ON path = source WHERE path NOT IN (SELECT target FROM moves)""")
+SELECT id, coalesce(target, path) AS path FROM held LEFT JOIN moves ON path = source WHERE path NOT IN (SELECT target FROM moves) OR path IN (SELECT source FROM moves)""")
 def renamed_files(lib):
     catalog = _catalog(lib)
     catalog.upsert_files(lib.files.select("path", "kind", "size", "mtime_ns", "samples"))
@@ -327,6 +327,42 @@ def folder_hints(lib):
     return lib.table("embeddings").select(F.col("vec_id").alias("id"), paths.disambiguator(F.concat(F.lit("/a/"), folder, F.lit("/b.jpg"))).alias("hint"))
 
 
+@query(f"""WITH {_FILES}, held AS (SELECT row_number() OVER (ORDER BY path) AS id, path FROM files),
+first AS (SELECT id, CASE WHEN id % 3 = 0 THEN '/new' || path ELSE path END AS path, CASE WHEN id % 3 = 0 THEN path END AS before FROM held)
+SELECT 'file' AS kind, id, path, NULL AS source FROM first UNION ALL SELECT 'rename', 1, path, before FROM first WHERE before IS NOT NULL""")
+def journalled_renames(lib):
+    """Three batches: one is carried out, the second one taken back, and of the third nothing happened."""
+    catalog = _catalog(lib)
+    catalog.upsert_files(lib.files.select("path", "kind", "size", "mtime_ns", "samples"))
+
+    def plans(by, folder):
+        held = catalog.read("files").filter(F.col("id") % by == 0)
+        return held.select(F.col("id").alias("seq"), F.col("path").alias("source"), F.concat(F.lit(folder), "path").alias("target"))
+
+    catalog.finish_renames(catalog.begin_renames(plans(3, "/new")), plans(3, "/new"))
+    second = plans(5, "/old")
+    number = catalog.begin_renames(second)
+    catalog.finish_renames(number, catalog.open_renames())
+    catalog.undo_renames(number)
+    catalog.finish_renames(catalog.begin_renames(plans(7, "/never")), catalog.open_renames().limit(0))
+    files, journal = catalog.read("files"), catalog.read("rename_batches")
+    return files.select(F.lit("file").alias("kind"), "id", "path", F.lit(None).cast("string").alias("source")).unionByName(journal.select(F.lit("rename").alias("kind"), F.col("batch_id").alias("id"), F.col("target").alias("path"), "source"))
+
+
+@query("""WITH RECURSIVE plans AS MATERIALIZED (SELECT vec_id AS source, CASE WHEN vec_id % 11 = 0 THEN vec_id * 3 % 700 WHEN vec_id % 11 < 9 THEN vec_id + 1 ELSE vec_id + 100000 END AS target FROM embeddings),
+linked AS MATERIALIZED (SELECT a.source, a.target FROM plans a JOIN plans b ON a.target = b.source WHERE a.source <> a.target),
+walk AS (SELECT source, 1 AS round FROM plans WHERE source <> target AND source NOT IN (SELECT source FROM linked)
+    UNION ALL SELECT linked.source, round + 1 FROM walk JOIN linked ON linked.target = walk.source),
+stuck AS MATERIALIZED (SELECT * FROM linked WHERE source NOT IN (SELECT source FROM walk)),
+reach AS (SELECT source, target AS seen FROM stuck UNION SELECT reach.source, stuck.target FROM reach JOIN stuck ON reach.seen = stuck.source)
+SELECT source, target, CAST(round AS INTEGER) AS round, (source, source) IN (SELECT (source, seen) FROM reach) AS in_cycle FROM plans LEFT JOIN walk USING (source) WHERE source <> target""")
+def rename_rounds(lib):
+    """The round in which each plan can be carried out, and which plans wait for themselves."""
+    n = F.col("vec_id")
+    target = F.when(n % 11 == 0, n * 3 % 700).when(n % 11 < 9, n + 1).otherwise(n + 100_000)
+    return renames.rounds(lib.table("embeddings").select(n.alias("source"), target.alias("target")))
+
+
 @query("SELECT vec_id AS source, vec_id * 3 % 700 AS target FROM embeddings WHERE vec_id * 3 % 700 IN (SELECT vec_id FROM embeddings) AND vec_id <> vec_id * 3 % 700")
 def waiting_renames(lib):
     plans = lib.table("embeddings").select(F.col("vec_id").alias("source"), (F.col("vec_id") * 3 % 700).alias("target"))

@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from likeness.functions import naming, paths
+from likeness.operators.joins import join_unique
+from likeness.sources.scratch import Scratch
 
 
 def plan_renames(tagged: DataFrame, known: list[str]) -> DataFrame:
@@ -112,9 +114,45 @@ def blocked(plans: DataFrame) -> DataFrame:
     return plans.join(plans.select(F.col("source").alias("target")).distinct(), "target", "left_semi").filter("source <> target")
 
 
-def apply_renames(plans: list[tuple[str, str]], root: str, dry_run: bool = False) -> dict:
+def rounds(plans: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """source, target, round, in_cycle of plans (source, target; a row for each source): a plan waits for the one whose
+    source is its target. ``round`` (from 1) is when its turn comes; plans of a cycle, and those that wait for
+    one, have none, and ``in_cycle`` tells the former. Plans that change nothing are left out.
+
+    Each plan points to the one it waits for. Pointers are doubled: a plan takes over its pointer's pointer
+    and adds its distance, so chains of any length take a number of rounds that grows with its logarithm.
+    What still points somewhere then is stuck, and where it points to are the cycles. Many plans may wait
+    for one, which the join sets apart. The result reads tables of ``scratch``.
+    """
+    scratch = scratch or Scratch(plans.sparkSession, "rounds")
+    plans = scratch.keep(plans.filter("source <> target").select("source", "target"))
+    sources = plans.select(F.col("source").alias("target"), F.lit(True).alias("waits"))
+    state = scratch.keep(join_unique(plans, sources, "target").select("source", F.col("target").alias("to"), F.lit(1).cast("long").alias("steps")))
+    far = plans.join(state.select("source"), "source", "left_anti").select("source", F.lit(None).cast(plans.schema["source"].dataType).alias("to"), F.lit(1).cast("long").alias("steps"))
+    done = [scratch.keep(far)]
+    left, jumps = state.count(), 1
+    of_plans = max(2, plans.count())
+    while left and jumps < 2 * of_plans:
+        ended = done[0]
+        for d in done[1:]:
+            ended = ended.unionByName(d)
+        known = ended.unionByName(state).select(F.col("source").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        moved = scratch.keep(join_unique(state, known, "to").select("source", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
+        done.append(moved.filter("to is null"))
+        state = moved.filter("to is not null")
+        left, jumps = state.count(), 2 * jumps
+    ended = done[0]
+    for d in done[1:]:
+        ended = ended.unionByName(d)
+    cycles = state.select(F.col("to").alias("source")).distinct().withColumn("in_cycle", F.lit(True))
+    out = plans.join(ended.select("source", F.col("steps").cast("int").alias("round")), "source", "left").join(cycles, "source", "left")
+    return out.select("source", "target", "round", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+
+
+def apply_renames(plans: list[tuple[str, str]], root: str | None, dry_run: bool = False) -> dict:
     """Rename in rounds: a plan waits while its target is a pending source; cycles are reported.
-    Missing sources and taken targets are errors of their own file. Journals what it did."""
+    Missing sources and taken targets are errors of their own file. Journals what it did in a file of
+    ``root``, where one is given."""
     pending, done, errors = list(dict.fromkeys(plans)), [], []
     while pending:
         sources = {s for s, _ in pending}
@@ -134,7 +172,7 @@ def apply_renames(plans: list[tuple[str, str]], root: str, dry_run: bool = False
                     os.rename(source, target)
                 done.append((source, target))
         pending = [p for p in pending if p not in set(ready)]
-    if done and not dry_run:
+    if done and not dry_run and root is not None:
         write_journal(root, [*read_journal(root), [[s, t] for s, t in done]])
     return {"renamed": done, "errors": errors}
 
@@ -158,15 +196,22 @@ def write_journal(root: str, batches: list) -> None:
     os.replace(f.name, Path(root) / JOURNAL)
 
 
+def take_back(renames: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Undo renames on disk, the last first; returns those (target, source) that could be."""
+    undone = []
+    for source, target in reversed(renames):
+        if os.path.exists(target) and (not os.path.exists(source) or source.lower() == target.lower()):
+            Path(source).parent.mkdir(parents=True, exist_ok=True)
+            os.rename(target, source)
+            undone.append((target, source))
+    return undone
+
+
 def undo_last(root: str) -> list[tuple[str, str]]:
-    """Take the last batch back, in reverse order."""
-    batches, undone = read_journal(root), []
+    """Take the last batch of a file's journal back, in reverse order."""
+    batches = read_journal(root)
+    undone = take_back(batches[-1]) if batches else []
     if batches:
-        for source, target in reversed(batches[-1]):
-            if os.path.exists(target) and (not os.path.exists(source) or source.lower() == target.lower()):
-                Path(source).parent.mkdir(parents=True, exist_ok=True)
-                os.rename(target, source)
-                undone.append((target, source))
         write_journal(root, batches[:-1])
     return undone
 

@@ -27,6 +27,19 @@ from likeness.streaming.ingest import BATCH_FILES, index_pass
 MODES = ("rename", "move", "off")
 
 
+def _in_turn(plans: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The order in which renames can have been carried out: each after the one that freed its name."""
+    by_source, out, seen = dict(plans), [], set()
+    for source, target in plans:
+        chain = []
+        while source not in seen and source in by_source:
+            seen.add(source)
+            chain.append((source, by_source[source]))
+            source = by_source[source]
+        out += reversed(chain)
+    return out
+
+
 class Service:
     def __init__(self, catalog: Catalog, embedder: Embedder | None = None, verifier=None, analyzer: FaceAnalyzer | None = None, frames: images.FrameSource | None = None):
         """``verifier``: a function from a phrase to a column that scores file ids."""
@@ -336,21 +349,41 @@ class Service:
             return nothing
         if mode == "move" and self.catalog.read("concepts").filter("destination is not null or inverse_destination is not null").isEmpty():
             return nothing | {"errors": ["no tag has a destination folder"]}
-        root = root or self.catalog.read("roots").orderBy("added_at").first()["path"]
+        if not dry_run:
+            self.repair()
         planned = Scratch(self.spark, "organize").keep(self.plan(mode, listing))
         resolved = self.resolve(planned).orderBy("source").collect()  # files on the driver's disk
         contested = planned.filter("matched and claims > 1").orderBy("source").collect() if mode == "move" else []
-        done = renames.apply_renames([(r["source"], r["target"]) for r in resolved if not r["filed"]], root, dry_run)
-        if done["renamed"] and not dry_run:
-            self.catalog.rename_files(self.spark.createDataFrame(done["renamed"], "source string, target string"))
+        wanted = [(r["source"], r["target"]) for r in resolved if not r["filed"]]
+        number = self.catalog.begin_renames(self.spark.createDataFrame([(k, *p) for k, p in enumerate(wanted)], "seq int, source string, target string")) if wanted and not dry_run else None
+        done = renames.apply_renames(wanted, None, dry_run)
+        if number is not None:
+            self.catalog.finish_renames(number, self.spark.createDataFrame([(k, *p) for k, p in enumerate(done["renamed"])], "seq int, source string, target string"))
         notes = [f"{r['source']}: {r['claims']} tags have a destination, filed by {r['tag']}" for r in contested]
         return {"mode": mode, "changed": len(done["renamed"]), "already_filed": sum(r["filed"] for r in resolved), "errors": [*done["errors"], *notes], "changes": done["renamed"]}
 
-    def undo(self, root: str) -> int:
+    def repair(self) -> int:
+        """Close batches of renames that an earlier run left open: what happened on disk is followed in the index,
+        the rest forgotten. Returns how many files had been renamed."""
+        moved = 0
+        rows = self.catalog.open_renames().collect()  # files on the driver's disk
+        targets = {r["target"] for r in rows}
+        for number in sorted({r["batch_id"] for r in rows}):
+            did = [(r["source"], r["target"]) for r in rows if r["batch_id"] == number and os.path.lexists(r["target"]) and (not os.path.lexists(r["source"]) or r["source"] in targets)]
+            self.catalog.finish_renames(number, self.spark.createDataFrame([(k, *p) for k, p in enumerate(_in_turn(did))], "seq int, source string, target string"))
+            moved += len(did)
+        return moved
+
+    def undo(self, root: str | None = None) -> int:
         """Take the last organizing back; returns how many files."""
-        undone = renames.undo_last(root)
-        if undone:
-            self.catalog.rename_files(self.spark.createDataFrame(undone, "source string, target string"))
+        self.repair()
+        journal = self.catalog.read("rename_batches")
+        number = journal.agg(F.max("batch_id")).first()[0]
+        if number is None:
+            return 0
+        batch = [(r["source"], r["target"]) for r in journal.filter(F.col("batch_id") == number).orderBy("seq").collect()]  # files on the driver's disk
+        undone = renames.take_back(batch)
+        self.catalog.undo_renames(number, self.spark.createDataFrame([(source, target) for target, source in undone], "source string, target string"))
         return len(undone)
 
     def status(self) -> dict:

@@ -223,11 +223,48 @@ class Catalog:
 
     @_change
     def rename_files(self, renames: DataFrame) -> None:
-        """Change paths (source, target) in the index; a file already at the target gives way."""
-        files = self.read("files").join(renames.select(F.col("target").alias("path")), "path", "left_anti")
+        """Change paths (source, target) in the index, all at once; a file at a target that isn't renamed itself
+        gives way."""
+        gone = renames.select(F.col("target").alias("path")).join(renames.select(F.col("source").alias("path")), "path", "left_anti")
+        files = self.read("files").join(gone, "path", "left_anti")
         moved = files.join(renames.withColumnsRenamed({"source": "path", "target": "new"}).select("path", "new"), "path", "left")
         self.write("files", moved.withColumn("path", F.coalesce("new", "path")))
 
+    # The journal of renames: a batch is written before files are touched, and closed in the step that changes
+    # their paths. One that was left open tells what may have happened on disk.
+
+    @_change
+    def begin_renames(self, plans: DataFrame) -> int:
+        """Write a batch of intended renames (seq, source, target); returns its number."""
+        journal = self.read("rename_batches")
+        number = 1 + (journal.agg(F.max("batch_id")).first()[0] or 0)
+        self.append("rename_batches", plans.select(F.lit(number).cast("long").alias("batch_id"), F.col("seq").cast("int").alias("seq"), "source", "target", F.lit(False).alias("done")))
+        return number
+
+    @_change
+    def finish_renames(self, number: int, done: DataFrame) -> None:
+        """Change the paths of a batch's renames that were carried out (seq: in which order, source, target) and keep
+        those in the journal."""
+        done = self._scratch.keep(done.select(F.col("seq").alias("order"), "source", "target"))
+        self.rename_files(done.drop("order"))
+        journal = self.read("rename_batches")
+        kept = journal.filter(F.col("batch_id") == number).join(done, ["source", "target"]).withColumns({"seq": F.col("order").cast("int"), "done": F.lit(True)})
+        self.write("rename_batches", journal.filter(F.col("batch_id") != number).unionByName(kept.select(journal.columns)))
+
+    @_change
+    def undo_renames(self, number: int, undone: DataFrame | None = None) -> None:
+        """Take a batch's renames back in the index, or those alone that ``undone`` (source, target) has, and
+        drop the batch."""
+        journal = self.read("rename_batches")
+        own = journal.filter((F.col("batch_id") == number) & F.col("done"))
+        own = own if undone is None else own.join(undone.select("source", "target"), ["source", "target"], "left_semi")
+        self.rename_files(self._scratch.keep(own.select(F.col("target").alias("source"), F.col("source").alias("target"))))
+        self.write("rename_batches", journal.filter(F.col("batch_id") != number))
+
+    def open_renames(self) -> DataFrame:
+        """Batches whose outcome the journal doesn't know."""
+        return self.read("rename_batches").filter("not coalesce(done, false)")
+
     @_change
     def add_embeddings(self, rows: DataFrame) -> None:
         """Append vectors from rows of parallel lists (file_id, vectors, frame_times, boxes); lists of

@@ -17,7 +17,7 @@ TABLES = {
     "people": "id long, name string, n_examples int, created_at timestamp",
     "person_faces": "id long, person_id long, vector array<float>, source string",
     "file_faces": "id long, file_id long, person_id long, score double, frame_time double, bbox string, vector array<float>",
-    "rename_batches": "batch_id long, seq int, source string, target string",
+    "rename_batches": "batch_id long, seq int, source string, target string, done boolean",
 }
 DEFAULTS = {("files", "samples"): 1, ("embeddings", "frame_time"): 0.0, ("embeddings", "region"): "frame"}
 
