@@ -271,7 +271,7 @@ def hamming_kernel(most: int) -> Callable:
 
 
 #: Files from which the index is worth its groups; below, all pairs are compared in blocks.
-INDEX_FROM = 20_000
+INDEX_FROM = 80_000
 #: Rows of a group of the index that one task holds of either side.
 INDEX_BLOCK = 1 << 16
 
