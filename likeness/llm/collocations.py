@@ -6,7 +6,7 @@
    to ``BROADCAST_WORDS`` words is broadcast; a larger one meets the words in a shuffle join.
 3. The phrase that begins at a place, up to ``LONGEST`` words, is one binary key of fixed width: its ids,
    big-endian, filled up with zeros. Tasks sort what they have by radix and count runs, so a frequent
-   phrase costs a row for each ``BUFFER`` places; the keys are then range-partitioned, sorted by radix and
+   phrase costs a row for each ``BUFFER`` places; the keys go to range partitions, are sorted by radix and
    counted again. As shorter phrases are prefixes of the keys, one sort counts those of all lengths;
    only a partition's first and last run of each length can go on in another.
 4. Counts of both parts of every cut come by joins on the keys, in which very frequent parts are set
@@ -39,6 +39,8 @@ BROADCAST_WORDS = 500_000
 COUNTED_WORDS = 1 << 17
 #: Places that a task sorts at a time, and keys of a range partition.
 BUFFER = 1 << 20
+#: Documents, about, whose keys show where to cut the range of all keys into parts.
+BOUND_DOCUMENTS = 2000
 SALTS = 64
 
 # Bytes between words and between pieces; 0xFF occurs in no UTF-8 text.
@@ -128,8 +130,14 @@ def _numbers(column: pa.Array, width: int) -> np.ndarray:
     return data.view(">u4").reshape(len(column), width).T.astype(np.uint32)
 
 
-def _combined(sequences, width: int):
-    """Batches of key and n of id sequences, combined for each ``BUFFER`` places."""
+def _fixed(keys: np.ndarray) -> np.ndarray:
+    """Columns of numbers as byte strings, which sort alike."""
+    return np.ascontiguousarray(keys.T.astype(">u4")).view(f"S{4 * keys.shape[0]}").ravel()
+
+
+def _combined(sequences, width: int, bounds: np.ndarray):
+    """Batches of part (how many bounds are not above the key), key and n of id sequences, combined for each
+    ``BUFFER`` places."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -140,7 +148,8 @@ def _combined(sequences, width: int):
             keys = keys[:, radix_order(keys)]
             starts = _starts(keys)
             n = np.diff(np.append(starts, keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([_binary(keys[:, starts]), pa.array(n, pa.int64())], ["key", "n"])
+            part = np.searchsorted(bounds, _fixed(keys[:, starts]), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), _binary(keys[:, starts]), pa.array(n, pa.int64())], ["part", "key", "n"])
 
     for ids in sequences:
         held += [ids, np.zeros(1, np.uint32)]
@@ -164,8 +173,10 @@ def _split(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_PIECES).replace(_BREAK, b" " + _BREAK + b" ").split()
 
 
-def _keys_by_broadcast(docs: DataFrame, dictionary: DataFrame, width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary.select("lang", "word", "id").toArrow())
+_KEYS = "part int, key binary, n long"
+
+
+def _keys_by_broadcast(docs: DataFrame, shared, width: int, bounds: np.ndarray) -> DataFrame:
 
     def run(batches):
         tables = defaultdict(_Ids)
@@ -178,12 +189,12 @@ def _keys_by_broadcast(docs: DataFrame, dictionary: DataFrame, width: int) -> Da
                     words = _split(text) if lang in tables else []
                     yield np.fromiter(map(tables[lang].__getitem__, words), np.uint32, len(words)) if words else np.empty(0, np.uint32)
 
-        yield from _combined(sequences(), width)
+        yield from _combined(sequences(), width, bounds)
 
-    return in_small_batches(_named(docs)).mapInArrow(run, "key binary, n long")
+    return in_small_batches(_named(docs)).mapInArrow(run, _KEYS)
 
 
-def _keys_by_join(docs: DataFrame, dictionary: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+def _keys_by_join(docs: DataFrame, dictionary: DataFrame, width: int, bounds: np.ndarray, scratch: Scratch) -> DataFrame:
     """The same keys with the dictionary joined to the words, for dictionaries of any size."""
 
     def words(batches):
@@ -203,19 +214,27 @@ def _keys_by_join(docs: DataFrame, dictionary: DataFrame, width: int, scratch: S
                     ids[at - at[0]] = [f["id"] for f in found]
                     yield ids
 
-        yield from _combined(sequences(), width)
+        yield from _combined(sequences(), width, bounds)
 
     rows = in_small_batches(_named(docs).withColumn("row", F.monotonically_increasing_id()))
     rows = scratch.keep(rows.mapInArrow(words, "row long, lang string, at long, word string"))
     key = F.struct("lang", "word").alias("word")
     met = join_unique(rows.select("row", "at", key), dictionary.select(key, "id"), "word")
-    return met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("found")).select("found").mapInArrow(run, "key binary, n long")
+    return met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("found")).select("found").mapInArrow(run, _KEYS)
+
+
+def _bounds(keys: DataFrame, n_parts: int, width: int) -> np.ndarray:
+    """Keys between which the parts' lie, from the keys of some documents: they decide how even the parts
+    are and nothing else."""
+    some = keys.filter(F.pmod(F.xxhash64("key"), F.lit(16)) == 0).select("key").toArrow()["key"].combine_chunks()
+    if not len(some) or n_parts < 2:
+        return np.empty(0, f"S{4 * width}")
+    found = np.sort(_fixed(_numbers(some, width)))
+    return found[np.arange(1, n_parts) * len(found) // n_parts]
 
 
-def _counted(keys: DataFrame, width: int, least: int) -> DataFrame:
+def _counted(keys: DataFrame, n_parts: int, width: int, least: int) -> DataFrame:
     """key (of 2 to ``width`` ids), a: the phrases that occur often enough."""
-    spark = keys.sparkSession
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // BUFFER))
 
     def run(batches):
         found = [(_numbers(b.column("key"), width), b.column("n").to_numpy()) for b in batches if len(b)]
@@ -232,7 +251,7 @@ def _counted(keys: DataFrame, width: int, least: int) -> DataFrame:
             kept = (own[size - 1, starts] > 0) & ((a >= least) | edge)
             yield pa.RecordBatch.from_arrays([_binary(own[:size, starts[kept]]), pa.array(a[kept], pa.int64())], ["key", "a"])
 
-    counted = keys.repartitionByRange(n_parts, "key").mapInArrow(run, "key binary, a long")
+    counted = keys.repartitionById(n_parts, F.col("part")).select("key", "n").mapInArrow(run, "key binary, a long")
     return counted.groupBy("key").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
 
@@ -251,11 +270,18 @@ def collocations(
     totals = scratch.keep(counts.groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = scratch.keep(counts.filter(F.col("n") >= least))
     dictionary = _numbered(frequent, scratch)
-    keys = _keys_by_broadcast(docs, dictionary, longest) if dictionary.count() <= broadcast_words else _keys_by_join(docs, dictionary, longest, scratch)
-    keys = scratch.keep(keys)
+    known = dictionary.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("places")).first()
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known["places"] // BUFFER))
+    if known["words"] <= broadcast_words:
+        shared = docs.sparkSession.sparkContext.broadcast(dictionary.select("lang", "word", "id").toArrow())
+        keys_of = lambda some, bounds: _keys_by_broadcast(some, shared, longest, bounds)
+    else:
+        keys_of = lambda some, bounds: _keys_by_join(some, dictionary, longest, bounds, scratch)
+    share = min(1.0, BOUND_DOCUMENTS / max(1, docs.count()))
+    bounds = _bounds(keys_of(docs.sample(share, seed=1), np.empty(0, f"S{4 * longest}")), n_parts, longest)
+    keys = keys_of(docs, bounds)
     size = (F.length("key") / 4).cast("int")
-    phrases = scratch.keep(_counted(keys, longest, least))
-    scratch.drop(keys)
+    phrases = scratch.keep(_counted(keys, n_parts, longest, least))
 
     # Phrases inside one that is as frequent. Counts never rise with the length, so where a longer
     # phrase has the share, one of just one word more has it, too.
