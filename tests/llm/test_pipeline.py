@@ -46,5 +46,5 @@ def test_stages_take_odd_rows_and_clashing_columns(spark):
 
 def test_queries_are_registered():
     names = list(entry.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
