@@ -1,11 +1,15 @@
-"""The library's tables on storage, changed by copy-on-write.
-
-A table is a list of parts (folders of parquet files), and matches have parts by concept. The manifest,
-a numbered file, names the parts of all tables; a change writes new parts first and the next manifest
-last, in one step, so a change that touches several tables is seen whole or not at all, and parts that
-are being read are never overwritten. Rows are appended as a further part; only what deletes or changes
-rows writes their table anew, and replacing a concept's matches writes those alone. :meth:`vacuum`
-deletes parts that no recent manifest names.
+"""The library's tables on storage, merged when they are read.
+
+A table is a list of parts (folders of parquet files) in the order in which they came, and matches have parts
+by concept. The manifest, a numbered file, names the parts of all tables; a change writes new parts first and
+the next manifest last, in one step, so a change that touches several tables is seen whole or not at all, and
+parts that are being read are never overwritten. :meth:`vacuum` deletes parts that no recent manifest names.
+
+Rows are appended as a further part. Rows are deleted by a part of keys, which hides the rows with these keys
+in all earlier parts; rows are changed by both in one step. So a change writes in proportion to its own rows,
+whatever the table holds. Keys are compared null-safe. Where parts grow many, the newest are merged with
+those that are not much larger, so a row is written anew a number of times that follows the logarithm of the
+table; where keys outweigh half of their table, it is written anew without the rows that they hide.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from likeness.sources.scratch import Scratch
 
 #: The table with parts by concept.
 MATCHES = "file_concepts"
-#: A table of more parts is written anew when it is next appended to.
-MOST_PARTS = 64
+#: Parts of a table, or of keys that hide rows of it, above which the newest are merged.
+MOST_PARTS = 16
+#: Keys that take less than this (bytes) are never worth writing their table anew.
+FEW_KEYS = 32 << 20
 
 
 def _change(method):
@@ -37,6 +43,10 @@ def _change(method):
     return run
 
 
+def _place(part: list) -> int:
+    return part[2] if len(part) > 2 else 0
+
+
 class Catalog:
     """Tables under a folder. One writer at a time; a second one's commit raises."""
 
@@ -52,7 +62,8 @@ class Catalog:
     def _files(self):
         return self._path().getFileSystem(self._conf)
 
-    # Manifests: {table: [[part, columns], ...]} and for matches {concept: [part, columns]}.
+    # Manifests: {table: [part, ...]}, for matches {concept: part}, and {table + "/hidden": [part, ...]} for keys that
+    # hide rows. A part is [name, columns, place in the order, bytes]; older manifests have the first two alone.
 
     def _manifests(self) -> list[int]:
         folder, files = self._path("manifests"), self._files()
@@ -127,37 +138,81 @@ class Catalog:
     def _held(self, table: str) -> bool:
         return bool(self._state().get(table))
 
-    def _part(self, table: str, df: DataFrame) -> list:
-        """Write a part; its name and columns."""
+    def _parts(self, table: str) -> list[list]:
+        held = self._state().get(table) or []
+        return list(held.values()) if isinstance(held, dict) else held
+
+    def _hidden(self, table: str) -> list[list]:
+        return self._state().get(f"{table}/hidden", [])
+
+    def _next(self, table: str) -> int:
+        """The place of the next part of a table, or of keys."""
+        return 1 + max((_place(p) for p in [*self._parts(table), *self._hidden(table)]), default=0)
+
+    def _part(self, table: str, df: DataFrame, place: int) -> list:
+        """Write a part; its entry in the manifest."""
         name = f"{table}/{uuid.uuid4().hex}"
-        writer = df.write.mode("errorifexists")
-        (writer.partitionBy("concept_id") if table == MATCHES else writer).parquet(f"{self.root}/{name}")
-        return [name, df.columns]
+        columns = df.columns
+        if table == MATCHES and "concept_id" in columns and "score" in columns:
+            # rows of a concept come to few tasks, those of a large one to several
+            df.hint("rebalance", "concept_id").write.partitionBy("concept_id").parquet(f"{self.root}/{name}")
+        else:
+            df.write.parquet(f"{self.root}/{name}")
+        return [name, columns, place, self._bytes(name)]
+
+    def _bytes(self, name: str) -> int:
+        return self._files().getContentSummary(self._path(name)).getLength()
+
+    def _size(self, part: list) -> int:
+        return part[3] if len(part) > 3 else self._bytes(part[0])
 
     def read(self, name: str) -> DataFrame:
         """A table as of now."""
         held = self._state().get(name)
         if not held:
             return self.spark.createDataFrame([], TABLES[name])
+        return self._rows(name, held)
+
+    def _rows(self, table: str, held: list | dict) -> DataFrame:
+        """The rows of some parts of a table that no later key hides."""
         alike: dict[tuple, list[str]] = {}
-        if name == MATCHES:
-            for concept, (part, columns) in held.items():
-                alike.setdefault((part, *columns), []).append(f"{self.root}/{part}/concept_id={concept}")
-            frames = [self.spark.read.option("basePath", f"{self.root}/{part}").schema(TABLES[name]).parquet(*paths) for (part, *_), paths in alike.items()]
+        if table == MATCHES:
+            for concept, part in held.items():
+                alike.setdefault((_place(part), part[0]), []).append(f"{self.root}/{part[0]}/concept_id={concept}")
+            load = lambda key, paths: self.spark.read.option("basePath", f"{self.root}/{key[1]}").schema(TABLES[table]).parquet(*paths)
         else:
-            for part, columns in held:
-                alike.setdefault(tuple(columns), []).append(f"{self.root}/{part}")
-            frames = [self.spark.read.parquet(*paths) for paths in alike.values()]
-        out = migrate(frames[0], name)
-        for frame in frames[1:]:
-            out = out.unionByName(migrate(frame, name))
+            last = max((_place(p) for p in self._hidden(table)), default=0)
+            for part in held:  # parts that no key can hide rows of are read at once
+                alike.setdefault((min(_place(part), last), *part[1]), []).append(f"{self.root}/{part[0]}")
+            load = lambda _, paths: self.spark.read.parquet(*paths)
+        frames = [(key[0], migrate(load(key, paths), table)) for key, paths in alike.items()]
+        columns, out = frames[0][1].columns, None
+        for place, frame in frames:
+            frame = frame.withColumn("_place", F.lit(place))
+            out = frame if out is None else out.unionByName(frame)
+        for keys, parts in self._hidden_by_keys(table).items():
+            gone = self._keys(parts).withColumnsRenamed({k: f"_{k}" for k in keys} | {"_place": "_until"})
+            hidden = F.col("_until") > F.col("_place")
+            for k in keys:
+                hidden = hidden & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            out = out.join(gone, hidden, "left_anti")
+        return out.select(columns)
+
+    def _hidden_by_keys(self, table: str) -> dict[tuple, list[list]]:
+        out: dict[tuple, list[list]] = {}
+        for part in self._hidden(table):
+            out.setdefault(tuple(c for c in part[1] if c != "_place"), []).append(part)
         return out
 
+    def _keys(self, parts: list[list]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{p[0]}" for p in parts])
+
     @_change
     def write(self, name: str, df: DataFrame) -> None:
         """Replace a table."""
-        part = self._part(name, migrate(df, name))
+        part = self._part(name, migrate(df, name), self._next(name))
         self._pending[name] = self._concepts_of(part) if name == MATCHES else [part]
+        self._pending.pop(f"{name}/hidden", None)
 
     def _concepts_of(self, part: list) -> dict:
         """The concepts that a part of matches has rows of."""
@@ -166,16 +221,63 @@ class Catalog:
 
     @_change
     def append(self, table: str, rows: DataFrame) -> None:
-        held = self._state().get(table, [])
-        if table == MATCHES or len(held) >= MOST_PARTS:
+        """Add rows, as a further part."""
+        if table == MATCHES:
             self.write(table, self.read(table).unionByName(migrate(rows, table)))
         else:
-            self._pending[table] = [*held, self._part(table, migrate(rows, table))]
+            self._pending[table] = [*self._parts(table), self._part(table, migrate(rows, table), self._next(table))]
+            self._merge(table)
 
-    def _without(self, table: str, gone: DataFrame, *by: str) -> None:
-        """Delete the rows of a table that agree with ``gone``; a table without such rows is left alone."""
-        if self._held(table) and not self.read(table).join(gone, list(by), "left_semi").isEmpty():
-            self.write(table, self.read(table).join(gone, list(by), "left_anti"))
+    @_change
+    def delete(self, table: str, gone: DataFrame, *by: str) -> None:
+        """Delete the rows of a table that agree with ``gone`` in some columns."""
+        types = self.read(table).schema
+        gone = gone.select(*[F.col(c).cast(types[c].dataType).alias(c) for c in by])
+        if self._held(table) and not gone.isEmpty():
+            place = self._next(table)
+            part = self._part(table, gone.distinct().withColumn("_place", F.lit(place)), place)
+            self._pending[f"{table}/hidden"] = [*self._hidden(table), part]
+            self._merge(table)
+
+    @_change
+    def upsert(self, table: str, rows: DataFrame, *by: str) -> None:
+        """Add rows in place of those that agree with them in some columns."""
+        rows = self._scratch.keep(migrate(rows, table))
+        if not rows.isEmpty():
+            self.delete(table, rows, *by)
+            self.append(table, rows)
+
+    def _merge(self, table: str) -> None:
+        """Merge the newest parts where there are many, and drop keys that hide nothing any more."""
+        held = self._parts(table)
+        if table != MATCHES and len(held) > MOST_PARTS:
+            first = self._newest(held)
+            merged = self._part(table, self._rows(table, held[first:]), _place(held[-1]))
+            self._pending[table] = held = [*held[:first], merged]
+        oldest = min(map(_place, held), default=0)
+        left = []
+        for keys, parts in self._hidden_by_keys(table).items():
+            parts = [p for p in parts if _place(p) > oldest]
+            if len(parts) > MOST_PARTS:
+                first = self._newest(parts)
+                latest = self._keys(parts[first:]).groupBy(*keys).agg(F.max("_place").alias("_place"))
+                parts = [*parts[:first], self._part(table, latest, _place(parts[-1]))]
+            left += parts
+        self._pending.pop(f"{table}/hidden", None)
+        if left:
+            self._pending[f"{table}/hidden"] = left
+        size = sum(map(self._size, left))
+        if size > FEW_KEYS and 2 * size > sum(map(self._size, {p[0]: p for p in held}.values())):
+            self.write(table, self.read(table))
+
+    def _newest(self, parts: list[list]) -> int:
+        """From which part on to merge: half of them, and older ones while they are at most twice as large."""
+        first = len(parts) - MOST_PARTS // 2
+        size = sum(map(self._size, parts[first:]))
+        while first and self._size(parts[first - 1]) <= 2 * size:
+            first -= 1
+            size += self._size(parts[first])
+        return first
 
     def _last_id(self, table: str) -> int:
         return self.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -205,8 +307,8 @@ class Catalog:
         if not old.isEmpty():
             replaced = old.select(F.col("id").alias("file_id"))
             for table in ("embeddings", "file_faces", MATCHES):
-                self._without(table, replaced, "file_id")
-            self.write("files", files.join(old.select("path"), "path", "left_anti").unionByName(migrate(old, "files")))
+                self.delete(table, replaced, "file_id")
+            self.upsert("files", old, "id")
         if not fresh.isEmpty():
             self.append("files", fresh)
         return self.read("files").join(rows.select("path"), "path", "left_semi")
@@ -217,8 +319,8 @@ class Catalog:
         files = self.read("files")
         gone = self._scratch.keep(files.join(gone.select("id"), "id", "left_semi").select("id"))
         for table in ("embeddings", "file_faces", MATCHES, "concept_overrides"):
-            self._without(table, gone.select(F.col("id").alias("file_id")), "file_id")
-        self._without("files", gone, "id")
+            self.delete(table, gone.select(F.col("id").alias("file_id")), "file_id")
+        self.delete("files", gone, "id")
         return gone.count()
 
     @_change
@@ -226,9 +328,11 @@ class Catalog:
         """Change paths (source, target) in the index, all at once; a file at a target that isn't renamed itself
         gives way."""
         gone = renames.select(F.col("target").alias("path")).join(renames.select(F.col("source").alias("path")), "path", "left_anti")
-        files = self.read("files").join(gone, "path", "left_anti")
-        moved = files.join(renames.withColumnsRenamed({"source": "path", "target": "new"}).select("path", "new"), "path", "left")
-        self.write("files", moved.withColumn("path", F.coalesce("new", "path")))
+        files = self.read("files")
+        moved = files.join(renames.withColumnsRenamed({"source": "path", "target": "new"}).select("path", "new"), "path")
+        moved = self._scratch.keep(moved.withColumn("path", F.coalesce("new", "path")).drop("new"))
+        self.delete("files", files.join(gone, "path", "left_semi"), "id")
+        self.upsert("files", moved, "id")
 
     # The journal of renames: a batch is written before files are touched, and closed in the step that changes
     # their paths. One that was left open tells what may have happened on disk.
@@ -249,7 +353,9 @@ class Catalog:
         self.rename_files(done.drop("order"))
         journal = self.read("rename_batches")
         kept = journal.filter(F.col("batch_id") == number).join(done, ["source", "target"]).withColumns({"seq": F.col("order").cast("int"), "done": F.lit(True)})
-        self.write("rename_batches", journal.filter(F.col("batch_id") != number).unionByName(kept.select(journal.columns)))
+        kept = self._scratch.keep(kept.select(journal.columns))
+        self.delete("rename_batches", journal.filter(F.col("batch_id") == number), "batch_id")
+        self.append("rename_batches", kept)
 
     @_change
     def undo_renames(self, number: int, undone: DataFrame | None = None) -> None:
@@ -259,7 +365,7 @@ class Catalog:
         own = journal.filter((F.col("batch_id") == number) & F.col("done"))
         own = own if undone is None else own.join(undone.select("source", "target"), ["source", "target"], "left_semi")
         self.rename_files(self._scratch.keep(own.select(F.col("target").alias("source"), F.col("source").alias("target"))))
-        self.write("rename_batches", journal.filter(F.col("batch_id") != number))
+        self.delete("rename_batches", journal.filter(F.col("batch_id") == number), "batch_id")
 
     def open_renames(self) -> DataFrame:
         """Batches whose outcome the journal doesn't know."""
@@ -300,11 +406,10 @@ class Catalog:
         gone = self.read("concepts").filter(F.col("name") == name).select("id")
         ids = [r["id"] for r in gone.limit(2).collect()]
         for table in ("concept_overrides", "concept_rejections"):
-            if ids and self._held(table):
-                self.write(table, self.read(table).filter(~F.col("concept_id").isin(ids)))
+            self.delete(table, gone.select(F.col("id").alias("concept_id")), "concept_id")
         if ids:
             self._pending[MATCHES] = {c: part for c, part in self._state().get(MATCHES, {}).items() if int(c) not in ids}
-            self.write("concepts", self.read("concepts").filter(~F.col("id").isin(ids)))
+            self.delete("concepts", gone, "id")
         return bool(ids)
 
     @_change
@@ -313,26 +418,30 @@ class Catalog:
         the largest counts. Matches of other concepts are neither read nor written."""
         own = [int(c) for c in concept_ids]
         one = matches.filter(F.col("concept_id").isin(own)).groupBy("file_id", "concept_id").agg(F.max("score").alias("score"))
-        new = self._concepts_of(self._part(MATCHES, migrate(one, MATCHES)))
+        new = self._concepts_of(self._part(MATCHES, migrate(one, MATCHES), self._next(MATCHES)))
         kept = {c: part for c, part in self._state().get(MATCHES, {}).items() if int(c) not in own}
         self._pending[MATCHES] = kept | new
+        self._merge(MATCHES)
 
     @_change
     def add_rejections(self, rows: DataFrame) -> None:
-        self.write("concept_rejections", self.read("concept_rejections").unionByName(migrate(rows, "concept_rejections")).dropDuplicates(["concept_id", "path"]))
+        self.upsert("concept_rejections", rows.dropDuplicates(["concept_id", "path"]), "concept_id", "path")
 
     @_change
     def clear_rejections(self, rows: DataFrame) -> None:
-        self.write("concept_rejections", self.read("concept_rejections").join(rows, ["concept_id", "path"], "left_anti"))
+        self.delete("concept_rejections", rows, "concept_id", "path")
 
     @_change
     def set_overrides(self, rows: DataFrame) -> None:
         """The given states replace earlier ones; a null state clears."""
-        kept = self.read("concept_overrides").join(rows, ["file_id", "concept_id"], "left_anti")
         bad = rows.filter(F.col("state").isNotNull() & ~F.col("state").isin("on", "off")).head(1)
         if bad:
             raise ValueError(f"state must be on, off or null, got {bad[0]['state']!r}")
-        self.write("concept_overrides", kept.unionByName(migrate(rows.filter("state is not null"), "concept_overrides")))
+        rows = self._scratch.keep(rows.select("file_id", "concept_id", "state"))
+        self.delete("concept_overrides", rows, "file_id", "concept_id")
+        stated = rows.filter("state is not null")
+        if not stated.isEmpty():
+            self.append("concept_overrides", stated)
 
     @_change
     def log_overrides(self, entries: DataFrame) -> None:
@@ -344,14 +453,15 @@ class Catalog:
         entries = self._scratch.keep(migrate(entries, "override_times"))
         latest = self._scratch.keep(last(known.join(entries, pair, "left_semi").unionByName(entries)))
         self.set_overrides(latest.select(*pair, "state"))
-        self.write("override_times", known.join(latest, pair, "left_anti").unionByName(latest))
+        self.upsert("override_times", latest, *pair)
 
     @_change
     def replace_references(self, person_id: int, faces: DataFrame) -> None:
         """A person's reference faces, replaced; their number follows."""
-        kept = self.read("person_faces").filter(F.col("person_id") != person_id)
-        self.write("person_faces", kept.unionByName(migrate(faces.withColumn("person_id", F.lit(person_id)), "person_faces")))
-        n = self.read("person_faces").filter(F.col("person_id") == person_id).count()
+        faces = self._scratch.keep(migrate(faces.withColumn("person_id", F.lit(person_id)), "person_faces"))
+        self.delete("person_faces", self.spark.range(1).select(F.lit(person_id).alias("person_id")), "person_id")
+        self.append("person_faces", faces)
+        n = faces.count()
         self.write("people", self.read("people").withColumn("n_examples", F.when(F.col("id") == person_id, F.lit(n)).otherwise(F.col("n_examples"))))
 
     @_change
@@ -359,9 +469,10 @@ class Catalog:
         """Delete a person and their references; faces found stay, unassigned, with their score."""
         ids = [r["id"] for r in self.read("people").filter(F.col("name") == name).select("id").limit(2).collect()]
         if ids:
-            self.write("person_faces", self.read("person_faces").filter(~F.col("person_id").isin(ids)))
-            self.write("file_faces", self.read("file_faces").withColumn("person_id", F.when(~F.col("person_id").isin(ids), F.col("person_id"))))
-            self.write("people", self.read("people").filter(~F.col("id").isin(ids)))
+            gone = self._scratch.keep(self.read("people").filter(F.col("id").isin(ids)))
+            self.delete("person_faces", gone.select(F.col("id").alias("person_id")), "person_id")
+            self.upsert("file_faces", self.read("file_faces").filter(F.col("person_id").isin(ids)).withColumn("person_id", F.lit(None)), "id")
+            self.delete("people", gone, "id")
         return bool(ids)
 
     @_change
@@ -382,14 +493,12 @@ class Catalog:
 
     @_change
     def assign_face(self, face_id: int, person_id: int | None, score: float | None = None) -> None:
-        own = F.col("id") == face_id
-        columns = {"person_id": F.when(own, F.lit(person_id).cast("long")).otherwise(F.col("person_id")), "score": F.when(own, F.lit(score).cast("double")).otherwise(F.col("score"))}
-        self.write("file_faces", self.read("file_faces").withColumns(columns))
+        own = self.read("file_faces").filter(F.col("id") == face_id)
+        self.upsert("file_faces", own.withColumns({"person_id": F.lit(person_id), "score": F.lit(score)}), "id")
 
     @_change
     def set_setting(self, key: str, value: str) -> None:
-        kept = self.read("meta").filter(F.col("key") != key)
-        self.write("meta", kept.unionByName(self.spark.createDataFrame([(key, value)], TABLES["meta"])))
+        self.upsert("meta", self.spark.createDataFrame([(key, value)], TABLES["meta"]), "key")
 
     def setting(self, key: str, default: str | None = None) -> str | None:
         found = self.read("meta").filter(F.col("key") == key).head(1)

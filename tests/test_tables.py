@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from likeness.plans import renames
 from likeness.sources import discovery, schema
@@ -85,6 +85,59 @@ def test_appends_and_replaced_matches_leave_other_parts_alone(spark, catalog):
     assert catalog.vacuum(1) == 2 and catalog.read("file_concepts").count() == 1 and len(catalog._manifests()) == 1
 
 
+def _written(spark, catalog, before, table):
+    """Rows of a table's parts and keys that ``before`` (a manifest) doesn't name."""
+    named = {p[0] for parts in before.values() for p in (parts.values() if isinstance(parts, dict) else parts)}
+    new = [p for key in (table, f"{table}/hidden") for p in catalog._state().get(key, []) if p[0] not in named]
+    return sum(spark.read.parquet(f"{catalog.root}/{p[0]}").count() for p in new)
+
+
+def test_small_changes_write_little(spark, catalog):
+    pair = (F.col("id").alias("file_id"), (F.col("id") % 7).alias("concept_id"))
+    log = spark.range(20_000).select(*pair, F.lit("on").alias("state"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("id").alias("event_id"))
+    catalog.log_overrides(log)
+    before = catalog._state()
+    late = spark.range(5).select(*pair, F.when(F.col("id") < 2, "off").alias("state"), F.lit("2024-01-02").cast("timestamp").alias("ts"), F.col("id").alias("event_id"))
+    catalog.log_overrides(late)
+    assert _written(spark, catalog, before, "concept_overrides") == 5 + 2 and _written(spark, catalog, before, "override_times") == 5 + 5
+    assert {r.state: r["count"] for r in catalog.read("concept_overrides").groupBy("state").count().collect()} == {"on": 19_995, "off": 2}
+    catalog.upsert_files(spark.range(1000).select(F.concat(F.lit("/"), "id").alias("path"), F.lit("image").alias("kind"), F.lit(1).alias("size"), F.lit(1).alias("mtime_ns")))
+    before = catalog._state()
+    catalog.upsert_files(_files(spark, ("/7", 2, 2)))
+    catalog.rename_files(spark.createDataFrame([("/8", "/9")], "source string, target string"))
+    assert _written(spark, catalog, before, "files") == 2 + 3 and catalog.read("files").count() == 999
+    assert catalog.forget(catalog.read("files").filter("path = '/9'")) == 1 and catalog.read("files").count() == 998
+
+
+def test_many_small_changes_are_merged(spark, catalog, monkeypatch):
+    from likeness.sources import catalog as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 4)
+    want, kind = {}, schema.TABLES["concept_overrides"]
+    for n in range(11):
+        rows = [((n * 5 + i * 3) % 11 or None, i % 2, ("on", "off", None)[(n + i) % 3]) for i in range(4)]
+        rows = list({r[:2]: r for r in rows}.values())
+        catalog.set_overrides(spark.createDataFrame(rows, kind))
+        want = {k: v for k, v in (want | {r[:2]: r[2] for r in rows}).items() if v}
+        if n == 9:
+            catalog.delete("concept_overrides", spark.createDataFrame([(1,)], "concept_id long"), "concept_id")
+            want = {k: v for k, v in want.items() if k[1] != 1}
+        assert sorted(map(str, catalog.read("concept_overrides").collect())) == sorted(map(str, [Row(file_id=f, concept_id=c, state=s) for (f, c), s in want.items()]))
+        assert len(catalog._state()["concept_overrides"]) <= 4 and all(len(p) <= 4 for p in catalog._hidden_by_keys("concept_overrides").values())
+    monkeypatch.setattr(module, "FEW_KEYS", 0)
+    catalog.delete("concept_overrides", spark.range(5000).select(F.col("id").alias("file_id")), "file_id")
+    assert catalog.read("concept_overrides").count() == sum(f is None for f, _ in want) and not catalog._hidden("concept_overrides")
+
+
+def test_tables_of_older_manifests_are_read(spark, catalog):
+    catalog.set_setting("k", "v")
+    with catalog.change():
+        catalog._pending["meta"] = [p[:2] for p in catalog._pending["meta"]]
+    assert catalog.setting("k") == "v"
+    catalog.set_setting("k", "w")
+    assert catalog.setting("k") == "w" and catalog.read("meta").count() == 1
+
+
 def test_concepts(spark, catalog):
     kind = "name string, prototype array<float>, threshold double, n_examples int"
     catalog.save_concepts(spark.createDataFrame([("b", [1.0], 0.7, 3), ("a", [2.0], 0.8, 4)], kind))
