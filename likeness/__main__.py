@@ -14,7 +14,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--library", required=True, help="folder of the library's tables")
     p.add_argument("--embedder", default="likeness.sources.plugins:HashEmbedder", help="module:class of the model that makes vectors")
     p.add_argument("--analyzer", help="module:class of the model that finds faces")
-    p.add_argument("--verifier", help="module:function from a phrase to a column that scores file ids")
+    p.add_argument("--verifier", help="module:class of a verifier, or module:function from a phrase to a column that scores file ids")
     c = p.add_subparsers(dest="command", required=True)
     for name, arguments in {
         "index": ["folder"], "forget": ["folder"], "teach": ["name", "paths*"], "search": ["name"], "text": ["prompt"], "score": [], "apply": [], "concepts": [], "people": [], "status": [], "rematch": [],
@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("likeness").getOrCreate()
     plugged = lambda given: given and getattr(importlib.import_module(given.partition(":")[0]), given.partition(":")[2])
-    s = Service(Catalog(spark, a.library), plugged(a.embedder)(), plugged(a.verifier), a.analyzer and plugged(a.analyzer)())
+    s = Service(Catalog(spark, a.library), plugged(a.embedder)(), verifier() if isinstance(verifier := plugged(a.verifier), type) else verifier, a.analyzer and plugged(a.analyzer)())
     read = s.catalog.read
     actions = {
         "index": lambda: s.index(a.folder), "forget": lambda: s.forget_missing(a.folder), "teach": lambda: s.teach(a.name, a.paths, a.negatives),

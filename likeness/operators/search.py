@@ -84,6 +84,21 @@ def phrase(explicit: Column, stored: Column, name: Column) -> Column:
     return F.coalesce(F.when(explicit != empty, explicit), F.when(stored != empty, stored), F.replace(name, F.lit("-"), F.lit(" ")))
 
 
+#: Candidates of a verification that a task scores at least.
+VERIFY_ROWS = 16
+
+
+def verify_files(embeddings: DataFrame, files: DataFrame, prototype, scorer, limit: int = CANDIDATES) -> DataFrame:
+    """file_id, path, score, verified, box, error: the best candidates (cosine of 0 or more) ranked again by a model
+    (``scorer`` as :func:`likeness.sources.plugins.verify_with` makes it), which several tasks ask at once.
+    Candidates whose file isn't known are left out."""
+    candidates = by_vector(embeddings, prototype, limit, 0.0)
+    known = candidates.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    tasks = max(1, min(limit // VERIFY_ROWS, embeddings.sparkSession.sparkContext.defaultParallelism))
+    found = scorer(known.select("file_id", "path").repartition(tasks))
+    return known.join(found, "file_id").orderBy(F.desc("verified"), "file_id")
+
+
 def verify(embeddings: DataFrame, prototype, scorer: Column, limit: int = CANDIDATES) -> DataFrame:
     """file_id, score, verified: the best candidates (cosine of 0 or more) ranked again by an external
     scorer (a column of ``file_id``, such as a pandas UDF); what it can't score counts as 0."""

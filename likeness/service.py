@@ -18,7 +18,7 @@ from likeness.operators.search import BOUNDARY_LIMIT, CANDIDATES, LIMIT
 from likeness.plans import renames
 from likeness.sources import discovery, images
 from likeness.sources.catalog import Catalog
-from likeness.sources.plugins import Embedder, FaceAnalyzer, detect, embed_with
+from likeness.sources.plugins import Embedder, FaceAnalyzer, detect, embed_with, verify_with
 from likeness.sources.reading import read_media
 from likeness.sources.schema import TABLES
 from likeness.sources.scratch import Scratch
@@ -42,7 +42,7 @@ def _in_turn(plans: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 class Service:
     def __init__(self, catalog: Catalog, embedder: Embedder | None = None, verifier=None, analyzer: FaceAnalyzer | None = None, frames: images.FrameSource | None = None):
-        """``verifier``: a function from a phrase to a column that scores file ids."""
+        """``verifier``: a :class:`Verifier`, or a function from a phrase to a column that scores file ids."""
         self.frames = frames
         self.catalog, self.embedder, self.verifier, self.analyzer, self.spark = catalog, embedder, verifier, analyzer, catalog.spark
 
@@ -216,11 +216,17 @@ class Service:
         return self._with_files(search.verify(self.catalog.read("embeddings"), self._concept(name)["prototype"], scorer, candidates))
 
     def verify_phrase(self, name: str, phrase: str | None = None, candidates: int = CANDIDATES) -> DataFrame:
-        """:meth:`verify` with the verifier that is plugged in, asked the given phrase, the stored one or the name."""
+        """:meth:`verify` with the verifier that is plugged in, asked the given phrase, the stored one or the name. A
+        :class:`Verifier` also tells boxes and errors."""
         if self.verifier is None:
             raise ValueError("no verifier is plugged in")
         stored = self._concept(name)["verify_phrase"]
-        return self.verify(name, self.verifier(phrase or stored or name.replace("-", " ")), candidates).orderBy(F.desc("verified"), "file_id")
+        asked = phrase or stored or name.replace("-", " ")
+        if hasattr(self.verifier, "verify"):
+            c = self.catalog
+            found = search.verify_files(c.read("embeddings"), c.read("files"), self._concept(name)["prototype"], verify_with(self.verifier, asked), candidates)
+            return self._with_files(found.drop("path")).orderBy(F.desc("verified"), "file_id")
+        return self.verify(name, self.verifier(asked), candidates).orderBy(F.desc("verified"), "file_id")
 
     # People.
 
@@ -228,7 +234,8 @@ class Service:
         """Match faces that nobody is assigned to; returns how many found someone."""
         old = self.catalog.read("file_faces")
         before = old.filter("person_id is not null").count()
-        self.catalog.write("file_faces", faces.rematch(old, self.catalog.read("person_faces"), threshold))
+        found = faces.rematch(old.filter("person_id is null"), self.catalog.read("person_faces"), threshold)
+        self.catalog.upsert("file_faces", found.filter("person_id is not null"), "id")
         return self.catalog.read("file_faces").filter("person_id is not null").count() - before
 
     def _analyzer(self, given: FaceAnalyzer | None) -> FaceAnalyzer:
@@ -270,7 +277,7 @@ class Service:
         person = self.catalog.upsert_person(name)
         assigned, references = faces.name_cluster(self.catalog.read("file_faces"), self.catalog.read("person_faces"), face_ids, person)
         self.catalog.replace_references(person, references.filter(F.col("person_id") == person))
-        self.catalog.write("file_faces", assigned)
+        self.catalog.upsert("file_faces", assigned.filter(F.col("person_id") == person), "id")
 
     # Duplicates and names.
 

@@ -6,6 +6,7 @@ import hashlib
 from typing import Protocol
 
 import numpy as np
+from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
@@ -28,9 +29,10 @@ class FaceAnalyzer(Protocol):
 
 
 class Verifier(Protocol):
-    """A score from 0 to 1 for how well an image fits a phrase, and where."""
+    """For each of several images a score from 0 to 1 for how well it fits a phrase, and where (a box as text,
+    or None). Models load when first asked, in the task."""
 
-    def verify(self, path: str, phrase: str) -> tuple[float, str | None]: ...
+    def verify(self, paths: list[str], phrase: str) -> list[tuple[float, str | None]]: ...
 
 
 class HashEmbedder:
@@ -72,6 +74,34 @@ def embed_with(embedder: Embedder):
     return lambda files: files.select("path", "kind").mapInArrow(run, "path string, vectors array<array<float>>, frame_times array<double>, boxes array<string>, error string")
 
 
+def verify_with(verifier: Verifier, phrase: str, batch: int = 16):
+    """file_id, path -> file_id, verified, box, error: the files scored ``batch`` at a time, in tasks. Where a
+    batch fails its files are asked one by one, and one that fails by itself, or gets no finite number, has a
+    score of 0, no box and its error."""
+    import pyarrow as pa
+
+    names = pa.schema([("file_id", pa.int64()), ("verified", pa.float64()), ("box", pa.string()), ("error", pa.string())])
+
+    def ask(paths: list[str]) -> list[tuple[float, str | None, str | None]]:
+        try:
+            answers = list(verifier.verify(paths, phrase))
+            if len(answers) != len(paths):
+                raise ValueError(f"{len(answers)} answers for {len(paths)} files")
+            found = [(float(score), box and str(box)) for score, box in answers]
+        except Exception as e:  # one unreadable file doesn't stop the others
+            return [(0.0, None, str(e) or type(e).__name__)] if len(paths) == 1 else [a for p in paths for a in ask([p])]
+        return [(s, box, None) if np.isfinite(s) else (0.0, None, "no finite score") for s, box in found]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                some = b.slice(at, batch)
+                answers = ask(some.column("path").to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column("file_id"), *[pa.array(c, f.type) for c, f in zip(zip(*answers), list(names)[1:])]], schema=names)
+
+    return lambda files: files.select(F.col("file_id").cast("long"), "path").mapInArrow(run, "file_id long, verified double, box string, error string")
+
+
 def detect(files, analyzer: FaceAnalyzer, least: float):
     """file_id, seq, frame_time, bbox, side, vector of the faces in files (file_id, path) whose short
     side has ``least`` pixels; a file that fails gives no rows."""

@@ -34,6 +34,25 @@ def test_verify_ranks_candidates_again_and_failures_last(spark):
     assert got == [(4, 0.4), (3, 0.3), (1, 0.1), (0, 0.0), (2, 0.0)]
 
 
+def test_verifiers_are_asked_in_batches_and_failures_count_as_zero(spark):
+    from likeness.sources.plugins import verify_with
+
+    class Fussy:
+        def verify(self, paths, phrase):
+            if "/3" in paths:
+                raise OSError("unreadable")
+            if len(paths) > 1 and "/4" in paths:
+                return []
+            return [(float("nan"), "1,1,2,2") if p == "/2" else (int(p[1:]) / 10, phrase) for p in paths]
+
+    e = spark.createDataFrame([(i, i, [1.0, i / 10]) for i in range(6)] + [(9, 9, [-1.0, 0.0])], EMB)
+    files = spark.createDataFrame([(i, f"/{i}") for i in range(10) if i != 5], "id long, path string")
+    found = search.verify_files(e, files, [1.0, 0.0], verify_with(Fussy(), "cat", batch=2))
+    got = {r.file_id: (r.verified, r.box, r.error) for r in found.collect()}
+    assert got == {0: (0.0, "cat", None), 1: (0.1, "cat", None), 2: (0.0, None, "no finite score"), 3: (0.0, None, "unreadable"), 4: (0.4, "cat", None)}
+    assert [r.file_id for r in found.collect()] == [4, 1, 0, 2, 3] and search.verify_files(e, files.limit(0), [1.0, 0.0], verify_with(Fussy(), "cat")).count() == 0
+
+
 def test_one_pass_scores_equal_single_searches_in_any_blocks(spark):
     r = np.random.default_rng(0)
     x, p = _unit(r, 200), _unit(r, 7)

@@ -97,6 +97,18 @@ def test_long_lists_are_answered_in_full(service):
     assert api.call("POST", "/api/people", {"name": "ann", "paths": []})[0] == 400
 
 
+def test_a_plugged_verifier_tells_boxes(service):
+    class Named:
+        def verify(self, paths, phrase):
+            return [(float(phrase == "red hat" and "red" in os.path.basename(p)), "0,0,1,1") for p in paths]
+
+    service.index(service.folder)
+    service.teach("red-hat", [r.path for r in service.catalog.read("files").filter("path like '%red%'").collect()][:2])
+    service.verifier = Named()
+    rows = service.verify_phrase("red-hat").collect()
+    assert rows and {(r.verified, "red" in os.path.basename(r.path), r.box, r.error) for r in rows} <= {(1.0, True, "0,0,1,1", None), (0.0, False, "0,0,1,1", None)}
+
+
 def test_review_and_negatives(service):
     s = service
     s.index(s.folder)
