@@ -117,7 +117,8 @@ def blocked(plans: DataFrame) -> DataFrame:
 def rounds(plans: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """source, target, round, in_cycle of plans (source, target; a row for each source): a plan waits for the one whose
     source is its target. ``round`` (from 1) is when its turn comes; plans of a cycle, and those that wait for
-    one, have none, and ``in_cycle`` tells the former. Plans that change nothing are left out.
+    one, have none, and ``in_cycle`` tells the former. Plans that change nothing are left out, but their files
+    keep their names, so plans that wait for one have no round either.
 
     Each plan points to the one it waits for. Pointers are doubled: a plan takes over its pointer's pointer
     and adds its distance, so chains of any length take a number of rounds that grows with its logarithm.
@@ -125,11 +126,13 @@ def rounds(plans: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     for one, which the join sets apart. The result reads tables of ``scratch``.
     """
     scratch = scratch or Scratch(plans.sparkSession, "rounds")
+    staying = scratch.keep(plans.filter("source is not null and not coalesce(source <> target, false)").select("source"))
     plans = scratch.keep(plans.filter("source <> target").select("source", "target"))
-    sources = plans.select(F.col("source").alias("target"), F.lit(True).alias("waits"))
+    sources = plans.select(F.col("source").alias("target")).unionByName(staying.select(F.col("source").alias("target")))
     state = scratch.keep(join_unique(plans, sources, "target").select("source", F.col("target").alias("to"), F.lit(1).cast("long").alias("steps")))
-    far = plans.join(state.select("source"), "source", "left_anti").select("source", F.lit(None).cast(plans.schema["source"].dataType).alias("to"), F.lit(1).cast("long").alias("steps"))
-    done = [scratch.keep(far)]
+    nowhere = F.lit(None).cast(plans.schema["source"].dataType).alias("to")
+    far = plans.join(state.select("source"), "source", "left_anti").select("source", nowhere, F.lit(1).cast("long").alias("steps"))
+    done = [scratch.keep(far.unionByName(staying.select("source", nowhere, F.lit(None).cast("long").alias("steps"))))]  # no steps lead past a file that stays
     left, jumps = state.count(), 1
     of_plans = max(2, plans.count())
     while left and jumps < 2 * of_plans:

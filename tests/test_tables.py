@@ -265,6 +265,12 @@ def test_collisions(spark):
     assert {r.source for r in renames.blocked(spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")).collect()} == {"a"}
 
 
+def test_rounds_end_at_files_that_stay(spark):
+    pairs = [("kept", "kept"), ("a", "kept"), ("b", "a"), ("c", "b"), ("unnamed", None), ("d", "unnamed"), ("e", "f"), ("f", "free"), ("g", "h"), ("h", "g"), ("i", "g")]
+    got = {r.source: (r.round, r.in_cycle) for r in renames.rounds(spark.createDataFrame(pairs, "source string, target string")).collect()}
+    assert got == {**dict.fromkeys("abcdi", (None, False)), **dict.fromkeys("gh", (None, True)), "e": (2, False), "f": (1, False)}
+
+
 def test_renames_on_disk_and_back(tmp_path):
     for n in "abc":
         (tmp_path / n).write_text(n)
