@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from likeness.llm.common import TaskTable, in_small_batches
+from likeness.llm.common import in_small_batches
 from likeness.operators.joins import join_unique
 from likeness.sources.scratch import Scratch
 
@@ -46,38 +46,81 @@ STREAM_ROWS = 65_536
 HOT_KEYS = 10_000
 BROADCAST_IDS = 1_000_000
 
+#: Bytes of texts that are hashed together, about; beyond so many bytes of a word another hash takes over.
+BLOCK_BYTES = 1 << 19
+LONG_WORD = 256
+
 _NONE = 1 << 63
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(TaskTable):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        return self.put(word, xxhash.xxh64_intdigest(word))
-
-
-def _gram_hashes(words: list[bytes], gram: int, table: WordHashes) -> np.ndarray:
-    table.trim()
-    codes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-    mixed = np.full(len(words) - gram + 1, gram, np.uint64)
+def _words(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words, each with one space behind it; where words begin and end there; the number of each
+    text's first word, and of one after the last."""
+    data = np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)
+    inside = ~_SPACE[data]
+    before = np.concatenate([[False], inside[:-1]])
+    offsets = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    first = np.searchsorted(np.flatnonzero(inside & ~before), offsets)
+    kept = inside | before
+    ends = np.flatnonzero(~inside[kept])
+    return np.where(inside, data, 32)[kept].astype(np.uint8).tobytes(), np.append(0, ends + 1)[: len(ends)], ends, first
+
+
+def _codes(data: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time; of what is beyond ``LONG_WORD`` bytes by another hash."""
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    word, at, left = np.arange(len(begins)), begins, ends - begins
+    codes = left.astype(np.uint64)
+    for _ in range(LONG_WORD // 8):
+        if not len(word):
+            break
+        mixed = (codes[word] ^ (eight[at] & _FIRST_BYTES[np.minimum(left, 8)])) * _MULTIPLIER
+        codes[word] = mixed ^ (mixed >> np.uint64(29))
+        more = left > 8
+        word, at, left = word[more], at[more] + 8, left[more] - 8
+    for w, a, n in zip(word.tolist(), at.tolist(), left.tolist()):
+        codes[w] ^= np.uint64(xxhash.xxh64_intdigest(data[a : a + n]))
+    return codes
+
+
+def least_grams(codes: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows in the texts: the smallest hash of a run of ``gram`` words (signed), the number of the
+    window's first word, and its text."""
+    windows = np.maximum(np.diff(first) - length + 1, 0)
+    of = np.repeat(np.arange(len(windows)), windows)
+    if not len(of):
+        return np.empty(0, np.int64), np.empty(0, np.int64), of
+    mixed = np.full(len(codes) - gram + 1, gram, np.uint64)
     for i in range(gram):
-        mixed = (mixed ^ codes[i : len(words) - gram + 1 + i]) * _MULTIPLIER
+        mixed = (mixed ^ codes[i : len(codes) - gram + 1 + i]) * _MULTIPLIER
         mixed ^= mixed >> np.uint64(29)
-    return mixed
-
-
-def least_grams(words: list[bytes], length: int, gram: int, table: WordHashes) -> np.ndarray:
-    """The smallest gram hash of each window (signed); empty with fewer words than a window."""
-    if len(words) < length:
-        return np.empty(0, np.int64)
-    mixed, n = _gram_hashes(words, gram, table), len(words) - length + 1
     width, have, least = length - gram + 1, 1, mixed
     while have < width:  # minima of twice as many, then of what is still missing
         step = min(have, width - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    return least[:n].view(np.int64)
+    at = np.arange(len(of)) + np.repeat(first[:-1] - (np.cumsum(windows) - windows), windows)
+    return least[at].view(np.int64), at, of
+
+
+def _stretches(least: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of windows of one text with one least gram begin and end."""
+    new = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
+    begins = np.flatnonzero(np.concatenate([[True], new])) if len(least) else np.empty(0, np.int64)
+    return begins, np.append(begins[1:], len(least))[: len(begins)]
+
+
+def _blocks(texts: list[bytes | None]):
+    """From and to of consecutive texts of about ``BLOCK_BYTES``."""
+    begin = size = 0
+    for k, t in enumerate(texts, 1):
+        size += len(t or b"")
+        if size >= BLOCK_BYTES or k == len(texts):
+            yield begin, k
+            begin, size = k, 0
 
 
 def _ids(docs: DataFrame) -> DataFrame:
@@ -89,10 +132,20 @@ def _postings(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, grams: each document's distinct least grams."""
 
     def run(batches):
-        table = WordHashes()
         for batch in batches:
-            grams = [np.unique(least_grams((text or b"").split(), length, gram, table)) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "grams"])
+            texts, grams, counts = batch.column("text").to_pylist(), [np.empty(0, np.int64)], [[0]]
+            for i, j in _blocks(texts):
+                data, begins, ends, first = _words(texts[i:j])
+                least, _, of = least_grams(_codes(data, begins, ends), first, length, gram)
+                at = _stretches(least, of)[0]
+                least, of = least[at], of[at]
+                order = np.lexsort((least, of))
+                least, of = least[order], of[order]
+                at = _stretches(least, of)[0]
+                grams.append(least[at])
+                counts.append(np.bincount(of[at], minlength=j - i))
+            offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(grams)))], ["doc_id", "grams"])
 
     return in_small_batches(_ids(docs).drop("of_text").filter("doc_id is not null")).mapInArrow(run, "doc_id long, grams array<long>")
 
@@ -167,40 +220,45 @@ def _marks(postings: DataFrame, scratch: Scratch) -> DataFrame:
     return marks.unionByName(dealt.filter("split"))
 
 
-def cut(least: np.ndarray, shared: np.ndarray, single: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where passages begin and end (windows): stretches of one shared least gram, of ``most`` windows at most;
-    single ones have one."""
-    at = np.arange(len(least))
-    new = np.concatenate([[True], least[1:] != least[:-1]])
-    begins = np.flatnonzero(new | single | ((at - np.maximum.accumulate(np.where(new, at, 0))) % most == 0))
-    ends = np.append(begins[1:], len(least))
-    return begins[shared[begins]], ends[shared[begins]]
+def cut(begins: np.ndarray, ends: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where passages begin and end: stretches in parts of each one's ``steps`` windows at most; and their stretch."""
+    parts = -(-(ends - begins) // steps)
+    of = np.repeat(np.arange(len(begins)), parts)
+    cuts = begins[of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * steps[of]
+    return cuts, np.minimum(cuts + steps[of], ends[of]), of
+
+
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether each value is one of those held."""
+    held = np.unique(held)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values if len(held) else np.zeros(len(values), bool)
 
 
 def _passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """route, doc_id, of_text, start, passage of documents (doc_id, of_text, text, marks)."""
+    """route, doc_id, of_text, start, passage of documents (doc_id, of_text, text, marks). Whether a gram is
+    shared, or split, is the same for all documents, so a block looks them up together."""
 
     def run(batches):
-        table = WordHashes()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc_id, of_text, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "of_text", "text", "marks"))):
-                words = (text or b"").split()
-                least = least_grams(words, length, gram, table)
-                if not len(least):
-                    continue
-                grams = np.array([m["gram"] for m in marks], np.int64)
-                split = np.array([m["gram"] for m in marks if m["split"]], np.int64)
-                single = np.isin(least, split)
-                for begin, end in zip(*(x.tolist() for x in cut(least, np.isin(least, grams), single, length - gram + 1))):
-                    passage = b" ".join(words[begin : end + length - 1])
-                    rows[0].append(xxhash.xxh64_intdigest(passage) - (1 << 63) if single[begin] else int(least[begin]))
-                    rows[1].append(doc_id)
-                    rows[2].append(of_text)
-                    rows[3].append(begin)
-                    rows[4].append(passage)
-            kinds = [*[pa.int64()] * 4, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["route", "doc_id", "of_text", "start", "passage"])
+            texts, marks = batch.column("text").to_pylist(), batch.column("marks")
+            size = np.append(0, np.cumsum(pc.list_value_length(marks).to_numpy(zero_copy_only=False)))
+            grams, split = (x.to_numpy(zero_copy_only=False) for x in (marks.flatten().field("gram"), marks.flatten().field("split")))
+            for i, j in _blocks(texts):
+                data, begins, ends, first = _words(texts[i:j])
+                least, at, of = least_grams(_codes(data, begins, ends), first, length, gram)
+                here, single = grams[size[i] : size[j]], split[size[i] : size[j]].astype(bool)
+                low, high = _stretches(least, of)
+                shared = _among(least[low], here)
+                low, high = low[shared], high[shared]
+                alone = _among(least[low], here[single])
+                low, high, of_stretch = cut(low, high, np.where(alone, 1, length - gram + 1))
+                passages = [data[a:b] for a, b in zip(begins[at[low]].tolist(), ends[at[high - 1] + length - 1].tolist())]
+                route = least[low]
+                for k in np.flatnonzero(alone[of_stretch]).tolist():
+                    route[k] = xxhash.xxh64_intdigest(passages[k]) - (1 << 63)
+                rows = pa.array(i + of[low])
+                columns = [pa.array(route), batch.column("doc_id").take(rows), batch.column("of_text").take(rows), pa.array(at[low] - first[of[low]]), pa.array(passages, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["route", "doc_id", "of_text", "start", "passage"])
 
     return in_small_batches(docs).mapInArrow(run, "route long, doc_id long, of_text long, start long, passage binary")
 
@@ -228,44 +286,63 @@ class SuffixAutomaton:
         self.link[q] = own
         return own
 
-    def _extended(self, last: int, word) -> int:
-        q = self.next[last].get(word)
-        if q is not None:
-            return q if self.size[q] == self.size[last] + 1 else self._split_off(last, q, word)
-        own, p = self._state(self.size[last] + 1, {}, 0), last
-        while p >= 0 and word not in self.next[p]:
-            self.next[p][word] = own
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][word]
-            self.link[own] = q if self.size[q] == self.size[p] + 1 else self._split_off(p, q, word)
-        return own
-
     def add(self, words, document: int) -> None:
+        following, link, size, first = self.next, self.link, self.size, self.first
         last = 0
         for word in words:
-            last = self._extended(last, word)
-            self.first[last] = min(self.first[last], document)
-
-    def close(self) -> None:
-        """After the last passage: what a run has, its ends have, too."""
-        for state in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            p, q, own = last, following[last].get(word), len(size)
+            if q is not None:
+                last = q if size[q] == size[p] + 1 else self._split_off(p, q, word)
+            else:
+                self._state(size[p] + 1, {}, 0)
+                while p >= 0 and (q := following[p].setdefault(word, own)) == own:
+                    p = link[p]
+                if p >= 0:
+                    link[own] = q if size[q] == size[p] + 1 else self._split_off(p, q, word)
+                last = own
+            if document < first[last]:
+                first[last] = document
+
+    def close(self, length: int = 1) -> None:
+        """After the last passage: what a run of ``length`` words or more has, its ends of as many have, too."""
+        size, link = np.array(self.size), np.array(self.link)
+        states = np.flatnonzero((link >= 0) & (size[link] >= length))
+        for state in states[np.argsort(-size[states], kind="stable")].tolist():
             up = self.link[state]
             self.first[up] = min(self.first[up], self.first[state])
 
     def matches(self, words, length: int):
         """For each word the smallest document that has the ``length`` words up to it; None without any."""
+        following, link, size, first = self.next, self.link, self.size, self.first
         state = matched = 0
         for word in words:
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                matched = self.size[state]
-            state = self.next[state].get(word, 0)
+            onward = following[state].get(word, 0)
+            while state and not onward:
+                state = link[state]
+                matched = size[state]
+                onward = following[state].get(word, 0)
+            state = onward
             matched = matched + 1 if state else 0
-            while state and self.size[self.link[state]] >= length:  # more than is asked for need not match
-                state = self.link[state]
-            matched = min(matched, self.size[state])
-            yield self.first[state] if matched >= length else None
+            if matched < length:
+                yield None
+                continue
+            while size[link[state]] >= length:  # more than is asked for need not match
+                state = link[state]
+            matched = min(matched, size[state])
+            yield first[state]
+
+
+def runs_of(firsts, length: int) -> list[tuple[int, int, int]]:
+    """From and to (words) and first document of adjoining windows that end where ``firsts`` tells one document."""
+    runs: list[list[int]] = []
+    for end, first in enumerate(firsts, 1):
+        if first is None:
+            continue
+        if runs and runs[-1][1] == end - 1 and runs[-1][2] == first:
+            runs[-1][1] = end
+        else:
+            runs.append([end - length, end, first])
+    return runs
 
 
 def _spans(passages: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -282,22 +359,27 @@ def _spans(passages: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
     def find(own: pa.Table, others: pa.Table) -> pa.Table:
         automaton, found = SuffixAutomaton(), [[], [], [], []]
-        numbers: dict[bytes, int] = {}
-        number = lambda passage: [numbers.setdefault(w, len(numbers)) for w in passage.split()]
-        for passage, first in zip(others["held"].to_pylist(), others["first"].to_pylist()):
-            automaton.add(number(passage), first)
-        automaton.close()
-        known: dict[bytes, list] = {}
+        held = others["held"].combine_chunks()
+        parts = pc.split_pattern(held, " ")
+        words = parts.flatten().dictionary_encode().indices.to_pylist()
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy()).tolist()
+        spans = list(zip([0, *ends], ends))
+        for (a, b), first in zip(spans, others["first"].to_pylist()):
+            automaton.add(words[a:b], first)
+        automaton.close(length)
+        at, known = {passage: k for k, passage in enumerate(held.to_pylist())}, {}  # the reference has every passage
         for doc_id, of_text, start, passage in zip(*(own[c].to_pylist() for c in ("doc_id", "of_text", "start", "passage"))):
-            if passage not in known:
-                known[passage] = list(automaton.matches(number(passage), length))
+            k = at[passage]
+            if k not in known:
+                a, b = spans[k]
+                known[k] = runs_of(automaton.matches(words[a:b], length), length)
             stop = -1
-            for end, first in enumerate(known[passage], start + 1):
-                if first is not None and first < doc_id:
-                    if end - length > stop:
-                        for column, value in zip(found, (doc_id, of_text, end - length, end)):
+            for begin, end, first in known[k]:
+                if first < doc_id:
+                    if start + begin > stop:
+                        for column, value in zip(found, (doc_id, of_text, start + begin, start + end)):
                             column.append(value)
-                    found[3][-1] = stop = end
+                    found[3][-1] = stop = start + end
         return pa.table([pa.array(c, pa.int64()) for c in found], ["doc_id", "of_text", "start", "stop"])
 
     return streamed.groupBy("shard", "salt").cogroup(sent.groupBy("of", "to")).applyInArrow(find, "doc_id long, of_text long, start long, stop long")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import timeit
 
 import numpy as np
 import pytest
@@ -90,6 +91,47 @@ def test_automaton_knows_every_run_and_its_first_document():
             assert list(automaton.matches(words, length)) == want
 
 
+def test_words_of_many_texts_are_hashed_together():
+    long = b"y" * 700
+    texts = [b"\t a  b\r\n" + long + b" a", None, b"", b" \x0b ", b"a b " + long + b"z", "né x".encode(), *(b" ".join(b"w%d" % (k * j % 17) for k in range(40)) for j in range(1, 6))]
+    data, begins, ends, first = repeated_passages._words(texts)
+    words = [[data[a:b] for a, b in zip(begins[i:j].tolist(), ends[i:j].tolist())] for i, j in itertools.pairwise(first.tolist())]
+    assert words == [(t or b"").split() for t in texts]
+    codes = repeated_passages._codes(data, begins, ends)
+    assert len(set(zip(itertools.chain(*words), codes.tolist()))) == len(set(itertools.chain(*words))) == len(set(codes.tolist()))
+    least, at, of = repeated_passages.least_grams(codes, first, 13, 5)
+    assert [(i, int(first[i]) + k) for i, w in enumerate(words) for k in range(len(w) - 12)] == list(zip(of.tolist(), at.tolist()))
+    by_words = collections.defaultdict(set)
+    for k, i, gram in zip(at.tolist(), of.tolist(), least.tolist()):
+        by_words[tuple(words[i][k - first[i] : k - first[i] + 13])].add(gram)
+    assert all(len(grams) == 1 for grams in by_words.values())
+
+
+def test_least_grams_of_many_distinct_words_cost_little_more_than_splitting():
+    """More words than a table holds: looked up one by one they took some eight times the time."""
+    text = b" ".join(b"w%d" % n for n in np.random.default_rng(0).permutation(600_000))
+
+    def hashed():
+        data, begins, ends, first = repeated_passages._words([text])
+        repeated_passages.least_grams(repeated_passages._codes(data, begins, ends), first, 13, 5)
+
+    assert min(timeit.repeat(hashed, number=1, repeat=5)) < 5 * min(timeit.repeat(text.split, number=1, repeat=5))
+
+
+def test_closing_looks_at_long_runs_alone():
+    r = np.random.default_rng(0)
+    passages = [(r.integers(0, 50, 17).tolist(), int(d)) for d in r.permutation(200)]
+    passages += [(words[2:] + [99], doc - 1000) for words, doc in passages[:30]]
+    for length in (1, 13):
+        automaton = SuffixAutomaton()
+        for words, doc in passages:
+            automaton.add(words, doc)
+        automaton.close(length)
+        for words, _ in passages:
+            want = [min(d for w, d in passages if any(w[k : k + length] == words[end - length : end] for k in range(len(w) - length + 1))) for end in range(length, len(words) + 1)]
+            assert list(automaton.matches(words, length)) == [None] * (length - 1) + want
+
+
 # Divergence of sources.
 
 
