@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from likeness.llm.common import in_small_batches
+from likeness.operators.joins import local_table
 
 LENGTH = 128
 WIDTHS = (2, 3, 4)
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # the classes, which the network has to hold
     if not sizes:
         return {"classes": []}
-    rates = docs.sparkSession.createDataFrame([(lang, int(min(1.0, sample_docs / n) * (1 << 30))) for lang, n in sorted(sizes.items())], "lang string, rate long")
+    rates = local_table(docs.sparkSession, {"lang": list(sizes), "rate": [int(min(1.0, sample_docs / n) * (1 << 30)) for n in sizes.values()]}, "lang string, rate long")
     drawn = known.filter("text is not null").join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < F.col("rate"))
     starts = [F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - LENGTH // 2))).cast("int"), F.lit(LENGTH)) for k in range(SAMPLE_WINDOWS)]
     found = drawn.select("doc_id", "lang", F.array(*starts).alias("parts")).toPandas().sort_values(["doc_id", "lang"])

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a key that a shuffle join takes into one task, and keys above that at most.
 HOT_ROWS = 10_000
 HOT_KEYS = 100_000
 
 
+def local_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table of the driver's values. It goes over as Arrow: lists of rows would start a second set of
+    Python processes on every executor, which stay."""
+    kinds = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(kinds)), kinds)
+
+
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` (a written table, any number of rows a key) with ``unique`` (one row a key).
 
@@ -22,6 +32,6 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, counts: DataFrame
     if not hot:
         return rows.join(unique, key)
     kind = rows.schema[key].dataType.simpleString()
-    keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], f"`{key}` {kind}"))
+    keys = F.broadcast(local_table(rows.sparkSession, {key: hot}, f"`{key}` {kind}"))
     cold = rows.join(keys, key, "left_anti").join(unique, key)
     return rows.join(F.broadcast(unique.join(keys, key, "left_semi")), key).select(cold.columns).unionByName(cold)

@@ -48,3 +48,24 @@ def test_queries_are_registered():
     names = list(entry.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_no_stage_sends_rows_through_a_second_set_of_python_processes(spark, sf_dir, monkeypatch):
+    """Lists of rows become an RDD of pickles, whose workers stay on the executors beside those of Arrow."""
+    from pyspark import SparkContext
+
+    from likeness.llm import language
+    from likeness.operators import joins
+
+    def refused(*_, **__):
+        raise AssertionError("rows as pickles")
+
+    docs = table(spark, sf_dir, "documents")
+    rows = Scratch(spark, "t").keep(spark.range(90).selectExpr("id % 3 k", "id v"))
+    names = spark.range(3).selectExpr("id k", "cast(id as string) name")
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    assert sorted(language.fit(docs)["classes"]) == sorted(r.lang for r in docs.select("lang").distinct().collect() if r.lang is not None)
+    assert joins.join_unique(rows, names, "k").groupBy("name").count().count() == 3
+    local = joins.local_table(spark, {"lang": ["b", None], "rate": [1, 2]}, "lang string, rate long")
+    assert [tuple(r) for r in local.collect()] == [("b", 1), (None, 2)] and joins.local_table(spark, {"k": []}, "k long").count() == 0
